@@ -58,7 +58,7 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def sampled_labels(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> DataFrame:
-    """Whole texts of at most `per_class` labelled documents of each class that may be learnt from: (text, y).
+    """Whole texts of at most `per_class` labelled documents of each class that may be learnt from: (doc_id, text, y).
 
     Ids are ranked by a hash, so that the sample does not depend on partitions. A repeated
     id takes its greatest label; null ids, null labels and labels other than 0 and 1 are left out.
@@ -73,7 +73,7 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, target: str, per_class: i
     ranked = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = cut(ranked[0].unionByName(ranked[1]))  # at most 2 * per_class rows
     first = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return first.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")
+    return cut(first.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
 
 
 def priors(labels: DataFrame, target: str) -> tuple[float, float]:
