@@ -10,10 +10,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.deploy import ship
-from keyloom.llm import bpe, mixing, simhash
+from keyloom.llm import bpe, mixing, quality, simhash, toxicity
 from keyloom.llm.common import cut, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.drop_poor(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
@@ -27,6 +35,8 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
     ("near_duplicates", drop_near_duplicates),
     ("mixing", mix_sources),
     ("tokens", encode_tokens),
