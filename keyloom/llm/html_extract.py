@@ -181,8 +181,8 @@ def main_text(html: str | None) -> str:
         fused *= (values + np.array([smooth[p[:-1]] for p in paths])) / 2
     chosen = {p for p, f in zip(paths, fused) if f >= SHARE * fused.std() and f >= LEAST * fused.max()}
     # headings, lists and short paths beside or under what holds content paths go with them
-    holders = {(0, *o)[-2] for p, o, _, _ in kept if p in chosen}
-    return "\n".join(t for p, o, t, _ in kept if p in chosen or (p and p[-1] in TEXT and not holders.isdisjoint((0, *o)[:-1])))
+    holders = {(0, 0, *o)[-2] for p, o, _, _ in kept if p in chosen}
+    return "\n".join(t for p, o, t, _ in kept if p in chosen or (p and p[-1] in TEXT and not holders.isdisjoint((0, 0, *o)[:-1])))
 
 
 def extract(pages: DataFrame) -> DataFrame:

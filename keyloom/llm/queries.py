@@ -59,5 +59,39 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+#: The other operators are beyond SQL (XXH64, trained models, tree search, HTML and BPE rules); tests hold them against plain versions.
+_OP4_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(text) + len(regexp_extract_all(text, '</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE[=\]]'))
+        + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 4 ELSE 21 END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+_OP10_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix ' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+w AS (SELECT *, CAST(CASE (no - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, CAST(2 AS DOUBLE) * source_size AS cap FROM r),
+f AS (SELECT *, (CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE)
+        - coalesce(sum(cap) OVER (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY cap / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, no, source_size, CASE WHEN level * weight >= cap THEN cap ELSE max(CASE WHEN level * weight < cap THEN level END) OVER () * weight END AS target FROM f),
+c AS (SELECT doc_id, size, no, source_size, target, CAST(sum(size) OVER (PARTITION BY no ORDER BY h, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT no, size, upto, (upto + lap * source_size) / target AS finish FROM c, (VALUES (0), (1)) l(lap) WHERE size > 0 AND target > 0),
+a AS (SELECT finish, sum(size) OVER (ORDER BY finish, no, upto ROWS UNBOUNDED PRECEDING) AS every FROM q),
+z AS (SELECT coalesce(max(finish), -1) AS last FROM a WHERE every <= (SELECT sum(target) FROM t) + 0.5)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+    CAST(CASE WHEN size > 0 AND target > 0 THEN size * (CAST(upto / target <= last AS INT) + CAST((upto + source_size) / target <= last AS INT)) ELSE 0 END AS BIGINT) AS taken
+FROM c, z
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": _OP4_SQL, "op10_source_mixing": _OP10_SQL}
