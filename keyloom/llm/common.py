@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a file that are few enough to join it with others.
+FILE_ROWS = 10_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than its narrow rows need: a stage of many near-empty tasks and files costs more than it saves."""
+    return df.coalesce(max(8, rows // FILE_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the cluster's shared checkpoint folder, which cuts its lineage there."""
     sc = df.sparkSession.sparkContext

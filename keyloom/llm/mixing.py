@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed
 
 #: Words are runs of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,14 +86,15 @@ def mix(
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle.alias("shuffle")))
     level = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, passes))
     seen = level.agg(F.count(F.lit(1)).alias("sources"), F.sum("target").alias("total")).first()
-    spread = min(MOST_BUCKETS, max(8, sized.count() // BUCKET_ROWS))
+    rows = sized.count()
+    spread = min(MOST_BUCKETS, max(8, rows // BUCKET_ROWS))
     side = level.withColumnRenamed("source", "__source")
     side = F.broadcast(side) if seen["sources"] <= BROADCAST_ROWS else side
     known = sized.join(side, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     leading = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     known = known.withColumn("bucket", F.floor(leading * spread))
     counted = running(known, ["source_no", "bucket"], [F.col("shuffle"), F.col("doc_id").asc_nulls_last(), F.col("size")], "size", "upto")
-    counted = cut(counted.drop("shuffle", "bucket"))
+    counted = cut(packed(counted.drop("shuffle", "bucket"), rows))
     laps = [(F.col("upto") + F.lit(lap) * F.col("source_size")) / F.col("target") for lap in range(passes)]
     queue = counted.where((F.col("size") > 0) & (F.col("target") > 0)).select("source_no", "size", "upto", F.explode(F.array(*laps)).alias("finish"))
     queue = queue.withColumn("slice", F.floor(F.col("finish") * spread))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed
 from .mixing import running, word_count
 
 SHARDS = 8
@@ -87,4 +87,4 @@ def assign(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Dat
     buckets = min(MOST_BUCKETS, max(8, seen["n"] // BUCKET_ROWS))
     slotted = placed.withColumn("bucket", F.pmod(F.col("spread"), F.lit(buckets))).withColumn("one", F.lit(1).cast("long"))
     slotted = running(slotted, ["shard", "bucket"], [F.col("spread"), F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")], "one", "nth")
-    return slotted.select("doc_id", "size", "tokens", "text_crc32", "bundle", "shard", (F.col("nth") - 1).cast("long").alias("slot"))
+    return packed(slotted, seen["n"]).select("doc_id", "size", "tokens", "text_crc32", "bundle", "shard", (F.col("nth") - 1).cast("long").alias("slot"))
