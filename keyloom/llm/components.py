@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,15 +21,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, nodes: int) -> DataFrame:
     """(u, v): each node that has an edge and isn't the least of its component, with that least node.
 
-    edges: (u, v), in any direction, u and v different. Edges stay as many as nodes at most
+    edges: (u, v), in any direction, u and v different; nodes: how many there are at most. Edges stay as many as nodes at most
     after the first round; each round goes to the shared checkpoint folder.
     """
-    stars, before = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    stars, before = cut(packed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), nodes)), None
     while True:
-        stars = cut(_small_star(_large_star(stars)))
+        stars = cut(packed(_small_star(_large_star(stars)), nodes))
         row = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         now = (row["n"], row["h"])
         if now == before or not row["n"]:

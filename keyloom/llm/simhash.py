@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, utf8
+from .common import chunks, cut, packed, utf8
 from .components import components
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints may differ.
@@ -178,8 +178,9 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFr
     """
     rows = cut(fingerprints(docs, shingle))
     distinct = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    joined = components(links(distinct.select("fingerprint"), distinct.count(), most)).select(F.col("u").alias("fingerprint"), F.col("v").alias("root"))
-    rooted = cut(distinct.join(joined, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
+    n = distinct.count()
+    joined = components(links(distinct.select("fingerprint"), n, most), n).select(F.col("u").alias("fingerprint"), F.col("v").alias("root"))
+    rooted = cut(packed(distinct.join(joined, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), n))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
