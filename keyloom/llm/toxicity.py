@@ -22,6 +22,8 @@ from .neighbours import Calibration, votes
 
 #: Bytes of a term; terms of the vocabulary; labelled examples of each class at most; neighbours that vote.
 N, VOCABULARY, PER_CLASS, NEIGHBOURS = 5, 1_024, 2_048, 15
+#: Least chi-square of a term of the vocabulary.
+SIGNIFICANT = 16.0
 #: Examples of a block of the index.
 BLOCK = 256
 #: A text is toxic from this score on.
@@ -183,14 +185,14 @@ def _class_frequencies(sample: DataFrame) -> DataFrame:
 
 
 def _vocabulary(sample: DataFrame, size: int) -> np.ndarray:
-    """The `size` terms of greatest chi-square between the sample's classes."""
+    """The `size` terms of greatest chi-square between the sample's classes, if it is significant."""
     total = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n0, n1 = float(total.get(0, 0)), float(total.get(1, 0))
     if not n0 or not n1:
         return np.zeros(0, np.uint64)
-    a, b = F.col("n1") / n1, F.col("n0") / n0
-    chi = (a - b) ** 2 / ((a + b) * (2 - a - b) + F.lit(1e-9))
-    ranked = _class_frequencies(sample).where(F.col("n0") + F.col("n1") >= 4).select("term", chi.alias("chi"))
+    share = (F.col("n1") + F.col("n0")) / (n0 + n1)
+    chi = (F.col("n1") / n1 - F.col("n0") / n0) ** 2 / (share * (1 - share) * (1 / n0 + 1 / n1) + F.lit(1e-9))
+    ranked = _class_frequencies(sample).select("term", chi.alias("chi")).where(F.col("chi") >= SIGNIFICANT)
     rows = ranked.orderBy(F.col("chi").desc(), "term").limit(size).collect()  # at most `size` rows
     return np.array([r["term"] for r in rows], dtype=np.int64).view(np.uint64)
 
