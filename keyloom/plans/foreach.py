@@ -9,7 +9,7 @@ function and nothing leaves the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -153,6 +153,7 @@ def for_each(
     output_names: list[str] | None = None,
     errors: str = "skip",
     dry_run: bool = False,
+    dataset: Iterable[str] = (),
 ) -> DataFrame | None:
     """One row, or the rows of a returned table, for every combination of `keys`.
 
@@ -162,24 +163,26 @@ def for_each(
     numbers, from 1, the elements or rows that the output is split into. errors: 'skip' the
     combinations at which fn raises, keep their message in a column `error` with 'column', or
     'raise'. EachOf inputs give a column with the option's label. A combination that a keyed
-    input lacks is dropped.
+    input lacks is dropped. dataset: all key names; those not iterated over are no data either,
+    so that fn gets all lower rows of a combination.
     """
     variants = _variants(inputs, where)
     if len(variants) > 1:
         parts = []
         for labels, picked, condition in variants:
-            df = for_each(fn, picked, keys, combos, schema, condition, as_table, distribute, output_names, errors, dry_run)
+            df = for_each(fn, picked, keys, combos, schema, condition, as_table, distribute, output_names, errors, dry_run, dataset)
             parts.append(None if df is None else df.withColumns({n: F.lit(v) for n, v in labels.items()}))
         return None if dry_run else reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     _, inputs, where = variants[0]
-    found = {n: _plain(v, keys) for n, v in inputs.items() if _is_table(v)}
+    every = list(dict.fromkeys([*keys, *dataset]))
+    found = {n: _plain(v, every) for n, v in inputs.items() if _is_table(v)}
     if where is not None:
         columns = lambda t: [c.column for c in _leaves(t) if hasattr(c, "column")]
         found = {n: df.where(table_condition(where)) if set(columns(where)) <= set(df.columns) else df for n, df in found.items()}
     constants = {n: v for n, v in inputs.items() if not _is_table(v)}
     for n, v in constants.items():
         if isinstance(v, ColName):
-            names = [c for c in _plain(v.table, keys).columns if c not in keys]
+            names = [c for c in _plain(v.table, every).columns if c not in every]
             if len(names) != 1:
                 raise ValueError(f"ColName needs one data column, not {names}")
             constants[n] = names[0]
@@ -196,7 +199,7 @@ def for_each(
         return df.join(combos, keys, "left_semi").groupBy(*keys).agg(*[c.alias(n) for n, c in fn.items()])
     tabled = set(found) if as_table is True else set(as_table or ())
     selected = {n for n, v in inputs.items() if isinstance(v, ColumnSelection)}
-    call = _Call(fn, constants, keys, tabled, selected, output_names, distribute, errors)
+    call = _Call(fn, constants, keys, every, tabled, selected, output_names, distribute, errors)
     packed = _pack(found, combos, keys)
     kinds = {f.name: f for f in packed.schema.fields}
     names = {n: df.columns for n, df in found.items()}
@@ -219,7 +222,8 @@ def for_each(
             for at in range(len(batch)):
                 rows = call.rows(batch.iloc[at : at + 1], names)
                 if len(rows):
-                    yield rows.reindex(columns=order)
+                    lacking = {c: pd.Series([None] * len(rows), dtype=object) for c in order if c not in rows}
+                    yield rows.assign(**lacking)[order]
 
     return packed.mapInPandas(run, T.StructType(fields))
 
@@ -241,8 +245,8 @@ def _pack(found: dict[str, DataFrame], combos: DataFrame, keys: list[str]) -> Da
 
 
 class _Call:
-    def __init__(self, fn, constants, keys, tabled, selected, output_names, distribute, errors):
-        self.fn, self.constants, self.keys, self.tabled, self.selected = fn, constants, keys, tabled, selected
+    def __init__(self, fn, constants, keys, every, tabled, selected, output_names, distribute, errors):
+        self.fn, self.constants, self.keys, self.every, self.tabled, self.selected = fn, constants, keys, every, tabled, selected
         self.output_names, self.distribute, self.errors = output_names, distribute, errors
 
     def rows(self, combo: pd.DataFrame, names: dict[str, list[str]], trial: bool = False) -> pd.DataFrame:
@@ -251,7 +255,7 @@ class _Call:
             arguments = dict(self.constants)
             for name, columns in names.items():
                 table = pd.DataFrame([tuple(r[c] for c in columns) if not isinstance(r, tuple) else r for r in at[f"__{name}"]], columns=columns)
-                arguments[name] = data_value(table, self.keys, name in self.tabled, name in self.selected)
+                arguments[name] = data_value(table, self.every, name in self.tabled, name in self.selected)
             out = self._shape(self.fn(**arguments))
         except Exception as e:
             if self.errors == "raise" or trial:

@@ -96,7 +96,7 @@ def for_each(
             done = made.select(*names, *[F.element_at("__v", F.lit(r)).alias(r) for r in rids])
             every = combo_tables.missing(every, done, [*names, *rids])
     every = checkpointed(every)
-    called = foreach.for_each(lineage_fn.function if lineage_fn else fn, tables | constants, [*names, *rids, *params], every, schema, **options)
+    called = foreach.for_each(lineage_fn.function if lineage_fn else fn, tables | constants, [*names, *rids, *params], every, schema, dataset=store.schema.keys, **options)
     if not save:
         return called.drop(*params)
     called = checkpointed(called)
