@@ -106,6 +106,12 @@ def test_neighbours_reach_their_recall(spark, monkeypatch):
     rows.append(rows[5])
     table = spark.createDataFrame([(*r, 1.0) for r in rows], "vec_id long, embedding array<float>, score double")
     got = ann.search(table, table.where("vec_id % 20 == 0")).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        apart = ann.search(table, table.where("vec_id % 20 == 0")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, apart)) == sorted(map(tuple, got))
     by = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         by.setdefault(r["query_id"], []).append(r)
