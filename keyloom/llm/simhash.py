@@ -6,9 +6,10 @@ bits, then (pigeonhole) at least segments - most of the segments are equal, and
 l * most / segments bits. Equal segments make the join keys; the chain condition, tested
 with array operations, prunes the pairs that share a key; the full distance decides.
 
-Documents of equal fingerprint are one item, so copies are never paired. Where many
-different fingerprints share a key, their group is dealt into blocks and each pair of blocks
-is a task's work of its own. Groups give a spanning forest of their links, not the pairs.
+Documents of equal fingerprint are one item, so copies are never paired. Groups give a
+spanning forest of their links, not the pairs. Where many different fingerprints share a
+key, close ones are linked first in linear work, and blocks of the group are compared only
+across what that has connected.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, packed, utf8
@@ -138,17 +139,49 @@ def forest(key: np.ndarray, fingerprint: np.ndarray, segments: list[tuple[int, i
     return fingerprint[moved], fingerprint[label[moved]]
 
 
+def _dealt(keyed: DataFrame, hot: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of hot keys under the keys of pairs of blocks, and links that hold already.
+
+    In a dense group most fingerprints are two bits at most from some other. Those meet at a
+    fingerprint one bit from both: each member goes to 65 such meeting points, at most 65
+    members to each, and is linked to the least one there. What is then connected needs no
+    comparison within itself: blocks of one class are paired only with blocks of others, so
+    the work follows the links that are still open, not the square of the group.
+    """
+    marked = cut(keyed.join(hot, "key"))
+    points = [F.lit(0)] + [F.shiftleft(F.lit(1).cast("long"), b) for b in range(64)]
+    near = marked.select("fingerprint").distinct()
+    near = near.select(F.explode(F.array(*[F.col("fingerprint").bitwiseXOR(p) for p in points])).alias("point"), "fingerprint")
+    least = near.groupBy("point").agg(F.min("fingerprint").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = cut(near.join(least, "point").where("fingerprint <> v").select(F.col("fingerprint").alias("u"), "v").distinct())
+    classes = components(held, n).select(F.col("u").alias("fingerprint"), F.col("v").alias("class"))
+    rows = cut(marked.join(classes, "fingerprint", "left").withColumn("class", F.coalesce("class", "fingerprint")))
+    sizes = rows.groupBy("key", "class").count()
+    pure = sizes.where(F.col("count") > BLOCK)
+    mixed = sizes.where(F.col("count") <= BLOCK).groupBy("key").agg(F.sum("count").alias("count")).withColumn("class", F.lit(None).cast("long"))
+    by_key = Window.partitionBy("key")
+    blocks = pure.unionByName(mixed).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    allotted = blocks.select(
+        "key", F.col("class").alias("own"), "blocks", F.sum("blocks").over(by_key.orderBy(F.col("class").asc_nulls_last())).cast("int").alias("end"), F.sum("blocks").over(by_key).cast("int").alias("all")
+    )
+    named = rows.join(pure.select("key", "class", F.col("class").alias("own")), ["key", "class"], "left").select("key", "fingerprint", F.col("own").alias("__own"))
+    placed = named.withColumnRenamed("key", "__key").join(allotted, (F.col("__key") == F.col("key")) & F.col("__own").eqNullSafe(F.col("own")))
+    mine = F.col("end") - F.col("blocks") + F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
+    open_ = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda y: F.col("own").isNull() | (y < F.col("end") - F.col("blocks")) | (y >= F.col("end")))
+    pairs = F.transform(open_, lambda y: F.xxhash64("key", F.least(mine, y), F.greatest(mine, y)))
+    return placed.select(F.explode(pairs).alias("key"), "fingerprint"), held
+
+
 def links(distinct: DataFrame, n: int, most: int = MOST) -> DataFrame:
     """(u, v) that connect different fingerprints which differ in at most `most` bits. distinct: (fingerprint)."""
     equal = equal_segments(n, most)
     segments = ring(equal, most)
     keyed = distinct.select(F.explode(_keys(F.col("fingerprint"), equal, most)).alias("key"), "fingerprint")
-    hot = cut(keyed.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    if hot.first() is not None:
-        marked = keyed.join(hot, "key", "left")
-        own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks"))
-        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-        keyed = marked.select(F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pair)).alias("key"), "fingerprint")
+    hot = cut(keyed.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+    held = None
+    if most >= 2 and hot.first() is not None:
+        dealt, held = _dealt(keyed, hot, n)
+        keyed = keyed.join(hot, "key", "left_anti").unionByName(dealt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -160,7 +193,8 @@ def links(distinct: DataFrame, n: int, most: int = MOST) -> DataFrame:
             held_key, held = key[whole:], item[whole:]
         yield _edges(*forest(held_key, held, segments, most))
 
-    return keyed.repartition("key").sortWithinPartitions("key", "fingerprint").mapInArrow(run, "u long, v long").distinct()
+    found = keyed.repartition("key").sortWithinPartitions("key", "fingerprint").mapInArrow(run, "u long, v long").distinct()
+    return found if held is None else found.unionByName(held)
 
 
 def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
