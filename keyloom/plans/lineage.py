@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import canonical_hash, function_hash
+from ..sources.store import checkpointed
 
 
 class LineageFunction:
@@ -45,28 +46,22 @@ def ancestors(edges: DataFrame, hops: int = 20, start: DataFrame | None = None)
     """(node, ancestor, hops): all ancestors within `hops` steps, by the shortest way.
 
     edges: (child, parent). Each step joins the newly reached ancestors only, so cycles end;
-    it stops when nothing new is reached.
+    it stops when nothing new is reached. Steps are cut in the shared checkpoint folder, so
+    each is computed once.
     """
-    edges = edges.select("child", "parent").distinct()
+    edges = checkpointed(edges.select("child", "parent").distinct())
     first = edges if start is None else edges.join(start.select(F.col("node").alias("child")).distinct(), "child", "left_semi")
     reached = front = first.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
     for step in range(2, hops + 1):
         onward = front.select("node", F.col("ancestor").alias("child")).join(edges, "child")
-        front = onward.select("node", F.col("parent").alias("ancestor"), F.lit(step).alias("hops")).distinct().join(reached, ["node", "ancestor"], "left_anti")
-        if step % 4 == 0:
-            front, reached = _cut(front), _cut(reached)
-        if front.first() is None:
+        new = onward.select("node", F.col("parent").alias("ancestor"), F.lit(step).alias("hops")).distinct()
+        front = checkpointed(new.join(reached, ["node", "ancestor"], "left_anti"))
+        if front.isEmpty():
             break
         reached = reached.unionByName(front)
     return reached
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from ..sources.store import checkpointed
-
-    return checkpointed(df)
-
-
 def superseded(edges: DataFrame, stale: DataFrame, hops: int = 50) -> DataFrame:
     """(node, superseded): whether any ancestor is among the `stale` record ids."""
     walk = ancestors(edges, hops).join(stale.select(F.col("record_id").alias("ancestor"), F.lit(True).alias("hit")).distinct(), "ancestor", "left")
