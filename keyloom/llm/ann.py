@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed
 
 #: Vectors the tree is fitted on, at most, and their bytes.
 SAMPLE, SAMPLE_BYTES = 32_768, 32 << 20
@@ -239,4 +239,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     found = candidates.groupBy(*keys).cogroup(questions.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return packed(ranked, k * visiting.select("query_id").distinct().count()).select("query_id", "rank", "vec_id", "score")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 #: Reserved ids, counted from the end of the vocabulary, and what they look like in the rendered text.
 BEGIN, END = "<s>", "</s>"
 INST, END_INST = "[INST] ", " [/INST]"
@@ -165,4 +167,4 @@ def read_back(conversations: DataFrame, path: str) -> DataFrame:
 
     rows = _ordered(conversations)
     kind = dict(rows.dtypes)["conv_id"]
-    return rows.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return packed(rows, conversations.count()).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -19,12 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a file that are few enough to join it with others.
+#: Rows that a partition of a result may hold before another is opened.
 FILE_ROWS = 10_000
 
 
 def packed(df: DataFrame, rows: int) -> DataFrame:
-    """df in no more partitions than its narrow rows need: a stage of many near-empty tasks and files costs more than it saves."""
+    """df in no more partitions than so many rows need: a stage of many near-empty tasks and files costs more than it saves."""
     return df.coalesce(max(8, rows // FILE_ROWS))
 
 
@@ -82,7 +82,7 @@ def sampled_labels(docs: DataFrame, labels: DataFrame, target: str, per_class: i
     ranked = [marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = cut(ranked[0].unionByName(ranked[1]))  # at most 2 * per_class rows
     first = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    return cut(first.groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+    return cut(packed(first.groupBy("doc_id", "y").agg(F.min("text").alias("text")), 2 * per_class))
 
 
 def priors(labels: DataFrame, target: str) -> tuple[float, float]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import chunks, packed, utf8
 
 K, S = 16, 8
 #: Bins of a fingerprint; bits of a tag and of a position in it; shift in bytes that still agrees.
@@ -174,7 +174,8 @@ def against_next(docs: DataFrame) -> DataFrame:
         .repartition("range")
         .sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
     )
-    return ordered.mapInArrow(_follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    compared = ordered.mapInArrow(_follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return packed(compared, seen)
 
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,4 +114,4 @@ def take(docs: DataFrame, **settings) -> DataFrame:
     """
     copies = mix(docs, **settings).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
     joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__lap", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return packed(joined, docs.count()).withColumn("__lap", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

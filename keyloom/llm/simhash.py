@@ -177,7 +177,7 @@ def links(distinct: DataFrame, n: int, most: int = MOST) -> DataFrame:
     equal = equal_segments(n, most)
     segments = ring(equal, most)
     keyed = distinct.select(F.explode(_keys(F.col("fingerprint"), equal, most)).alias("key"), "fingerprint")
-    hot = cut(keyed.groupBy("key").count().where(F.col("count") > HOT).select("key"))
+    hot = cut(packed(keyed.groupBy("key").count().where(F.col("count") > HOT).select("key"), n))
     held = None
     if most >= 2 and hot.first() is not None:
         dealt, held = _dealt(keyed, hot, n)
@@ -211,13 +211,14 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFr
     no other. Repeated rows give repeated results; an empty table gives an empty one.
     """
     rows = cut(fingerprints(docs, shingle))
-    distinct = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    count = rows.count()
+    distinct = cut(packed(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), count))
     n = distinct.count()
     joined = components(links(distinct.select("fingerprint"), n, most), n).select(F.col("u").alias("fingerprint"), F.col("v").alias("root"))
     rooted = cut(packed(distinct.join(joined, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), n))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return packed(rows.join(named, "fingerprint"), count).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
@@ -227,4 +228,4 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataF
     """
     kept = classes(docs, shingle, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    return packed(joined.dropDuplicates(["doc_id"]), docs.count())
