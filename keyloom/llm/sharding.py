@@ -1,10 +1,9 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Groups are the documents of equal text. Groups are summed up before anything is shuffled
-by rows; a group of more than its share of a bundle is dealt over several bundles by row,
-so that a hot group is never one item. The other groups fall into bundles by a hash of
-their text, so that the packer sees at most BUNDLES + a bounded number of split parts,
-whatever the size of the corpus. The packer puts each item, largest first, where the dot
+by rows; a group of more than a set part of a shard is dealt over all bundles by row, so
+that a hot group is never one item. The other groups fall into bundles whole, by a hash of
+their text, so that the packer sees at most BUNDLES items, whatever the size of the corpus. The packer puts each item, largest first, where the dot
 product of its vector with the shard's residual capacity is highest.
 """
 
@@ -20,6 +19,8 @@ from .mixing import running, word_count
 SHARDS = 8
 #: Items that the packer places; every document belongs to one by a hash.
 BUNDLES = 4_096
+#: A group of more than a shard's share over this, in bytes or rows, is split.
+SPLIT = 16
 #: Rows that a bucket of the slots is planned for, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 200, 8_192
 
@@ -52,8 +53,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Dat
     """The shard of each document: (doc_id, size, tokens, text_crc32, bundle, shard, slot).
 
     docs needs doc_id and text. Null text has size 1, no tokens, CRC 0, and is of one group
-    with the empty text. Rows of equal text go to one shard unless their group outgrows a
-    bundle's share; such a group is dealt over bundles by a hash of doc_id. Repeated rows
+    with the empty text. Rows of equal text go to one shard unless their group has more
+    than 1 / SPLIT of a shard's share; such a group is dealt over bundles by a hash of doc_id. Repeated rows
     get slots of their own. Slots count from 0 without gaps within a shard, in the order of
     (a digest of doc_id, doc_id). An empty table gives an empty table.
     """
@@ -69,11 +70,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Dat
         )
     )
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
-    # a group above half a bundle's share of bytes or rows; at most 4 * bundles groups are
-    most_bytes, most_rows = (seen["size"] or 0) / bundles / 2, max(1, seen["n"] / bundles / 2)
+    most_bytes, most_rows = (seen["size"] or 0) / shards / SPLIT, seen["n"] / shards / SPLIT
     groups = rows.groupBy("group").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
     large = groups.where((F.col("n") > 1) & ((F.col("b") > most_bytes) | (F.col("n") > most_rows))).select("group", F.lit(True).alias("large"))
-    # at most 4 * bundles rows of 9 bytes, by the two thresholds
+    # at most 2 * shards * SPLIT rows, by the two thresholds
     marked = rows.join(F.broadcast(large), "group", "left")
     dealt = F.when(F.col("large"), F.xxhash64("group", "spread")).otherwise(F.xxhash64("group"))
     bundled = cut(marked.select("doc_id", "size", "tokens", "text_crc32", "spread", F.pmod(dealt, F.lit(bundles)).cast("int").alias("bundle")))

@@ -207,6 +207,10 @@ def test_shards_are_even_and_gapless(spark, words):
         total.setdefault(r["shard"], []).append(r)
     bytes_ = [sum(r["size"] for r in own) for own in total.values()]
     assert len(total) == 8 and max(bytes_) - min(bytes_) <= 0.2 * np.mean(bytes_) + 6001
+    shards_of = {}
+    for r in got:
+        shards_of.setdefault(texts[r["doc_id"]] or "", set()).add(r["shard"])
+    assert len(shards_of[texts[0]]) > 4 and len(shards_of[""]) == len(shards_of[texts[1]]) == 1
     for own in total.values():
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
     again = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.assign(docs.repartition(5)).collect()}
