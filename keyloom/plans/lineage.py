@@ -8,6 +8,7 @@ from functools import update_wrapper
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jsonmaps
 from ..functions.hashing import canonical_hash, function_hash
 from ..sources.store import checkpointed
 
@@ -71,3 +72,18 @@ def superseded(edges: DataFrame, stale: DataFrame, hops: int = 50) -> DataFrame:
 def memo(lineage: DataFrame, log: DataFrame, lineage_hash: str) -> DataFrame:
     """Records that the same function made of the same inputs before."""
     return log.join(lineage.where(F.col("lineage_hash") == lineage_hash).select(F.col("output_record_id").alias("record_id")), "record_id", "left_semi")
+
+
+def variant_edges(records: DataFrame, inputs: DataFrame, keys: list[str]) -> DataFrame:
+    """(child, parent) by branch parameters: at a child's location, of each input variable the record whose
+    parameters are the largest part of the child's.
+
+    records: (record_id, variable_name, branch_params as JSON, keys); inputs: (output, input) variables.
+    """
+    child = records.select(F.col("record_id").alias("child"), F.col("variable_name").alias("output"), jsonmaps.as_map(F.col("branch_params")).alias("__own"), *keys)
+    parent = records.select(F.col("record_id").alias("parent"), F.col("variable_name").alias("input"), jsonmaps.as_map(F.col("branch_params")).alias("__up"), *[F.col(k).alias(f"__{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    wanted = child.join(inputs.select("output", "input").distinct(), "output")
+    pairs = wanted.join(parent, [wanted["input"] == parent["input"], *same]).where(jsonmaps.is_subset(F.col("__up"), F.col("__own")))
+    best = pairs.groupBy("child", wanted["input"]).agg(F.max_by("parent", F.struct(F.size("__up"), F.col("parent"))).alias("parent"))
+    return best.select("child", "parent")

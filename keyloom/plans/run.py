@@ -68,33 +68,13 @@ def for_each(
             out = out.unionByName(df, allowMissingColumns=True)
         return out
     _, inputs, where = axes[0]
-    names = list(keys)
-    lineage_fn = fn if isinstance(fn, LineageFunction) else None
-    fn_hash = lineage_fn.hash if lineage_fn else function_hash(fn)
-    constants = {n: v for n, v in inputs.items() if not _stored(v) and not foreach._is_table(v)}
-    tables, ids, params = {}, {}, []
-    for name, value in inputs.items():
-        if name in constants:
-            continue
-        tables[name], ids[name] = _input(store, name, value, names, where)
-        if ids[name] is not None:
-            params.append(f"__bp_{name}")
-    combos = _combos(store, tables, ids, names)
-    for k, values in (keys.items() if isinstance(keys, dict) else ()):
-        if len(values):
-            wanted = combo_tables.product(store.spark, {k: list(values)})
-            combos = combos.join(wanted, k, "left_semi")
-    rids = [f"__rid_{n}" for n, df in ids.items() if df is not None]
-    texts = {n: json.dumps(v, default=str) for n, v in constants.items()}
-    extra = {"__fn": fn.__name__, "__fn_hash": fn_hash, "__inputs": json.dumps({n: _name(v) for n, v in inputs.items() if n not in constants}, sort_keys=True), "__constants": json.dumps(texts, sort_keys=True)}
-    every = combos
+    plan = _plan(store, fn, inputs, keys, where)
+    names, rids, params, tables, constants, texts, extra = (plan[n] for n in ("names", "rids", "params", "tables", "constants", "texts", "extra"))
+    lineage_fn, fn_hash = fn if isinstance(fn, LineageFunction) else None, extra["__fn_hash"]
+    every = plan["combos"]
     if skip_computed:
         for output in outputs:
-            made = store.records(output).withColumn("__v", jsonmaps.as_map(F.col("version_keys")))
-            for k, v in extra.items():
-                made = made.where(F.element_at("__v", F.lit(k)) == v)
-            done = made.select(*names, *[F.element_at("__v", F.lit(r)).alias(r) for r in rids])
-            every = combo_tables.missing(every, done, [*names, *rids])
+            every = combo_tables.missing(every, _made(store, output, names, rids, extra), [*names, *rids])
     every = checkpointed(every)
     called = foreach.for_each(lineage_fn.function if lineage_fn else fn, tables | constants, [*names, *rids, *params], every, schema, dataset=store.schema.keys, **options)
     if not save:
@@ -126,6 +106,54 @@ def for_each(
     return called.drop(*params)
 
 
+def _plan(store: Store, fn: Callable, inputs: dict, keys, where) -> dict:
+    """What a run is about: its inputs' tables, the combinations with the record ids they use, and its version keys."""
+    names = list(keys)
+    constants = {n: v for n, v in inputs.items() if not _stored(v) and not foreach._is_table(v)}
+    tables, ids, params = {}, {}, []
+    for name, value in inputs.items():
+        if name in constants:
+            continue
+        tables[name], ids[name] = _input(store, name, value, names, where)
+        if ids[name] is not None:
+            params.append(f"__bp_{name}")
+    combos = _combos(store, tables, ids, names)
+    for k, values in (keys.items() if isinstance(keys, dict) else ()):
+        if len(values):
+            combos = combos.join(combo_tables.product(store.spark, {k: list(values)}), k, "left_semi")
+    texts = {n: json.dumps(v, default=str) for n, v in constants.items()}
+    used = {n: _name(v) for n, v in inputs.items() if n not in constants}
+    extra = {"__fn": fn.__name__, "__fn_hash": fn.hash if isinstance(fn, LineageFunction) else function_hash(fn), "__inputs": json.dumps(used, sort_keys=True), "__constants": json.dumps(texts, sort_keys=True)}
+    rids = [f"__rid_{n}" for n, df in ids.items() if df is not None]
+    return {"names": names, "rids": rids, "params": params, "tables": tables, "constants": constants, "texts": texts, "extra": extra, "combos": combos}
+
+
+def _made(store: Store, output: str, names: list[str], rids: list[str], extra: dict) -> DataFrame:
+    """Combinations, with the record ids used, at which an output was made with these version keys."""
+    made = store.records(output).withColumn("__v", jsonmaps.as_map(F.col("version_keys")))
+    for k, v in extra.items():
+        made = made.where(F.element_at("__v", F.lit(k)) == v)
+    return made.select(*names, *[F.element_at("__v", F.lit(r)).alias(r) for r in rids])
+
+
+def states(store: Store, fn: Callable, inputs: dict[str, object], output: str, keys: list[str], where: filters.Filter | None = None) -> DataFrame:
+    """(keys, record ids used, function, state) of every combination there is or that an earlier run expected.
+
+    up_to_date: made by this very function from the newest records and these constants;
+    stale: made otherwise; missing: not made. `state.node_states` sums them up.
+    """
+    plan = _plan(store, fn, inputs, keys, where)
+    names, rids, extra = plan["names"], plan["rids"], plan["extra"]
+    fresh = _made(store, output, names, rids, extra).withColumn("__fresh", F.lit(True))
+    any_ = _made(store, output, names, [], {"__fn": extra["__fn"]}).distinct().withColumn("__any", F.lit(True))
+    expected = store.table("expected").where(F.col("function_name") == extra["__fn"]).select(F.from_json("combo", ", ".join(f"`{k}` string" for k in names)).alias("c")).select("c.*").distinct()
+    now = plan["combos"].select(*names, *rids)
+    gone = combo_tables.missing(expected, now, names).withColumns({r: F.lit(None).cast("string") for r in rids})
+    joined = now.unionByName(gone).join(fresh.distinct(), [*names, *rids], "left").join(any_, names, "left")
+    verdict = F.when(F.col("__fresh"), "up_to_date").when(F.col("__any"), "stale").otherwise("missing")
+    return joined.select(*names, *rids, F.lit(extra["__fn"]).alias("function_name"), verdict.alias("state"))
+
+
 def _stored(value) -> bool:
     if isinstance(value, Variable):
         return True

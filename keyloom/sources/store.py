@@ -219,11 +219,16 @@ class Store:
             log = log.where((F.size(hits) == 1) & (F.map_values(hits)[0] == text))
         return log
 
-    def scan(self, name: str, where: filters.Filter | None = None, **options) -> DataFrame:
-        """Records with their data: keys, record_id, version_keys, branch_params, row_pos and the data columns."""
+    def scan(self, name: str, where: filters.Filter | None = None, rows: list[int] | None = None, **options) -> DataFrame:
+        """Records with their data: keys, record_id, version_keys, branch_params, row_pos and the data columns.
+
+        rows: the places, from 0, of the rows wanted of each record; all by default.
+        """
         log = self.records(name, **options).select(*self.schema.keys, "record_id", "timestamp", "version_keys", "branch_params", "recipe")
-        rows = log.join(self.data(name), "record_id", "left")
-        return rows if where is None else filters.resolve(where, rows, self.schema, self._filter_values, level=self.level(rows))
+        found = log.join(self.data(name), "record_id", "left")
+        if rows is not None:
+            found = found.where(F.col("row_pos").isin(rows))
+        return found if where is None else filters.resolve(where, found, self.schema, self._filter_values, level=self.level(found))
 
     def _filter_values(self, name: str) -> tuple[DataFrame, list[str]]:
         rows = self.scan(name)
@@ -270,6 +275,25 @@ class Store:
         rows = latest(self.table("variables"), ["variable_name"], "timestamp", "variable_name").where("NOT dropped")
         return rows.select("variable_name", "schema_level", "schema_version", "description", "timestamp").orderBy("variable_name")
 
+    def summary(self) -> DataFrame:
+        """(variable_name, n_records, n_locations, newest) of all variables."""
+        place = F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in self.schema.keys])
+        return self.log().groupBy("variable_name").agg(F.countDistinct("record_id").alias("n_records"), F.countDistinct(place).alias("n_locations"), F.max("timestamp").alias("newest"))
+
+    def columns(self, name: str) -> dict[str, str]:
+        """The data columns of a variable and their types."""
+        return {n: t for n, t in self.data(name).dtypes if n not in ("record_id", "row_pos")}
+
+    def list_variants(self) -> DataFrame:
+        """(variable_name, version_keys, n_records): the variants of every variable, whatever records they were made from."""
+        keys = F.map_filter(jsonmaps.as_map(F.col("version_keys")), lambda k, _: ~k.startswith("__rid_"))
+        return self.log().withColumn("version_keys", jsonmaps.canonical_map(keys)).groupBy("variable_name", "version_keys").agg(F.countDistinct("record_id").alias("n_records"))
+
+    def find_by_lineage(self, lineage_hash: str) -> list[tuple[dict, str, object]]:
+        """What the same function made of the same inputs before; empty if nothing."""
+        rows = self.table("lineage").where(F.col("lineage_hash") == lineage_hash).select("variable_name", "output_record_id").distinct().collect()
+        return [found for r in rows for found in self.load_all(r["variable_name"], version=r["output_record_id"])]
+
     def distinct_values(self, key: str) -> list:
         return [typed_key_value(r[0]) for r in self.log().select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).collect()]
 

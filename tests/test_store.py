@@ -4,7 +4,8 @@ import pytest
 
 from keyloom.operators.filters import Col, raw_sql, table_condition
 from keyloom.plans.foreach import EachOf, Fixed
-from keyloom.plans.run import Variable, for_each
+from keyloom.plans import lineage, state
+from keyloom.plans.run import Variable, for_each, states
 from keyloom.sources.store import AmbiguousVersion, NotFound, Store
 
 
@@ -99,15 +100,27 @@ def test_for_each_saves_skips_and_keeps_lineage(spark, store):
     assert store.load("scaled", subject=2, trial=1) == 42.0
     again = for_each(store, double, {"x": Variable("raw"), "factor": 2}, ["scaled"], ["subject", "trial"], "value double", skip_computed=True)
     assert again.count() == 0
-    store.save_table("raw", spark.createDataFrame([(1, 1, 50.0)], "subject int, trial int, value double"), ["value"])
+    arguments = (double, {"x": Variable("raw"), "factor": 2}, "scaled", ["subject", "trial"])
+    assert [r["state"] for r in states(store, *arguments).collect()] == ["up_to_date"] * 4
+    store.save_table("raw", spark.createDataFrame([(1, 1, 50.0), (3, 1, 0.0)], "subject int, trial int, value double"), ["value"])
+    found = states(store, *arguments)
+    assert sorted(r["state"] for r in found.collect()) == ["missing", "stale", "up_to_date", "up_to_date", "up_to_date"]
+    assert state.node_states(found, "function_name").first()["state"] == "red"
     changed = for_each(store, double, {"x": Variable("raw"), "factor": 2}, ["scaled"], ["subject", "trial"], "value double", skip_computed=True)
-    assert [r["value"] for r in changed.collect()] == [100.0]
+    assert sorted(r["value"] for r in changed.collect()) == [0.0, 100.0]
     other = for_each(store, double, {"x": Variable("raw"), "factor": 3}, ["scaled"], ["subject", "trial"], "value double", skip_computed=True)
-    assert other.count() == 4
+    assert other.count() == 5
     assert store.load("scaled", subject=2, trial=1, branch={"factor": 3}) == 63.0
-    assert store.edges().count() == 9
+    assert store.edges().count() == 11
+    hashed = store.table("lineage").first()["lineage_hash"]
+    assert store.find_by_lineage(hashed)
+    walk = lineage.ancestors(store.edges())
+    assert walk.count() == 11
+    by_params = lineage.variant_edges(store.records("scaled").unionByName(store.records("raw")), spark.createDataFrame([("scaled", "raw")], "output string, input string"), ["subject", "trial"])
+    assert by_params.count() == store.records("scaled").count()
+    assert {r["variable_name"]: r["n_records"] for r in store.list_variants().collect()}["raw"] == 6
     summed = for_each(store, total, {"x": Variable("raw")}, ["sum"], ["subject"], "value double")
-    assert {r["subject"]: r["value"] for r in summed.collect()} == {"1": 62.0, "2": 43.0}
+    assert {r["subject"]: r["value"] for r in summed.collect()} == {"1": 62.0, "2": 43.0, "3": 0.0}
     both = for_each(store, double, {"x": Fixed(Variable("raw"), trial=2), "factor": EachOf(1, 10)}, ["fixed"], ["subject"], "value double", save=False)
     assert sorted(r["value"] for r in both.collect()) == [12.0, 22.0, 120.0, 220.0]
 
@@ -121,6 +134,9 @@ def test_groups_sql_and_csv(spark, store, tmp_path):
     assert [r["variable_name"] for r in store.list_variables().collect()] == ["a", "b"]
     rows = store.sql("SELECT a.value + b.value AS s FROM a JOIN b USING (subject) WHERE a.value < :most", most=5).collect()
     assert rows[0]["s"] == 3.0
+    assert store.columns("a") == {"value": "double"} and store.summary().count() == 2
+    store.save("t", pd.DataFrame({"v": [1.0, 2.0, 3.0]}), subject=1)
+    assert [r["v"] for r in store.scan("t", rows=[0, 2]).orderBy("row_pos").collect()] == [1.0, 3.0]
     assert store.export_csv("a", str(tmp_path / "out")) == 1
     back = spark.read.csv(str(tmp_path / "out"), header=True)
     assert {"_record_id", "_meta_subject", "value"} <= set(back.columns)
