@@ -78,25 +78,30 @@ class Codec:
             mask[bounds[2]] -= 1
         return [*before, *content, *after], np.cumsum(mask)[:-1].astype(bool)
 
-    def read(self, ids: list[int], mask: np.ndarray) -> tuple[str, str, str, str]:
-        """Back from ids and mask: (role, text, text under the mask, rendered text)."""
-        r, names = self.reserved, {i: c for c, i in self.reserved.items()}
-        heads = {r[INST]: "user", r[SYS]: "system", r[OTHER]: ""}
-        plain = [i for i in ids if i < self.first]
-        role = heads.get(ids[1], "assistant") if ids[0] == r[BEGIN] and len(ids) > 1 else "assistant"
-        if role == "" and r["]"] in ids:
-            close = ids.index(r["]"])
-            role = unescape(self.decode(ids[2:close]))
-            plain = ids[close + 1 : -1]
-        loss = self.decode([i for i, m in zip(ids, mask) if m])
-        parts, run = [], []
-        for i in ids:
-            if i < self.first:
-                run.append(i)
-            else:
-                parts += [self.decode(run), names[i]]
-                run = []
-        return role, unescape(self.decode(plain)), unescape(loss), "".join([*parts, self.decode(run)])
+    def read(self, turns: list[tuple[list[int], np.ndarray]]) -> list[tuple[str, str, str, str]]:
+        """Back from each turn's ids and mask: (role, text, text under the mask, rendered text)."""
+        names, heads = {i: c for c, i in self.reserved.items()}, {self.reserved[INST]: "user", self.reserved[SYS]: "system", self.reserved[OTHER]: None}
+        spans = []
+        for ids, _ in turns:
+            plain = np.concatenate(([False], np.array(ids) < self.first, [False]))
+            spans.append(np.flatnonzero(plain[1:] != plain[:-1]).reshape(-1, 2).tolist())
+        texts = iter(self.tokenizer.decode_batch([ids[a:b] for (ids, _), own in zip(turns, spans) for a, b in own], skip_special_tokens=False))
+        out = []
+        for (ids, mask), own in zip(turns, spans):
+            parts = {a: (b, next(texts)) for a, b in own}
+            close = ids.index(self.reserved["]"]) if heads.get(ids[min(1, len(ids) - 1)], "") is None else -1
+            role = heads.get(ids[1], "assistant") if ids[0] == self.reserved[BEGIN] else "assistant"
+            if close >= 0:
+                role = unescape("".join(t for a, (_, t) in parts.items() if a < close))
+            body = "".join(t for a, (_, t) in parts.items() if a > close)
+            loss = "".join(t for a, (b, t) in parts.items() if mask[a:b].all())
+            shown, at = [], 0
+            while at < len(ids):
+                end, text = parts.get(at) or (at + 1, names[ids[at]])
+                shown.append(text)
+                at = end
+            out.append((role, unescape(body), unescape(loss), "".join(shown)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -117,7 +122,7 @@ def format_turns(conversations: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             _, _, roles, texts = (c.to_pylist() for c in batch.columns)
             made = [own.turn(role, ids) for role, ids in zip(roles, own.encode(list(map(escape, texts))))]
-            shown = [own.read(ids, mask)[3] for ids, mask in made]
+            shown = [r[3] for r in own.read(made)]
             columns = [pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1].tolist() for m in made], pa.list_(pa.bool_())), pa.array(shown, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["conv_id", "turn", "role", "ids", "loss_mask", "formatted"])
 
@@ -149,13 +154,12 @@ def read_back(conversations: DataFrame, path: str) -> DataFrame:
             kinds[0] = batch.column(0).type
             keys, _, roles, texts = (c.to_pylist() for c in batch.columns)
             out = []
-            for key, role, content in zip(keys, roles, own.encode(list(map(escape, texts)))):
+            made = [own.turn(role, content) for role, content in zip(roles, own.encode(list(map(escape, texts))))]
+            for key, (role, text, loss, shown) in zip(keys, own.read(made)):
                 if state is None or key != at:
                     if state is not None:
                         out.append(close(at, state))
                     at, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids, mask = own.turn(role, content)
-                role, text, loss, shown = own.read(ids, mask)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(loss)
