@@ -11,11 +11,12 @@ among those that either fills.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, packed, utf8
@@ -23,8 +24,8 @@ from .common import chunks, packed, utf8
 K, S = 16, 8
 #: Bins of a fingerprint; bits of a tag and of a position in it; shift in bytes that still agrees.
 BINS, TAG_BITS, POSITION_BITS, SLACK = 128, 16, 24, 64
-#: Rows that a range of ids is planned for, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 500, 2_048
+#: Rows that a range of ids is planned for, the most ranges, and bounds that a search passes over at once.
+RANGE_ROWS, MOST_RANGES, STRIDE = 500, 16_384, 64
 _EMPTY = (1 << (TAG_BITS + POSITION_BITS)) - 1
 _HEX = (TAG_BITS + POSITION_BITS) // 4
 
@@ -136,6 +137,11 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, fingerprint string")
 
 
+def _constant(values: list, kind: str) -> Column:
+    """A constant array of any length, as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def against_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document, of its edited text and how alike they are:
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
@@ -157,18 +163,22 @@ def against_next(docs: DataFrame) -> DataFrame:
     seen = source.agg(F.count("doc_id").alias("n")).first()["n"]
     ranges = min(MOST_RANGES, max(1, seen // RANGE_ROWS))
     steps = [k / ranges for k in range(1, ranges)]
-    found = source.agg(F.percentile_approx("doc_id", steps, 50 * ranges).alias("b")).first()["b"] if steps else []
-    table = sorted(set(found or []))  # at most MOST_RANGES
-    # an id's range is the number of bounds that are not above it
+    found = source.agg(F.percentile_approx("doc_id", _constant(steps, "array<double>"), min(50 * ranges, 500_000)).alias("b")).first()["b"] if steps else []
+    bounds = sorted(set(found or []))  # at most MOST_RANGES
+    # an id's range is the number of bounds that are not above it: first by every STRIDE-th bound, then among those between
+    at_most = lambda table: F.size(F.filter(table, lambda b: b <= F.col("doc_id")))
+    leap = at_most(_constant(bounds[STRIDE - 1 :: STRIDE], "array<bigint>")) * STRIDE
+    number = leap + at_most(F.slice(_constant(bounds, "array<bigint>"), leap + 1, STRIDE))
     spread = F.pmod(F.xxhash64("text"), F.lit(ranges))
-    number = F.size(F.filter(F.array(*map(F.lit, table)), lambda b: b <= F.col("doc_id"))) if table else F.lit(0)
     ranged = source.withColumn("range", F.when(F.col("doc_id").isNotNull(), number).otherwise(-1 - spread).cast("int"))
     tops = ranged.where("range >= 0").groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()  # one row per range
-    guests = {r["top"]: (tops[k + 1] if k + 1 < len(tops) else tops[0])["range"] for k, r in enumerate(tops)}
-    hosts = F.create_map(*[F.lit(x) for item in guests.items() for x in item]) if guests else F.lit(None).cast("map<bigint,int>")
-    seats = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")))
-    both = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")), F.struct(hosts[F.col("doc_id")].alias("range"), F.lit(1).alias("guest")))
-    seated = ranged.withColumn("seat", F.explode(F.when(hosts[F.col("doc_id")].isNotNull(), both).otherwise(seats)))
+    above = {r["range"]: (tops[k + 1] if k + 1 < len(tops) else tops[0])["range"] for k, r in enumerate(tops)}
+    greatest = {r["range"]: r["top"] for r in tops}
+    top, host = (_constant([table.get(k) for k in range(ranges)], "array<bigint>") for table in (greatest, above))
+    guest = (F.col("range") >= 0) & (F.get(top, F.col("range")) == F.col("doc_id"))
+    own = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
+    both = F.array(own, F.struct(F.get(host, F.col("range")).cast("int").alias("range"), F.lit(1).alias("guest")))
+    seated = ranged.withColumn("seat", F.explode(F.when(guest, both).otherwise(F.array(own))))
     ordered = (
         seated.select("seat.range", "seat.guest", "doc_id", "text")
         .repartition("range")
