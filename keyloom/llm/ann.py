@@ -6,7 +6,8 @@ sample; every vector is dealt to a leaf. A query visits leaves best bin first: a
 queue holds the nodes by the distance to their centres, and the nearest is opened or, if a
 leaf, visited. The number of visits is widened on the sample until its recall reaches the
 calibrated level. Leaves are scanned exactly, in double precision, in blocks of bounded
-size, so that a leaf full of copies is many blocks.
+size, so that a leaf full of copies is many blocks. A query's k best among a few
+sampled candidates put a floor under its k nearest, so that blocks give back little else.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import cut, packed
 SAMPLE, SAMPLE_BYTES = 32_768, 32 << 20
 #: Children of a node; rows that a leaf is planned for; the most leaves.
 BRANCH, LEAF_ROWS, MOST_LEAVES = 8, 512, 4_096
+#: Candidates that give each query its floor.
+SEEDS = 4_096
 #: Sampled queries and the recall they must reach for the visits to suffice.
 CALIBRATION, RECALL = 256, 0.95
 #: Candidates and queries of a block.
@@ -127,8 +130,22 @@ def visits_needed(tree: Tree, sample: np.ndarray, k: int, recall: float = RECALL
     return min(visits, len(tree.leaf))
 
 
-def _nearest(ids: np.ndarray, points: np.ndarray, asked: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, inner product) of each query's k nearest in a block, ties to the smaller id."""
+def _seeds(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Each query's k best among a few candidates: (floors under its k nearest of all, their ids and products)."""
+    points, best = points.astype(np.float64), []
+    for a in range(0, len(asked), 64):
+        products = queries[a : a + 64] @ points.T
+        products[ids[None, :] == asked[a : a + 64, None]] = -np.inf
+        place = np.argpartition(-products, min(k, len(ids)) - 1, axis=1)[:, :k] if len(ids) else np.zeros((len(products), 0), int)
+        for p, q, own in zip(place, queries[a : a + 64], products):
+            p = p[np.isfinite(own[p])]
+            best.append((ids[p], (points[p] * q).sum(axis=1)))
+    floor = np.array([score.min() if len(score) == k else -np.inf for _, score in best])
+    return floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))), best  # covers the rounding
+
+
+def _nearest(ids: np.ndarray, points: np.ndarray, asked: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, inner product) of each query's k nearest in a block that reach its floor, ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, points = ids[order], points[order]
     _, number = np.unique(ids, return_inverse=True)
@@ -147,7 +164,7 @@ def _nearest(ids: np.ndarray, points: np.ndarray, asked: np.ndarray, queries: np
     for r, query in enumerate(asked):
         best = place[r][np.lexsort((place[r], -exact[r]))]
         score = np.sort(exact[r])[::-1]
-        kept = np.flatnonzero(np.isfinite(score))
+        kept = np.flatnonzero(np.isfinite(score) & (score >= floor[r]))
         if most > 1:
             kept = kept[np.sort(np.unique(ids[best[kept]], return_index=True)[1])]
         kept = kept[:k]
@@ -186,23 +203,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     dims, most, n = shape["dims"], float(shape["most"]), shape["n"]
     every, asked = every.where(F.size("embedding") == dims), asked.where(F.size("embedding") == dims)
     size = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dims)))
-    picked = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("embedding").toArrow()
-    sample = _lifted(_matrix(picked.column(0), dims), most)
+    picked = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("vec_id", "embedding").toArrow()
+    _, once = np.unique(picked.column(0).to_numpy(), return_index=True)
+    points = _matrix(picked.column(1), dims)
+    sample = _lifted(points, most)
     tree = Tree(sample, int(min(MOST_LEAVES, max(1, n // LEAF_ROWS))))
     visits = visits_needed(tree, sample, k, recall)
-    shared = spark.sparkContext.broadcast(tree)  # at most MOST_LEAVES * 8 / 7 centres
+    # at most MOST_LEAVES * 8 / 7 centres, and SEEDS vectors
+    few = np.sort(once[np.argsort(once)[:SEEDS]])
+    shared = spark.sparkContext.broadcast((tree, picked.column(0).to_numpy()[few], points[few]))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = shared.value.deal(_lifted(_matrix(batch.column(1), dims), most))
+            leaf = shared.value[0].deal(_lifted(_matrix(batch.column(1), dims), most))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "vec_id", "embedding"])
 
     dealt = cut(every.mapInArrow(deal, f"leaf long, vec_id long, embedding {kind}"))
     held = {r["leaf"]: r["count"] for r in dealt.groupBy("leaf").count().collect()}  # one row per leaf
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        tree, ids, points = shared.value
         for batch in batches:
+            floor, _ = _seeds(batch.column(0).to_numpy(), _matrix(batch.column(1), dims), ids, points, k)
             lifted = np.hstack([_matrix(batch.column(1), dims, np.float32), np.zeros((batch.num_rows, 1), np.float32)])
             row, leaf = [], []
             for r, query in enumerate(lifted):
@@ -216,9 +238,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                         row.append(r)
                         leaf.append(node)
             taken = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *taken.columns], names=["leaf", "query_id", "query"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *taken.columns, pa.array(floor[row])], names=["leaf", "query_id", "query", "floor"])
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, ids, points = shared.value
+        for batch in batches:
+            asked_ids = batch.column(0).to_numpy()
+            _, best = _seeds(asked_ids, _matrix(batch.column(1), dims), ids, points, k)
+            if best:
+                own = np.repeat(asked_ids, [len(i) for i, _ in best])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own, *map(np.concatenate, zip(*best)))], names=["query_id", "vec_id", "score"])
 
-    visiting = cut(asked.mapInArrow(visit, f"leaf long, query_id long, query {kind}"))
+    visiting = cut(asked.mapInArrow(visit, f"leaf long, query_id long, query {kind}, floor double"))
     asking = {r["leaf"]: r["count"] for r in visiting.groupBy("leaf").count().collect()}
     table = [(leaf, -(-count // BLOCK), -(-asking.get(leaf, 0) // QUERY_BLOCK)) for leaf, count in held.items()]
     blocks = F.broadcast(spark.createDataFrame(table, "leaf long, parts int, queues int"))  # one row per leaf
@@ -226,17 +257,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         "leaf", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("queues") - 1)).alias("queue"), "vec_id", "embedding"
     ).where("queues > 0")
     questions = visiting.join(blocks, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), "queues").cast("int").alias("queue"), "query_id", "query"
+        "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), "queues").cast("int").alias("queue"), "query_id", "query", "floor"
     )
 
     def scan(_, left: pa.Table, right: pa.Table) -> pa.Table:
         found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if left.num_rows and right.num_rows:
-            found = _nearest(left["vec_id"].to_numpy(), _matrix(left["embedding"], dims), right["query_id"].to_numpy(), _matrix(right["query"], dims), k)
+            found = _nearest(left["vec_id"].to_numpy(), _matrix(left["embedding"], dims), right["query_id"].to_numpy(), _matrix(right["query"], dims), right["floor"].to_numpy(), k)
         return pa.table(list(map(pa.array, found)), names=["query_id", "vec_id", "score"])
 
     keys = ["leaf", "part", "queue"]
     found = candidates.groupBy(*keys).cogroup(questions.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
+    found = found.unionByName(asked.mapInArrow(seed, "query_id long, vec_id long, score double"))
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
