@@ -217,6 +217,15 @@ def for_each(
         fields.append(T.StructField("error", T.StringType()))
     order = [f.name for f in fields]
 
+    if len(found) == 1 and set(keys) <= set(next(iter(found.values())).columns):
+        (name, df), = found.items()  # one table: Spark's own grouping, without packing
+
+        def group(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+            rows = call.called(dict(zip(keys, key)), {name: table[names[name]]})
+            return rows.assign(**{c: pd.Series([None] * len(rows), dtype=object) for c in order if c not in rows})[order]
+
+        return df.join(combos.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).applyInPandas(group, T.StructType(fields))
+
     def run(batches):
         for batch in batches:
             for at in range(len(batch)):
@@ -251,10 +260,16 @@ class _Call:
 
     def rows(self, combo: pd.DataFrame, names: dict[str, list[str]], trial: bool = False) -> pd.DataFrame:
         at = combo.iloc[0]
+        tables = {}
+        for name, columns in names.items():
+            tables[name] = pd.DataFrame([tuple(r[c] for c in columns) if not isinstance(r, tuple) else r for r in at[f"__{name}"]], columns=columns)
+        return self.called({k: at[k] for k in self.keys}, tables, trial)
+
+    def called(self, at: dict, tables: dict[str, pd.DataFrame], trial: bool = False) -> pd.DataFrame:
+        """The rows of one combination, with its keys in front."""
         try:
             arguments = dict(self.constants)
-            for name, columns in names.items():
-                table = pd.DataFrame([tuple(r[c] for c in columns) if not isinstance(r, tuple) else r for r in at[f"__{name}"]], columns=columns)
+            for name, table in tables.items():
                 arguments[name] = data_value(table, self.every, name in self.tabled, name in self.selected)
             out = self._shape(self.fn(**arguments))
         except Exception as e:
