@@ -3,10 +3,12 @@
 A page is read as blocks: stretches of text between block-level tags, each with its
 root-to-leaf path of block tags. Blocks inside parts that never are the article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, code) are set aside. For the
-others, text length and punctuation are summed per path; each sum over the number of blocks
-is a ratio. The ratios are smoothed over paths of the same container, fused by their
-product, and paths over a share of the page's spread of fused ratios are content. Headings
-and short paths go with the container of the content around them.
+others, text length and punctuation outside links are summed per path; each sum over the
+number of blocks is a ratio. The ratios are smoothed over paths of the same container and
+fused by their product. An article or main element only weighs in: paths inside gain and
+those outside lose by the share of the page's text that such elements hold. Paths over a
+share of the page's spread of fused ratios are content. Headings and short paths go with the
+container of the content around them; lists of links don't.
 """
 
 from __future__ import annotations
@@ -51,13 +53,19 @@ ASIDE_WORDS = frozenset(
 MAIN = frozenset(("article", "main"))
 #: Elements that hold text of their own.
 TEXT = frozenset("h1 h2 h3 h4 h5 h6 p li td th pre dd dt caption figcaption blockquote summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements between a block and the container that it goes with.
+WITHIN = TEXT | frozenset("ul ol menu dl table thead tbody tfoot tr figure section details hgroup header".split())
 PUNCTUATION = re.compile(r"[,.;:!?…。，、；：！？·«»\"“”()-]")
 _TAG = re.compile(r"<!--(.*?)(?:-->|--!>|$)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
 _WORDS = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_HREF = re.compile(r"\bhref\s*=", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 #: Shares of the standard deviation and of the greatest of the fused ratios that a path must reach.
 SHARE, LEAST = 0.5, 0.02
+#: A path's fused ratio is multiplied by the share of the page's text on its side of article and main, and this.
+PRIOR = 0.25
 
 
 def _set_aside(tag: str, attributes: str, inside_main: bool) -> bool:
@@ -79,31 +87,44 @@ def _set_aside(tag: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, bool]]:
-    """The page's blocks in order: (path, open elements, text, whether set aside)."""
+def blocks(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, bool, float]]:
+    """The page's blocks in order: (path, open elements, text, whether set aside, share of the text in links)."""
     path: list[str] = []
     opened: list[int] = []
     aside: list[bool] = []
     count, text, at, n = 0, [], 0, len(html)
+    link, linked = -1, 0  # depth of the open link, and characters of the block inside links
     out = []
 
+    def add(part):
+        nonlocal linked
+        text.append(part)
+        if link >= 0:
+            linked += len("".join(part.split()))
+
     def flush():
+        nonlocal linked
         if text:
-            words = " ".join(unescape("".join(text)).split())
+            whole = "".join(text)
+            words = " ".join(unescape(whole).split())
             if words:
-                out.append((tuple(path), tuple(opened), words, bool(aside) and aside[-1]))
+                out.append((tuple(path), tuple(opened), words, bool(aside) and aside[-1], linked / len("".join(whole.split())) if linked else 0.0))
             text.clear()
+        linked = 0
 
     def pop_to(depth):
+        nonlocal link
         del path[depth:], opened[depth:], aside[depth:]
+        if link > depth:  # a link without an end goes no further than the element that it is in
+            link = -1
 
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
-            text.append(html[at:])
+            add(html[at:])
             break
         if m.start() > at:
-            text.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -112,6 +133,8 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, b
         if m[2]:
             if tag == "br":
                 text.append(" ")
+            elif tag == "a":
+                link = -1
             elif tag not in INLINE:
                 flush()
                 for depth in range(len(path) - 1, -1, -1):
@@ -126,6 +149,8 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, b
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
+            elif tag == "a":
+                link = len(path) if _HREF.search(m[4]) else -1
             continue
         flush()
         if tag in VOID:
@@ -157,20 +182,17 @@ def main_text(html: str | None) -> str:
     kept = [b for b in blocks(html or "") if not b[3]]
     if not kept:
         return ""
-    mains = [b for b in kept if not MAIN.isdisjoint(b[0])]
-    if mains:
-        # smoothed over an element that names itself the article, all its paths have one ratio: all are content
-        return "\n".join(text for _, _, text, _ in mains)
     length: dict[tuple, float] = defaultdict(float)
     marks: dict[tuple, float] = defaultdict(float)
     nodes: dict[tuple, int] = defaultdict(int)
-    for path, _, text, _ in kept:
-        length[path] += len(text)
-        marks[path] += len(PUNCTUATION.findall(text))
+    for path, _, text, _, linked in kept:
+        length[path] += len(text) * (1 - linked)
+        marks[path] += len(PUNCTUATION.findall(text)) * (1 - linked)
         nodes[path] += 1
     paths = list(nodes)
     weight = np.array([nodes[p] for p in paths], dtype=float)
-    ratio = np.array([length[p] for p in paths]) / weight
+    size = np.array([length[p] for p in paths])
+    ratio = size / weight
     stops = np.array([marks[p] + 1 for p in paths]) / weight
     container: dict[tuple, list[int]] = defaultdict(list)
     for k, p in enumerate(paths):
@@ -179,10 +201,29 @@ def main_text(html: str | None) -> str:
     for values in (ratio, stops):
         smooth = {p: np.average(values[s], weights=weight[s]) for p, s in container.items()}
         fused *= (values + np.array([smooth[p[:-1]] for p in paths])) / 2
+    inside = np.array([not MAIN.isdisjoint(p) for p in paths])
+    share = size[inside].sum() / size.sum() if size.any() else float(inside.any())
+    fused *= PRIOR + np.where(inside, share, 1 - share)
     chosen = {p for p, f in zip(paths, fused) if f >= SHARE * fused.std() and f >= LEAST * fused.max()}
-    # headings, lists and short paths beside or under what holds content paths go with them
-    holders = {(0, 0, *o)[-2] for p, o, _, _ in kept if p in chosen}
-    return "\n".join(t for p, o, t, _ in kept if p in chosen or (p and p[-1] in TEXT and not holders.isdisjoint((0, 0, *o)[:-1])))
+    # headings under what holds content paths, and lists and short paths in it, go with them
+    holders = {_holder(p, o) for p, o, _, _, _ in kept if p in chosen}
+
+    def goes_along(path, opened, linked):
+        if not path or path[-1] not in TEXT:
+            return False
+        if path[-1] in HEADINGS:
+            return not holders.isdisjoint((0, *opened[:-1]))
+        return linked <= 0.5 and _holder(path, opened) in holders
+
+    return "\n".join(t for p, o, t, _, linked in kept if p in chosen or goes_along(p, o, linked))
+
+
+def _holder(path: tuple[str, ...], opened: tuple[int, ...]) -> int:
+    """The container of a block: the first element around it that isn't a part of running text."""
+    for depth in range(len(path) - 2, -1, -1):
+        if path[depth] not in WITHIN:
+            return opened[depth]
+    return 0
 
 
 def extract(pages: DataFrame) -> DataFrame:

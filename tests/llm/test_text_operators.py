@@ -86,6 +86,19 @@ def test_main_text(spark):
     assert html_extract.main_text(deep) == "deep, text"
 
 
+LONG = ["First, a paragraph of some length; it has commas, full stops, and more. Then it goes on, as text does.", "Another one, with clauses; longer than a card, by far. It ends here, at last, with a stop."]
+
+
+def test_main_text_articles_only_weigh_in():
+    cards = "".join(f"<article><h3>Card {i}</h3><p>Short teaser {i}</p></article>" for i in range(6))
+    body = "".join(f"<p>{t}</p>" for t in LONG)
+    assert html_extract.main_text(f"<body><div>{body}</div><div><div>{cards}</div></div></body>") == "\n".join(LONG)
+    assert html_extract.main_text(f"<div>{body}</div><div><article><p>One card</p></article></div>") == "\n".join(LONG)
+    links = "".join(f"<li><a href='/{i}'>A linked headline of another page, number {i}</a></li>" for i in range(5))
+    page = f"<article><h1><a href='/'>Title</a></h1>{body}<ul><li>item</li></ul><ul>{links}</ul><div><p>Buy now</p></div></article><div><p>Out there.</p></div>"
+    assert html_extract.main_text(page) == "\n".join(["Title", *LONG, "item"])
+
+
 def plain_syncmers(text):
     """Anchors of a text, one by one."""
     data = np.frombuffer(text.encode(), np.uint8)
