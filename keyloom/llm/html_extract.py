@@ -1,9 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as blocks: stretches of text between block-level tags, each with its
-root-to-leaf path of block tags. Blocks inside parts that never are the article (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, code) are set aside. For the
-others, text length and punctuation outside links are summed per path; each sum over the
+root-to-leaf path of block tags. Blocks inside elements that never are the article (menus,
+headers, footers, forms, hidden parts) are set aside. Parts that are named like a sidebar,
+notice, advert or comments have paths of their own, whose ratios their names lower. Text length and punctuation outside links are summed per path; each sum over the
 number of blocks is a ratio. The ratios are smoothed over paths of the same container and
 fused by their product. An article or main element only weighs in: paths inside gain and
 those outside lose by the share of the page's text that such elements hold. Paths over a
@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of HTML: elements without an end tag; with raw text; of inline flow; that end an open paragraph.
+#: Fixed values of HTML: elements without an end tag; with code, not text; with text that has no tags; of inline flow; that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select object video audio canvas".split())
+RAW = frozenset("script style".split())
+PLAIN = frozenset("textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset(
+    "math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mtable mtr mtd semantics "
+    "annotation annotation-xml svg g defs symbol path rect circle ellipse line polyline polygon text tspan textpath noscript object canvas audio video "
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr img br".split()
 )
@@ -41,8 +44,10 @@ ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 #: Elements that never hold the article.
-ASIDE = frozenset("head nav footer aside form button dialog menu fieldset search".split())
-#: Words in class, id, role or aria-label that mark such parts.
+ASIDE = frozenset("head title nav footer aside form button dialog menu fieldset search".split())
+#: Of them and header, those that may wrap the whole page.
+WRAPPERS = frozenset("form fieldset dialog header".split())
+#: Words in class, id, role or aria-label that speak against a part.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs "
     "header masthead topbar footer bottombar sidebar sidebars aside rail cookie cookies consent gdpr notice notices notification alert popup modal overlay "
@@ -64,34 +69,48 @@ _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 #: Shares of the standard deviation and of the greatest of the fused ratios that a path must reach.
 SHARE, LEAST = 0.5, 0.02
+#: The fused ratio of a part all of whose name speaks against it is multiplied by this; of one with half such a name, by its root.
+MARKED = 0.05
 #: A path's fused ratio is multiplied by the share of the page's text on its side of article and main, and this.
 PRIOR = 0.25
 
 
-def _set_aside(tag: str, attributes: str, inside_main: bool) -> bool:
-    if tag in ASIDE:
-        return True
-    if tag == "header":
-        return not inside_main
+def _against(tag: str, attributes: str, inside_main: bool) -> float:
+    """How much speaks against a part: 2 for elements that never hold the article, else up to 1 by its names."""
+    if tag in ASIDE or (tag == "header" and not inside_main):
+        return 2.0
     if not attributes or tag in MAIN or tag in ("html", "body"):
-        return False
+        return 0.0
+    most = 0.0
     for name, value in _WORDS.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" and not value:
-            return True
-        if name == "style":
+        if name == "hidden":
+            if not value:
+                return 2.0
+        elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif not ASIDE_WORDS.isdisjoint(_PART.findall(_CAMEL.sub(r"\1 \2", value).lower())):
-            return True
-    return False
+                return 2.0
+        elif name != "id" or not (tag in HEADINGS or (tag == "section" and inside_main)):  # those ids repeat a title
+            for token in value.split() if name == "class" else [value]:
+                words = _PART.findall(_CAMEL.sub(r"\1 \2", token).lower())
+                hits = sum(w in ASIDE_WORDS and not (w == "header" and inside_main) for w in words)
+                if hits:
+                    most = max(most, hits / len(words))
+    return most
 
 
-def blocks(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, bool, float]]:
-    """The page's blocks in order: (path, open elements, text, whether set aside, share of the text in links)."""
+def blocks(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, float, float]]:
+    """The page's blocks in order: (path, open elements, text, what speaks against it, share of the text in links).
+
+    Nothing speaks against a part that holds an article or main, or most of the page's text;
+    but by its whole name it does if an article elsewhere has text.
+    """
     path: list[str] = []
     opened: list[int] = []
-    aside: list[bool] = []
+    against: list[tuple[tuple[int, float], ...]] = []  # of each open element: the marked elements it is in
+    wrappers: set[int] = set()
+    endless: set[str] = set()  # names whose end tag doesn't come any more
+    around_main: set[int] = set()
     count, text, at, n = 0, [], 0, len(html)
     link, linked = -1, 0  # depth of the open link, and characters of the block inside links
     out = []
@@ -108,13 +127,13 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, b
             whole = "".join(text)
             words = " ".join(unescape(whole).split())
             if words:
-                out.append((tuple(path), tuple(opened), words, bool(aside) and aside[-1], linked / len("".join(whole.split())) if linked else 0.0))
+                out.append((tuple(path), tuple(opened), words, against[-1] if against else (), linked / len("".join(whole.split())) if linked else 0.0))
             text.clear()
         linked = 0
 
     def pop_to(depth):
         nonlocal link
-        del path[depth:], opened[depth:], aside[depth:]
+        del path[depth:], opened[depth:], against[depth:]
         if link > depth:  # a link without an end goes no further than the element that it is in
             link = -1
 
@@ -146,6 +165,12 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, b
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = close.end() if close else n
             continue
+        plain = None
+        if tag in PLAIN and tag not in endless:
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            plain = (html[at : close.start()], close.end()) if close else None
+            if not close:
+                endless.add(tag)
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
@@ -166,56 +191,87 @@ def blocks(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, b
                     pop_to(depth)
         if tag == "body" and "head" in path:
             pop_to(path.index("head"))
-        elif "head" in path and tag not in ("head", "html") and tag not in VOID and tag not in RAW:
+        elif "head" in path and tag not in ("head", "html", "title", "template"):
             pop_to(path.index("head"))
         count += 1
         inside_main = not MAIN.isdisjoint(path)
-        aside.append((bool(aside) and aside[-1]) or _set_aside(tag, m[4], inside_main))
+        mark = _against(tag, m[4], inside_main)
+        outer = against[-1] if against else ()
+        against.append((*outer, (count, mark)) if mark else outer)
         path.append(tag)
         opened.append(count)
+        if tag in WRAPPERS:
+            wrappers.add(count)
+        if tag in MAIN:
+            around_main.update(e for e, _ in outer)
+        if plain:
+            add(plain[0])
+            at = plain[1]
+            flush()
+            pop_to(len(path) - 1)
     flush()
-    yield from out
+    held: dict[int, float] = defaultdict(float)
+    total, named = 0.0, False
+    for path, _, words, marks, linked in out:
+        own = len(words) * (1 - linked)
+        if all(m <= 1 or e in wrappers for e, m in marks):
+            total += own
+            for e, _ in marks:
+                held[e] += own
+        named = named or not (MAIN.isdisjoint(path) or any(m >= 1 and e not in around_main for e, m in marks))
+
+    def weight(element, mark):
+        if mark > 1 and element not in wrappers:
+            return mark
+        if element in around_main or (2 * held[element] > total and not (named and mark >= 1)):
+            return 0.0
+        return mark
+
+    for path, opened, words, marks, linked in out:
+        yield path, opened, words, max((weight(e, m) for e, m in marks), default=0.0), linked
 
 
 def main_text(html: str | None) -> str:
     """The page's main text: its content blocks joined by line ends; empty if there is none."""
-    kept = [b for b in blocks(html or "") if not b[3]]
+    kept = [b for b in blocks(html or "") if b[3] <= 1]
     if not kept:
         return ""
     length: dict[tuple, float] = defaultdict(float)
     marks: dict[tuple, float] = defaultdict(float)
     nodes: dict[tuple, int] = defaultdict(int)
-    for path, _, text, _, linked in kept:
-        length[path] += len(text) * (1 - linked)
-        marks[path] += len(PUNCTUATION.findall(text)) * (1 - linked)
-        nodes[path] += 1
+    for path, _, text, against, linked in kept:
+        length[path, against] += len(text) * (1 - linked)
+        marks[path, against] += len(PUNCTUATION.findall(text)) * (1 - linked)
+        nodes[path, against] += 1
     paths = list(nodes)
     weight = np.array([nodes[p] for p in paths], dtype=float)
     size = np.array([length[p] for p in paths])
     ratio = size / weight
     stops = np.array([marks[p] + 1 for p in paths]) / weight
     container: dict[tuple, list[int]] = defaultdict(list)
-    for k, p in enumerate(paths):
-        container[p[:-1]].append(k)
+    for k, (p, against) in enumerate(paths):
+        container[p[:-1], against].append(k)
     fused = np.ones(len(paths))
     for values in (ratio, stops):
         smooth = {p: np.average(values[s], weights=weight[s]) for p, s in container.items()}
-        fused *= (values + np.array([smooth[p[:-1]] for p in paths])) / 2
-    inside = np.array([not MAIN.isdisjoint(p) for p in paths])
-    share = size[inside].sum() / size.sum() if size.any() else float(inside.any())
-    fused *= PRIOR + np.where(inside, share, 1 - share)
+        fused *= (values + np.array([smooth[p[:-1], against] for p, against in paths])) / 2
+    against = np.array([a for _, a in paths])
+    inside = np.array([not MAIN.isdisjoint(p) for p, _ in paths])
+    trusted = size * MARKED**against
+    share = trusted[inside].sum() / trusted.sum() if size.any() else float(inside.any())
+    fused *= MARKED**against * (PRIOR + np.where(inside, share, 1 - share))
     chosen = {p for p, f in zip(paths, fused) if f >= SHARE * fused.std() and f >= LEAST * fused.max()}
     # headings under what holds content paths, and lists and short paths in it, go with them
-    holders = {_holder(p, o) for p, o, _, _, _ in kept if p in chosen}
+    holders = {_holder(p, o) for p, o, _, a, _ in kept if (p, a) in chosen}
 
-    def goes_along(path, opened, linked):
-        if not path or path[-1] not in TEXT:
+    def goes_along(path, opened, against, linked):
+        if not path or path[-1] not in TEXT or against >= 1:
             return False
         if path[-1] in HEADINGS:
             return not holders.isdisjoint((0, *opened[:-1]))
         return linked <= 0.5 and _holder(path, opened) in holders
 
-    return "\n".join(t for p, o, t, _, linked in kept if p in chosen or goes_along(p, o, linked))
+    return "\n".join(t for p, o, t, a, linked in kept if (p, a) in chosen or goes_along(p, o, a, linked))
 
 
 def _holder(path: tuple[str, ...], opened: tuple[int, ...]) -> int:

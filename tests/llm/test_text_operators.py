@@ -99,6 +99,26 @@ def test_main_text_articles_only_weigh_in():
     assert html_extract.main_text(page) == "\n".join(["Title", *LONG, "item"])
 
 
+def test_main_text_names_only_speak_against_a_part():
+    body = "".join(f"<p>{t}</p>" for t in LONG)
+    whole = "\n".join(LONG)
+    for name in ("content no-sidebar", "has-sidebar", "header-fixed", "sidebar"):
+        assert html_extract.main_text(f"<body><nav>menu</nav><div class='{name}'>{body}</div></body>") == whole
+        assert html_extract.main_text(f"<div class='{name}'><article>{body}</article></div><div class='sidebar'><p>A side note, as it is.</p></div>") == whole
+    assert html_extract.main_text(f"<form id=aspnet><article>{body}</article><p>name</p></form>") == whole
+    inner = f"<section id='related-work'><h2 id='social-structure'>Social</h2>{body}</section><section id='search-algorithms'>{body}</section>"
+    assert html_extract.main_text(f"<article><div class='post-header'><h1>T</h1></div>{inner}</article>") == f"T\nSocial\n{whole}\n{whole}"
+    comments = "<div class='comments'>" + body.replace("paragraph", "comment") * 5 + "</div>"
+    assert html_extract.main_text(f"<article>{body}</article>{comments}") == whole
+
+
+def test_main_text_drops_only_script_and_style():
+    assert html_extract.main_text("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, and <object>that</object>.</p><noscript><p>No script, here.</p></noscript>") == "So x=1, and that.\nNo script, here."
+    for tag in ("math", "object", "noscript", "svg", "select", "iframe"):
+        assert LONG[0] in html_extract.main_text(f"<p>Some text, here.</p><{tag}><p>{LONG[0]}</p>")
+    assert html_extract.main_text("<p>Some text.</p><script>var a = '<p>b</p>'") == "Some text."
+
+
 def plain_syncmers(text):
     """Anchors of a text, one by one."""
     data = np.frombuffer(text.encode(), np.uint8)
