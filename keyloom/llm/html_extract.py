@@ -4,8 +4,9 @@ A page is read as blocks: stretches of text between block-level tags, each with
 root-to-leaf path of block tags. Blocks inside elements that never are the article (menus,
 headers, footers, forms, hidden parts) are set aside. Parts that are named like a sidebar,
 notice, advert or comments have paths of their own, whose ratios their names lower. Text length and punctuation outside links are summed per path; each sum over the
-number of blocks is a ratio. The ratios are smoothed over paths of the same container and
-fused by their product. An article or main element only weighs in: paths inside gain and
+number of blocks is a ratio r, taken as r / (r + a paragraph's), so that one very long block
+outweighs no other. These values are smoothed over paths of the same container and fused by
+their product. An article or main element only weighs in: paths inside gain and
 those outside lose by the share of the page's text that such elements hold. Paths over a
 share of the page's spread of fused ratios are content. Headings and short paths go with the
 container of the content around them; lists of links don't.
@@ -69,6 +70,8 @@ _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 #: Shares of the standard deviation and of the greatest of the fused ratios that a path must reach.
 SHARE, LEAST = 0.5, 0.02
+#: Characters and punctuation marks of a block at which its path is halfway to the greatest value.
+PARAGRAPH, STOPS = 80, 1
 #: The fused ratio of a part all of whose name speaks against it is multiplied by this; of one with half such a name, by its root.
 MARKED = 0.05
 #: A path's fused ratio is multiplied by the share of the page's text on its side of article and main, and this.
@@ -246,8 +249,9 @@ def main_text(html: str | None) -> str:
     paths = list(nodes)
     weight = np.array([nodes[p] for p in paths], dtype=float)
     size = np.array([length[p] for p in paths])
-    ratio = size / weight
-    stops = np.array([marks[p] + 1 for p in paths]) / weight
+    ratio = size / (size + PARAGRAPH * weight)
+    stops = np.array([marks[p] + 1 for p in paths])
+    stops = stops / (stops + STOPS * weight)
     container: dict[tuple, list[int]] = defaultdict(list)
     for k, (p, against) in enumerate(paths):
         container[p[:-1], against].append(k)

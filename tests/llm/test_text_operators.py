@@ -119,6 +119,16 @@ def test_main_text_drops_only_script_and_style():
     assert html_extract.main_text("<p>Some text.</p><script>var a = '<p>b</p>'") == "Some text."
 
 
+def test_main_text_one_huge_path_hides_no_other():
+    huge = "Fifty characters of text, with a mark or two. So, " * 20_000
+    ordinary = [f"Paragraph {i}: " + "Fifty characters of text, with a mark or two. So, " * 10 for i in range(30)]
+    want = [" ".join(t.split()) for t in [huge, *ordinary]]
+    for one, many in (("<div><pre>{}</pre></div>", "<section><div><p>{}</p></div></section>"), ("<section><div>{}</div></section>", "<div>{}</div>"), ("<p>{}</p>", "<div><div>{}</div></div>")):
+        page = "<nav><ul><li>menu</li></ul></nav>" + one.format(huge) + "".join(many.format(t) for t in ordinary) + "<div><div><div>Buy now</div></div></div>"
+        assert html_extract.main_text(page) == "\n".join(want)
+        assert html_extract.main_text(f"<article>{page}</article>") == "\n".join(want)
+
+
 def plain_syncmers(text):
     """Anchors of a text, one by one."""
     data = np.frombuffer(text.encode(), np.uint8)
