@@ -52,17 +52,18 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of every whole text; null text is empty."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fingerprint as a signed long, kept columns) of every whole text; null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             out = np.fromiter((fingerprint_of(data[a:b].tobytes(), shingle) for a, b in zip(offsets, offsets[1:])), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fingerprint", *keep])
 
-    source = docs.select("doc_id", "text")
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, fingerprint long")
+    source = docs.select("doc_id", "text", *keep)
+    types = dict(source.dtypes)
+    return source.mapInArrow(run, ", ".join([f"doc_id {types['doc_id']}", "fingerprint long", *[f"{k} {types[k]}" for k in keep]]))
 
 
 def ring(equal: int, most: int = MOST) -> list[tuple[int, int]]:
@@ -212,20 +213,33 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFr
     """
     rows = cut(fingerprints(docs, shingle))
     count = rows.count()
+    named = _named(rows, count, most).select("fingerprint", "component_id")
+    return packed(rows.join(named, "fingerprint"), count).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(rows: DataFrame, count: int, most: int) -> DataFrame:
+    """(fingerprint, root, component_id): the least fingerprint of each one's class, which names the class, and the least doc_id there."""
     distinct = cut(packed(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), count))
     n = distinct.count()
     joined = components(links(distinct.select("fingerprint"), n, most), n).select(F.col("u").alias("fingerprint"), F.col("v").alias("root"))
     rooted = cut(packed(distinct.join(joined, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), n))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fingerprint", "component_id")
-    return packed(rows.join(named, "fingerprint"), count).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fingerprint", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
     """docs with one document of each class: that of the smallest doc_id, once. Columns are unchanged.
 
-    Of a class without any doc_id, and of rows that repeat the kept id, one row stays.
+    Of a class without any doc_id one row stays. Where a class has its smallest doc_id over
+    several texts, that of the least digest stays; of rows that repeat id and text, any one.
+    Classes stay apart whatever their ids: a doc_id over texts of two classes may stay twice.
     """
-    kept = classes(docs, shingle, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return packed(joined.dropDuplicates(["doc_id"]), docs.count())
+    doc_id = F.col("doc_id").cast("string")
+    own = F.sha2(F.concat(F.coalesce(F.concat(F.length(doc_id).cast("string"), F.lit(":"), doc_id), F.lit("-")), F.coalesce("text", F.lit(""))), 256)
+    keyed = docs.withColumn("__row", own)
+    rows = cut(fingerprints(keyed, shingle, ("__row",)))
+    count = rows.count()
+    least = rows.join(_named(rows, count, most), "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = least.groupBy("root").agg(F.min("__row").alias("__row")).select("__row")
+    joined = keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"])
+    return packed(joined.select(*docs.columns), count)

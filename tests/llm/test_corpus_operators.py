@@ -63,6 +63,19 @@ def test_simhash_classes(spark, words):
     assert simhash.classes(docs.limit(0)).count() == 0
 
 
+def test_keep_one_goes_by_class_not_by_id(spark, words):
+    random = np.random.default_rng(8)
+    texts = [" ".join(random.choice(words, 60)) for _ in range(6)]
+    rows = [(None, t, 1) for t in texts] + [(None, texts[0], 2), (7, texts[1], 3), (7, texts[2], 4), (7, texts[2], 4), (3, texts[2], 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(None, texts[0]), (7, texts[1]), (3, texts[2]), *[(None, t) for t in texts[3:]]], key=str)
+    twice = spark.createDataFrame([(1, t, 0) for t in texts], docs.schema)
+    assert sorted(r["text"] for r in simhash.keep_one(twice).collect()) == sorted(texts)
+
+
 def test_simhash_hot_keys(spark, words, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 3)
     monkeypatch.setattr(simhash, "BLOCK", 2)
