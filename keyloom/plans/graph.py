@@ -5,27 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import ancestors
+from ..sources.store import checkpointed
 
 RANK = {"red": 0, "grey": 1, "green": 2}
 
 
-def propagate(own: DataFrame, edges: DataFrame, pending: DataFrame | None = None, hops: int = 50) -> DataFrame:
+def propagate(own: DataFrame, edges: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     """(node, effective): the worst of a node's own state and those of all it depends on.
 
     own: (node, state); edges: (child, parent), a child depending on its parent. A node in a
     cycle, which depends on itself, is red; nodes that no row of `own` names are green; a
     green node with a pending constant is grey.
+
+    Each round settles the nodes whose parents are all settled, so there are as many as the
+    longest chain has nodes, of any length. What no round settles is in a cycle or below one.
     """
     rank = F.when(F.col("state") == "red", 0).when(F.col("state") == "grey", 1).otherwise(2)
     ranked = own.select("node", rank.alias("rank"))
     if pending is not None:
         ranked = ranked.join(pending.select("node").distinct().withColumn("__pending", F.lit(True)), "node", "left")
         ranked = ranked.select("node", F.when(F.col("__pending"), F.least("rank", F.lit(1))).otherwise(F.col("rank")).alias("rank"))
-    walk = ancestors(edges, hops).select("node", "ancestor")
-    cyclic = walk.where("node = ancestor").select("node", F.lit(0).alias("rank"))
-    inherited = walk.where("node <> ancestor").join(ranked.withColumnRenamed("node", "ancestor"), "ancestor").select("node", "rank")
-    worst = ranked.unionByName(inherited).unionByName(cyclic).groupBy("node").agg(F.min("rank").alias("rank"))
+    edges = checkpointed(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct())
+    nodes = ranked.unionByName(edges.select(F.col("child").alias("node"), F.lit(None).cast("int").alias("rank"))).groupBy("node").agg(F.min("rank").alias("rank"))
+    worst = checkpointed(nodes.withColumn("settled", F.lit(False)))
+    left = worst.count()
+    while left:
+        parents = worst.select(F.col("node").alias("parent"), F.col("rank").alias("__rank"), F.col("settled").alias("__settled"))
+        above = edges.join(parents, "parent", "left").groupBy(F.col("child").alias("node"))
+        above = above.agg(F.min("__rank").alias("__rank"), F.bool_and(F.coalesce("__settled", F.lit(True))).alias("__settled"))
+        worst = worst.join(above, "node", "left").select("node", F.least("rank", "__rank").alias("rank"), F.coalesce("__settled", F.lit(True)).alias("settled"))
+        worst = checkpointed(worst)
+        before, left = left, worst.where("NOT settled").count()
+        if left == before:
+            break
+    worst = worst.select("node", F.when(F.col("settled"), F.col("rank")).otherwise(0).alias("rank")).where("rank IS NOT NULL")
     named = F.when(F.col("rank") == 0, "red").when(F.col("rank") == 1, "grey").otherwise("green")
     return worst.select("node", named.alias("effective"))
 

@@ -113,6 +113,16 @@ def test_latest_plan_limits_groups_before_the_shuffle(spark):
     assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
 
 
+def test_states_go_through_chains_and_cycles_of_any_length(spark):
+    chain = [(f"n{i + 1}", f"n{i}") for i in range(60)]
+    cycle = [(f"c{i}", f"c{(i + 1) % 55}") for i in range(55)] + [("below", "c0"), ("under", "below"), ("self", "self")]
+    edges = spark.createDataFrame(chain + cycle + [("x", "unnamed")], "child string, parent string")
+    names = [f"n{i}" for i in range(61)] + [f"c{i}" for i in range(55)] + ["below", "under", "self", "x", "alone"]
+    own = spark.createDataFrame([(n, "grey" if n == "n0" else "red" if n == "n3" else "green") for n in names], "node string, state string")
+    got = {r["node"]: r["effective"] for r in graph.propagate(own.coalesce(1), edges.coalesce(1)).collect()}
+    assert got == {n: "grey" if n in ("n0", "n1", "n2") else "green" if n in ("x", "alone") else "red" for n in names}
+
+
 def test_states_and_graph(spark):
     edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "y"), ("y", "x")], "child string, parent string")
     walk = {(r["node"], r["ancestor"]): r["hops"] for r in lineage.ancestors(edges, 10).collect()}
