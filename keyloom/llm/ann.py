@@ -5,9 +5,13 @@ Euclidean distance is the one of largest inner product. The tree is fitted on a
 sample; every vector is dealt to a leaf. A query visits leaves best bin first: a priority
 queue holds the nodes by the distance to their centres, and the nearest is opened or, if a
 leaf, visited. The number of visits is widened on the sample until its recall reaches the
-calibrated level. Leaves are scanned exactly, in double precision, in blocks of bounded
-size, so that a leaf full of copies is many blocks. A query's k best among a few
-sampled candidates put a floor under its k nearest, so that blocks give back little else.
+calibrated level. The answer comes from the visited leaves alone; they are scanned exactly,
+in double precision.
+
+Leaves that lie next to one another in the tree stand in one block of bounded size, and a
+leaf full of copies in several; a query goes once to each block that holds leaves it visits.
+Its k best among sampled candidates of its first leaves put a floor under its k nearest, so
+that blocks give back little else; they are candidates of visited leaves themselves.
 """
 
 from __future__ import annotations
@@ -20,18 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, packed
+from .common import cut
 
 #: Vectors the tree is fitted on, at most, and their bytes.
 SAMPLE, SAMPLE_BYTES = 32_768, 32 << 20
 #: Children of a node; rows that a leaf is planned for; the most leaves.
-BRANCH, LEAF_ROWS, MOST_LEAVES = 8, 512, 4_096
-#: Candidates that give each query its floor.
-SEEDS = 4_096
+BRANCH, LEAF_ROWS, MOST_LEAVES = 8, 64, 4_096
+#: Sampled candidates of a query's first leaves that give its floor.
+FLOOR_ROWS = 1_024
 #: Sampled queries and the recall they must reach for the visits to suffice.
-CALIBRATION, RECALL = 256, 0.95
-#: Candidates and queries of a block.
-BLOCK, QUERY_BLOCK = 2_048, 512
+CALIBRATION, RECALL = 256, 0.94
+#: Candidates and queries of a block, and queries that are multiplied at once.
+BLOCK, QUERY_BLOCK, AT_ONCE = 2_048, 8_192, 512
 
 
 class Tree:
@@ -68,17 +72,29 @@ class Tree:
             open_rows = open_rows[[bool(self.children[k]) for k in node[open_rows]]]
         return node
 
-    def best_bins(self, query: np.ndarray) -> Iterator[int]:
-        """Leaves, the most promising first."""
-        queue = [(0.0, 0)]
+    def away(self, queries: np.ndarray) -> np.ndarray:
+        """Each query's distance to each node's centre, less what all have in common."""
+        return _distances(queries, self.centres)
+
+    def best_bins(self, away: list[float]) -> Iterator[int]:
+        """Leaves, the most promising first, for a query's distances to the nodes."""
+        children, queue = self.children, [(0.0, 0)]
         while queue:
             _, node = heapq.heappop(queue)
-            if not self.children[node]:
+            if not children[node]:
                 yield node
-                continue
-            away = ((self.centres[self.children[node]] - query) ** 2).sum(axis=1)
-            for d, child in zip(away.tolist(), self.children[node]):
-                heapq.heappush(queue, (d, child))
+            for child in children[node]:
+                heapq.heappush(queue, (away[child], child))
+
+    def in_order(self) -> list[int]:
+        """Leaves so that those of one branch follow one another."""
+        out, stack = [], [0]
+        while stack:
+            node = stack.pop()
+            stack.extend(reversed(self.children[node]))
+            if not self.children[node]:
+                out.append(node)
+        return out
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,10 +134,10 @@ def visits_needed(tree: Tree, sample: np.ndarray, k: int, recall: float = RECALL
     products[np.arange(len(queries)), queries] = -np.inf
     nearest = np.argsort(-products, axis=1)[:, : min(k, n - 1)]
     place = []
-    for q, near in zip(queries, nearest):
-        query = sample[q].copy()
-        query[-1] = 0
-        order = {node: i for i, node in enumerate(tree.best_bins(query))}
+    asked = sample[queries].copy()
+    asked[:, -1] = 0
+    for away, near in zip(tree.away(asked), nearest):
+        order = {node: i for i, node in enumerate(tree.best_bins(away.tolist()))}
         place += [order[node] for node in leaf[near]]
     place = np.sort(np.array(place))
     visits = 1
@@ -130,48 +146,69 @@ def visits_needed(tree: Tree, sample: np.ndarray, k: int, recall: float = RECALL
     return min(visits, len(tree.leaf))
 
 
-def _seeds(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Each query's k best among a few candidates: (floors under its k nearest of all, their ids and products)."""
-    points, best = points.astype(np.float64), []
-    for a in range(0, len(asked), 64):
-        products = queries[a : a + 64] @ points.T
-        products[ids[None, :] == asked[a : a + 64, None]] = -np.inf
-        place = np.argpartition(-products, min(k, len(ids)) - 1, axis=1)[:, :k] if len(ids) else np.zeros((len(products), 0), int)
-        for p, q, own in zip(place, queries[a : a + 64], products):
-            p = p[np.isfinite(own[p])]
-            best.append((ids[p], (points[p] * q).sum(axis=1)))
-    floor = np.array([score.min() if len(score) == k else -np.inf for _, score in best])
-    return floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))), best  # covers the rounding
-
-
-def _nearest(ids: np.ndarray, points: np.ndarray, asked: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, inner product) of each query's k nearest in a block that reach its floor, ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    ids, points = ids[order], points[order]
-    _, number = np.unique(ids, return_inverse=True)
-    most = np.bincount(number).max()
+class Seeds:
+    """Sampled candidates by leaf, for the floors."""
+
+    def __init__(self, tree: Tree, sample: np.ndarray, ids: np.ndarray, points: np.ndarray):
+        leaf = tree.deal(sample)
+        order = np.argsort(leaf, kind="stable")
+        self.ids, self.points = ids[order], points[order]
+        self.bounds = np.searchsorted(leaf[order], np.arange(len(tree.children) + 1))
+
+    def floor(self, asked: int, query: np.ndarray, leaves: np.ndarray, k: int) -> float:
+        """A bound that k candidates of the leaves reach, the query's own row apart; -inf if too few are sampled."""
+        size = self.bounds[leaves + 1] - self.bounds[leaves]
+        leaves = leaves[: int(np.searchsorted(np.cumsum(size), FLOOR_ROWS)) + 1]
+        rows = np.concatenate([np.arange(self.bounds[n], self.bounds[n + 1]) for n in leaves]) if len(leaves) else np.zeros(0, int)
+        rows = rows[self.ids[rows] != asked]
+        if len(rows) < k:
+            return -np.inf
+        products = self.points[rows] @ query
+        least = float(np.partition(products, len(rows) - k)[len(rows) - k])
+        return least - 1e-9 * (1 + abs(least))  # covers the rounding
+
+
+def _scanned(ids: np.ndarray, points: np.ndarray, asked: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, id, inner product) of what may be among each query's k nearest of a leaf; ids ascend."""
     products = queries @ points.T
     products[ids[None, :] == asked[:, None]] = -np.inf
-    # shares of the greatest product, to nine digits; the place breaks ties below them. Rows of one id may all be among the best
-    top = np.where(np.isfinite(products), np.abs(products), 0).max(axis=1, keepdims=True)
-    key = np.round(products / np.where(top > 0, top, 1), 9) - np.arange(len(ids)) * 1e-13
-    take = min(len(ids), (k + 8) * most)
-    place = np.argpartition(-key, take - 1, axis=1)[:, :take]
+    if len(ids) > k + 8:
+        # shares of the greatest product, to nine digits; the place breaks ties below them
+        top = np.where(np.isfinite(products), np.abs(products), 0).max(axis=1, keepdims=True)
+        key = np.round(products / np.where(top > 0, top, 1), 9) - np.arange(len(ids)) * 1e-13
+        place = np.argpartition(-key, k + 7, axis=1)[:, : k + 8]
+        row, column = np.repeat(np.arange(len(asked)), k + 8), place.ravel()
+        kept = np.isfinite(products[row, column]) & (products[row, column] >= floor[row])
+        row, column = row[kept], column[kept]
+    else:
+        row, column = np.nonzero(np.isfinite(products) & (products >= floor[:, None]))
     # row by row in one order, so that equal vectors have equal scores
-    exact = np.array([(points[p] * q).sum(axis=1) for p, q in zip(place, queries)])
-    exact[~np.isfinite(np.take_along_axis(products, place, 1))] = -np.inf
-    out: list[list] = [[], [], []]
-    for r, query in enumerate(asked):
-        best = place[r][np.lexsort((place[r], -exact[r]))]
-        score = np.sort(exact[r])[::-1]
-        kept = np.flatnonzero(np.isfinite(score) & (score >= floor[r]))
-        if most > 1:
-            kept = kept[np.sort(np.unique(ids[best[kept]], return_index=True)[1])]
-        kept = kept[:k]
-        out[0].append(np.full(len(kept), query))
-        out[1].append(ids[best[kept]])
-        out[2].append(score[kept])
-    return np.concatenate(out[0]), np.concatenate(out[1]), np.concatenate(out[2])
+    return row, ids[column], (points[column] * queries[row]).sum(axis=1)
+
+
+def _block(left: pa.Table, right: pa.Table, dims: int, k: int) -> pa.Table:
+    """(query_id, vec_id, score) of each query's k nearest among the leaves of a block that it visits, ties to the smaller id."""
+    order = np.lexsort((left["vec_id"].to_numpy(), left["leaf"].to_numpy()))
+    leaf, ids, points = left["leaf"].to_numpy()[order], left["vec_id"].to_numpy()[order], _matrix(left["embedding"], dims)[order]
+    asked, queries, floor = right["query_id"].to_numpy(), _matrix(right["query"], dims), right["floor"].to_numpy()
+    listed = right["leaves"].combine_chunks()
+    visited, by = listed.flatten().to_numpy(), np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy())
+    sorted_ = np.argsort(visited, kind="stable")
+    visited, by = visited[sorted_], by[sorted_]
+    parts = []
+    for n in np.unique(leaf):
+        a, b = np.searchsorted(leaf, [n, n + 1])
+        who = by[slice(*np.searchsorted(visited, [n, n + 1]))]
+        for at in range(0, len(who), AT_ONCE):
+            some = who[at : at + AT_ONCE]
+            row, vec, score = _scanned(ids[a:b], points[a:b], asked[some], queries[some], floor[some], k)
+            parts.append((some[row], vec, score))
+    row, vec, score = map(np.concatenate, zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+    order = np.lexsort((vec, -score, row))
+    row, vec, score = row[order], vec[order], score[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    best = rank < k
+    return pa.table([pa.array(asked[row[best]]), pa.array(vec[best]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = RECALL) -> DataFrame:
@@ -181,8 +218,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     in double precision on the original vectors; ties go to the smaller vec_id. A vector
     with the query's vec_id is never its neighbour. Vectors that are null or zero, that hold
     a null or non-finite component, whose length isn't the commonest, or whose id is null
-    take no part. Repeated ids count once, with their best score. A query gets all
-    candidates if there are fewer than k; an empty table gives an empty table.
+    take no part. Of rows that repeat an id the one of the greatest vector, component by
+    component, counts, as a candidate and as a query. A query gets all candidates if there
+    are fewer than k; an empty table gives an empty table.
     """
 
     def sound(df: DataFrame) -> DataFrame:
@@ -201,17 +239,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         return spark.createDataFrame([], result)
     kind = dict(every.dtypes)["embedding"]
     dims, most, n = shape["dims"], float(shape["most"]), shape["n"]
-    every, asked = every.where(F.size("embedding") == dims), asked.where(F.size("embedding") == dims)
+    every, asked = (df.where(F.size("embedding") == dims).groupBy("vec_id").agg(F.max("embedding").alias("embedding")) for df in (every, asked))
     size = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dims)))
-    picked = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("vec_id", "embedding").toArrow()
-    _, once = np.unique(picked.column(0).to_numpy(), return_index=True)
+    picked = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow()
     points = _matrix(picked.column(1), dims)
     sample = _lifted(points, most)
     tree = Tree(sample, int(min(MOST_LEAVES, max(1, n // LEAF_ROWS))))
     visits = visits_needed(tree, sample, k, recall)
-    # at most MOST_LEAVES * 8 / 7 centres, and SEEDS vectors
-    few = np.sort(once[np.argsort(once)[:SEEDS]])
-    shared = spark.sparkContext.broadcast((tree, picked.column(0).to_numpy()[few], points[few]))
+    shared = spark.sparkContext.broadcast((tree, Seeds(tree, sample, picked.column(0).to_numpy(), points)))  # at most MOST_LEAVES * 8 / 7 centres, and the sample
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,54 +257,87 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     held = {r["leaf"]: r["count"] for r in dealt.groupBy("leaf").count().collect()}  # one row per leaf
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, ids, points = shared.value
+        tree, seeds = shared.value
         for batch in batches:
-            floor, _ = _seeds(batch.column(0).to_numpy(), _matrix(batch.column(1), dims), ids, points, k)
-            lifted = np.hstack([_matrix(batch.column(1), dims, np.float32), np.zeros((batch.num_rows, 1), np.float32)])
-            row, leaf = [], []
-            for r, query in enumerate(lifted):
-                reach, seen = 0, 0
-                for node in tree.best_bins(query):
-                    if seen >= visits and reach > k:
-                        break
-                    seen += 1
-                    if held.get(node):
-                        reach += held[node]
-                        row.append(r)
-                        leaf.append(node)
-            taken = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *taken.columns, pa.array(floor[row])], names=["leaf", "query_id", "query", "floor"])
-
-    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, ids, points = shared.value
-        for batch in batches:
-            asked_ids = batch.column(0).to_numpy()
-            _, best = _seeds(asked_ids, _matrix(batch.column(1), dims), ids, points, k)
-            if best:
-                own = np.repeat(asked_ids, [len(i) for i, _ in best])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (own, *map(np.concatenate, zip(*best)))], names=["query_id", "vec_id", "score"])
-
-    visiting = cut(asked.mapInArrow(visit, f"leaf long, query_id long, query {kind}, floor double"))
-    asking = {r["leaf"]: r["count"] for r in visiting.groupBy("leaf").count().collect()}
-    table = [(leaf, -(-count // BLOCK), -(-asking.get(leaf, 0) // QUERY_BLOCK)) for leaf, count in held.items()]
-    blocks = F.broadcast(spark.createDataFrame(table, "leaf long, parts int, queues int"))  # one row per leaf
-    candidates = dealt.join(blocks, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("queues") - 1)).alias("queue"), "vec_id", "embedding"
-    ).where("queues > 0")
-    questions = visiting.join(blocks, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("query_id"), "queues").cast("int").alias("queue"), "query_id", "query", "floor"
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = _matrix(part.column(1), dims)
+                away = tree.away(np.hstack([own, np.zeros((len(own), 1))]).astype(np.float32))
+                floors, leaves = [], []
+                for q, query, distances in zip(part.column(0).to_pylist(), own, away):
+                    reach, seen = 0, []
+                    for node in tree.best_bins(distances.tolist()):
+                        if len(seen) >= visits and reach > k:
+                            break
+                        seen.append(node)
+                        reach += held.get(node, 0)
+                    leaves.append(seen)
+                    floors.append(seeds.floor(q, query, np.array(seen), k))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floors, pa.float64()), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "query", "floor", "leaves"])
+
+    visiting = cut(asked.mapInArrow(visit, f"query_id long, query {kind}, floor double, leaves array<long>"))
+    asking = {r["leaf"]: r["count"] for r in visiting.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}  # one row per leaf
+    where = _blocks(tree.in_order(), held, asking)
+    placed = F.broadcast(spark.createDataFrame([(n, *w) for n, w in where.items()], "leaf long, first long, parts int, queues int"))  # one row per leaf
+    candidates = dealt.join(placed, "leaf").select(
+        (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("queues") - 1)).alias("queue"), "leaf", "vec_id", "embedding"
     )
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, parts, queues = (np.zeros(len(shared.value[0].children), np.int64) for _ in range(3))
+        for n, w in where.items():
+            first[n], parts[n], queues[n] = w
+        for batch in batches:
+            listed = batch.column(3)
+            row, leaf = np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy()), listed.flatten().to_numpy()
+            row, leaf = row[parts[leaf] > 0], leaf[parts[leaf] > 0]
+            times = parts[leaf]
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, leaf = np.repeat(row, times), np.repeat(leaf, times)
+            block = first[leaf] + nth
+            order = np.lexsort((block, row))
+            row, leaf, block = row[order], leaf[order], block[order]
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))) if len(row) else np.zeros(0, int)
+            taken = batch.take(pa.array(row[new]))
+            mixed = (taken.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            queue = (mixed % np.maximum(queues[leaf[new]], 1).astype(np.uint64)).astype(np.int32)
+            together = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), pa.array(leaf))
+            yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(queue), *taken.columns[:3], together], names=["block", "queue", "query_id", "query", "floor", "leaves"])
+
+    questions = visiting.mapInArrow(go, f"block long, queue int, query_id long, query {kind}, floor double, leaves array<long>")
+
     def scan(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if left.num_rows and right.num_rows:
-            found = _nearest(left["vec_id"].to_numpy(), _matrix(left["embedding"], dims), right["query_id"].to_numpy(), _matrix(right["query"], dims), right["floor"].to_numpy(), k)
-        return pa.table(list(map(pa.array, found)), names=["query_id", "vec_id", "score"])
+        return _block(left, right, dims, k)
 
-    keys = ["leaf", "part", "queue"]
+    keys = ["block", "queue"]
     found = candidates.groupBy(*keys).cogroup(questions.groupBy(*keys)).applyInArrow(scan, "query_id long, vec_id long, score double")
-    found = found.unionByName(asked.mapInArrow(seed, "query_id long, vec_id long, score double"))
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return packed(ranked, k * visiting.select("query_id").distinct().count()).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _blocks(leaves: list[int], held: dict[int, int], asking: dict[int, int]) -> dict[int, tuple[int, int, int]]:
+    """(first block, blocks, queues of queries) of each leaf that is visited: small leaves share a block with their neighbours."""
+    out, shared, filled, block = {}, [], 0, 0
+
+    def close():
+        nonlocal shared, filled, block
+        asks = sum(asking[n] for n in shared)
+        for n in shared:
+            out[n] = block, 1, -(-asks // QUERY_BLOCK)
+        block, shared, filled = block + bool(shared), [], 0
+
+    for n in leaves:
+        if not held.get(n) or not asking.get(n):
+            continue
+        parts = -(-held[n] // BLOCK)
+        if parts > 1:
+            close()
+            out[n] = block, parts, -(-asking[n] // QUERY_BLOCK)
+            block += parts
+            continue
+        if filled + held[n] > BLOCK:
+            close()
+        shared.append(n)
+        filled += held[n]
+    close()
+    return out

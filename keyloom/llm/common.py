@@ -19,20 +19,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that a partition of a result may hold before another is opened.
+#: Rows of a file of numbers and digests, when so many files would be near empty.
 FILE_ROWS = 10_000
+#: A key of more than this share of the rows is hot.
+HOT_SHARE = 256
 
 
 def packed(df: DataFrame, rows: int) -> DataFrame:
-    """df in no more partitions than so many rows need: a stage of many near-empty tasks and files costs more than it saves."""
+    """df, a few numbers a row, in no more partitions than so many rows need. Not for stages that read texts."""
     return df.coalesce(max(8, rows // FILE_ROWS))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until they are none of df's columns, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, n: int) -> DataFrame:
+    """rows (n of them) joined with `side`, which has one row per key: hot keys by broadcast, the others by shuffle.
+
+    There are at most HOT_SHARE hot keys, so no task gets all the rows of one.
+    """
+    hot = F.broadcast(rows.groupBy(key).count().where(F.col("count") > n / HOT_SHARE).select(key))
+    few = F.broadcast(side.join(hot, key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(side, key))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the cluster's shared checkpoint folder, which cuts its lineage there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -57,13 +82,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, ends - ends[0]
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts have about `most` bytes together."""
+def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Row ranges, at most `rows` long, whose texts have about `most` bytes together."""
     n, row = len(offsets) - 1, 0
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
-        yield row, min(end, n)
-        row = min(end, n)
+        end = min(max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1), row + rows, n)
+        yield row, end
+        row = end
 
 
 def sampled_labels(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> DataFrame:
