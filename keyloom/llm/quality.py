@@ -5,7 +5,8 @@ punctuation mark) and words that repeat one of the two before them: how a text i
 not what about. TF-IDF vectors of a bounded labelled sample give the latent axes by a
 truncated singular value decomposition; document frequencies are those of the whole corpus.
 The labelled vectors are broadcast; every document's cosines with all of them are exact
-matrix products, block by block, and its nearest vote with their similarity as weight.
+matrix products, block by block, and its nearest vote with their similarity as weight: its
+16th power, since cosines lie close together in this space.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, priors, sampled_labels, utf8
+from .common import chunks, free_names, held_out, priors, sampled_labels, utf8
 from .neighbours import Calibration, votes
 
 #: Labelled examples of each class at most; latent axes; neighbours that vote.
 PER_CLASS, AXES, NEIGHBOURS = 2_048, 32, 15
-#: Labelled vectors of a block of products.
-BLOCK = 1_024
+#: Labelled vectors of a block of products; texts whose counts are held at once.
+BLOCK, AT_ONCE = 1_024, 512
 #: A text is good from this score on.
 THRESHOLD = 0.3
 #: Classes of bytes, in order: other, lower, upper, beyond ASCII, digit, blank, line end, then a class for each mark.
@@ -149,8 +150,7 @@ class Model:
             best, place = np.concatenate([best, np.take_along_axis(cosine, top, 1)], axis=1), np.concatenate([place, top + start], axis=1)
         top = np.argpartition(-best, min(k, best.shape[1]) - 1, axis=1)[:, :k]
         best, place = np.take_along_axis(best, top, 1), np.take_along_axis(place, top, 1)
-        # cosines lie close together here: what exceeds the worst of the k counts most
-        return votes(np.maximum(best, 0) ** 8, self.label[place], self.middle)
+        return votes(np.maximum(best, 0) ** 8, self.label[place], self.middle)  # votes squares it: the 16th power
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if not len(self.label):
@@ -161,7 +161,7 @@ class Model:
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = utf8(batch.column(column))
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, rows=AT_ONCE):
         part = offsets[a : b + 1]
         yield a, b, data[part[0] : part[-1]], part - part[0]
 
@@ -226,8 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class:
     return Model(number, idf, vectors, label, priors(labels, target), axes, k)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `__quality`, 0 to 1; columns are kept. Only text is read; null text counts as empty."""
+def score(docs: DataFrame, model: Model, into: str = "quality") -> DataFrame:
+    """docs with a column `into`, 0 to 1; columns are kept. Only text is read; null text counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the settings of fit
     names = [f"_{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
@@ -240,7 +240,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), got], names=[*names, "quality"])
 
     schema = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes)) + ", quality double"
-    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, "__quality")
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns, into)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -252,13 +252,12 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     smoothed share of label 1.
     """
     rows = docs.select("doc_id", "text")
-    scored = score(rows, fit(rows, labels))
-    return scored.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__quality").alias("score"), (F.col("__quality") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    scored = score(rows, fit(rows, labels), "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs whose score reaches the threshold, columns unchanged."""
-    scored = score(docs, fit(docs.select("doc_id", "text"), labels))
-    return scored.where(F.col("__quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (into,) = free_names(docs, "__quality")
+    scored = score(docs, fit(docs.select("doc_id", "text"), labels), into)
+    return scored.where(F.col(into) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
