@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, packed, utf8
+from .common import chunks, utf8
 
 K, S = 16, 8
 #: Bins of a fingerprint; bits of a tag and of a position in it; shift in bytes that still agrees.
-BINS, TAG_BITS, POSITION_BITS, SLACK = 128, 16, 24, 64
+BINS, TAG_BITS, POSITION_BITS, SLACK = 128, 16, 32, 64
 #: Rows that a range of ids is planned for, the most ranges, and bounds that a search passes over at once.
 RANGE_ROWS, MOST_RANGES, STRIDE = 500, 16_384, 64
 _EMPTY = (1 << (TAG_BITS + POSITION_BITS)) - 1
@@ -82,14 +82,14 @@ def _put(cells: np.ndarray, row: np.ndarray, anchors: np.ndarray, position: np.n
     """Keep each bin's smallest anchor; the first where it occurs again."""
     bins = row * BINS + (anchors >> np.uint64(57)).astype(np.int64)
     tag = (anchors >> np.uint64(57 - TAG_BITS)) & np.uint64((1 << TAG_BITS) - 1)
-    # a rank of 24 bits decides which anchor stays, then the tag, then the position
-    rank = anchors & np.uint64((1 << 24) - 1)
-    place = np.minimum(position, (1 << POSITION_BITS) - 2).astype(np.uint64)
+    # a rank of 16 bits decides which anchor stays, then the tag, then the position, which no text of an Arrow column exceeds
+    rank = anchors & np.uint64((1 << (64 - TAG_BITS - POSITION_BITS)) - 1)
+    place = position.astype(np.uint64)
     np.minimum.at(cells, bins, (rank << np.uint64(TAG_BITS + POSITION_BITS)) | (tag << np.uint64(POSITION_BITS)) | place)
 
 
 def written(cells: np.ndarray) -> list[str]:
-    """Each row as hex digits, 10 for a bin."""
+    """Each row as hex digits, 12 for a bin."""
     table = cells.astype(">u8").view(np.uint8).reshape(len(cells), BINS, 8)[:, :, 8 - _HEX // 2 :]
     return [r.tobytes().hex() for r in np.ascontiguousarray(table)]
 
@@ -154,10 +154,11 @@ def against_next(docs: DataFrame) -> DataFrame:
     without a doc_id have no next document: they are edited with an empty text. An empty
     table gives an empty one.
 
-    Ids are cut into ranges at quantiles, and each range is read in order. The rows of a
-    range's greatest id are also guests of the range above, after its last document; those
-    of the greatest id of all are guests of the lowest range. So texts are moved once, and
-    no range waits for another.
+    Ids are cut into ranges at quantiles, and each range is read in ascending order, so that
+    a row's next document has gone by and no row waits. The rows of a range's greatest id are
+    also guests of the range above, before its first document; those of the greatest id of
+    all are guests of the lowest range. So texts are moved once, no range waits for another,
+    and a task holds one chunk of texts and two documents.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     seen = source.agg(F.count("doc_id").alias("n")).first()["n"]
@@ -182,15 +183,14 @@ def against_next(docs: DataFrame) -> DataFrame:
     ordered = (
         seated.select("seat.range", "seat.guest", "doc_id", "text")
         .repartition("range")
-        .sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
+        .sortWithinPartitions("range", F.col("guest").desc(), F.col("doc_id").asc_nulls_last(), "text")
     )
-    compared = ordered.mapInArrow(_follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return packed(compared, seen)
+    return ordered.mapInArrow(_follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads ranges in order; the rows of the last id so far wait for the one that follows."""
-    waiting: list[tuple] = []  # (range, guest, doc_id, text, cells) of one id
+    """Reads ranges in order: of the id at hand and of the one before it, the first row, of least text, is kept."""
+    at, first, below = None, None, None  # (range, guest, doc_id) at hand, its first row, the first row of the id before
     for batch in batches:
         _, offsets = utf8(batch.column(3))
         for a, b in chunks(offsets):
@@ -198,12 +198,15 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells, _ = _sketches(part.column(3))
             ready: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in part.columns), cells):
-                if waiting and (row[0] != waiting[0][0] or row[2] != waiting[0][2] or row[1] != waiting[0][1] or row[2] is None):
-                    ready += [(w, row if row[0] == w[0] and w[2] is not None else None) for w in waiting]
-                    waiting = []
-                waiting.append(row)
-            yield from _compare([r for r in ready if not r[0][1]])
-    yield from _compare([(w, None) for w in waiting if not w[1]])
+                if row[2] is None:
+                    ready.append((row, None))
+                    continue
+                if row[:3] != at:
+                    below = first if at is not None and at[0] == row[0] else None
+                    at, first = row[:3], row
+                if not row[1]:
+                    ready.append((row, below))
+            yield from _compare(ready)
 
 
 def _compare(pairs: list[tuple]) -> Iterator[pa.RecordBatch]:
