@@ -12,6 +12,7 @@ normalizers NFC, white space to one space, and lower case.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -27,8 +28,10 @@ from .common import chunks, utf8
 
 #: Stands for the word end inside this module; not a character of the byte alphabet.
 END = "￿"
-#: A worker forgets its words beyond so many.
-REMEMBERED = 200_000
+#: A worker forgets its words beyond so many bytes of them.
+REMEMBERED = 64 << 20
+#: Symbols of a word beyond which it is merged on its own.
+LONG = 64
 NOT_SPACE, SPACE = "\x1c\x1d\x1e\x1f", regex.compile(r"\s+")
 
 
@@ -69,6 +72,7 @@ class Vocabulary:
         self.known: dict[str, tuple[bytes, str]] = {}
         self.run_ids: dict[str, bytes] = {}
         self.run_shown: dict[str, str] = {}
+        self.held = 0
 
     def _inner(self, token: str) -> str:
         return token[: -len(self.suffix)] + END if token.endswith(self.suffix) and len(token) > len(self.suffix) else token
@@ -135,8 +139,31 @@ class Vocabulary:
             b[live] = np.where(undo_left, y, self.left[y])
         return ok
 
+    def merge_long(self, symbols: list[int]) -> list[int]:
+        """Merge one word exactly, in about its length: the pair of lowest rank, the leftmost of them, comes off a heap."""
+        pairs, n = self.pairs, len(symbols)
+        symbols, after, before = list(symbols), [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(pairs[p][0], k, *p) for k, p in enumerate(zip(symbols, symbols[1:])) if p in pairs]
+        heapq.heapify(heap)
+        while heap:
+            _, k, x, y = heapq.heappop(heap)
+            j = after[k]
+            if symbols[k] != x or j < 0 or symbols[j] != y:
+                continue  # one of them has gone into another merge
+            symbols[k], symbols[j] = pairs[x, y][1], -1
+            after[k] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = k
+            for left, right in ((before[k], k), (k, after[k])):
+                if left >= 0 and right >= 0 and (p := (symbols[left], symbols[right])) in pairs:
+                    heapq.heappush(heap, (pairs[p][0], left, *p))
+        return [s for s in symbols if s >= 0]
+
     def merge_all(self, words: list[list[int]]) -> list[list[int]]:
-        """Merge exactly: every round merges, in all words at once, the leftmost of the pairs of lowest rank."""
+        """Merge exactly: every round merges, in all short words at once, the leftmost of the pairs of lowest rank."""
+        if any(len(w) > LONG for w in words):
+            short = iter(self.merge_all([w for w in words if len(w) <= LONG]))
+            return [self.merge_long(w) if len(w) > LONG else next(short) for w in words]
         never = np.int64(1) << 60
         symbols = np.array([i for w in words for i in w], dtype=np.int64)
         owner = np.repeat(np.arange(len(words)), list(map(len, words)))
@@ -191,6 +218,7 @@ class Vocabulary:
         for k, word in enumerate(words):
             got = exact[k] if k in exact else ids[start[k] : stop[k]]
             self.known[word] = np.array(got, dtype="<u4").tobytes(), " ".join([shown[i] for i in got])
+            self.held += 8 * len(word) + 200
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -199,7 +227,7 @@ class Vocabulary:
 
     def pieces(self, text: str) -> list[str]:
         """The runs of a text between white space, which no word crosses; special tokens stand as themselves."""
-        if self.split_special and "<|" in text:
+        if any(s in text for s in self.special):
             out = []
             for part in self.split_special.split(text):
                 out += [part] if part in self.special else self.runs(self.normal(part))
@@ -212,8 +240,8 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
-        if len(self.known) > REMEMBERED or len(self.run_ids) > 2 * REMEMBERED:
-            self.known, self.run_ids, self.run_shown = {}, {}, {}
+        if self.held > REMEMBERED:
+            self.known, self.run_ids, self.run_shown, self.held = {}, {}, {}, 0
         for s, i in self.special.items():
             self.run_ids[s], self.run_shown[s] = np.array([i], dtype="<u4").tobytes(), s
         split = [self.pieces(t) for t in texts]
@@ -225,6 +253,7 @@ class Vocabulary:
         known = self.known
         for r, ws in words.items():
             got = [known[w] for w in ws]
+            self.held += 8 * len(r) + 300
             ids[r], shown[r] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
         for runs in split:
             yield b"".join(map(ids.__getitem__, runs)), " ".join(filter(None, map(shown.__getitem__, runs)))
