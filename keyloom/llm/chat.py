@@ -5,8 +5,9 @@ which no text can produce, spliced around it. The loss mask comes from the runni
 the segment lengths. The rendered text shows the reserved ids as control strings; where a
 text itself contains such a string, it gets an escaping backslash, which reading takes off.
 
-A conversation is assembled while its turns stream by in order, so a task never holds more
-than one turn's ids and the running digests.
+Turns are encoded and read back where they lie, a bounded part of a batch at a time. Only
+then are they brought together by conversation, to stream by in order, so a task of that
+stage holds one batch of turns and the running digests, however long a conversation is.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import chunks, utf8
 
 #: Reserved ids, counted from the end of the vocabulary, and what they look like in the rendered text.
 BEGIN, END = "<s>", "</s>"
@@ -109,26 +110,31 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _ordered(conversations: DataFrame) -> DataFrame:
-    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
+def _made(conversations: DataFrame, path: str, kinds: dict[str, str], columns) -> DataFrame:
+    """conv_id, turn and more columns of every turn, which `columns` makes of (role, text, loss, shown) and (ids, mask) lists."""
+    rows = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            _, offsets = utf8(batch.column(3))
+            for a, b in chunks(offsets):
+                part = batch.slice(a, b - a)
+                made = [own.turn(role, ids) for role, ids in zip(part.column(2).to_pylist(), own.encode(list(map(escape, part.column(3).to_pylist()))))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *columns(part, own.read(made), made)], names=["conv_id", "turn", *kinds])
+
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([f"conv_id {types['conv_id']}", f"turn {types['turn']}", *[f"{n} {k}" for n, k in kinds.items()]]))
 
 
 def format_turns(conversations: DataFrame, path: str) -> DataFrame:
     """Each turn assembled: (conv_id, turn, role, ids array<int>, loss_mask array<boolean>, formatted)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
-        for batch in batches:
-            _, _, roles, texts = (c.to_pylist() for c in batch.columns)
-            made = [own.turn(role, ids) for role, ids in zip(roles, own.encode(list(map(escape, texts))))]
-            shown = [r[3] for r in own.read(made)]
-            columns = [pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1].tolist() for m in made], pa.list_(pa.bool_())), pa.array(shown, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["conv_id", "turn", "role", "ids", "loss_mask", "formatted"])
+    def columns(part, read, made):
+        ids, mask = pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1].tolist() for m in made], pa.list_(pa.bool_()))
+        return [part.column(2), ids, mask, pa.array([r[3] for r in read], pa.string())]
 
-    rows = _ordered(conversations)
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, ids array<int>, loss_mask array<boolean>, formatted string")
+    return _made(conversations, path, {"role": "string", "ids": "array<int>", "loss_mask": "array<boolean>", "formatted": "string"}, columns)
 
 
 def read_back(conversations: DataFrame, path: str) -> DataFrame:
@@ -141,34 +147,40 @@ def read_back(conversations: DataFrame, path: str) -> DataFrame:
     Digests are over UTF-8. An empty table gives an empty table.
     """
 
+    def columns(part, read, made):
+        role, text, loss, shown = zip(*read) if read else ((),) * 4
+        # the text under the mask only where it isn't the text
+        other = [None if x == t else x for x, t in zip(loss, text)]
+        return [pa.array(role, pa.string()), pa.array(text, pa.string()), pa.array(other, pa.string()), pa.array(list(map(len, shown)), pa.int64())]
+
+    turns = _made(conversations, path, {"role": "string", "text": "string", "loss": "string", "shown": "long"}, columns)
+    ordered = turns.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         at, state = None, None
 
         def close(key, s):
             return key, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]
 
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for batch in batches:
             kinds[0] = batch.column(0).type
-            keys, _, roles, texts = (c.to_pylist() for c in batch.columns)
             out = []
-            made = [own.turn(role, content) for role, content in zip(roles, own.encode(list(map(escape, texts))))]
-            for key, (role, text, loss, shown) in zip(keys, own.read(made)):
+            for key, _, role, text, loss, shown in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or key != at:
                     if state is not None:
                         out.append(close(at, state))
                     at, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                loss = text if loss is None else loss
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(loss)
                 state[3].update(loss.encode())
-                state[4] += len(shown)
+                state[4] += shown
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(close(at, state), kinds)], names=names)
 
-    rows = _ordered(conversations)
-    kind = dict(rows.dtypes)["conv_id"]
-    return packed(rows, conversations.count()).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kind = dict(ordered.dtypes)["conv_id"]
+    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
