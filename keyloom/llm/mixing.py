@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, packed
+from .common import cut, free_names, packed
 
 #: Words are runs of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,7 +85,10 @@ def mix(
     shuffle = F.md5(F.concat(F.lit("mix "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle.alias("shuffle")))
     level = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, passes))
-    seen = level.agg(F.count(F.lit(1)).alias("sources"), F.sum("target").alias("total")).first()
+    largest = sized.groupBy("source").agg(F.max("size").alias("most")).agg(F.sum("most")).first()[0] or 0
+    open_ = F.sum(F.when(F.col("target") < passes * F.col("source_size"), F.col("target")))
+    seen = level.agg(F.count(F.lit(1)).alias("sources"), F.sum("target").alias("total"), open_.alias("open")).first()
+    latest = 1.001 + (1.001 * (largest + 1) / seen["open"] if seen["open"] else 0.0)
     rows = sized.count()
     spread = min(MOST_BUCKETS, max(8, rows // BUCKET_ROWS))
     side = level.withColumnRenamed("source", "__source")
@@ -97,7 +100,8 @@ def mix(
     counted = cut(packed(counted.drop("shuffle", "bucket"), rows))
     laps = [(F.col("upto") + F.lit(lap) * F.col("source_size")) / F.col("target") for lap in range(passes)]
     queue = counted.where((F.col("size") > 0) & (F.col("target") > 0)).select("source_no", "size", "upto", F.explode(F.array(*laps)).alias("finish"))
-    queue = queue.withColumn("slice", F.floor(F.col("finish") * spread))
+    # by any finish time x a source has given x * target, all its words or a document less; so the budget is used up by `latest`
+    queue = queue.where(F.col("finish") <= F.lit(latest)).withColumn("slice", F.floor(F.col("finish") / F.lit(latest) * spread))
     queue = running(queue, ["slice"], [F.col("finish"), F.col("source_no"), F.col("upto")], "size", "all")
     # half a token of slack: the targets are doubles that sum to the budget up to rounding
     last = queue.where(F.col("all") <= F.lit((seen["total"] or 0.0) + 0.5)).agg(F.max("finish").alias("finish")).first()["finish"]
@@ -112,6 +116,7 @@ def take(docs: DataFrame, **settings) -> DataFrame:
 
     A repeated doc_id is taken as often as the first of its rows in the queue.
     """
-    copies = mix(docs, **settings).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return packed(joined, docs.count()).withColumn("__lap", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, times, lap = free_names(docs, "__id", "__copies", "__lap")
+    copies = mix(docs, **settings).where("copies > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times))
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies[own]))
+    return joined.withColumn(lap, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
