@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, packed, utf8
+from .common import cut, free_names, join_hot, packed, utf8
 from .components import components
 
 #: Words of a shingle, seed of its hash, and bits in which linked fingerprints may differ.
@@ -214,7 +214,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFr
     rows = cut(fingerprints(docs, shingle))
     count = rows.count()
     named = _named(rows, count, most).select("fingerprint", "component_id")
-    return packed(rows.join(named, "fingerprint"), count).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return packed(join_hot(rows, named, "fingerprint", count), count).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _named(rows: DataFrame, count: int, most: int) -> DataFrame:
@@ -224,7 +224,7 @@ def _named(rows: DataFrame, count: int, most: int) -> DataFrame:
     joined = components(links(distinct.select("fingerprint"), n, most), n).select(F.col("u").alias("fingerprint"), F.col("v").alias("root"))
     rooted = cut(packed(distinct.join(joined, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")), n))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fingerprint", "root", "component_id")
+    return cut(packed(join_hot(rooted, least, "root", n).select("fingerprint", "root", "component_id"), n))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
@@ -236,10 +236,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataF
     """
     doc_id = F.col("doc_id").cast("string")
     own = F.sha2(F.concat(F.coalesce(F.concat(F.length(doc_id).cast("string"), F.lit(":"), doc_id), F.lit("-")), F.coalesce("text", F.lit(""))), 256)
-    keyed = docs.withColumn("__row", own)
-    rows = cut(fingerprints(keyed, shingle, ("__row",)))
+    (row,) = free_names(docs, "__row")
+    keyed = docs.withColumn(row, own)
+    rows = cut(fingerprints(keyed, shingle, (row,)))
     count = rows.count()
-    least = rows.join(_named(rows, count, most), "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = least.groupBy("root").agg(F.min("__row").alias("__row")).select("__row")
-    joined = keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"])
-    return packed(joined.select(*docs.columns), count)
+    least = join_hot(rows, _named(rows, count, most), "fingerprint", count).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = least.groupBy("root").agg(F.min(row).alias(row)).select(row)
+    joined = keyed.join(kept, row, "left_semi").dropDuplicates([row])
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
