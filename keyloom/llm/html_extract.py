@@ -3,9 +3,9 @@
 A page is read as blocks: stretches of text between block-level tags, each with its
 root-to-leaf path of block tags. Blocks inside elements that never are the article (menus,
 headers, footers, forms, hidden parts) are set aside. Parts that are named like a sidebar,
-notice, advert or comments have paths of their own, whose ratios their names lower. Text length and punctuation outside links are summed per path; each sum over the
-number of blocks is a ratio r, taken as r / (r + a paragraph's), so that one very long block
-outweighs no other. These values are smoothed over paths of the same container and fused by
+notice, advert or comments have paths of their own, whose ratios their names lower. Text
+length and punctuation outside links are summed per path; each sum over the number of blocks
+is a ratio r, taken as r / (r + a paragraph's), so that one very long block outweighs no other. These values are smoothed over paths of the same container and fused by
 their product. An article or main element only weighs in: paths inside gain and
 those outside lose by the share of the page's text that such elements hold. Paths over a
 share of the page's spread of fused ratios are content. Headings and short paths go with the
@@ -63,7 +63,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements between a block and the container that it goes with.
 WITHIN = TEXT | frozenset("ul ol menu dl table thead tbody tfoot tr figure section details hgroup header".split())
 PUNCTUATION = re.compile(r"[,.;:!?…。，、；：！？·«»\"“”()-]")
-_TAG = re.compile(r"<!--(.*?)(?:-->|--!>|$)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
+_TAG = re.compile(r"<!--(.*?)(?:-->|--!>|$)|<([/]?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
 _WORDS = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _HREF = re.compile(r"\bhref\s*=", re.I)
 _PART = re.compile(r"[a-z]+")
