@@ -31,7 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "source"))
+    outputs = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), outputs, keep=("doc_id", "source"))
 
 
 STAGES = [
