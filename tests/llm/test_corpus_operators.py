@@ -143,6 +143,46 @@ def test_neighbours_reach_their_recall(spark, monkeypatch):
     assert ann.search(table.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("clusters", [0, 200])
+def test_the_leaves_alone_reach_the_recall(spark, clusters, monkeypatch):
+    random = np.random.default_rng(7)
+    v = random.standard_normal((20_000, 24))
+    if clusters:
+        v = v * 0.3 + random.standard_normal((clusters, 24))[random.integers(0, clusters, len(v))]
+    v = v.astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").cache()
+    asked = table.where("vec_id % 100 = 0")
+    exact = v[::100].astype(float) @ v.T.astype(float)
+    exact[np.arange(200), np.arange(0, 20_000, 100)] = -np.inf
+    best = {100 * i: set(np.argsort(-row)[:20].tolist()) for i, row in enumerate(exact)}
+
+    def recall():
+        got = {}
+        for r in ann.search(table, asked).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        return sum(len(got.get(q, set()) & b) for q, b in best.items()) / 4_000
+
+    assert recall() >= 0.9
+    if clusters:
+        # the answer is the visited leaves': few visits lose neighbours, without leaves there is nothing
+        monkeypatch.setattr(ann, "visits_needed", lambda *a: 1)
+        assert recall() < 0.9
+        monkeypatch.setattr(ann, "_blocks", lambda *a: {})
+        assert ann.search(table, asked).count() == 0
+    else:
+        sample = ann._lifted(v[:8_000].astype(float), float(np.sqrt((v.astype(float) ** 2).sum(axis=1)).max()))
+        tree = ann.Tree(sample, 100)
+        needed = ann.visits_needed(tree, sample, 20)
+        assert 1 < needed < len(tree.leaf) == len(tree.in_order())
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [(1, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 1.0]), (3, [1.0, 1.0])]
+    table = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, block int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(table, table).collect())
+    assert got == [(1, 1, 2, 6.0), (1, 2, 3, 3.0), (2, 1, 1, 6.0), (2, 2, 3, 3.0), (3, 1, 1, 3.0), (3, 2, 2, 3.0)]
+
+
 def labelled(spark, words, bad, n=700):
     random = np.random.default_rng(8)
     texts, marks = [], []
@@ -181,24 +221,61 @@ def test_classifiers_learn_and_stay_within_bounds(spark, words, op):
     assert len({r["score"] for r in none}) == 1
 
 
-def test_toxicity_index_is_exact(words):
+def test_toxicity_index_is_exact(words, monkeypatch):
     random = np.random.default_rng(9)
     vectors = random.random((600, 40)).astype(np.float32) * (random.random((600, 40)) < 0.15)
     norm = np.sqrt((vectors**2).sum(axis=1, keepdims=True))
     vectors = (vectors / np.where(norm > 0, norm, 1)).astype(np.float32)
-    index = toxicity.Index(vectors, np.zeros(600), np.array([f"{i:03}" for i in range(600)], dtype=object))
+    row, term = np.nonzero(vectors)
+    index = toxicity.Index(row, term, vectors[row, term], np.zeros(600), np.array([f"{i:03}" for i in range(600)], dtype=object), 40)
     queries = vectors[::7]
-    near, place = index.nearest(queries, 10)
-    exact = np.sort(np.round((queries @ index.vectors.T).astype(np.float64), 6), axis=1)[:, ::-1][:, :10]
+    row, term = np.nonzero(queries)
+    near, place = index.nearest(len(queries), row, term, queries[row, term], 10)
+    products = np.round((queries.astype(float) @ vectors.T.astype(float)), 6)
+    exact = np.sort(products, axis=1)[:, ::-1][:, :10]
     assert np.abs(near - exact).max() < 2e-6
+    named = index.ids[place].astype(int)
+    assert np.abs(np.take_along_axis(products, named, 1) - near)[place >= 0].max() < 2e-6
+    # blocks whose bound is too low are not read
+    read = []
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    small = toxicity.Index(*[np.array(x) for x in ([*range(40)], [k // 8 for k in range(40)])], np.ones(40, np.float32), np.zeros(40), np.arange(40).astype(str), 5)
+    cosines = small.cosines
+    monkeypatch.setattr(small, "cosines", lambda b, *a: read.append(b) or cosines(b, *a))
+    small.nearest(1, np.zeros(1, int), np.array([2]), np.ones(1, np.float32), 4)
+    assert read == [2]
+
+
+def test_chi_square_levels():
+    assert toxicity.least_chi_square(0.05) == pytest.approx(3.841, abs=1e-3) and toxicity.least_chi_square(1e-7) == pytest.approx(28.374, abs=1e-2)
+
+
+@pytest.mark.parametrize("op,column,least", [(toxicity, "toxic", (0.7, 0.98)), (quality, "quality", (0.98, 0.93))])
+def test_held_out_accuracy_of_the_test_tables(spark, op, column, least):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = op.scores(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", column).toPandas()
+    for value, share in zip((1, 0), least):
+        own = held[held[column] == value]
+        assert (own["predicted"] == value).mean() >= share
+
+
+def test_no_clash_with_columns_of_documents(spark, words):
+    docs, marks = labelled(spark, words, lambda own, r: " ".join([*own, "zzgrumpf"]), 120)
+    for name in ("__id", "__copies", "__LAP", "__toxicity", "__quality", "__row", "fingerprint", "component_id", "evidence", "bucket"):
+        docs = docs.withColumn(name, F.lit(1))
+    labels = spark.createDataFrame([(i, m, 1 - m) for i, m in enumerate(marks)], "doc_id long, toxic int, quality int")
+    for kept in (mixing.take(docs), toxicity.drop_toxic(docs, labels), quality.drop_poor(docs, labels), simhash.keep_one(docs)):
+        assert kept.columns == docs.columns and kept.count() > 0
 
 
 def test_toxicity_evidence(spark, words):
     docs, marks = labelled(spark, words, lambda own, r: " ".join([*own, "zzgrumpf"]))
     labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "doc_id long, toxic int")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), evidence=True)
-    row = scored.orderBy(F.col("__toxicity").desc()).first()
-    assert row["__evidence"] and all(e["label"] in (0, 1) and 0 < e["cosine"] <= 1.00001 for e in row["__evidence"])
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), "s", "why", 4)
+    row = scored.orderBy(F.col("s").desc()).first()
+    assert 0 < len(row["why"]) <= 4 and all(e["label"] in (0, 1) and 0 < e["cosine"] <= 1.00001 for e in row["why"])
+    assert all(int(e["doc_id"]) < 700 and marks[int(e["doc_id"])] == e["label"] for r in scored.limit(50).collect() for e in r["why"])
 
 
 def sizes(spark, words, n=400):
@@ -224,8 +301,10 @@ def test_shards_are_even_and_gapless(spark, words):
     for r in got:
         shards_of.setdefault(texts[r["doc_id"]] or "", []).append(r)
     assert len({r["shard"] for r in shards_of[texts[0]]}) > 4
+    tokens = lambda own: sum(r["tokens"] for r in own)
     for own in shards_of.values():
-        if sum(r["size"] for r in own) <= sum(bytes_) / 128 and len(own) <= len(got) / 128:
+        # only a group larger than a shard is split
+        if sum(r["size"] for r in own) <= sum(bytes_) / 8 and len(own) <= len(got) / 8 and tokens(own) <= tokens(got) / 8:
             assert len({r["shard"] for r in own}) == 1
     for own in total.values():
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
@@ -235,6 +314,44 @@ def test_shards_are_even_and_gapless(spark, words):
     assert sharding.assign(docs.union(docs.limit(2))).count() == len(texts) + 2
 
 
+def plain_deal(left, item, count):
+    """One item at a time."""
+    left, taken = left.copy(), np.zeros(len(left), int)
+    room = np.floor(np.maximum(left[:, 0], 0) / item[0] + 1e-9)
+    for _ in range(count):
+        fits = taken < room
+        shard = int(np.argmax(np.where(fits, left @ item, -np.inf) if fits.any() else left[:, 0]))
+        taken[shard] += 1
+        left[shard] -= item
+    return taken
+
+
+def test_cells_are_dealt_as_one_item_at_a_time():
+    random = np.random.default_rng(11)
+    for _ in range(60):
+        left, item, count = random.normal(0.5, 0.4, (8, 3)), random.random(3) * 10 ** random.uniform(-4, -1), int(random.integers(1, 400))
+        assert sharding.deal(left, item, count).tolist() == plain_deal(left, item, count).tolist()
+    items, counts = random.random((30, 3)) * 100, random.integers(1, 50, 30)
+    got = sharding.pack(items, counts, 4)
+    scaled, left = items / (items * counts[:, None]).sum(axis=0) * 4, np.ones((4, 3))
+    for i in np.argsort(-scaled.max(axis=1), kind="stable"):
+        taken = plain_deal(left, scaled[i], int(counts[i]))
+        assert got[i].tolist() == taken.tolist()
+        left -= taken[:, None] * scaled[i]
+    assert (got.sum(axis=1) == counts).all() and sharding.pack(np.zeros((0, 3)), np.zeros(0, int), 4).shape == (0, 4)
+
+
+def test_small_groups_go_through_cells(spark, words):
+    docs, texts = sizes(spark, words)
+    got = sharding.assign(docs, large=8).collect()
+    total, by_text = {}, {}
+    for r in got:
+        total[r["shard"]] = total.get(r["shard"], 0) + r["size"]
+        by_text.setdefault(texts[r["doc_id"]] or "", set()).add(r["shard"])
+    assert len(got) == len(texts) and max(total.values()) - min(total.values()) <= 0.1 * np.mean(list(total.values())) + 6001
+    assert [t for t, s in by_text.items() if len(s) > 1] == [texts[0]]
+
+
 def plain_mix(rows):
     """targets by bisection on the level, and the law's bounds."""
     total = {}
@@ -287,3 +404,34 @@ def test_pipeline_stages_work_on_what_is_left(spark):
     assert left[0] >= left[1] >= left[2] >= left[3] and left[3] > 0.4 * left[0]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == left[-1] and "doc_id" in last.columns
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "quality", "near_duplicates", "mixing", "tokens"]
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.scores(docs, labels).collect()}
+    assert sorted(r["doc_id"] for r in stages["toxicity"](spark, docs, sf).collect()) == sorted(i for i, p in scored.items() if not p)
+    scored = {r["doc_id"]: r["predicted"] for r in quality.scores(docs, labels).collect()}
+    assert sorted(r["doc_id"] for r in stages["quality"](spark, docs, sf).collect()) == sorted(i for i, p in scored.items() if p)
+    prints = {i: plain_fingerprint(r["text"]) for i, r in rows.items()}
+    linked = [(i, j) for i in rows for j in rows if i < j and (prints[i] ^ prints[j]).bit_count() <= 4]
+    assert sorted(r["doc_id"] for r in stages["near_duplicates"](spark, docs, sf).collect()) == sorted(set(plain_components(rows, linked).values()))
+    sized = [(i, len((r["text"] or "").encode().split()), r["source"]) for i, r in rows.items()]
+    _, target = plain_mix(sized)
+    mixed, taken = stages["mixing"](spark, docs, sf), {}
+    for r in mixed.collect():
+        assert r == rows[r["doc_id"]]
+        taken[r["source"]] = taken.get(r["source"], 0) + len((r["text"] or "").encode().split())
+    assert all(abs(taken.get(s, 0) - t) <= 2 * max(n for _, n, _ in sized) for s, t in target.items())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in stages["tokens"](spark, docs, sf).collect():
+        assert r["ids"] == tokenizer.encode(rows[r["doc_id"]]["text"] or "", add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])

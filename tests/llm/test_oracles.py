@@ -7,7 +7,7 @@ from keyloom.llm import queries
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
-    "op1_toxicity": "doc_id held_out score predicted",
+    "op1_toxicity": "doc_id held_out score predicted evidence",
     "op2_simhash_dedup": "doc_id fingerprint component_id",
     "op3_quality": "doc_id held_out score predicted",
     "op4_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",

@@ -129,6 +129,65 @@ def test_main_text_one_huge_path_hides_no_other():
         assert html_extract.main_text(f"<article>{page}</article>") == "\n".join(want)
 
 
+def test_main_text_reads_quotes_as_html_does():
+    assert html_extract.main_text("<p title=it's>One, two.</p><p>Three, it's four.</p><p>Five.</p>") == "One, two.\nThree, it's four.\nFive."
+    assert html_extract.main_text("<p title='a > b' class=\"x'>y\">One, two.</p><p data-x = 'it\"s'>Three.</p>") == "One, two.\nThree."
+    page = "<article><div class='article-header'><h1>T</h1></div>" + "".join(f"<p>{t}</p>" for t in LONG) + "<p class='search-results'>Found, at last.</p></article>"
+    assert html_extract.main_text(page) == "\n".join(["T", *LONG, "Found, at last."])
+    assert html_extract.main_text("<div " + "a='" * 50_000 + ">x</div><p>End, here.</p>") is not None
+
+
+def test_main_text_of_long_pages_and_repeated_rows(spark):
+    body = "".join(f"<p>{t} {i}</p>" for i, t in enumerate(LONG * 5_000))
+    rows = spark.createDataFrame([(1, "u", f"<nav>menu</nav><div>{body}</div><div><div><p>Buy now</p></div></div>", "x")] * 2, "page_id long, url string, html string, text string")
+    got = html_extract.extract(rows).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["n_chars"] == sum(len(t) + len(str(i)) + 2 for i, t in enumerate(LONG * 5_000)) - 1
+    assert html_extract.extract(rows.limit(0)).count() == 0
+
+
+def test_long_words_are_merged_as_the_library_does():
+    random = np.random.default_rng(12)
+    words = ["".join(random.choice(list("etaoinshrdlu"), n)) for n in (65, 300, 20_000)] + ["a" * 5_001, "ha" * 3_000 + "h", "日本" * 500]
+    vocabulary, tokenizer = bpe.Vocabulary(WORDS), Tokenizer.from_file(WORDS)
+    for word, (ids, _) in zip(words, vocabulary.encode(words)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(word, add_special_tokens=False).ids
+    assert vocabulary.merge_all([vocabulary.letters("aaaaaaa" + bpe.END)]) == [vocabulary.merge_long(vocabulary.letters("aaaaaaa" + bpe.END))]
+
+
+def test_words_are_forgotten_by_bytes(monkeypatch):
+    vocabulary = bpe.Vocabulary(WORDS)
+    monkeypatch.setattr(bpe, "REMEMBERED", 1_000)
+    first = list(vocabulary.encode(["one two three four five <|endoftext|>"]))
+    for _ in range(3):
+        list(vocabulary.encode([f"word{i} other" for i in range(20)]))
+        assert list(vocabulary.encode(["one two three four five <|endoftext|>"])) == first
+    assert len(vocabulary.known) < 60
+
+
+def plain_likeness(a, b):
+    """Two fingerprints' likeness, bin by bin."""
+    cells = [[(int(s[i : i + 4], 16), int(s[i + 4 : i + 12], 16)) for i in range(0, len(s), 12)] for s in (a, b)]
+    empty = (0xFFFF, 0xFFFFFFFF)
+    shifts = [y[1] - x[1] for x, y in zip(*cells) if x != empty and y != empty and x[0] == y[0]]
+    filled = sum(x != empty or y != empty for x, y in zip(*cells))
+    typical = sorted(shifts)[(len(shifts) - 1) // 2] if shifts else 0
+    return sum(abs(s - typical) <= fingerprints.SLACK for s in shifts) / filled if filled else 1.0
+
+
+def plain_fingerprint(text):
+    """Each bin's anchor of smallest (rank, tag), first place, written as hex digits."""
+    data, best = (text or "").encode(), {}
+    if 0 < len(data) < fingerprints.K:
+        found = [(0, int.from_bytes(hashlib.sha256(data).digest()[:8], "little"))]
+    else:
+        halves = [np.array([int.from_bytes(data[i + o : i + o + 8], "big")], dtype=np.uint64) for i in plain_syncmers(text or "") for o in (0, 8)]
+        found = [(i, int(fingerprints._mix(a * np.uint64(0x9E3779B97F4A7C15) ^ fingerprints._mix(b))[0])) for i, a, b in zip(plain_syncmers(text or ""), halves[::2], halves[1::2])]
+    for place, anchor in found:
+        own = (anchor & 0xFFFF, anchor >> 41 & 0xFFFF, place)
+        best[anchor >> 57] = min(best.get(anchor >> 57, own), own)
+    return "".join(f"{best[b][1]:04x}{best[b][2]:08x}" if b in best else "f" * 12 for b in range(fingerprints.BINS))
+
+
 def plain_syncmers(text):
     """Anchors of a text, one by one."""
     data = np.frombuffer(text.encode(), np.uint8)
@@ -173,6 +232,32 @@ def test_fingerprints_follow_edits(spark, words):
     assert {r["fingerprint"] for r in fingerprints.fingerprint(docs).collect()} == {r["fingerprint"] for r in got.values()}
 
 
+def test_fingerprints_and_likeness_equal_plain_ones(spark, words):
+    random = np.random.default_rng(13)
+    texts = [" ".join(random.choice(words, n)) for n in (60, 40, 80, 1, 2)] + [None, "", "é😀" * 20, "x" * 15]
+    texts.append(texts[0])
+    rows = [(i // 2 * 3, t) for i, t in enumerate(texts)] + [(None, texts[1])]  # ids come twice
+    docs = spark.createDataFrame([(*r, "f") for r in rows], "doc_id long, text string, fingerprint string").repartition(3)
+    ids = sorted({i for i, _ in rows if i is not None})
+    least = {i: min(t or "" for j, t in rows if j == i) for i in ids}
+    want = []
+    for i, t in rows:
+        t, after = t or "", "" if i is None else least[ids[ids.index(i) - 1]]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        own, changed, beyond = map(plain_fingerprint, (t, edited, after))
+        want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), own, changed, round(plain_likeness(own, changed), 9), round(plain_likeness(own, beyond), 9)))
+    got = [(str(r["doc_id"]), *r[1:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.against_next(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_positions_have_room_for_any_text():
+    data = np.frombuffer(b"lead " * 3_600_000 + b"the very last words of a long text, which stand far out", np.uint8)  # beyond 2^24 bytes
+    cells = fingerprints.sketch(data, np.array([0, len(data)]))
+    places = cells[cells != fingerprints._EMPTY] & np.uint64((1 << fingerprints.POSITION_BITS) - 1)
+    assert places.max() > 1 << 24
+
+
 def test_many_ranges_give_the_same_chain(spark, words, monkeypatch):
     random = np.random.default_rng(3)
     texts = [" ".join(random.choice(words, 5)) for _ in range(60)]
