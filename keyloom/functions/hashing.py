@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -19,24 +21,33 @@ def _digest(data: bytes) -> str:
 
 
 def serialize(value) -> bytes:
-    """The same bytes for the same content. Objects in arrays go by value, never by address."""
-    if hasattr(value, "item") and getattr(value, "ndim", None) == 0:
+    """The same bytes for the same content. Plain values are their JSON text; all else is a tag, a count and
+    its parts, each after its length, so that no two contents run into the same bytes."""
+    if isinstance(value, np.generic) or (isinstance(value, np.ndarray) and value.ndim == 0):
         value = value.item()
     if value is None or isinstance(value, (bool, int, float, str)):
         return json.dumps(value).encode()
     if isinstance(value, dict):
-        return b"dict:" + b"".join(serialize(k) + b"=" + serialize(value[k]) + b";" for k in sorted(value, key=str))
+        return _framed("map", sorted(_framed("entry", [serialize(k), serialize(v)]) for k, v in value.items()))
     if isinstance(value, (list, tuple)):
-        return (b"list:" if isinstance(value, list) else b"tuple:") + b"".join(serialize(v) + b";" for v in value)
+        return _framed("list" if isinstance(value, list) else "row", map(serialize, value))
     if isinstance(value, np.ndarray):
-        head = f"ndarray:{value.shape}:{value.dtype}:".encode()
-        return head + (b"".join(serialize(v) + b";" for v in value.ravel().tolist()) if value.dtype == object else np.ascontiguousarray(value).tobytes())
+        cells = [np.ascontiguousarray(value).tobytes()] if value.dtype != object else map(serialize, value.ravel())
+        return _framed("array", [str(value.dtype).encode(), str(value.shape).encode(), *cells])
     if isinstance(value, pd.DataFrame):
-        parts = [serialize(list(map(str, value.columns))), *(serialize(value[c].to_numpy()) for c in value.columns)]
-        return b"dataframe:" + b"|".join(parts)
+        return _framed("table", [p for c in value.columns for p in (serialize(str(c)), serialize(value[c].to_numpy()))])
     if isinstance(value, pd.Series):
-        return b"series:" + serialize(str(value.name)) + serialize(value.to_numpy())
-    return b"other:" + repr(value).encode()
+        return _framed("column", [serialize(str(value.name)), serialize(value.to_numpy())])
+    if isinstance(value, (bytes, bytearray)):
+        return _framed("bytes", [bytes(value)])
+    if isinstance(value, (datetime, date, timedelta, Decimal)):
+        return _framed(type(value).__name__, [str(value).encode()])
+    raise TypeError(f"no stable content of a {type(value).__name__}; save it by a codec")
+
+
+def _framed(tag: str, parts) -> bytes:
+    parts = list(parts)
+    return b"".join([f"<{tag} {len(parts)}>".encode(), *(f"{len(p)}:".encode() + p for p in parts)])
 
 
 def canonical_hash(value) -> str:

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_positional(parts: list[DataFrame], by: list[str], position: list[list[str | Column]]) -> DataFrame:
+def merge_positional(parts: list[DataFrame], by: list[str], position: list[list[str | Column]], place: str | None = None) -> DataFrame:
     """Columns side by side, row by row in the order of `position` within each combination of `by`.
 
     A part with one row in a combination is repeated. Differing counts above one, and data
     columns in more than one part, are errors: the first when the plan runs, the second at
-    once. Combinations that a part lacks are dropped.
+    once. Combinations that a part lacks are dropped. place: a column for the rows' places, from 1;
+    a column of this name in a part only gives its order.
     """
-    names = [c for p in parts for c in p.columns if c not in by]
+    names = [c for p in parts for c in p.columns if c not in (*by, place)]
     if len(names) != len(set(names)):
         raise KeyError(f"columns in more than one part: {sorted({n for n in names if names.count(n) > 1})}")
     numbered = []
@@ -27,14 +28,14 @@ def merge_positional(parts: list[DataFrame], by: list[str], position: list[list[
     wanted = counted.where(F.col("__parts") == len(parts)).select(*by, "__n", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__pos"))
     out = wanted
     for part, rows, n in zip(parts, numbered, (f"__n{i}" for i in range(len(parts)))):
-        data = [c for c in part.columns if c not in by]
+        data = [c for c in part.columns if c not in (*by, place)]
         many = rows.where(F.col(n) > 1).select(*by, "__pos", F.col(n).alias("__many"), *[F.col(c).alias(f"__m_{c}") for c in data])
         one = rows.where(F.col(n) == 1).select(*by, F.lit(True).alias("__one"), *[F.col(c).alias(f"__s_{c}") for c in data])
         out = out.join(many, [*by, "__pos"], "left").join(one, by, "left")
         fits = F.assert_true(F.col("__one").isNotNull() | F.col("__many").eqNullSafe(F.col("__n")), F.lit("parts of a merge differ in their number of rows"))
         picked = [F.when(F.col("__one").isNotNull(), F.col(f"__s_{c}")).otherwise(F.col(f"__m_{c}")).alias(c) for c in data]
         out = out.where(fits.isNull()).select(*wanted.columns, *[c for c in out.columns if c in names], *picked)
-    return out.drop("__pos", "__n")
+    return out.drop("__n").withColumnRenamed("__pos", place) if place else out.drop("__pos", "__n")
 
 
 def merge_shared(parts: list[DataFrame]) -> DataFrame:

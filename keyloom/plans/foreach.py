@@ -1,10 +1,12 @@
 """Call a function for every combination of keys.
 
-Inputs are tables with key columns, or without any (constants to all combinations), or
-plain values. Combinations come from the first table input, or are given. One input is a
-grouped map; several are packed per combination and joined on the keys each has, so that the
-function gets one table of each. With `native`, aggregates as column expressions replace the
-function and nothing leaves the JVM.
+Inputs are tables with key columns, or without any (constants to all combinations), path
+templates, or plain values. Combinations come from the first table input, or are given. The
+rows of all keyed inputs are tagged and brought together by combination in one shuffle; each
+group is split again by tag, so that the function gets one table of each input, in order. A
+table without keys is read once and broadcast if its checked size allows, else it goes along
+with the rows. With `native`, aggregates as column expressions replace the function and
+nothing leaves the JVM.
 """
 
 from __future__ import annotations
@@ -16,13 +18,21 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..constant import plain_value
 from ..functions.keys import norm_key_value
 from ..operators.filters import Filter, table_condition
 from ..operators.tables import merge_positional, merge_shared
+from ..sources.paths import PathTemplate
+
+#: Bytes, as JSON, up to which a table without keys is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -46,8 +56,9 @@ class Merge:
     parts: tuple
     order: tuple
     how: str
+    place: str | None
 
-    def __init__(self, *parts, order: list[str] | None = None, how: str = "position"):
+    def __init__(self, *parts, order: list[str] | None = None, how: str = "position", place: str | None = None):
         if any(isinstance(p, Merge) for p in parts):
             raise TypeError("a Merge can't hold a Merge")
         if len(parts) < 2:
@@ -55,6 +66,7 @@ class Merge:
         object.__setattr__(self, "parts", parts)
         object.__setattr__(self, "order", tuple(order or ()))
         object.__setattr__(self, "how", how)
+        object.__setattr__(self, "place", place)  # a column for the rows' places, from 1
 
 
 @dataclass(frozen=True)
@@ -105,7 +117,7 @@ def _plain(table, keys: list[str]) -> DataFrame:
             return merge_shared(parts)
         by = [k for k in keys if all(k in p.columns for p in parts)]
         order = [[c for c in (*table.order, *keys) if c in p.columns and c not in by] or [c for c in p.columns if c not in by] for p in parts]
-        return merge_positional([p.drop(*[k for k in keys if k in p.columns and k not in by]) for p in parts], by, order)
+        return merge_positional([p.drop(*[k for k in keys if k in p.columns and k not in by]) for p in parts], by, order, table.place)
     raise TypeError(f"not a table: {table!r}")
 
 
@@ -154,6 +166,9 @@ def for_each(
     errors: str = "skip",
     dry_run: bool = False,
     dataset: Iterable[str] = (),
+    order: Iterable[str] = (),
+    keys_as_arguments: bool = False,
+    observation: Observation | None = None,
 ) -> DataFrame | None:
     """One row, or the rows of a returned table, for every combination of `keys`.
 
@@ -164,13 +179,17 @@ def for_each(
     combinations at which fn raises, keep their message in a column `error` with 'column', or
     'raise'. EachOf inputs give a column with the option's label. A combination that a keyed
     input lacks is dropped. dataset: all key names; those not iterated over are no data either,
-    so that fn gets all lower rows of a combination.
+    so that fn gets all lower rows of a combination. order: columns that put a combination's
+    rows in order, after the lower keys; fn doesn't get them. A path template is an input by
+    its path at the combination. keys_as_arguments: fn gets the keys too, by name.
+    observation: gets `rows` and `failed` when the plan runs. Running calls are cancelled with
+    Spark's own job tags.
     """
     variants = _variants(inputs, where)
     if len(variants) > 1:
         parts = []
         for labels, picked, condition in variants:
-            df = for_each(fn, picked, keys, combos, schema, condition, as_table, distribute, output_names, errors, dry_run, dataset)
+            df = for_each(fn, picked, keys, combos, schema, condition, as_table, distribute, output_names, errors, dry_run, dataset, order, keys_as_arguments)
             parts.append(None if df is None else df.withColumns({n: F.lit(v) for n, v in labels.items()}))
         return None if dry_run else reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     _, inputs, where = variants[0]
@@ -179,7 +198,7 @@ def for_each(
     if where is not None:
         columns = lambda t: [c.column for c in _leaves(t) if hasattr(c, "column")]
         found = {n: df.where(table_condition(where)) if set(columns(where)) <= set(df.columns) else df for n, df in found.items()}
-    constants = {n: v for n, v in inputs.items() if not _is_table(v)}
+    constants = {n: plain_value(v) for n, v in inputs.items() if not _is_table(v)}
     for n, v in constants.items():
         if isinstance(v, ColName):
             names = [c for c in _plain(v.table, every).columns if c not in every]
@@ -199,42 +218,81 @@ def for_each(
         return df.join(combos, keys, "left_semi").groupBy(*keys).agg(*[c.alias(n) for n, c in fn.items()])
     tabled = set(found) if as_table is True else set(as_table or ())
     selected = {n for n, v in inputs.items() if isinstance(v, ColumnSelection)}
-    call = _Call(fn, constants, keys, every, tabled, selected, output_names, distribute, errors)
-    packed = _pack(found, combos, keys)
-    kinds = {f.name: f for f in packed.schema.fields}
-    names = {n: df.columns for n, df in found.items()}
+    call = _Call(fn, constants, keys, every, tabled, selected, output_names, distribute, errors, tuple(order), keys_as_arguments)
+    combos = combos.select(*keys).distinct()
+    kinds = {f.name: f for f in combos.schema.fields}
     if schema is None:
-        sample = packed.limit(1).toPandas()
-        if sample.empty:
+        first = combos.limit(1)
+        at = first.toPandas()
+        tables = {n: _joined(first, df, keys).select(*df.columns).toPandas() for n, df in found.items()}  # of one combination
+        if at.empty or any(t.empty for n, t in tables.items() if set(keys) & set(found[n].columns)):
             raise ValueError("no combination to learn the output's types from; give a schema")
-        got = call.rows(sample, names, trial=True).drop(columns=keys)
-        made = packed.sparkSession.createDataFrame(got.drop(columns=[c for c in ("error",) if c in got])).schema
+        got = call.called(at.iloc[0].to_dict(), tables, trial=True).drop(columns=keys, errors="ignore")
+        made = combos.sparkSession.createDataFrame(got.drop(columns=[c for c in ("error",) if c in got])).schema
     else:
         made = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     fields = [kinds[k] for k in keys] + ([T.StructField(distribute, T.LongType())] if distribute else [])
     fields += [f for f in made.fields if f.name != distribute]
     if errors == "column":
         fields.append(T.StructField("error", T.StringType()))
-    order = [f.name for f in fields]
-
-    if len(found) == 1 and set(keys) <= set(next(iter(found.values())).columns):
-        (name, df), = found.items()  # one table: Spark's own grouping, without packing
-
-        def group(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-            rows = call.called(dict(zip(keys, key)), {name: table[names[name]]})
-            return rows.assign(**{c: pd.Series([None] * len(rows), dtype=object) for c in order if c not in rows})[order]
-
-        return df.join(combos.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).applyInPandas(group, T.StructType(fields))
+    out = _grouped(found, combos, keys, call, T.StructType(fields))
+    if observation is not None:
+        failed = F.count(F.col("error")) if errors == "column" else F.lit(0).cast("long")
+        out = out.observe(observation, F.count(F.lit(1)).alias("rows"), F.max(failed).alias("failed") if errors != "column" else failed.alias("failed"))
+    return out
 
-    def run(batches):
-        for batch in batches:
-            for at in range(len(batch)):
-                rows = call.rows(batch.iloc[at : at + 1], names)
-                if len(rows):
-                    lacking = {c: pd.Series([None] * len(rows), dtype=object) for c in order if c not in rows}
-                    yield rows.assign(**lacking)[order]
 
-    return packed.mapInPandas(run, T.StructType(fields))
+def _joined(combos: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each combination, by the keys that df has."""
+    own = [k for k in keys if k in df.columns]
+    return combos.join(df, own) if own else combos.crossJoin(df)
+
+
+def _small(df: DataFrame) -> bool:
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
+def _grouped(found: dict[str, DataFrame], combos: DataFrame, keys: list[str], call: _Call, result: T.StructType) -> DataFrame:
+    """One call a combination. Groups are spread over all shuffle partitions, whatever their bytes: the function's time is what counts."""
+    spark = combos.sparkSession
+    free = {n: df for n, df in found.items() if not set(keys) & set(df.columns) and _small(df)}
+    shared = spark.sparkContext.broadcast({n: df.toPandas() for n, df in free.items()}) if free else None  # at most BROADCAST_BYTES each
+    keyed = {n: df for n, df in found.items() if n not in free}
+    rows, columns = None, {}
+    for i, (name, df) in enumerate(keyed.items()):
+        data = {c: f"__{i}_{c}" for c in df.columns if c not in keys}
+        columns[name] = data
+        own = _joined(combos, df.withColumnsRenamed(data), keys).select(*keys, *data.values(), F.lit(i).alias("__tag"))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    if rows is None:
+        rows = combos.withColumn("__tag", F.lit(-1))
+    names, arrow, alone = {n: df.columns for n, df in found.items()}, to_arrow_schema(result), list(free)
+
+    def group(key: tuple, table: pa.Table) -> pa.Table:
+        at, tables = {k: v.as_py() for k, v in zip(keys, key)}, {}
+        for i, (name, data) in enumerate(columns.items()):
+            own = table.filter(pc.equal(table["__tag"], i)) if len(columns) > 1 else table
+            if not own.num_rows:
+                return arrow.empty_table()
+            frame = own.select([data.get(c, c) for c in names[name]]).to_pandas(use_threads=False)
+            frame.columns = names[name]
+            tables[name] = frame
+        for name in alone:
+            tables[name] = shared.value[name].copy()
+        out = call.called(at, tables)
+        made = []
+        for field in arrow:
+            if field.name in at:
+                made.append(pa.array([at[field.name]] * len(out), field.type))
+            elif field.name in out:
+                made.append(pa.Array.from_pandas(out[field.name], type=field.type))
+            else:
+                made.append(pa.nulls(len(out), field.type))
+        return pa.Table.from_arrays(made, schema=arrow)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).groupBy(*keys).applyInArrow(group, result)
 
 
 def _leaves(tree):
@@ -243,43 +301,33 @@ def _leaves(tree):
     return _leaves(tree.inner) if hasattr(tree, "inner") else [tree]
 
 
-def _pack(found: dict[str, DataFrame], combos: DataFrame, keys: list[str]) -> DataFrame:
-    """A row per combination with each input's rows as an array; inputs without keys are one array for all."""
-    out = combos.select(*keys).distinct()
-    for name, df in found.items():
-        own = [k for k in keys if k in df.columns]
-        rows = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(f"__{name}")
-        out = out.join(df.groupBy(*own).agg(rows), own) if own else out.crossJoin(df.agg(rows))
-    return out
-
-
 class _Call:
-    def __init__(self, fn, constants, keys, every, tabled, selected, output_names, distribute, errors):
+    def __init__(self, fn, constants, keys, every, tabled, selected, output_names, distribute, errors, order=(), keys_as_arguments=False):
         self.fn, self.constants, self.keys, self.every, self.tabled, self.selected = fn, constants, keys, every, tabled, selected
-        self.output_names, self.distribute, self.errors = output_names, distribute, errors
+        self.output_names, self.distribute, self.errors, self.order, self.keys_as_arguments = output_names, distribute, errors, order, keys_as_arguments
 
-    def rows(self, combo: pd.DataFrame, names: dict[str, list[str]], trial: bool = False) -> pd.DataFrame:
-        at = combo.iloc[0]
-        tables = {}
-        for name, columns in names.items():
-            tables[name] = pd.DataFrame([tuple(r[c] for c in columns) if not isinstance(r, tuple) else r for r in at[f"__{name}"]], columns=columns)
-        return self.called({k: at[k] for k in self.keys}, tables, trial)
+    def sorted(self, table: pd.DataFrame) -> pd.DataFrame:
+        """The rows by the lower keys, numbers as numbers, and then by the order columns, which go."""
+        by = [c for c in self.order if c in table.columns]
+        if not by:
+            return table
+        lower = [k for k in self.every if k in table.columns and k not in self.keys]
+        ranks = pd.DataFrame({c: table[c] if c in by else _sortable(table[c]) for c in (*lower, *by)})
+        return table.iloc[ranks.sort_values([*lower, *by], kind="stable").index if len(ranks) > 1 else slice(None)].drop(columns=by).reset_index(drop=True)
 
     def called(self, at: dict, tables: dict[str, pd.DataFrame], trial: bool = False) -> pd.DataFrame:
-        """The rows of one combination, with its keys in front."""
+        """The rows of one combination, without its keys."""
         try:
-            arguments = dict(self.constants)
+            arguments = {n: v.path(**at) if isinstance(v, PathTemplate) else v for n, v in self.constants.items()}
             for name, table in tables.items():
-                arguments[name] = data_value(table, self.every, name in self.tabled, name in self.selected)
+                arguments[name] = data_value(self.sorted(table), self.every, name in self.tabled, name in self.selected)
+            if self.keys_as_arguments:
+                arguments |= {k: v for k, v in at.items() if not k.startswith("__")}
             out = self._shape(self.fn(**arguments))
         except Exception as e:
             if self.errors == "raise" or trial:
                 raise
             out = pd.DataFrame([{"error": f"{type(e).__name__}: {e}"}] if self.errors == "column" else [])
-        for k in reversed(self.keys):
-            if k in out.columns:
-                out = out.drop(columns=k)
-            out.insert(0, k, [at[k]] * len(out))
         return out
 
     def _shape(self, result) -> pd.DataFrame:
@@ -298,6 +346,11 @@ class _Call:
         return pd.DataFrame([[v.tolist() if isinstance(v, np.ndarray) else v.item() if isinstance(v, np.generic) else v for v in values]], columns=names)
 
 
+def _sortable(column: pd.Series) -> pd.Series:
+    numbers = pd.to_numeric(column, errors="coerce")
+    return numbers if numbers.notna().all() else column.astype(str)
+
+
 def _pieces(result) -> list:
     """Rows of a table, elements of a list, rows of an array; of several outputs, the positions together."""
     if isinstance(result, tuple):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import jsonmaps
+from ..operators.combos import first_seen
+from ..operators.filters import Compare, Filter
+from ..plans.foreach import EachOf
 from ..sources.store import checkpointed
 
 RANK = {"red": 0, "grey": 1, "green": 2}
@@ -101,8 +105,70 @@ def filter_variants(variants: DataFrame, wanted: dict[str, str]) -> DataFrame:
     hit = F.lit(True)
     for name, value in wanted.items():
         hit = hit & F.coalesce(F.element_at("constants", F.lit(name)) == str(value), F.lit(False))
-    matched = variants.where(hit)
-    return matched if matched.first() is not None else variants
+    marked = variants.withColumn("__hit", hit)
+    some = F.broadcast(marked.agg(F.coalesce(F.bool_or("__hit"), F.lit(False)).alias("__some")))  # one row
+    return marked.crossJoin(some).where(F.col("__hit") | ~F.col("__some")).drop("__hit", "__some")
+
+
+def dedupe_by_constants(variants: DataFrame, position: str) -> DataFrame:
+    """Of variants with the same constants the first, in the order of `position`."""
+    return first_seen(variants.withColumn("__c", jsonmaps.canonical_map(F.col("constants"))), ["__c"], position).drop("__c")
+
+
+def merge_pending(variants: DataFrame, pending: DataFrame) -> DataFrame:
+    """The variants, and for each pending (constant, value) the variants with that constant changed to it, as not run.
+
+    A pending value of a constant that a variant lacks is added to it; variants that are there already don't come twice.
+    """
+    changed = variants.crossJoin(pending.select(F.col("constant").alias("__k"), F.col("value").alias("__v")))
+    changed = changed.withColumn("constants", jsonmaps.merged(F.col("constants"), F.create_map("__k", "__v"))).withColumn("record_count", F.lit(0).cast("long")).select(*variants.columns)
+    keyed = lambda df: df.withColumn("__c", jsonmaps.canonical_map(F.col("constants")))
+    rest = [c for c in ("function_name", "output") if c in variants.columns]
+    new = keyed(changed).dropDuplicates([*rest, "__c"]).join(keyed(variants).select(*rest, "__c").distinct(), [*rest, "__c"], "left_anti")
+    return variants.unionByName(new.drop("__c"))
+
+
+def merge_nodes(found: DataFrame, manual: DataFrame) -> DataFrame:
+    """(id, kind, manual): nodes of the runs, then those placed by hand that no run has made real yet."""
+    placed = manual.select("id", "kind").distinct().join(found.select("id").distinct(), "id", "left_anti")
+    return found.select("id", "kind").distinct().withColumn("manual", F.lit(False)).unionByName(placed.withColumn("manual", F.lit(True)))
+
+
+def graduated(found: DataFrame, manual: DataFrame) -> DataFrame:
+    """(id): nodes placed by hand that runs have made real."""
+    return manual.select("id").distinct().join(found.select("id"), "id", "left_semi")
+
+
+def resolve_edges(edges: DataFrame, nodes: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(function_name, param, source, kind): what each parameter of a function is bound to.
+
+    edges: (source, target, handle); a handle names the parameter, and edges without one take
+    the free parameters in order, as the edges are sorted by source. nodes: (id, kind);
+    signatures: (function_name, position, param).
+    """
+    into = edges.join(nodes.select(F.col("id").alias("target"), F.col("kind").alias("__target")), "target").where(F.col("__target") == "function")
+    into = into.join(nodes.select(F.col("id").alias("source"), "kind"), "source").select(F.col("target").alias("function_name"), "source", "kind", "handle")
+    named = into.join(signatures.select("function_name", F.col("param").alias("handle")), ["function_name", "handle"]).select("function_name", F.col("handle").alias("param"), "source", "kind")
+    free = signatures.join(named.select("function_name", "param"), ["function_name", "param"], "left_anti")
+    by_place = lambda df, *order: df.withColumn("__n", F.row_number().over(Window.partitionBy("function_name").orderBy(*order)))
+    loose = by_place(into.where("handle IS NULL"), "source").join(by_place(free, "position").select("function_name", "param", "__n"), ["function_name", "__n"])
+    return named.unionByName(loose.select("function_name", "param", "source", "kind"))
+
+
+def key_values(log: DataFrame, keys: list[str], level: str | None = None, wanted: dict[str, list] | None = None) -> dict[str, DataFrame]:
+    """For each key down to `level`: its values in the log, or those wanted of it; for `for_each`'s combinations."""
+    down = keys[: keys.index(level) + 1] if level else keys
+    out = {}
+    for k in down:
+        values = log.select(F.col(k).cast("string").alias(k)).where(F.col(k).isNotNull()).distinct()
+        out[k] = values.where(F.col(k).isin([str(v) for v in wanted[k]])) if wanted and wanted.get(k) else values
+    return out
+
+
+def where_of(rows: list[dict]) -> Filter | EachOf | None:
+    """Filters written as rows (variable, column, op, value): one is a filter, several are alternatives, each run on its own."""
+    built = [Compare(r["variable"], r.get("column") or "value", r["op"].lower(), tuple(r["value"]) if r["op"].lower() == "in" else r["value"]) for r in rows]
+    return None if not built else built[0] if len(built) == 1 else EachOf(*built)
 
 
 def pipeline_structure(log: DataFrame) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import inspect
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import update_wrapper
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constant import plain_value
 from ..functions import jsonmaps
 from ..functions.hashing import canonical_hash, function_hash
-from ..sources.store import checkpointed
+from ..sources.store import Store, checkpointed
 
 
 class LineageFunction:
@@ -20,17 +26,105 @@ class LineageFunction:
     is kept of it, with the keys as further arguments.
     """
 
-    def __init__(self, function: Callable, unpack: bool = False, generates_file: bool = False):
+    def __init__(self, function: Callable, unpack: bool = False, generates_file: bool = False, name: str | None = None):
         self.function, self.unpack, self.generates_file = function, unpack, generates_file
         self.hash = canonical_hash(f"{function_hash(function)}-{unpack}")
         update_wrapper(self, function)
+        self.__name__ = name or function.__name__
 
     def __call__(self, *args, **kwargs):
         return self.function(*args, **kwargs)
 
-    def lineage_hash(self, inputs: dict) -> str:
-        """The same for the same function over the same inputs: constants, record ids or other results' hashes."""
-        return canonical_hash([self.hash, {k: str(v) for k, v in inputs.items()}])
+    def trace(self, *args, **kwargs):
+        """Call the function and remember how: a Result, or one of each output with unpack."""
+        bound = inspect.signature(self.function).bind(*args, **kwargs).arguments  # TypeError if one is lacking
+        call = Invocation(self, dict(bound))
+        out = self.function(**{n: v.data if isinstance(v, (Result, Saved)) else plain_value(v) for n, v in bound.items()})
+        if not self.unpack:
+            return Result(out, call, 0)
+        return tuple(Result(v, call, n) for n, v in enumerate(out))
+
+
+@dataclass(frozen=True)
+class Saved:
+    """A value that was loaded, with its record id."""
+
+    data: object
+    record_id: str
+    variable_name: str
+
+
+@dataclass(frozen=True)
+class Invocation:
+    """A function and what it was called with."""
+
+    function: LineageFunction
+    inputs: dict
+
+    def classified(self) -> list[dict]:
+        """Each input as (name, kind, what identifies it): a result, a saved record, raw data or a constant."""
+        out = []
+        for name, v in sorted(self.inputs.items()):
+            if isinstance(v, Result):
+                out.append({"name": name, "kind": "result", "hash": v.hash, "record_id": v.record_id})
+            elif isinstance(v, Saved):
+                out.append({"name": name, "kind": "record", "hash": v.record_id, "record_id": v.record_id})
+            else:
+                v = plain_value(v)
+                out.append({"name": name, "kind": "raw" if isinstance(v, (np.ndarray, pd.DataFrame, pd.Series)) else "constant", "hash": canonical_hash(v), "record_id": None})
+        return out
+
+    @property
+    def hash(self) -> str:
+        return canonical_hash([self.function.hash, [[i["name"], i["kind"], i["hash"]] for i in self.classified()]])
+
+
+@dataclass
+class Result:
+    """What a traced call returned; `record_id` once it is saved."""
+
+    data: object
+    made_by: Invocation
+    number: int
+    record_id: str | None = None
+
+    @property
+    def hash(self) -> str:
+        return canonical_hash(f"{self.made_by.hash}-output-{self.number}")
+
+    def lineage(self) -> dict:
+        """The lineage entry of a store."""
+        inputs = self.made_by.classified()
+        constants = {i["name"]: json.dumps(plain_value(self.made_by.inputs[i["name"]]), default=str) for i in inputs if i["kind"] == "constant"}
+        listed = [{"name": i["name"], "record_id": i["record_id"]} for i in inputs if i["kind"] in ("record", "result")]
+        return {"lineage_hash": self.hash, "function_name": self.made_by.function.__name__, "function_hash": self.made_by.function.hash, "inputs": listed, "constants": constants}
+
+    def upstream(self) -> list[dict]:
+        """The steps that led here, the nearest first, each once."""
+        seen, open_, out = set(), [self], []
+        while open_:
+            at = open_.pop(0)
+            if at.hash not in seen:
+                seen.add(at.hash)
+                out.append(at.lineage())
+                open_ += [v for v in at.made_by.inputs.values() if isinstance(v, Result)]
+        return out
+
+
+def save_result(store: Store, name: str, result: Result, **metadata) -> str:
+    """Save a result with its lineage, and the function and constants as version keys; returns the record id."""
+    entry = result.lineage()
+    versions = {"__fn": entry["function_name"], "__fn_hash": entry["function_hash"], "__constants": json.dumps(entry["constants"], sort_keys=True), "__output_num": str(result.number)}
+    result.record_id = store.save(name, result.data, {f"{entry['function_name']}.{k}": v for k, v in entry["constants"].items()}, entry, **metadata, **versions)
+    return result.record_id
+
+
+def load_saved(store: Store, name: str, **options) -> Saved:
+    """A record's value with its id, as an input of a traced call."""
+    found = store.load_all(name, **options)
+    if len(found) != 1:
+        raise LookupError(f"{len(found)} records of {name} at {options}")
+    return Saved(found[0][2], found[0][1], name)
 
 
 def lineage_function(function: Callable | None = None, **options):
@@ -38,9 +132,12 @@ def lineage_function(function: Callable | None = None, **options):
     return LineageFunction(function, **options) if function else lambda f: LineageFunction(f, **options)
 
 
-def manual(data, label: str, reason: str) -> tuple[object, dict]:
-    """A value edited by hand, with the lineage entry that says so."""
-    return data, {"function_name": f"manual:{label}", "function_hash": canonical_hash(reason), "constants": {"reason": reason}}
+def manual(data, label: str, reason: str, source: Result | Saved | None = None) -> Result:
+    """A value edited by hand, as a step of its own that says why."""
+    if not label or not reason:
+        raise ValueError("a manual edit needs a label and a reason")
+    step = LineageFunction(lambda **_: data, name=f"manual:{label}")
+    return Result(data, Invocation(step, {"reason": reason, "data": canonical_hash(data)} | ({"source": source} if source is not None else {})), 0)
 
 
 def ancestors(edges: DataFrame, hops: int = 20, start: DataFrame | None = None) -> DataFrame:

@@ -44,6 +44,7 @@ LOGS = {
     "lineage": "output_record_id string, lineage_hash string, variable_name string, function_name string, function_hash string, inputs string, constants string, timestamp string",
     "variables": "variable_name string, schema_level string, schema_version int, description string, dropped boolean, timestamp string",
     "expected": "function_name string, combo string, branch_params string, run string",
+    "record_sets": "set_id string, record_id string",
 }
 
 
@@ -51,10 +52,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def variant(version_keys: Column) -> Column:
+    """The version keys that make a variant: which records and which text of the function it came from don't."""
+    kept = F.map_filter(jsonmaps.as_map(version_keys), lambda k, _: ~k.startswith("__rid_") & (k != "__fn_hash"))
+    return jsonmaps.canonical_map(kept)
+
+
+_CURRENT: list[Store] = []
+
+
+def open_store(spark: SparkSession, root: str, keys: Iterable[str], user: str = "") -> Store:
+    """Open a store and make it the current one."""
+    _CURRENT[:] = [Store(spark, root, keys, user)]
+    return _CURRENT[0]
+
+
+def current_store() -> Store:
+    if not _CURRENT:
+        raise LookupError("no store is open; call open_store first")
+    return _CURRENT[0]
+
+
 def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")
 
@@ -64,6 +89,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, keys: Iterable[str], user: str = ""):
         self.spark, self.root, self.schema, self.user = spark, root.rstrip("/"), DatasetSchema(keys), user
+        self.codecs: dict[str, tuple] = {}
         kept = self._read("schema", "position int, name string")
         names = [r["name"] for r in kept.orderBy("position").collect()]
         if names and tuple(names) != self.schema.keys:
@@ -80,7 +106,9 @@ class Store:
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(self._path(name))
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def _append(self, name: str, df: DataFrame, by: str | None = None) -> None:
@@ -112,8 +140,10 @@ class Store:
         for i, (value, metadata) in enumerate(items):
             own, rest = self.schema.split(metadata)
             own = {k: norm_key_value(v) for k, v in own.items()}
-            cells, columns, recipe = types.encode(value)
-            content = canonical_hash(value)
+            codec = self.codecs.get(name)
+            cells, columns, recipe = types.encode(codec[0](value) if codec else value)
+            recipe |= {"codec": name} if codec else {}
+            content = canonical_hash(codec[0](value) if codec else value)
             params = branch_params[i] if branch_params else {}
             rid = record_id(name, version, content, own | rest)
             ids.append(rid)
@@ -130,14 +160,26 @@ class Store:
         self._append("record_log", self.spark.createDataFrame(logs, self.log().schema), "variable_name")
         return ids
 
-    def save_table(self, name: str, df: DataFrame, columns: list[str], branch_params: Column | None = None, version: int = 1, order: list[str] | None = None, extra: dict | None = None, hidden: tuple[str, ...] = ()) -> DataFrame:
+    def codec(self, name: str, encode, decode) -> None:
+        """How values of a variable become a table, dict or plain value, and back."""
+        self.codecs[name] = encode, decode
+
+    def save_many(self, name: str, values: dict[tuple, object], **options) -> list[str]:
+        """Save driver-side values by the tuple of their keys, the coarsest first."""
+        items = [(v, dict(zip(self.schema.keys, at if isinstance(at, tuple) else (at,)))) for at, v in values.items()]
+        return self.save_batch(name, items, **options)
+
+    def save_table(
+        self, name: str, df: DataFrame, columns: list[str], branch_params: Column | None = None, version: int = 1, order: list[str] | None = None, extra: dict | None = None,
+        hidden: tuple[str, ...] = (), lineage: Column | None = None,
+    ) -> DataFrame:
         """Save every key combination of a table as a record, by column expressions only.
 
         df: key columns, version-key columns and the data columns named in `columns`. Rows of a
         combination are one record, in the order of `order`. The content hash is a sum over the
         rows' digests with their places, so it combines before the shuffle. extra: version keys
         of all records. hidden: columns that are no version keys but may be named by
-        branch_params. Returns the log rows with the version-key columns.
+        branch_params and lineage, the lineage hash. Returns the log rows with the version-key columns.
         """
         keys = [k for k in self.schema.keys if k in df.columns]
         rest = [c for c in df.columns if c not in (*keys, *columns)]
@@ -146,33 +188,48 @@ class Store:
         rows = df.withColumn("row_pos", place)
         digest = F.conv(F.substring(F.sha2(F.to_json(F.struct("row_pos", *columns)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
         grouped = rows.groupBy(*keys, *rest).agg(F.sum(digest).alias("__sum"), F.count(F.lit(1)).alias("__n"))
+        content = F.substring(F.sha2(F.concat_ws("|", F.col("__sum").cast("string"), F.col("__n").cast("string")), 256), 1, DIGITS)
+        recipe = {"mode": "table" if order else "dict" if columns != ["value"] else "value", "columns": {c: {"kind": "scalar"} for c in columns}}
+        stamped = checkpointed(self._stamped(name, grouped, keys, rest, content, json.dumps(recipe), branch_params, version, extra, hidden, lineage))
+        records = stamped.select("record_id", *keys, *rest)
+        on = [rows[k].eqNullSafe(records[k]) for k in (*keys, *rest)]
+        self._add_data(name, rows.join(records, on).select("record_id", "row_pos", *[rows[c] for c in columns]))
+        self._register(name, self.schema.level(keys), version, now())
+        self._append("record_log", stamped.select(*self.log().columns), "variable_name")
+        return stamped
+
+    def save_generated(self, name: str, df: DataFrame, branch_params: Column | None = None, extra: dict | None = None, hidden: tuple[str, ...] = (), lineage: Column | None = None, version: int = 1) -> DataFrame:
+        """A record without data for every row of keys and version keys: what a function wrote elsewhere. Returns the log rows."""
+        keys = [k for k in self.schema.keys if k in df.columns]
+        rest = [c for c in df.columns if c not in keys]
+        rows = self._stamped(name, norm_keys(df, keys).distinct(), keys, rest, F.lit("generated"), None, branch_params, version, extra, hidden, lineage)
+        stamped = checkpointed(rows.withColumns({"record_id": F.concat(F.lit("generated:"), "record_id"), "content_hash": F.lit(None).cast("string")}))
+        self._register(name, self.schema.level(keys), version, now())
+        self._append("record_log", stamped.select(*self.log().columns), "variable_name")
+        return stamped
+
+    def _stamped(self, name, grouped, keys, rest, content, recipe, branch_params, version, extra, hidden, lineage) -> DataFrame:
+        """The log rows of a table of addresses: keys and version keys."""
         fixed = F.map_from_arrays(F.array(*[F.lit(k) for k in (extra or {})]), F.array(*[F.lit(str(v)) for v in (extra or {}).values()])) if extra else None
         named = [c for c in rest if c not in hidden]
         own = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*[F.col(c).cast("string") for c in named])) if named else None
         both = own if fixed is None else fixed if own is None else jsonmaps.merged(fixed, own)
         version_keys = F.lit("{}") if both is None else jsonmaps.canonical_map(both)
-        content = F.substring(F.sha2(F.concat_ws("|", F.col("__sum").cast("string"), F.col("__n").cast("string")), 256), 1, DIGITS)
         address = F.concat_ws("|", F.lit(name), F.lit(version), content, *[F.coalesce(F.col(k), F.lit("")) for k in keys], version_keys)
-        recipe = {"mode": "table" if order else "dict" if columns != ["value"] else "value", "columns": {c: {"kind": "scalar"} for c in columns}}
         stamped = grouped.withColumns({
             "record_id": F.substring(F.sha2(address, 256), 1, DIGITS), "timestamp": F.lit(now()), "schema_level": F.lit(self.schema.level(keys)).cast("string"),
-            "version_keys": version_keys, "content_hash": content, "lineage_hash": F.lit(None).cast("string"), "schema_version": F.lit(version).cast("int"), "user_id": F.lit(self.user),
-            "branch_params": F.lit("{}") if branch_params is None else branch_params, "recipe": F.lit(json.dumps(recipe)), "variable_name": F.lit(name),
+            "version_keys": version_keys, "content_hash": content, "lineage_hash": F.lit(None).cast("string") if lineage is None else lineage, "schema_version": F.lit(version).cast("int"), "user_id": F.lit(self.user),
+            "branch_params": F.lit("{}") if branch_params is None else branch_params, "recipe": F.lit(recipe).cast("string"), "variable_name": F.lit(name),
         })
-        stamped = stamped.withColumns({k: F.lit(None).cast("string") for k in self.schema.keys if k not in keys})
-        stamped = checkpointed(stamped)
-        records = stamped.select("record_id", *keys, *rest)
-        on = [rows[k].eqNullSafe(records[k]) for k in (*keys, *rest)]
-        self._add_data(name, rows.join(records, on).select("record_id", "row_pos", *[rows[c] for c in columns]))
-        self._register(name, self.schema.level(keys), version, now())
-        self._append("record_log", stamped.select(*self.log().columns), "variable_name")
-        return stamped
+        return stamped.withColumns({k: F.lit(None).cast("string") for k in self.schema.keys if k not in keys})
 
     def _add_data(self, name: str, rows: DataFrame) -> None:
+        """Append the rows of records that are new. Two writers at the same time may add one twice; readers drop repeats."""
         try:
             rows = rows.join(self.data(name).select("record_id").distinct(), "record_id", "left_anti")
-        except AnalysisException:
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
         self._append(f"data/{name}", rows)
 
     def _add_lineage(self, rows: DataFrame) -> None:
@@ -205,7 +262,7 @@ class Store:
         if version == "all":
             log = latest(log, ["record_id"], "timestamp", "record_id")
         elif version == "latest":
-            log = latest(log, [*self.schema.keys, "version_keys"], "timestamp", "record_id")
+            log = latest(log.withColumn("__variant", variant(F.col("version_keys"))), [*self.schema.keys, "__variant", "branch_params"], "timestamp", "record_id").drop("__variant")
         else:
             log = latest(log.where(F.col("record_id") == version), ["record_id"], "timestamp", "record_id")
         for k, v in (versions or {}).items():
@@ -225,7 +282,7 @@ class Store:
         rows: the places, from 0, of the rows wanted of each record; all by default.
         """
         log = self.records(name, **options).select(*self.schema.keys, "record_id", "timestamp", "version_keys", "branch_params", "recipe")
-        found = log.join(self.data(name), "record_id", "left")
+        found = log.join(self.data(name).dropDuplicates(["record_id", "row_pos"]), "record_id", "left")
         if rows is not None:
             found = found.where(F.col("row_pos").isin(rows))
         return found if where is None else filters.resolve(where, found, self.schema, self._filter_values, level=self.level(found))
@@ -261,7 +318,9 @@ class Store:
         out = []
         for rid, own in grouped.items():
             keys = {k: typed_key_value(own[0][k]) for k in self.schema.keys if own[0][k] is not None}
-            out.append((keys, rid, types.decode(own, json.loads(own[0]["recipe"])) if own[0]["recipe"] else None))
+            recipe = json.loads(own[0]["recipe"]) if own[0]["recipe"] else None
+            value = None if recipe is None else types.decode(own, recipe)
+            out.append((keys, rid, self.codecs[recipe["codec"]][1](value) if recipe and recipe.get("codec") in self.codecs else value))
         return out
 
     def head(self, name: str, n: int = 5, **options) -> pd.DataFrame:
@@ -316,11 +375,17 @@ class Store:
         self._append("variables", self.spark.createDataFrame([(name, level, version, description, dropped, stamp)], LOGS["variables"]))
 
     def describe(self, name: str, description: str) -> None:
-        self._register(name, None, 1, now(), description)
+        known = self._known(name)
+        self._register(name, known[0], known[1], now(), description)
+
+    def _known(self, name: str) -> tuple[str | None, int]:
+        row = latest(self.table("variables").where(F.col("variable_name") == name), ["variable_name"], "timestamp", "variable_name").first()
+        return (row["schema_level"], row["schema_version"]) if row else (None, 1)
 
     def drop(self, name: str) -> None:
         """Forget a variable; its files and log rows stay as history."""
-        self._register(name, None, 1, now(), dropped=True)
+        known = self._known(name)
+        self._register(name, known[0], known[1], now(), dropped=True)
 
     def exclude(self, rid: str, excluded: bool = True) -> None:
         self._append("exclusions", self.spark.createDataFrame([(rid, excluded, now())], LOGS["exclusions"]))
@@ -359,4 +424,23 @@ class Store:
     def edges(self) -> DataFrame:
         """(child, parent) record ids of all lineage."""
         inputs = F.from_json("inputs", "array<struct<name:string,record_id:string>>")
-        return self.table("lineage").select(F.col("output_record_id").alias("child"), F.explode(inputs).alias("i")).select("child", F.col("i.record_id").alias("parent")).where("parent IS NOT NULL")
+        used = self.table("lineage").select(F.col("output_record_id").alias("child"), F.explode(inputs).alias("i")).select("child", F.col("i.record_id").alias("parent")).where("parent IS NOT NULL")
+        sets = self.table("record_sets").distinct()
+        members = used.join(sets, F.col("parent") == F.col("set_id")).select("child", F.col("record_id").alias("parent"))
+        return used.where(~F.col("parent").startswith("set:")).unionByName(members)
+
+    def expected(self, function_name: str) -> DataFrame:
+        """The combinations that the function's newest run expected."""
+        rows = self.table("expected").where(F.col("function_name") == function_name)
+        return rows.join(F.broadcast(rows.agg(F.max("run").alias("run"))), "run")
+
+    def schema_ids(self) -> DataFrame:
+        """(schema_id, schema_level, keys): an id of every location that has a record, the same on every call."""
+        places = self.log().select("schema_level", *self.schema.keys).distinct()
+        address = F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`"), F.lit("\x00")) for k in self.schema.keys])
+        return places.select(F.xxhash64(address).alias("schema_id"), "schema_level", *self.schema.keys)
+
+    def find_id(self, name: str, **options) -> str | None:
+        """The newest record id that fits; None if there is none."""
+        row = self.records(name, **options).orderBy(F.col("timestamp").desc(), F.col("record_id").desc()).select("record_id").first()
+        return row[0] if row else None

@@ -95,6 +95,19 @@ def unflatten(value: dict) -> dict:
     return out
 
 
+def is_tabular(value) -> bool:
+    """Whether a dict is a table by columns: flat arrays or lists of plain values, all of one length above 1."""
+    if not isinstance(value, dict) or not value:
+        return False
+    for v in value.values():
+        if isinstance(v, np.ndarray) and v.ndim == 1 and v.dtype != object:
+            continue
+        if not isinstance(v, list) or any(isinstance(x, (list, dict, np.ndarray)) for x in v):
+            return False
+    sizes = {len(v) for v in value.values()}
+    return len(sizes) == 1 and sizes.pop() > 1
+
+
 def encode(value) -> tuple[list[tuple], T.StructType, dict]:
     """(rows, columns, recipe) of a value: a table has a row for each of its own, all else one row."""
     if isinstance(value, pd.DataFrame):
@@ -104,6 +117,10 @@ def encode(value) -> tuple[list[tuple], T.StructType, dict]:
             kinds[str(c)], recipes[str(c)] = spark_type(cell) if cell is not None else (T.StringType(), {"kind": "scalar"})
         rows = [tuple(None if v is None or v is pd.NaT else to_cell(v, k) for v, k in zip(r, kinds.values())) for r in value.itertuples(index=False)]
         return rows, T.StructType([T.StructField(n, k) for n, k in kinds.items()]), {"mode": "table", "columns": recipes}
+    if is_tabular(value):
+        rows, columns, recipe = encode(pd.DataFrame({k: list(v) for k, v in value.items()}))
+        kinds = {k: ["ndarray", str(v.dtype)] if isinstance(v, np.ndarray) else ["list", None] for k, v in value.items()}
+        return rows, columns, recipe | {"mode": "tabular", "kinds": kinds}
     if isinstance(value, dict) and value:
         flat = flatten(value)
         found = {n: spark_type(v) for n, v in flat.items()}
@@ -118,6 +135,9 @@ def decode(rows: list[dict], recipe: dict):
     columns = recipe["columns"]
     if recipe["mode"] == "table":
         return pd.DataFrame([{n: from_cell(r[n], c) for n, c in columns.items()} for r in rows], columns=list(columns))
+    if recipe["mode"] == "tabular":
+        columns_of = {n: [from_cell(r[n], c) for r in rows] for n, c in columns.items()}
+        return {n: np.array(v, dtype=recipe["kinds"][n][1]) if recipe["kinds"][n][0] == "ndarray" else v for n, v in columns_of.items()}
     if recipe["mode"] == "dict":
         return unflatten({n: from_cell(rows[0][n], c) for n, c in columns.items()})
     return from_cell(rows[0]["value"], columns["value"])

@@ -1,8 +1,11 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import PythonException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from keyloom.constant import Constant, plain_value
 from keyloom.functions import hashing, jsonmaps, keys
 from keyloom.operators import combos, latest, tables
 from keyloom.operators.filters import Col
@@ -150,12 +153,89 @@ def test_combos(spark, gait):
         combos.distinct_from([gait], "no")
 
 
-def test_lineage_functions():
+def test_traced_calls_know_their_inputs():
     @lineage.lineage_function
-    def f(x):
-        return x + 1
+    def add(x, k):
+        return x + k
+
+    @lineage.lineage_function(unpack=True)
+    def halves(x):
+        return x / 2, x / 2
+
+    assert add(1, 2) == 3
+    one = add.trace(1, k=Constant(2))
+    assert one.data == 3 and one.hash == add.trace(1, 2).hash != add.trace(1, 3).hash
+    a, b = halves.trace(one)
+    assert a.data == 1.5 and a.hash != b.hash and a.made_by is b.made_by
+    assert [i["kind"] for i in a.made_by.classified()] == ["result"] and [i["kind"] for i in one.made_by.classified()] == ["constant", "constant"]
+    assert [i["kind"] for i in add.trace(np.ones(2), lineage.Saved(1.0, "r1", "raw")).made_by.classified()] == ["record", "raw"]
+    assert [e["function_name"] for e in a.upstream()] == ["halves", "add"]
+    edited = lineage.manual(2.0, "clip", "an outlier", a)
+    assert [e["function_name"] for e in edited.upstream()] == ["manual:clip", "halves", "add"]
+    with pytest.raises(TypeError):
+        add.trace(1)
+    with pytest.raises(ValueError):
+        lineage.manual(1, "clip", "")
+
+
+def test_constants_compute_like_their_values():
+    low = Constant(20, "Hz")
+    assert low + 1 == 21 and 2 * low == 40 and low > 10 and low == Constant(20) and f"{low}" == "20" and low.bit_length() == 5
+    assert Constant([1, 2])[1] == 2 and len(Constant([1, 2])) == 2 and 1 in Constant([1]) and bool(Constant(0)) is False
+    assert plain_value({"a": [low]}) == {"a": [20]} and __file__ in low.line
+    with pytest.raises(TypeError):
+        Constant(low)
+
+
+def test_hashing_of_unknown_objects_is_an_error():
+    with pytest.raises(TypeError):
+        hashing.canonical_hash(object())
+    assert hashing.canonical_hash({"a": 1, "b": [2]}) == hashing.canonical_hash({"b": [2], "a": 1}) != hashing.canonical_hash({"a": 1, "b": (2,)})
+    assert hashing.canonical_hash(["ab", "c"]) != hashing.canonical_hash(["a", "bc"]) and hashing.canonical_hash(np.float64(1.5)) == hashing.canonical_hash(1.5)
+
+
+def test_rows_reach_the_function_in_order(spark):
+    rows = [(s, str(t), p, float(100 * s + 10 * t + p)) for s in (1, 2) for t in range(1, 12) for p in range(3)]
+    df = spark.createDataFrame(rows, "s int, t string, row_pos int, v double").repartition(5)
+    other = df.withColumnRenamed("v", "w")
+    few = spark.createDataFrame([(7.0,)], "k double")
+    got = for_each(lambda x, y, k: (x["v"].tolist() == sorted(x["v"]) and y["w"].tolist() == x["v"].tolist(), float(k)), {"x": df, "y": other, "k": few}, ["s"], schema="same boolean, k double", output_names=["same", "k"], order=["row_pos"], as_table=["x", "y"], dataset=["s", "t"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, True, 7.0), (2, True, 7.0)]
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()  # which adaptive execution leaves as it is
+
+
+def test_paths_keys_and_observation_of_calls(spark, gait):
+    seen = Observation()
+    out = for_each(lambda x, p, subject: f"{p}:{subject}:{len(x)}", {"x": gait, "p": PathTemplate("{subject}.csv", "/raw")}, ["subject"], schema="value string", keys_as_arguments=True, dataset=DATASET, observation=seen)
+    assert sorted(r["value"] for r in out.collect()) == ["/raw/1.csv:1:2", "/raw/2.csv:2:2"]
+    assert seen.get["rows"] == 2
+
+
+def test_order_of_combinations(spark):
+    df = spark.createDataFrame([("2", "a", 1), ("10", "a", 2), ("1", "b", 3), ("2", "a", 4)], "k string, g string, pos int")
+    assert [r["k"] for r in combos.in_schema_order(df.select("k").distinct(), ["k"]).collect()] == ["1", "2", "10"]
+    assert [r["pos"] for r in combos.first_seen(df, ["k", "g"], "pos").collect()] == [1, 2, 3]
+
+
+def test_variant_tools_of_the_graph(spark):
+    variants = spark.createDataFrame([(1, "f", "A", {"low": "1"}, 3), (2, "f", "A", {"low": "2"}, 1), (3, "f", "A", {"low": "1"}, 9)], "pos int, function_name string, output string, constants map<string,string>, record_count long")
+    assert [r["pos"] for r in graph.dedupe_by_constants(variants, "pos").collect()] == [1, 2]
+    assert graph.filter_variants(variants, {"low": "2"}).count() == 1 and graph.filter_variants(variants, {"low": "7"}).count() == 3
+    pending = spark.createDataFrame([("low", "2"), ("low", "5"), ("high", "9")], "constant string, value string")
+    merged = graph.merge_pending(variants.drop("pos"), pending)
+    assert sorted((r["constants"].get("low"), r["constants"].get("high"), r["record_count"]) for r in merged.collect() if r["record_count"] == 0) == [("1", "9", 0), ("2", "9", 0), ("5", None, 0)]
+    nodes = spark.createDataFrame([("f", "function"), ("A", "variable"), ("B", "variable"), ("k", "constant")], "id string, kind string")
+    edges = spark.createDataFrame([("A", "f", "y"), ("k", "f", None), ("B", "f", None), ("f", "A", None)], "source string, target string, handle string")
+    signature = spark.createDataFrame([("f", 0, "x"), ("f", 1, "y"), ("f", 2, "z")], "function_name string, position int, param string")
+    assert sorted((r["param"], r["source"], r["kind"]) for r in graph.resolve_edges(edges, nodes, signature).collect()) == [("x", "B", "variable"), ("y", "A", "variable"), ("z", "k", "constant")]
+    placed = spark.createDataFrame([("A", "variable"), ("New", "variable")], "id string, kind string")
+    assert [r["id"] for r in graph.merge_nodes(nodes, placed).where("manual").collect()] == ["New"] and [r["id"] for r in graph.graduated(nodes, placed).collect()] == ["A"]
+    log = spark.createDataFrame([("1", "a"), ("2", None)], "subject string, session string")
+    values = graph.key_values(log, ["subject", "session"], "session", {"subject": [2]})
+    assert [r[0] for r in values["subject"].collect()] == ["2"] and values["session"].count() == 1
+    assert graph.where_of([]) is None and graph.where_of([{"variable": "A", "op": ">", "value": 1}]).op == ">"
+    assert len(graph.where_of([{"variable": "A", "op": "IN", "value": [1]}, {"variable": "B", "op": "==", "value": 2}]).options) == 2
 
-    assert f(1) == 2 and f.lineage_hash({"x": 1}) == f.lineage_hash({"x": 1}) != f.lineage_hash({"x": 2})
 
 
 def test_latest_stream(spark, tmp_path):
