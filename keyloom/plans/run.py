@@ -238,7 +238,7 @@ def _name(value) -> str:
 
 def _scan(store: Store, variable: Variable, where) -> tuple[DataFrame, list[str]]:
     rows = store.scan(variable.name, where)
-    level = store.level(rows)
+    level = store.level(store.records(variable.name))
     data = [c for c in rows.columns if c not in (*store.schema.keys, *TRACKING, "row_pos")]
     return rows.select(*level, "record_id", "branch_params", "row_pos", *(variable.columns or data)), level
 

@@ -48,14 +48,20 @@ LOGS = {
 }
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration in the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iteration in the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -111,8 +117,9 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _append(self, name: str, df: DataFrame, by: str | None = None) -> None:
-        writer = df.write.mode("append")
+    def _append(self, name: str, df: DataFrame, by: str | None = None, few: bool = False) -> None:
+        """few: rows from the driver, which make one file."""
+        writer = (df.coalesce(1) if few else df).write.mode("append")
         (writer.partitionBy(by) if by else writer).parquet(self._path(name))
 
     def log(self) -> DataFrame:
@@ -153,11 +160,11 @@ class Store:
             if made:
                 provenance.append((rid, made.get("lineage_hash"), name, made.get("function_name"), made.get("function_hash"), json.dumps(made.get("inputs", [])), json.dumps(made.get("constants", {}), default=str), stamp))
         kinds = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("row_pos", T.IntegerType()), *columns.fields])
-        self._add_data(name, self.spark.createDataFrame(rows, kinds).dropDuplicates(["record_id", "row_pos"]))
+        self._add_data(name, self.spark.createDataFrame(rows, kinds).coalesce(1).dropDuplicates(["record_id", "row_pos"]))
         self._register(name, self.schema.level({k for _, m in items for k in m}), version, stamp)
         if provenance:
             self._add_lineage(self.spark.createDataFrame(provenance, LOGS["lineage"]))
-        self._append("record_log", self.spark.createDataFrame(logs, self.log().schema), "variable_name")
+        self._append("record_log", self.spark.createDataFrame(logs, self.log().schema), "variable_name", few=True)
         return ids
 
     def codec(self, name: str, encode, decode) -> None:
@@ -242,7 +249,7 @@ class Store:
         rid, stamp = f"generated:{lineage['lineage_hash'][:32]}", now()
         self._add_lineage(self.spark.createDataFrame([(rid, lineage["lineage_hash"], name, lineage.get("function_name"), lineage.get("function_hash"), json.dumps(lineage.get("inputs", [])), json.dumps(lineage.get("constants", {})), stamp)], LOGS["lineage"]))
         row = (*[own.get(k) for k in self.schema.keys], rid, stamp, self.schema.level(own), jsonmaps.canonical_json(rest), None, lineage["lineage_hash"], 1, self.user, "{}", None, name)
-        self._append("record_log", self.spark.createDataFrame([row], self.log().schema), "variable_name")
+        self._append("record_log", self.spark.createDataFrame([row], self.log().schema), "variable_name", few=True)
         return rid
 
     # --- reading ---
@@ -285,11 +292,10 @@ class Store:
         found = log.join(self.data(name).dropDuplicates(["record_id", "row_pos"]), "record_id", "left")
         if rows is not None:
             found = found.where(F.col("row_pos").isin(rows))
-        return found if where is None else filters.resolve(where, found, self.schema, self._filter_values, level=self.level(found))
+        return found if where is None else filters.resolve(where, found, self.schema, self._filter_values, level=self.level(log))
 
     def _filter_values(self, name: str) -> tuple[DataFrame, list[str]]:
-        rows = self.scan(name)
-        return rows, self.level(rows)
+        return self.scan(name), self.level(self.records(name))
 
     def level(self, rows: DataFrame) -> list[str]:
         """The keys that any row has a value of."""
@@ -372,7 +378,7 @@ class Store:
     # --- about variables and records ---
 
     def _register(self, name: str, level: str | None, version: int, stamp: str, description: str = "", dropped: bool = False) -> None:
-        self._append("variables", self.spark.createDataFrame([(name, level, version, description, dropped, stamp)], LOGS["variables"]))
+        self._append("variables", self.spark.createDataFrame([(name, level, version, description, dropped, stamp)], LOGS["variables"]), few=True)
 
     def describe(self, name: str, description: str) -> None:
         known = self._known(name)
@@ -388,14 +394,18 @@ class Store:
         self._register(name, known[0], known[1], now(), dropped=True)
 
     def exclude(self, rid: str, excluded: bool = True) -> None:
-        self._append("exclusions", self.spark.createDataFrame([(rid, excluded, now())], LOGS["exclusions"]))
+        self._append("exclusions", self.spark.createDataFrame([(rid, excluded, now())], LOGS["exclusions"]), few=True)
+
+    def exclude_all(self, records: DataFrame, excluded: bool = True) -> None:
+        """Exclude or include every record_id of a table."""
+        self._append("exclusions", records.select("record_id", F.lit(excluded).alias("excluded"), F.lit(now()).alias("timestamp")))
 
     def include(self, rid: str) -> None:
         self.exclude(rid, False)
 
     def group(self, name: str, variables: Iterable[str], present: bool = True) -> None:
         """Add variables to a group, or take them out."""
-        self._append("groups", self.spark.createDataFrame([(name, v, present, now()) for v in variables], LOGS["groups"]))
+        self._append("groups", self.spark.createDataFrame([(name, v, present, now()) for v in variables], LOGS["groups"]), few=True)
 
     def group_members(self, name: str) -> list[str]:
         rows = latest(self.table("groups").where(F.col("group_name") == name), ["variable_name"], "timestamp", F.col("present").cast("int"))
