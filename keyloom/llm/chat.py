@@ -13,12 +13,15 @@ stage holds one batch of turns and the running digests, however long a conversat
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,12 @@ CONTROL = (BEGIN, END, INST, END_INST, SYS, END_SYS, OTHER, "]", END_OTHER)
 #: What is escaped in contents: anything that reads like a control string, with the backslashes before it.
 _LIKE = re.compile(r"(\\*)(</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE[=\]])")
 _ESCAPED = re.compile(r"\\(\\*)(</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE[=\]])")
+#: The words of a byte-level tokenizer that splits by its standard pattern; white space and classes are Unicode's, spelt out where ASCII will do.
+_WORDS = regex.compile(r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+_ASCII_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_SPLITS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: Bytes of words and their ids that a worker remembers.
+REMEMBERED = 64 << 20
 
 
 def escape(text: str) -> str:
@@ -43,8 +52,23 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
+def token_bytes(vocabulary: dict[str, int]) -> list[bytes]:
+    """What each id of a byte-level vocabulary stands for: printable Latin-1 shows as itself, the other bytes as U+0100 and on."""
+    shown = {b for lo, hi in (("!", "~"), ("¡", "¬"), ("®", "ÿ")) for b in range(ord(lo), ord(hi) + 1)}
+    others = (b for b in range(256) if b not in shown)
+    of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(others)}
+    out = [b""] * (max(vocabulary.values(), default=-1) + 1)
+    for token, i in vocabulary.items():
+        out[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
+    return out
+
+
 class Codec:
-    """Encodes segments; reserved ids follow the vocabulary."""
+    """Encodes segments; reserved ids follow the vocabulary.
+
+    A tokenizer that only splits at byte-level words gives each word the same ids wherever it
+    stands, so the library encodes a word once while it is remembered. Others encode whole segments.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,12 +77,33 @@ class Codec:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.first = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.reserved = {c: self.first + i for i, c in enumerate(CONTROL)}
+        made = json.loads(self.tokenizer.to_str())
+        splits = {**(made["pre_tokenizer"] or {})}
+        splits.pop("trim_offsets", None)
+        self.by_word = splits == _SPLITS and made["normalizer"] is None and all(t["special"] for t in made["added_tokens"])
+        self.bytes = token_bytes(self.tokenizer.get_vocab(with_added_tokens=True)) if self.by_word and (made["decoder"] or {}).get("type") == "ByteLevel" else None
+        self.known, self.held = {}, 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if not self.by_word:
+            return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        words = [(_ASCII_WORDS if t.isascii() else _WORDS).findall(t) for t in texts]
+        new = [w for w in set().union(*words) if w not in self.known]
+        made = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+        at = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(new) + 1)).tolist()
+        ids = made.ids
+        for word, a, b in zip(new, at, at[1:]):
+            self.known[word] = ids[a:b]
+        self.held += sum(map(len, new)) * 4 + 200 * len(new) + 40 * len(ids)
+        out = [list(chain.from_iterable(map(self.known.__getitem__, own))) for own in words]
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
+        return out
 
-    def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        if self.bytes is None:
+            return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return [b"".join(map(self.bytes.__getitem__, own)).decode("utf-8", "replace") for own in ids]
 
     def turn(self, role: str | None, content: list[int]) -> tuple[list[int], np.ndarray]:
         """The ids of a turn and the mask of those that count in the loss."""
@@ -86,7 +131,7 @@ class Codec:
         for ids, _ in turns:
             plain = np.concatenate(([False], np.array(ids) < self.first, [False]))
             spans.append(np.flatnonzero(plain[1:] != plain[:-1]).reshape(-1, 2).tolist())
-        texts = iter(self.tokenizer.decode_batch([ids[a:b] for (ids, _), own in zip(turns, spans) for a, b in own], skip_special_tokens=False))
+        texts = iter(self.decode([ids[a:b] for (ids, _), own in zip(turns, spans) for a, b in own]))
         out = []
         for (ids, mask), own in zip(turns, spans):
             parts = {a: (b, next(texts)) for a, b in own}

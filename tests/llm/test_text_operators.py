@@ -1,6 +1,7 @@
 """BPE, chat, HTML and fingerprints on small rows, against libraries and plain versions."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -265,3 +266,15 @@ def test_many_ranges_give_the_same_chain(spark, words, monkeypatch):
     one = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.against_next(docs).collect()}
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
     assert {r["doc_id"]: r["edited_sha256"] for r in fingerprints.against_next(docs).collect()} == one
+
+
+def test_turns_are_encoded_as_the_library_does():
+    codec = chat.Codec(BYTES)
+    assert codec.by_word and codec.bytes
+    rng, letters = random.Random(3), "a b'sS\t\n\r\x0b\x1c\x1f\x85\xa0\u3000\u2028é中😀1²½_-!' 'll've<|endoftext|>\ufeff\u0301٣"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 15))) for _ in range(3000)] + ["", "x" * 3000, " " * 50, "<|endoftext|>"]
+    ids = codec.encode(texts)
+    assert ids == [e.ids for e in codec.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert codec.decode(ids) == texts
+    broken = [[rng.randrange(codec.first - 1) for _ in range(rng.randint(0, 6))] for _ in range(2000)]
+    assert codec.decode(broken) == codec.tokenizer.decode_batch(broken, skip_special_tokens=False)
