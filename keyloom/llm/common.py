@@ -51,6 +51,14 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, n: int) -> DataFrame:
     return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(side, key))
 
 
+def join_counted(rows: DataFrame, side: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """join_hot for a `side` (key, value, count) that counts the rows of its keys, nothing null: rows with the value of their key."""
+    most = n / HOT_SHARE
+    marked = rows.join(F.broadcast(side.where(F.col("count") > most).select(key, value)), key, "left")
+    cold = marked.where(F.col(value).isNull()).drop(value).join(side.where(F.col("count") <= most).select(key, value), key)
+    return marked.where(F.col(value).isNotNull()).unionByName(cold)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the cluster's shared checkpoint folder, which cuts its lineage there."""
     sc = df.sparkSession.sparkContext

@@ -96,9 +96,10 @@ def test_pigeonring_keeps_every_near_pair(equal):
     assert (simhash.near(a, far, segments, 4) == (np.bitwise_count(a ^ far) <= 4)).all()
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("nodes", [100, 4_000])  # all keys are hubs; only the stars' centres are
+def test_components_of_paths_and_stars(spark, nodes):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 150), (150, 200)]
-    got = {r["u"]: r["v"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), 100).collect()}
+    got = {r["u"]: r["v"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), nodes).collect()}
     want = {k: v for k, v in plain_components({n for e in edges for n in e}, edges).items() if k != v}
     assert got == want
 
