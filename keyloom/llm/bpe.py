@@ -29,7 +29,7 @@ from .common import chunks, utf8
 #: Stands for the word end inside this module; not a character of the byte alphabet.
 END = "￿"
 #: A worker forgets its words beyond so many bytes of them.
-REMEMBERED = 64 << 20
+REMEMBERED = 256 << 20
 #: Symbols of a word beyond which it is merged on its own.
 LONG = 64
 NOT_SPACE, SPACE = "\x1c\x1d\x1e\x1f", regex.compile(r"\s+")
