@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, fingerprints, html_extract, mixing, quality, sharding, simhash, toxicity
+from . import ann, audit, bpe, chat, fingerprints, html_extract, mixing, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -92,6 +96,35 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM c, z
 """
 
+_OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+        CAST(len(words) < 50 AS INT)
+        + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INT)
+        + 4 * CAST(100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) AS INT)
+        + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+        + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INT) AS mask
+    FROM t LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM d GROUP BY part, mask),
+f AS (SELECT substr('ABCDE', bit + 1, 1) AS name, 1 << bit AS b FROM (SELECT CAST(unnest(range(5)) AS INT) AS bit)),
+o AS (SELECT v.name || w.name || x.name || y.name || z.name AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits
+    FROM f v, f w, f x, f y, f z WHERE v.b + w.b + x.b + y.b + z.b = 31 AND len(list_distinct([v.b, w.b, x.b, y.b, z.b])) = 5),
+s AS (SELECT filter_order, step, bits[step] AS b, coalesce(list_sum(bits[1:step - 1]), 0) AS before FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+a AS (SELECT part, filter_order, step, b,
+        sum(n) FILTER (mask & (before + b) = 0) AS kept,
+        sum(n) FILTER (mask & b > 0 AND mask & before = 0) AS removed,
+        sum(n) FILTER (mask & b > 0 AND mask & before > 0) AS redundant,
+        sum(n) FILTER (mask = b) AS unique_fails,
+        sum(good) FILTER (mask & b > 0 AND mask & before = 0) AS good_lost,
+        sum(bad) FILTER (mask & b > 0 AND mask & before = 0) AS toxic_lost
+    FROM c, s GROUP BY part, filter_order, step, b)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+    CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+    CAST(coalesce(sum(removed) OVER (PARTITION BY part, b), 0) AS BIGINT) AS shapley
+FROM a
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": _OP4_SQL, "op10_source_mixing": _OP10_SQL}
+    return {"op4_chat_formatting": _OP4_SQL, "op10_source_mixing": _OP10_SQL, "op13_filter_audit": _OP13_SQL}
