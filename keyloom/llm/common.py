@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,17 +61,28 @@ def join_counted(rows: DataFrame, side: DataFrame, key: str, value: str, n: int)
     return marked.where(F.col(value).isNotNull()).unionByName(cold)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder, which cuts its lineage there."""
-    sc = df.sparkSession.sparkContext
+def _checkpoints(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one only where all is one process, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the cluster's shared checkpoint folder, which cuts its lineage there."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared checkpoint folder, for files that driver and executors see."""
+    return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the ids that no classifier may learn from; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

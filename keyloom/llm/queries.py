@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, bpe, chat, fingerprints, html_extract, mixing, quality, sharding, simhash, toxicity
+from . import ann, audit, bpe, chat, fingerprints, html_extract, mixing, quality, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -96,6 +100,15 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM c, z
 """
 
+_OP11_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS latest FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN latest IS NOT NULL AND page_id IS DISTINCT FROM latest THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM latest THEN latest END AS refers_to
+FROM r
+"""
+
 _OP13_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
@@ -127,4 +140,4 @@ FROM a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": _OP4_SQL, "op10_source_mixing": _OP10_SQL, "op13_filter_audit": _OP13_SQL}
+    return {"op4_chat_formatting": _OP4_SQL, "op10_source_mixing": _OP10_SQL, "op11_warc_archives": _OP11_SQL, "op13_filter_audit": _OP13_SQL}
