@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, bpe, chat, fingerprints, html_extract, mixing, quality, sharding, simhash, toxicity, warc
+from . import ann, audit, bpe, chat, fingerprints, html_extract, mixing, quality, sharding, simhash, spelling, toxicity, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -109,6 +113,29 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM r
 """
 
+_OP12_SQL = r"""
+WITH RECURSIVE nibbles AS (  -- the sixteen steps of CRC-32
+    SELECT list(list_reduce(range(4), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS step FROM (SELECT unnest(range(16)) AS i)),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents) GROUP BY ALL),
+digits AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs),
+crc AS (SELECT run, n, xor(list_reduce(
+        list_transform(range(len(h)), lambda k: CAST(strpos('0123456789ABCDEF', substr(h, k + 1 + CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END, 1)) - 1 AS BIGINT)),
+        lambda c, x: xor(step[(xor(c, x) & 15) + 1], c >> 4), 4294967295), 4294967295) AS h FROM digits, nibbles),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM crc)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS MATERIALIZED (SELECT word, n, place, substr(word, 1, place - 1) || substr(word, place + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM w)),
+i AS (SELECT DISTINCT d.word AS a, d.n AS a_n, w.word AS b, w.n AS b_n FROM d JOIN w ON d.rest = w.word),
+near AS (SELECT x.word, y.word AS other, y.n AS other_n FROM d x JOIN d y ON x.rest = y.rest AND x.place = y.place AND x.word <> y.word
+    UNION ALL SELECT a, b, b_n FROM i UNION ALL SELECT b, a, a_n FROM i),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT word, CASE WHEN other_n >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+    FROM w LEFT JOIN best USING (word)),
+r AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.next = f.word)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word AND r.next IS NULL
+"""
+
 _OP13_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
@@ -140,4 +167,4 @@ FROM a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": _OP4_SQL, "op10_source_mixing": _OP10_SQL, "op11_warc_archives": _OP11_SQL, "op13_filter_audit": _OP13_SQL}
+    return {"op4_chat_formatting": _OP4_SQL, "op10_source_mixing": _OP10_SQL, "op11_warc_archives": _OP11_SQL, "op12_spelling_variants": _OP12_SQL, "op13_filter_audit": _OP13_SQL}
