@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_nearest_neighbours": "query_id rank vec_id score",
     "op10_source_mixing": "doc_id size source_size target taken",
+    "op11_warc_archives": "page_id payload_bytes payload_digest record_type refers_to",
+    "op12_spelling_variants": "word form root n n_near form_n",
+    "op13_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
 
 
@@ -29,7 +32,7 @@ def test_contract_columns(spark):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "labels", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     order = [c[0] for c in want.description]
