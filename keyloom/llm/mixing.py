@@ -12,10 +12,13 @@ buckets before it (a table with one row per bucket).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_names, packed
+from .common import cut, join_hot, packed
 
 #: Words are runs of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,19 +74,31 @@ def running(df: DataFrame, keys: list[str], order: list[Column], value: str, out
     return summed.join(shift, keys).withColumn(out, F.col("__within") + F.col("__shift")).drop("__within", "__shift")
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES
-) -> DataFrame:
-    """How often the mix takes each document: (doc_id, source, size, source_size, target, copies, taken).
+def _by_source(rows: DataFrame, side: DataFrame, sources: int, n: int) -> DataFrame:
+    """rows (n of them) with the columns of their source's row in `side` (source, ...); neither has a column `__source`."""
+    if sources <= BROADCAST_ROWS:
+        other = F.broadcast(side.withColumnRenamed("source", "__source"))
+        return rows.join(other, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+    return join_hot(rows.withColumn("__source", name), side.withColumn("__source", name).drop("source"), "__source", n).drop("__source")
 
-    docs needs doc_id, text and source; other columns are ignored. Null text has size 0; a
-    null source is a source of its own, the last one; a null doc_id is shuffled like an
-    empty one. Documents without words are taken 0 times. Repeated rows are documents of
-    their own. An empty table gives an empty table. Where a copy of one source and a copy of
-    another finish at the very time at which the budget runs out, both are taken.
+
+def _shuffle() -> Column:
+    return F.md5(F.concat(F.lit("mix "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def _place() -> Column:
+    """Where a row stands in its source's queue, as a value that orders as the queue does."""
+    return F.struct("shuffle", F.col("doc_id").isNull().alias("null"), "doc_id", "size", "tie")
+
+
+def _queued(docs: DataFrame, tie: Column | None, weights: tuple[int, ...], budget: float, passes: int) -> tuple[DataFrame, list[Column], int, int]:
+    """Every document with its running words, whether each of its copies is taken, and the numbers of sources and rows.
+
+    (doc_id, source, size, source_no, source_size, target, upto), with `tie` also shuffle and tie,
+    which orders what is equal in all else, in the checkpoint folder.
     """
-    shuffle = F.md5(F.concat(F.lit("mix "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle.alias("shuffle")))
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _shuffle().alias("shuffle"), *([] if tie is None else [tie.alias("tie")])))
     level = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, passes))
     largest = sized.groupBy("source").agg(F.max("size").alias("most")).agg(F.sum("most")).first()[0] or 0
     open_ = F.sum(F.when(F.col("target") < passes * F.col("source_size"), F.col("target")))
@@ -91,13 +106,12 @@ def mix(
     latest = 1.001 + (1.001 * (largest + 1) / seen["open"] if seen["open"] else 0.0)
     rows = sized.count()
     spread = min(MOST_BUCKETS, max(8, rows // BUCKET_ROWS))
-    side = level.withColumnRenamed("source", "__source")
-    side = F.broadcast(side) if seen["sources"] <= BROADCAST_ROWS else side
-    known = sized.join(side, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    known = _by_source(sized, level, seen["sources"], rows)
     leading = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     known = known.withColumn("bucket", F.floor(leading * spread))
-    counted = running(known, ["source_no", "bucket"], [F.col("shuffle"), F.col("doc_id").asc_nulls_last(), F.col("size")], "size", "upto")
-    counted = cut(packed(counted.drop("shuffle", "bucket"), rows))
+    order = [F.col("shuffle"), F.col("doc_id").asc_nulls_last(), F.col("size")]
+    counted = running(known, ["source_no", "bucket"], order if tie is None else [*order, F.col("tie")], "size", "upto")
+    counted = cut(packed(counted.drop("bucket", *(("shuffle",) if tie is None else ())), rows))
     laps = [(F.col("upto") + F.lit(lap) * F.col("source_size")) / F.col("target") for lap in range(passes)]
     queue = counted.where((F.col("size") > 0) & (F.col("target") > 0)).select("source_no", "size", "upto", F.explode(F.array(*laps)).alias("finish"))
     # by any finish time x a source has given x * target, all its words or a document less; so the budget is used up by `latest`
@@ -105,18 +119,54 @@ def mix(
     queue = running(queue, ["slice"], [F.col("finish"), F.col("source_no"), F.col("upto")], "size", "all")
     # half a token of slack: the targets are doubles that sum to the budget up to rounding
     last = queue.where(F.col("all") <= F.lit((seen["total"] or 0.0) + 0.5)).agg(F.max("finish").alias("finish")).first()["finish"]
-    copies = sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & (lap <= F.lit(-1.0 if last is None else last)), 1).otherwise(0) for lap in laps), F.lit(0))
-    return counted.withColumn("copies", copies.cast("int")).select(
+    taken = [F.coalesce((F.col("size") > 0) & (F.col("target") > 0) & (lap <= F.lit(-1.0 if last is None else last)), F.lit(False)) for lap in laps]
+    return counted, taken, seen["sources"], rows
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES) -> DataFrame:
+    """How often the mix takes each document: (doc_id, source, size, source_size, target, copies, taken).
+
+    docs needs doc_id, text and source; other columns are ignored. Null text has size 0; a
+    null source is a source of its own, the last one; a null doc_id is shuffled like an
+    empty one. Documents without words are taken 0 times. Repeated rows are documents of
+    their own. An empty table gives an empty table. Where a copy of one source and a copy of
+    another finish at the very time at which the budget runs out, both are taken.
+    """
+    counted, taken, _, _ = _queued(docs, None, weights, budget, passes)
+    copies = sum((t.cast("int") for t in taken), F.lit(0))
+    return counted.withColumn("copies", copies).select(
         "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
 
-def take(docs: DataFrame, **settings) -> DataFrame:
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES) -> DataFrame:
     """docs as the mix takes them: each row once for every copy, with its columns unchanged.
 
-    A repeated doc_id is taken as often as the first of its rows in the queue.
+    Every source gives as many words as `mix` says, whatever its ids: null and repeated ids
+    are told apart by their whole rows, and of rows that are equal in all columns as many are
+    taken as have their turn. Nulls, empty texts and empty tables are as in `mix`. A source's
+    queue is cut at one place in each pass, so that rows are taken where they lie, by a
+    table of these places; texts aren't shuffled.
     """
-    own, times, lap = free_names(docs, "__id", "__copies", "__lap")
-    copies = mix(docs, **settings).where("copies > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies[own]))
-    return joined.withColumn(lap, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    tie = F.sha2(F.to_json(row), 256)
+    counted, taken, sources, rows = _queued(docs, tie, weights, budget, passes)
+    counted = counted.withColumn("place", _place())
+    last = cut(counted.groupBy("source").agg(*[F.max(F.when(t, F.col("place"))).alias(f"last{k}") for k, t in enumerate(taken)]))  # a row per source
+    at = [F.coalesce(F.col("place") == F.col(f"last{k}"), F.lit(False)) for k in range(passes)]
+    ends = _by_source(counted, last, sources, rows).groupBy(F.col("source").alias("other"))
+    ends = ends.agg(*[F.count(F.when(a & t, 1)).alias(f"some{k}") for k, (a, t) in enumerate(zip(at, taken))], *[F.count(F.when(a, 1)).alias(f"all{k}") for k, a in enumerate(at)])
+    cuts = cut(last.join(ends, F.col("source").eqNullSafe(F.col("other"))).drop("other"))
+    placed = docs.select("source", "doc_id", _shuffle().alias("shuffle"), word_count(F.col("text")).alias("size"), tie.alias("tie"), row.alias("row")).where("size > 0")
+    known = _by_source(placed.select("source", _place().alias("place"), "row"), cuts, sources, rows)
+    part = [F.col(f"some{k}") < F.col(f"all{k}") for k in range(passes)]
+    before = [F.coalesce(F.col("place") < F.col(f"last{k}"), F.lit(False)) for k in range(passes)]
+    times = sum(((b | (a & ~p)).cast("int") for a, b, p in zip(at, before, part)), F.lit(0))
+    every = known.select("row", times.alias("times")).where("times > 0")
+    if not cuts.where(reduce(or_, part)).isEmpty():
+        # equal rows of which only some have their turn in a pass become one row, taken so often
+        some = sum((F.when(a & p, F.col(f"some{k}")).otherwise(0) for k, (a, p) in enumerate(zip(at, part))), F.lit(0)).cast("int")
+        single = known.select("row", "place.tie", some.alias("times")).where("times > 0").groupBy("tie").agg(F.first("row").alias("row"), F.max("times").alias("times"))
+        every = every.unionByName(single.select("row", "times"))
+    every = every.withColumn("lap", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return every.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -390,6 +390,27 @@ def test_mix_meets_its_targets(spark, words):
     assert mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).agg(F.sum("taken")).first()[0] == 0
 
 
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_take_hands_on_what_the_mix_takes_whatever_the_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+    random = np.random.default_rng(4)
+    texts = ["a b c", "d", "e f g h i j", "", None, "k l"]
+    pick = lambda *of: of[int(random.integers(0, len(of)))]
+    mixed = [(pick(None, 1, 2, i), pick(*texts), pick("s1", "s2", None), pick(1, 2), "x") for i in range(300)]
+    equal = [(None, "a b c", "s1", 1, "x")] * 150 + [(5, "a b c", None, 1, "x")] * 100 + [(i, "w", "s3", i, "y") for i in range(50)]
+    for rows in (mixed, equal):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place int, tie string").repartition(3)
+        want = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+        out, got, often = mixing.take(docs), {}, {}
+        assert out.schema == docs.schema
+        for r in map(tuple, out.collect()):
+            got[r[2]] = got.get(r[2], 0) + len((r[1] or "").split())
+            often[r] = often.get(r, 0) + 1
+        assert got == {s: n for s, n in want.items() if n}
+        assert all(n <= 2 * rows.count(r) for r, n in often.items())
+    assert mixing.take(docs.limit(0)).count() == 0
+
+
 def test_pipeline_stages_work_on_what_is_left(spark):
     import corpus_pipeline
 
