@@ -65,8 +65,7 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(*[F.max(F.when(F.col(c) == 1, 1).otherwise(0)).alias(c) for c in ("quality", "toxic")])
         .where("quality = 1 OR toxic = 1")
     )
-    known = rows.where(F.col("id").isNotNull()).join(marked, "id", "left")
-    counted = known.select(
+    counted = rows.where(F.col("id").isNotNull()).join(marked, "id", "left").select(
         "id", "digest", "part", "mask", "n", *[F.coalesce(F.col(c) * F.col("n"), F.lit(0)).alias(out) for c, out in (("quality", "good"), ("toxic", "toxic"))]
     )
     sums = [F.sum(c).alias(c) for c in ("n", "good", "toxic")]
@@ -76,11 +75,13 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     of = lambda c: F.when(spared, F.col(f"least.{c}")).otherwise(F.lit(0))
     split = copies.select("part", "mask", "n", "good", "toxic", *[of(c).alias(f"first_{c}") for c in ("n", "good", "toxic")])
     by_mask = split.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic", "first_n", "first_good", "first_toxic")])
-    duplicate = by_mask.select("part", F.col("mask").bitwiseOR(F.lit(16)).alias("mask"), *[(F.col(c) - F.col(f"first_{c}")).alias(c) for c in ("n", "good", "toxic")])
-    first = by_mask.select("part", "mask", *[F.col(f"first_{c}").alias(c) for c in ("n", "good", "toxic")])
+    cell = lambda mask, n: F.struct(mask.alias("mask"), *[n(c).cast("long").alias(c) for c in ("n", "good", "toxic")])
+    first = cell(F.col("mask"), lambda c: F.col(f"first_{c}"))
+    later = cell(F.col("mask").bitwiseOR(F.lit(1 << FILTERS.index("E"))), lambda c: F.col(c) - F.col(f"first_{c}"))
+    known = by_mask.select("part", F.inline(F.array(first, later)))
     zero = F.lit(0).cast("long")
     without = rows.where(F.col("id").isNull()).select("part", "mask", "n", zero.alias("good"), zero.alias("toxic"))
-    return first.unionByName(duplicate).unionByName(without).groupBy("part", "mask").agg(*sums)
+    return known.unionByName(without).groupBy("part", "mask").agg(*sums)
 
 
 def swaps(n: int) -> Iterator[int]:
