@@ -15,6 +15,7 @@ container of the content around them; lists of links don't.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
@@ -52,7 +53,7 @@ WRAPPERS = frozenset("form fieldset dialog header".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs "
     "header masthead topbar footer bottombar sidebar sidebars aside rail cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations newsletter subscribe signup login "
+    "comment comments commentlist discussion discussions reactions disqus respond replies reply share sharing social related recommended recommendations newsletter subscribe signup login "
     "search searchbox pagination pager widget widgets toolbar skip copyright complementary contentinfo dialog hidden".split()
 )
 #: Parts that are the article by their name, whatever else they are called.
@@ -63,7 +64,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements between a block and the container that it goes with.
 WITHIN = TEXT | frozenset("ul ol menu dl table thead tbody tfoot tr figure section details hgroup header".split())
 PUNCTUATION = re.compile(r"[,.;:!?…。，、；：！？·«»\"“”()-]")
-_TAG = re.compile(r"<!--(.*?)(?:-->|--!>|$)|<([/]?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
+_TAG = re.compile(r"<!--(?:-?>|(.*?)(?:-->|--!>|$))|<([/]?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
 _WORDS = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _HREF = re.compile(r"\bhref\s*=", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -74,6 +75,8 @@ SHARE, LEAST = 0.5, 0.02
 PARAGRAPH, STOPS = 80, 1
 #: The fused ratio of a part all of whose name speaks against it is multiplied by this; of one with half such a name, by its root.
 MARKED = 0.05
+#: What speaks against an article within an article.
+NESTED = 0.99
 #: A path's fused ratio is multiplied by the share of the page's text on its side of article and main, and this.
 PRIOR = 0.25
 
@@ -102,147 +105,199 @@ def _against(tag: str, attributes: str, inside_main: bool) -> float:
     return most
 
 
-def blocks(html: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], str, float, float]]:
-    """The page's blocks in order: (path, open elements, text, what speaks against it, share of the text in links).
+class _Page:
+    """A page as blocks (element, text, share of the text in links), and trees of its elements, paths and marks.
 
-    Nothing speaks against a part that holds an article or main, or most of the page's text;
-    but by its whole name it does if an article elsewhere has text.
+    Nodes are numbers in the order of their start, each with its parent's number; 0 is what
+    holds the page. A path is the same for elements of equal tags on the way to them. A mark
+    is an element that something speaks against; an element has the innermost mark around it.
+    So a page takes time and memory in proportion to its length, however deep it is.
     """
-    path: list[str] = []
-    opened: list[int] = []
-    against: list[tuple[tuple[int, float], ...]] = []  # of each open element: the marked elements it is in
-    wrappers: set[int] = set()
-    endless: set[str] = set()  # names whose end tag doesn't come any more
-    around_main: set[int] = set()
-    count, text, at, n = 0, [], 0, len(html)
-    link, linked = -1, 0  # depth of the open link, and characters of the block inside links
-    out = []
 
-    def add(part):
-        nonlocal linked
-        text.append(part)
-        if link >= 0:
-            linked += len("".join(part.split()))
+    def __init__(self, html: str):
+        self.blocks: list[tuple[int, str, float]] = []
+        self.tag, self.parent, self.path, self.mark, self.holder = [""], [0], [0], [0], [0]
+        self.path_parent, self.path_main, self._paths = [0], [False], {}
+        self.mark_parent, self.against, self.wrapper, self.around_main = [0], [0.0], [False], [False]
+        self._read(html)
 
-    def flush():
-        nonlocal linked
-        if text:
-            whole = "".join(text)
-            words = " ".join(unescape(whole).split())
-            if words:
-                out.append((tuple(path), tuple(opened), words, against[-1] if against else (), linked / len("".join(whole.split())) if linked else 0.0))
-            text.clear()
-        linked = 0
+    def _open(self, tag: str, parent: int, attributes: str) -> int:
+        """A new element; its number."""
+        path, main = self.path[parent], self.path_main[self.path[parent]]
+        own = self._paths.setdefault((path, tag), len(self.path_parent))
+        if own == len(self.path_parent):
+            self.path_parent.append(path)
+            self.path_main.append(main or tag in MAIN)
+        mark = self.mark[parent]
+        if tag in MAIN:
+            self.around_main[mark] = True
+        # an article within another is a comment on it, says HTML
+        against = NESTED if tag == "article" and len(self.places[tag]) > 1 else _against(tag, attributes, main)
+        if against:
+            self.mark_parent.append(mark)
+            self.against.append(against)
+            self.wrapper.append(tag in WRAPPERS)
+            self.around_main.append(False)
+            mark = len(self.mark_parent) - 1
+        # the first element around a block's own that isn't a part of running text
+        self.holder.append(parent if parent and self.tag[parent] not in WITHIN else self.holder[parent])
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.path.append(own)
+        self.mark.append(mark)
+        return len(self.tag) - 1
+
+    def _read(self, html: str) -> None:
+        opened: list[int] = []  # open elements, the outermost first
+        self.places = places = defaultdict(list)  # the depths at which a tag is open, ascending
+        endless: set[str] = set()  # names whose end tag doesn't come any more
+        text, at, n = [], 0, len(html)
+        link, linked = -1, 0  # depth of the open link, and characters of the block inside links
+
+        def add(part):
+            nonlocal linked
+            text.append(part)
+            if link >= 0:
+                linked += len("".join(part.split()))
 
-    def pop_to(depth):
-        nonlocal link
-        del path[depth:], opened[depth:], against[depth:]
-        if link > depth:  # a link without an end goes no further than the element that it is in
-            link = -1
+        def flush():
+            nonlocal linked
+            if text:
+                whole = "".join(text)
+                words = " ".join(unescape(whole).split())
+                if words:
+                    self.blocks.append((opened[-1] if opened else 0, words, linked / len("".join(whole.split())) if linked else 0.0))
+                text.clear()
+            linked = 0
 
-    while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[2]:
-            if tag == "br":
-                text.append(" ")
-            elif tag == "a":
+        def pop_to(depth):
+            nonlocal link
+            while len(opened) > depth:
+                places[self.tag[opened.pop()]].pop()
+            if link > depth:  # a link without an end goes no further than the element that it is in
                 link = -1
-            elif tag not in INLINE:
+
+        while at < n:
+            m = _TAG.search(html, at)
+            if m is None:
+                add(html[at:])
+                break
+            if m.start() > at:
+                add(html[at : m.start()])
+            at = m.end()
+            tag = m[3]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m[2]:
+                if tag == "br":
+                    text.append(" ")
+                elif tag == "a":
+                    link = -1
+                elif tag not in INLINE:
+                    flush()
+                    if places.get(tag):
+                        pop_to(places[tag][-1])
+                continue
+            if tag in RAW and not m[4].endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                at = close.end() if close else n
+                continue
+            plain = None
+            if tag in PLAIN and tag not in endless:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                plain = (html[at : close.start()], close.end()) if close else None
+                if not close:
+                    endless.add(tag)
+            if tag in INLINE:
+                if tag == "br":
+                    text.append(" ")
+                elif tag == "a":
+                    link = len(opened) if _HREF.search(m[4]) else -1
+                continue
+            flush()
+            if tag in VOID:
+                continue
+            if tag in CLOSES_P and places.get("p"):
+                pop_to(places["p"][-1])
+            if tag in ENDS:
+                ends, within = ENDS[tag]
+                bound = max((places[t][-1] for t in within if places.get(t)), default=-1)
+                ended = [places[t][k] for t in ends if places.get(t) and (k := bisect_right(places[t], bound)) < len(places[t])]
+                if ended:
+                    pop_to(min(ended))
+            if places.get("head") and (tag == "body" or tag not in ("head", "html", "title", "template")):
+                pop_to(places["head"][0])
+            places[tag].append(len(opened))
+            opened.append(self._open(tag, opened[-1] if opened else 0, m[4]))
+            if plain:
+                add(plain[0])
+                at = plain[1]
                 flush()
-                for depth in range(len(path) - 1, -1, -1):
-                    if path[depth] == tag:
-                        pop_to(depth)
-                        break
-            continue
-        if tag in RAW and not m[4].endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else n
-            continue
-        plain = None
-        if tag in PLAIN and tag not in endless:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            plain = (html[at : close.start()], close.end()) if close else None
-            if not close:
-                endless.add(tag)
-        if tag in INLINE:
-            if tag == "br":
-                text.append(" ")
-            elif tag == "a":
-                link = len(path) if _HREF.search(m[4]) else -1
-            continue
+                pop_to(len(opened) - 1)
         flush()
-        if tag in VOID:
-            continue
-        if tag in CLOSES_P and "p" in path:
-            pop_to(len(path) - 1 - path[::-1].index("p"))
-        if tag in ENDS:
-            ends, within = ENDS[tag]
-            for depth in range(len(path) - 1, -1, -1):
-                if path[depth] in within:
-                    break
-                if path[depth] in ends:
-                    pop_to(depth)
-        if tag == "body" and "head" in path:
-            pop_to(path.index("head"))
-        elif "head" in path and tag not in ("head", "html", "title", "template"):
-            pop_to(path.index("head"))
-        count += 1
-        inside_main = not MAIN.isdisjoint(path)
-        mark = _against(tag, m[4], inside_main)
-        outer = against[-1] if against else ()
-        against.append((*outer, (count, mark)) if mark else outer)
-        path.append(tag)
-        opened.append(count)
-        if tag in WRAPPERS:
-            wrappers.add(count)
-        if tag in MAIN:
-            around_main.update(e for e, _ in outer)
-        if plain:
-            add(plain[0])
-            at = plain[1]
-            flush()
-            pop_to(len(path) - 1)
-    flush()
-    held: dict[int, float] = defaultdict(float)
-    total, named = 0.0, False
-    for path, _, words, marks, linked in out:
-        own = len(words) * (1 - linked)
-        if all(m <= 1 or e in wrappers for e, m in marks):
-            total += own
-            for e, _ in marks:
-                held[e] += own
-        named = named or not (MAIN.isdisjoint(path) or any(m >= 1 and e not in around_main for e, m in marks))
 
-    def weight(element, mark):
-        if mark > 1 and element not in wrappers:
-            return mark
-        if element in around_main or (2 * held[element] > total and not (named and mark >= 1)):
-            return 0.0
-        return mark
+    def weights(self) -> list[float]:
+        """What speaks against the blocks of each mark.
 
-    for path, opened, words, marks, linked in out:
-        yield path, opened, words, max((weight(e, m) for e, m in marks), default=0.0), linked
+        Nothing speaks against a part that holds an article or main, or most of the page's
+        text; but by its whole name it does if an article elsewhere has text.
+        """
+        marks = range(1, len(self.mark_parent))
+        up, never = self.mark_parent, [False]
+        for r in marks:
+            never.append(never[up[r]] or (self.against[r] > 1 and not self.wrapper[r]))
+        held, total = [0.0] * len(up), 0.0
+        for element, words, linked in self.blocks:
+            if not never[self.mark[element]]:
+                held[self.mark[element]] += len(words) * (1 - linked)
+                total += len(words) * (1 - linked)
+        for r in reversed(marks):
+            held[up[r]] += held[r]
+            self.around_main[up[r]] |= self.around_main[r]
+        bad = [False]
+        for r in marks:
+            bad.append(bad[up[r]] or (self.against[r] >= 1 and not self.around_main[r]))
+        named = any(self.path_main[self.path[e]] and not bad[self.mark[e]] for e, _, _ in self.blocks)
+        most = [0.0]
+        for r in marks:
+            own = self.against[r]
+            if not (own > 1 and not self.wrapper[r]) and (self.around_main[r] or (2 * held[r] > total and not (named and own >= 1))):
+                own = 0.0
+            most.append(max(own, most[up[r]]))
+        return most
 
 
 def main_text(html: str | None) -> str:
     """The page's main text: its content blocks joined by line ends; empty if there is none."""
-    kept = [b for b in blocks(html or "") if b[3] <= 1]
+    page = _Page(html or "")
+    weights = page.weights()
+    kept = [(page.path[e], e, text, weights[page.mark[e]], linked) for e, text, linked in page.blocks if weights[page.mark[e]] <= 1]
     if not kept:
         return ""
+    chosen = content_paths([(p, text, against, linked) for p, _, text, against, linked in kept], page.path_parent, page.path_main)
+    # headings under what holds content paths, and lists and short paths in it, go with them
+    holders = {page.holder[e] for p, e, _, a, _ in kept if (p, a) in chosen}
+    held = [0 in holders]
+    for e in range(1, len(page.tag)):
+        held.append(e in holders or held[page.parent[e]])
+
+    def goes_along(e, against, linked):
+        if page.tag[e] not in TEXT or against >= 1:
+            return False
+        if page.tag[e] in HEADINGS:
+            return held[page.parent[e]]
+        return linked <= 0.5 and page.holder[e] in holders
+
+    return "\n".join(t for p, e, t, a, linked in kept if (p, a) in chosen or goes_along(e, a, linked))
+
+
+def content_paths(blocks: list[tuple[int, str, float, float]], container: list[int], main: list[bool]) -> set[tuple[int, float]]:
+    """The (path, what speaks against it) that are content, of blocks (path, text, what speaks against it, share in links)."""
     length: dict[tuple, float] = defaultdict(float)
     marks: dict[tuple, float] = defaultdict(float)
     nodes: dict[tuple, int] = defaultdict(int)
-    for path, _, text, against, linked in kept:
+    for path, text, against, linked in blocks:
         length[path, against] += len(text) * (1 - linked)
         marks[path, against] += len(PUNCTUATION.findall(text)) * (1 - linked)
         nodes[path, against] += 1
@@ -252,38 +307,19 @@ def main_text(html: str | None) -> str:
     ratio = size / (size + PARAGRAPH * weight)
     stops = np.array([marks[p] + 1 for p in paths])
     stops = stops / (stops + STOPS * weight)
-    container: dict[tuple, list[int]] = defaultdict(list)
-    for k, (p, against) in enumerate(paths):
-        container[p[:-1], against].append(k)
+    siblings: dict[tuple, int] = {}
+    group = np.array([siblings.setdefault((container[p], against), len(siblings)) for p, against in paths])
     fused = np.ones(len(paths))
     for values in (ratio, stops):
-        smooth = {p: np.average(values[s], weights=weight[s]) for p, s in container.items()}
-        fused *= (values + np.array([smooth[p[:-1], against] for p, against in paths])) / 2
+        smooth = np.bincount(group, values * weight) / np.bincount(group, weight)
+        fused *= (values + smooth[group]) / 2
     against = np.array([a for _, a in paths])
-    inside = np.array([not MAIN.isdisjoint(p) for p, _ in paths])
+    inside = np.array([main[p] for p, _ in paths])
     trusted = size * MARKED**against
     share = trusted[inside].sum() / trusted.sum() if size.any() else float(inside.any())
     fused *= MARKED**against * (PRIOR + np.where(inside, share, 1 - share))
-    chosen = {p for p, f in zip(paths, fused) if f >= SHARE * fused.std() and f >= LEAST * fused.max()}
-    # headings under what holds content paths, and lists and short paths in it, go with them
-    holders = {_holder(p, o) for p, o, _, a, _ in kept if (p, a) in chosen}
-
-    def goes_along(path, opened, against, linked):
-        if not path or path[-1] not in TEXT or against >= 1:
-            return False
-        if path[-1] in HEADINGS:
-            return not holders.isdisjoint((0, *opened[:-1]))
-        return linked <= 0.5 and _holder(path, opened) in holders
-
-    return "\n".join(t for p, o, t, a, linked in kept if (p, a) in chosen or goes_along(p, o, a, linked))
-
-
-def _holder(path: tuple[str, ...], opened: tuple[int, ...]) -> int:
-    """The container of a block: the first element around it that isn't a part of running text."""
-    for depth in range(len(path) - 2, -1, -1):
-        if path[depth] not in WITHIN:
-            return opened[depth]
-    return 0
+    least = max(SHARE * fused.std(), LEAST * fused.max())
+    return {p for p, f in zip(paths, fused) if f >= least}
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -278,3 +279,66 @@ def test_turns_are_encoded_as_the_library_does():
     assert codec.decode(ids) == texts
     broken = [[rng.randrange(codec.first - 1) for _ in range(rng.randint(0, 6))] for _ in range(2000)]
     assert codec.decode(broken) == codec.tokenizer.decode_batch(broken, skip_special_tokens=False)
+
+
+def test_main_text_of_deep_pages_takes_linear_time():
+    for unit in ("<div>x", "<div class=ad>x", "<p>a<li>b<div>", "<article>z, y.", "<!-- ", "<a x=\""):
+        took = []
+        for k in (5_000, 40_000):
+            began = time.process_time()
+            html_extract.main_text(unit * k)
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.05), unit  # eight times as much; 64 times if quadratic
+
+
+def test_main_text_reads_empty_comments_as_html_does():
+    for comment in ("<!-->", "<!--->", "<!---->", "<!-- a -->", "<!--a--!>"):
+        assert html_extract.main_text(f"{comment}<p>After, the text.</p>") == "After, the text."
+
+
+def test_main_text_takes_articles_in_an_article_for_comments():
+    body = "".join(f"<p>{t}</p>" for t in LONG)
+    remarks = "".join(f"<article><p>I think, as a reader, that this is right; number {i}, so to say.</p></article>" for i in range(2))
+    assert html_extract.main_text(f"<article><h1>T</h1>{body}<section id=x>{remarks}</section></article>") == "\n".join(["T", *LONG])
+    assert html_extract.main_text(f"<article><h1>T</h1>{body}<div id='discussion'><p>A reader's remark, with a comma.</p></div></article>") == "\n".join(["T", *LONG])
+    assert "\n".join(LONG) in html_extract.main_text(f"<article><h1>T</h1><article>{body}</article></article>")  # most of the text
+
+
+def plain_content_paths(blocks, main):
+    """The ratios path by path, paths as tuples of tags."""
+    paths = sorted({(p, a) for p, _, a, _ in blocks})
+    own = {k: [b for b in blocks if (b[0], b[2]) == k] for k in paths}
+    size = {k: sum(len(t) * (1 - x) for _, t, _, x in own[k]) for k in paths}
+    marks = {k: 1 + sum(len(html_extract.PUNCTUATION.findall(t)) * (1 - x) for _, t, _, x in own[k]) for k in paths}
+    fused = {}
+    lengths = {k: size[k] / (size[k] + html_extract.PARAGRAPH * len(own[k])) for k in paths}
+    stops = {k: marks[k] / (marks[k] + html_extract.STOPS * len(own[k])) for k in paths}
+    trusted = {k: size[k] * html_extract.MARKED ** k[1] for k in paths}
+    inside = {k: bool(main & set(k[0])) for k in paths}
+    share = sum(trusted[k] for k in paths if inside[k]) / sum(trusted.values())
+    for k in paths:
+        fused[k] = html_extract.MARKED ** k[1] * (html_extract.PRIOR + (share if inside[k] else 1 - share))
+        for values in (lengths, stops):
+            beside = [o for o in paths if o[0][:-1] == k[0][:-1] and o[1] == k[1]]
+            fused[k] *= (values[k] + sum(values[o] * len(own[o]) for o in beside) / sum(len(own[o]) for o in beside)) / 2
+    mean = sum(fused.values()) / len(fused)
+    spread = (sum((f - mean) ** 2 for f in fused.values()) / len(fused)) ** 0.5
+    return {k for k, f in fused.items() if f >= html_extract.SHARE * spread and f >= html_extract.LEAST * max(fused.values())}
+
+
+def test_path_ratios_against_a_plain_version():
+    random = np.random.default_rng(11)
+    for _ in range(200):
+        tags = ["div", "p", "article", "li", "section"]
+        paths = [tuple(random.choice(tags, random.integers(0, 5))) for _ in range(8)]
+        blocks = [(paths[random.integers(0, 8)], "word, " * int(random.integers(1, 40)), float(random.choice([0.0, 0.5, 1.0])), float(random.choice([0.0, 0.3]))) for _ in range(20)]
+        number, parent, main = {(): 0}, [0], [False]
+        for p in paths:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in number:
+                    number[p[:k]] = len(parent)
+                    parent.append(number[p[: k - 1]])
+                    main.append("article" in p[:k])
+        got = html_extract.content_paths([(number[p], t, a, x) for p, t, a, x in blocks], parent, main)
+        names = {v: k for k, v in number.items()}
+        assert {(names[p], a) for p, a in got} == plain_content_paths(blocks, {"article", "main"})
