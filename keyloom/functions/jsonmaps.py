@@ -18,6 +18,24 @@ def as_map(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
+def json_value(value) -> str:
+    """A value's JSON text, as `typed` gives it."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+
+
+def typed(text: Column) -> Column:
+    """A JSON object as a map of its values' JSON texts, so that 1, "1", 1.0, true and nested values stay apart."""
+    quoted = lambda _, plain, v: F.when(F.schema_of_variant(v) == "STRING", F.to_json(v)).otherwise(F.coalesce(plain, F.lit("null")))
+    return F.map_zip_with(as_map(text), F.from_json(text, "map<string,variant>"), quoted)
+
+
+def json_object(value: Column) -> Column:
+    """A map of JSON texts as a JSON object with sorted keys: the way back from `typed`."""
+    name = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    pairs = F.transform(F.array_sort(F.map_entries(value)), lambda e: F.concat(name(e["key"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
 def canonical_map(value: Column) -> Column:
     """A map as JSON text with sorted keys."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(value))))

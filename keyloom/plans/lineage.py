@@ -115,7 +115,7 @@ def save_result(store: Store, name: str, result: Result, **metadata) -> str:
     """Save a result with its lineage, and the function and constants as version keys; returns the record id."""
     entry = result.lineage()
     versions = {"__fn": entry["function_name"], "__fn_hash": entry["function_hash"], "__constants": json.dumps(entry["constants"], sort_keys=True), "__output_num": str(result.number)}
-    result.record_id = store.save(name, result.data, {f"{entry['function_name']}.{k}": v for k, v in entry["constants"].items()}, entry, **metadata, **versions)
+    result.record_id = store.save(name, result.data, {f"{entry['function_name']}.{k}": json.loads(v) for k, v in entry["constants"].items()}, entry, **metadata, **versions)
     return result.record_id
 
 
@@ -177,8 +177,8 @@ def variant_edges(records: DataFrame, inputs: DataFrame, keys: list[str]) -> Dat
 
     records: (record_id, variable_name, branch_params as JSON, keys); inputs: (output, input) variables.
     """
-    child = records.select(F.col("record_id").alias("child"), F.col("variable_name").alias("output"), jsonmaps.as_map(F.col("branch_params")).alias("__own"), *keys)
-    parent = records.select(F.col("record_id").alias("parent"), F.col("variable_name").alias("input"), jsonmaps.as_map(F.col("branch_params")).alias("__up"), *[F.col(k).alias(f"__{k}") for k in keys])
+    child = records.select(F.col("record_id").alias("child"), F.col("variable_name").alias("output"), jsonmaps.typed(F.col("branch_params")).alias("__own"), *keys)
+    parent = records.select(F.col("record_id").alias("parent"), F.col("variable_name").alias("input"), jsonmaps.typed(F.col("branch_params")).alias("__up"), *[F.col(k).alias(f"__{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     wanted = child.join(inputs.select("output", "input").distinct(), "output")
     pairs = wanted.join(parent, [wanted["input"] == parent["input"], *same]).where(jsonmaps.is_subset(F.col("__up"), F.col("__own")))

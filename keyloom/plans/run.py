@@ -111,13 +111,14 @@ def for_each(
         return called.drop(*params)
     called = checkpointed(called)
     data = [c for c in called.columns if c not in (*names, *rids, *params, "error")]
-    own = F.map_from_arrays(F.array(*[F.lit(f"{fn.__name__}.{n}") for n in plan.texts]), F.array(*map(F.lit, plan.texts.values()))) if plan.texts else None
+    texts = [jsonmaps.json_value(json.loads(t)) for t in plan.texts.values()]
+    own = F.map_from_arrays(F.array(*[F.lit(f"{fn.__name__}.{n}") for n in plan.texts]), F.array(*map(F.lit, texts))) if plan.texts else None
     branch = None
     for p in params:
-        one = jsonmaps.as_map(F.col(p))
+        one = jsonmaps.typed(F.col(p))
         branch = one if branch is None else jsonmaps.merged(branch, one)
     branch = own if branch is None else branch if own is None else jsonmaps.merged(branch, own)
-    branch = None if branch is None else jsonmaps.canonical_map(branch)
+    branch = None if branch is None else jsonmaps.json_object(branch)
     level = [c for c in (*names, *([options["distribute"]] if options.get("distribute") else []))]
     rows = called.where("error IS NULL").drop("error") if "error" in called.columns else called
     used = F.to_json(F.array(*[F.struct(F.lit(r[6:]).alias("name"), F.col(r).alias("record_id")) for r in rids])) if rids else F.lit("[]")

@@ -2,12 +2,18 @@
 
 Data is written before the record log, so a log row is the commit: readers start from the
 log. Nothing is updated in place; the newest row, by time and record, counts.
+
+Data files are dealt by the first digit of the record id, sorted by it, and have bloom
+filters of it. A log row names the batch that holds its data, so that what a failed or a
+concurrent save left is never read, and a save looks into the log only.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import tempfile
+import uuid
 from collections.abc import Iterable
 from datetime import datetime, timezone
 
@@ -42,7 +48,7 @@ LOGS = {
     "groups": "group_name string, variable_name string, present boolean, timestamp string",
     "exclusions": "record_id string, excluded boolean, timestamp string",
     "lineage": "output_record_id string, lineage_hash string, variable_name string, function_name string, function_hash string, inputs string, constants string, timestamp string",
-    "variables": "variable_name string, schema_level string, schema_version int, description string, dropped boolean, timestamp string",
+    "variables": "variable_name string, schema_level string, schema_version int, description string, dropped boolean, timestamp string, columns string",
     "expected": "function_name string, combo string, branch_params string, run string",
     "record_sets": "set_id string, record_id string",
 }
@@ -53,7 +59,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):  # all in one process
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="keyloom-checkpoint-"))
     return sc.getCheckpointDir()
@@ -67,8 +73,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def variant(version_keys: Column) -> Column:
     """The version keys that make a variant: which records and which text of the function it came from don't."""
-    kept = F.map_filter(jsonmaps.as_map(version_keys), lambda k, _: ~k.startswith("__rid_") & (k != "__fn_hash"))
-    return jsonmaps.canonical_map(kept)
+    kept = F.map_filter(jsonmaps.typed(version_keys), lambda k, _: ~k.startswith("__rid_") & (k != "__fn_hash"))
+    return jsonmaps.json_object(kept)
+
+
+#: The columns of data files beside the data itself.
+PLACE = "record_id string, row_pos int, batch string"
+#: Records up to which a read of single values names their ids to the file scan.
+NAMED_IDS = 1_000
+
+
+def shard(rid: Column) -> Column:
+    """The folder of a record's data."""
+    return F.substring(rid, 1, 1)
+
+
+def _listed(version: str | list[str]) -> list[str]:
+    return [version] if isinstance(version, str) else list(version)
 
 
 _CURRENT: list[Store] = []
@@ -109,7 +130,7 @@ class Store:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _read(self, name: str, schema: str | T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(self._path(name))
         except AnalysisException as e:
@@ -125,11 +146,16 @@ class Store:
     def log(self) -> DataFrame:
         """Every save: who, what, where, which version. Partitioned by variable."""
         keys = ", ".join(f"`{k}` string" for k in self.schema.keys)
-        rest = "record_id string, timestamp string, schema_level string, version_keys string, content_hash string, lineage_hash string, schema_version int, user_id string, branch_params string, recipe string, variable_name string"
+        rest = "record_id string, timestamp string, schema_level string, version_keys string, content_hash string, lineage_hash string, schema_version int, user_id string, branch_params string, recipe string, batch string, variable_name string"
         return self._read("record_log", f"{keys}, {rest}")
 
     def data(self, name: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(self._path(f"data/{name}"))
+        """All rows ever saved of a variable, with their record ids, places, batches and shards."""
+        given: dict[str, str] = {}
+        for row in self.table("variables").where((F.col("variable_name") == name) & F.col("columns").isNotNull()).groupBy("columns").agg(F.min("timestamp").alias("t")).orderBy("t", "columns").collect():
+            for c in T.StructType.fromJson(json.loads(row["columns"])):
+                given.setdefault(c.name, c)
+        return self._read(f"data/{name}", T.StructType([*T.StructType.fromDDL(PLACE), *given.values(), T.StructField("shard", T.StringType())]))
 
     def table(self, name: str) -> DataFrame:
         return self._read(name, LOGS[name])
@@ -159,11 +185,19 @@ class Store:
             logs.append((*[own.get(k) for k in self.schema.keys], rid, stamp, self.schema.level(own), jsonmaps.canonical_json(rest), content, (made or {}).get("lineage_hash"), version, self.user, jsonmaps.canonical_json(params), json.dumps(recipe), name))
             if made:
                 provenance.append((rid, made.get("lineage_hash"), name, made.get("function_name"), made.get("function_hash"), json.dumps(made.get("inputs", [])), json.dumps(made.get("constants", {}), default=str), stamp))
-        kinds = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("row_pos", T.IntegerType()), *columns.fields])
-        self._add_data(name, self.spark.createDataFrame(rows, kinds).coalesce(1).dropDuplicates(["record_id", "row_pos"]))
-        self._register(name, self.schema.level({k for _, m in items for k in m}), version, stamp)
+        held = {r["record_id"]: r["batch"] for r in self._batches(name).where(F.col("record_id").isin(ids)).collect()}
+        batch, new, seen = uuid.uuid4().hex, [], set(held)
+        for row in rows:
+            if row[0] not in held and (row[0], row[1]) not in seen:  # equal values at equal keys are one record
+                seen.add((row[0], row[1]))
+                new.append((row[0], row[1], batch, *row[2:]))
+        if new:
+            kinds = T.StructType([*T.StructType.fromDDL(PLACE), *columns.fields])
+            self._add_data(name, self.spark.createDataFrame(new, kinds), few=True)
+        self._register(name, self.schema.level({k for _, m in items for k in m}), version, stamp, columns=columns)
         if provenance:
             self._add_lineage(self.spark.createDataFrame(provenance, LOGS["lineage"]))
+        logs = [(*row[:-1], held.get(rid, batch), row[-1]) for rid, row in zip(ids, logs)]
         self._append("record_log", self.spark.createDataFrame(logs, self.log().schema), "variable_name", few=True)
         return ids
 
@@ -197,11 +231,13 @@ class Store:
         grouped = rows.groupBy(*keys, *rest).agg(F.sum(digest).alias("__sum"), F.count(F.lit(1)).alias("__n"))
         content = F.substring(F.sha2(F.concat_ws("|", F.col("__sum").cast("string"), F.col("__n").cast("string")), 256), 1, DIGITS)
         recipe = {"mode": "table" if order else "dict" if columns != ["value"] else "value", "columns": {c: {"kind": "scalar"} for c in columns}}
-        stamped = checkpointed(self._stamped(name, grouped, keys, rest, content, json.dumps(recipe), branch_params, version, extra, hidden, lineage))
-        records = stamped.select("record_id", *keys, *rest)
+        stamped, batch = self._stamped(name, grouped, keys, rest, content, json.dumps(recipe), branch_params, version, extra, hidden, lineage), uuid.uuid4().hex
+        held = self._batches(name).withColumnRenamed("batch", "__held")
+        stamped = checkpointed(stamped.join(held, "record_id", "left").withColumn("batch", F.coalesce("__held", F.lit(batch))).drop("__held"))
+        records = stamped.where(F.col("batch") == batch).select("record_id", "batch", *keys, *rest)
         on = [rows[k].eqNullSafe(records[k]) for k in (*keys, *rest)]
-        self._add_data(name, rows.join(records, on).select("record_id", "row_pos", *[rows[c] for c in columns]))
-        self._register(name, self.schema.level(keys), version, now())
+        self._add_data(name, rows.join(records, on).select("record_id", "row_pos", "batch", *[rows[c] for c in columns]))
+        self._register(name, self.schema.level(keys), version, now(), columns=df.select(*columns).schema)
         self._append("record_log", stamped.select(*self.log().columns), "variable_name")
         return stamped
 
@@ -210,18 +246,15 @@ class Store:
         keys = [k for k in self.schema.keys if k in df.columns]
         rest = [c for c in df.columns if c not in keys]
         rows = self._stamped(name, norm_keys(df, keys).distinct(), keys, rest, F.lit("generated"), None, branch_params, version, extra, hidden, lineage)
-        stamped = checkpointed(rows.withColumns({"record_id": F.concat(F.lit("generated:"), "record_id"), "content_hash": F.lit(None).cast("string")}))
+        stamped = checkpointed(rows.withColumns({"record_id": F.concat(F.lit("generated:"), "record_id"), "content_hash": F.lit(None).cast("string"), "batch": F.lit(None).cast("string")}))
         self._register(name, self.schema.level(keys), version, now())
         self._append("record_log", stamped.select(*self.log().columns), "variable_name")
         return stamped
 
     def _stamped(self, name, grouped, keys, rest, content, recipe, branch_params, version, extra, hidden, lineage) -> DataFrame:
         """The log rows of a table of addresses: keys and version keys."""
-        fixed = F.map_from_arrays(F.array(*[F.lit(k) for k in (extra or {})]), F.array(*[F.lit(str(v)) for v in (extra or {}).values()])) if extra else None
-        named = [c for c in rest if c not in hidden]
-        own = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*[F.col(c).cast("string") for c in named])) if named else None
-        both = own if fixed is None else fixed if own is None else jsonmaps.merged(fixed, own)
-        version_keys = F.lit("{}") if both is None else jsonmaps.canonical_map(both)
+        values = {n: F.lit(str(v)) for n, v in (extra or {}).items()} | {c: F.col(f"`{c}`") for c in rest if c not in hidden}
+        version_keys = F.to_json(F.struct(*[values[n].alias(n) for n in sorted(values)]), {"ignoreNullFields": "false"}) if values else F.lit("{}")
         address = F.concat_ws("|", F.lit(name), F.lit(version), content, *[F.coalesce(F.col(k), F.lit("")) for k in keys], version_keys)
         stamped = grouped.withColumns({
             "record_id": F.substring(F.sha2(address, 256), 1, DIGITS), "timestamp": F.lit(now()), "schema_level": F.lit(self.schema.level(keys)).cast("string"),
@@ -230,14 +263,17 @@ class Store:
         })
         return stamped.withColumns({k: F.lit(None).cast("string") for k in self.schema.keys if k not in keys})
 
-    def _add_data(self, name: str, rows: DataFrame) -> None:
-        """Append the rows of records that are new. Two writers at the same time may add one twice; readers drop repeats."""
-        try:
-            rows = rows.join(self.data(name).select("record_id").distinct(), "record_id", "left_anti")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-        self._append(f"data/{name}", rows)
+    def _batches(self, name: str) -> DataFrame:
+        """(record_id, batch): which batch holds the data of each record there is."""
+        log = self.log().where((F.col("variable_name") == name) & F.col("batch").isNotNull())
+        return log.groupBy("record_id").agg(F.max_by("batch", F.struct("timestamp", "batch")).alias("batch"))
+
+    def _add_data(self, name: str, rows: DataFrame, few: bool = False) -> None:
+        """Append rows, in files of one shard each that are sorted by record; Spark splits and joins them to a good size."""
+        placed = rows.withColumn("shard", shard(F.col("record_id")))
+        placed = placed.coalesce(1) if few else placed.hint("rebalance", "shard")
+        writer = placed.sortWithinPartitions("shard", "record_id", "row_pos").write.mode("append").partitionBy("shard")
+        writer.option("parquet.bloom.filter.enabled#record_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(self._path(f"data/{name}"))
 
     def _add_lineage(self, rows: DataFrame) -> None:
         self._append("lineage", rows.join(self.table("lineage").select("output_record_id").distinct(), "output_record_id", "left_anti"))
@@ -248,17 +284,18 @@ class Store:
         own = {k: norm_key_value(v) for k, v in own.items()}
         rid, stamp = f"generated:{lineage['lineage_hash'][:32]}", now()
         self._add_lineage(self.spark.createDataFrame([(rid, lineage["lineage_hash"], name, lineage.get("function_name"), lineage.get("function_hash"), json.dumps(lineage.get("inputs", [])), json.dumps(lineage.get("constants", {})), stamp)], LOGS["lineage"]))
-        row = (*[own.get(k) for k in self.schema.keys], rid, stamp, self.schema.level(own), jsonmaps.canonical_json(rest), None, lineage["lineage_hash"], 1, self.user, "{}", None, name)
+        row = (*[own.get(k) for k in self.schema.keys], rid, stamp, self.schema.level(own), jsonmaps.canonical_json(rest), None, lineage["lineage_hash"], 1, self.user, "{}", None, None, name)
         self._append("record_log", self.spark.createDataFrame([row], self.log().schema), "variable_name", few=True)
         return rid
 
     # --- reading ---
 
     def records(self, name: str, version: str = "latest", include_excluded: bool = False, branch: dict | None = None, versions: dict | None = None, **keys) -> DataFrame:
-        """Log rows of a variable. version: 'latest' of each variant, 'all' records once, or a record id.
+        """Log rows of a variable. version: 'latest' of each variant, 'all' records once, a record id or a list of them.
 
-        A key or version key takes a value or a list of them. branch: parameters by their full
-        name or by the part after the last dot; one that fits several is an error.
+        A key or version key takes a value or a list of them, of its type: 1 isn't '1'. branch:
+        version keys of that name, else parameters by their full name or by the part after the
+        last dot; one that fits several parameters is an error.
         """
         log = self.log().where(F.col("variable_name") == name)
         if not include_excluded:
@@ -271,29 +308,46 @@ class Store:
         elif version == "latest":
             log = latest(log.withColumn("__variant", variant(F.col("version_keys"))), [*self.schema.keys, "__variant", "branch_params"], "timestamp", "record_id").drop("__variant")
         else:
-            log = latest(log.where(F.col("record_id") == version), ["record_id"], "timestamp", "record_id")
+            log = latest(log.where(F.col("record_id").isin(_listed(version))), ["record_id"], "timestamp", "record_id")
         for k, v in (versions or {}).items():
-            texts = [json.dumps(x) if not isinstance(x, str) else x for x in (v if isinstance(v, (list, tuple)) else [v])]
-            log = log.where(F.element_at(jsonmaps.as_map(F.col("version_keys")), F.lit(k)).isin(texts))
+            texts = [jsonmaps.json_value(x) for x in (v if isinstance(v, (list, tuple)) else [v])]
+            log = log.where(F.element_at(jsonmaps.typed(F.col("version_keys")), F.lit(k)).isin(texts))
         for k, v in (branch or {}).items():
-            text = v if isinstance(v, str) else json.dumps(v)
-            hits = jsonmaps.suffix_matches(jsonmaps.as_map(F.col("branch_params")), k)
+            hits = jsonmaps.suffix_matches(jsonmaps.typed(F.col("branch_params")), k)
             if log.where(F.size(hits) > 1).first() is not None:
                 raise AmbiguousParameter(f"{k!r} fits several parameters of {name}; give its full name")
-            log = log.where((F.size(hits) == 1) & (F.map_values(hits)[0] == text))
+            own = F.element_at(jsonmaps.typed(F.col("version_keys")), F.lit(k))
+            log = log.where(F.coalesce(own, F.when(F.size(hits) == 1, F.map_values(hits)[0])) == jsonmaps.json_value(v))
         return log
 
     def scan(self, name: str, where: filters.Filter | None = None, rows: list[int] | None = None, **options) -> DataFrame:
         """Records with their data: keys, record_id, version_keys, branch_params, row_pos and the data columns.
 
-        rows: the places, from 0, of the rows wanted of each record; all by default.
+        rows: the places, from 0, of the rows wanted of each record; all by default. Records given
+        by id are named to the file scan; else their shards are, when Spark runs the join.
         """
-        log = self.records(name, **options).select(*self.schema.keys, "record_id", "timestamp", "version_keys", "branch_params", "recipe")
-        found = log.join(self.data(name).dropDuplicates(["record_id", "row_pos"]), "record_id", "left")
+        log = self.records(name, **options).select(*self.schema.keys, "record_id", "timestamp", "version_keys", "branch_params", "recipe", "batch")
+        version = options.get("version", "latest")
+        return self._with_data(name, log, where, rows, None if version in ("latest", "all") else _listed(version))
+
+    def _with_data(self, name: str, log: DataFrame, where: filters.Filter | None = None, rows: list[int] | None = None, ids: list[str] | None = None) -> DataFrame:
+        """Log rows with their data; ids: the records, where they are known."""
+        data = self.data(name)
+        if ids is not None:
+            data = data.where(F.col("shard").isin(sorted({i[:1] for i in ids})) & F.col("record_id").isin(ids))
         if rows is not None:
-            found = found.where(F.col("row_pos").isin(rows))
+            data = data.where(F.col("row_pos").isin(rows))
+        held = log.where("batch IS NOT NULL").withColumn("shard", shard(F.col("record_id")))
+        found = held.join(data, ["shard", "record_id", "batch"]).drop("shard", "batch")
+        if rows is None:  # what a function wrote elsewhere has no data
+            found = found.unionByName(log.where("batch IS NULL").drop("batch"), allowMissingColumns=True)
+        found = found.select(*[F.col(f"`{c}`") for c in (*log.columns, *data.columns[1:]) if c not in ("batch", "shard")])  # data's first is record_id
         return found if where is None else filters.resolve(where, found, self.schema, self._filter_values, level=self.level(log))
 
+    def fetch(self, name: str, ids: list[str]) -> DataFrame:
+        """The records of these ids with their data, excluded ones too."""
+        return self.scan(name, version=ids, include_excluded=True)
+
     def _filter_values(self, name: str) -> tuple[DataFrame, list[str]]:
         return self.scan(name), self.level(self.records(name))
 
@@ -317,7 +371,11 @@ class Store:
 
     def load_all(self, name: str, where: filters.Filter | None = None, **options) -> list[tuple[dict, str, object]]:
         """(keys, record id, value) of every record, newest first; for results that the driver can hold. Else use `scan`."""
-        rows = self.scan(name, where, **options).orderBy(F.col("timestamp").desc(), F.col("record_id").desc(), "row_pos").collect()
+        scan_rows = options.pop("rows", None)
+        log = checkpointed(self.records(name, **options).select(*self.schema.keys, "record_id", "timestamp", "version_keys", "branch_params", "recipe", "batch"))
+        ids = [r[0] for r in log.select("record_id").limit(NAMED_IDS + 1).collect()]
+        found = self._with_data(name, log, where, scan_rows, ids if len(ids) <= NAMED_IDS else None)
+        rows = found.orderBy(F.col("timestamp").desc(), F.col("record_id").desc(), "row_pos").collect()
         grouped: dict[str, list] = {}
         for r in rows:
             grouped.setdefault(r["record_id"], []).append(r.asDict())
@@ -347,12 +405,12 @@ class Store:
 
     def columns(self, name: str) -> dict[str, str]:
         """The data columns of a variable and their types."""
-        return {n: t for n, t in self.data(name).dtypes if n not in ("record_id", "row_pos")}
+        return {n: t for n, t in self.data(name).dtypes if n not in ("record_id", "row_pos", "batch", "shard")}
 
     def list_variants(self) -> DataFrame:
         """(variable_name, version_keys, n_records): the variants of every variable, whatever records they were made from."""
-        keys = F.map_filter(jsonmaps.as_map(F.col("version_keys")), lambda k, _: ~k.startswith("__rid_"))
-        return self.log().withColumn("version_keys", jsonmaps.canonical_map(keys)).groupBy("variable_name", "version_keys").agg(F.countDistinct("record_id").alias("n_records"))
+        keys = F.map_filter(jsonmaps.typed(F.col("version_keys")), lambda k, _: ~k.startswith("__rid_"))
+        return self.log().withColumn("version_keys", jsonmaps.json_object(keys)).groupBy("variable_name", "version_keys").agg(F.countDistinct("record_id").alias("n_records"))
 
     def find_by_lineage(self, lineage_hash: str) -> list[tuple[dict, str, object]]:
         """What the same function made of the same inputs before; empty if nothing."""
@@ -377,8 +435,9 @@ class Store:
 
     # --- about variables and records ---
 
-    def _register(self, name: str, level: str | None, version: int, stamp: str, description: str = "", dropped: bool = False) -> None:
-        self._append("variables", self.spark.createDataFrame([(name, level, version, description, dropped, stamp)], LOGS["variables"]), few=True)
+    def _register(self, name: str, level: str | None, version: int, stamp: str, description: str = "", dropped: bool = False, columns: T.StructType | None = None) -> None:
+        kinds = None if columns is None else T.StructType([T.StructField(c.name, c.dataType) for c in columns]).json()
+        self._append("variables", self.spark.createDataFrame([(name, level, version, description, dropped, stamp, kinds)], LOGS["variables"]), few=True)
 
     def describe(self, name: str, description: str) -> None:
         known = self._known(name)
