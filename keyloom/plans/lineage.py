@@ -160,15 +160,57 @@ def ancestors(edges: DataFrame, hops: int = 20, start: DataFrame | None = None)
     return reached
 
 
+def outdated(edges: DataFrame, stale: DataFrame, hops: int = 50) -> DataFrame:
+    """(node): all that have one of the `stale` record ids among their ancestors within `hops` steps.
+
+    Goes down from the stale records, each step from the newly reached ones only, so that the
+    work is what is outdated, not all pairs of ancestors, and cycles end.
+    """
+    edges = checkpointed(edges.select("child", "parent").distinct())
+    front = checkpointed(edges.join(stale.select(F.col("record_id").alias("parent")).distinct(), "parent", "left_semi").select(F.col("child").alias("node")).distinct())
+    reached = front
+    for _ in range(hops - 1):
+        onward = edges.join(front.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
+        front = checkpointed(onward.join(reached, "node", "left_anti"))
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front)
+    return reached
+
+
 def superseded(edges: DataFrame, stale: DataFrame, hops: int = 50) -> DataFrame:
-    """(node, superseded): whether any ancestor is among the `stale` record ids."""
-    walk = ancestors(edges, hops).join(stale.select(F.col("record_id").alias("ancestor"), F.lit(True).alias("hit")).distinct(), "ancestor", "left")
-    return walk.groupBy("node").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("superseded"))
+    """(node, superseded): whether any ancestor is among the `stale` record ids, of every node that has ancestors."""
+    hit = outdated(edges, stale, hops).withColumn("superseded", F.lit(True))
+    return edges.select(F.col("child").alias("node")).distinct().join(hit, "node", "left").select("node", F.coalesce("superseded", F.lit(False)).alias("superseded"))
+
 
+def memo(lineage: DataFrame, log: DataFrame, wanted: str | DataFrame) -> DataFrame:
+    """Log rows of what the same functions made of the same inputs before; wanted: a lineage hash, or a table of them."""
+    found = lineage.where(F.col("lineage_hash") == wanted) if isinstance(wanted, str) else lineage.join(wanted.select("lineage_hash").distinct(), "lineage_hash", "left_semi")
+    return log.join(found.select(F.col("output_record_id").alias("record_id")).distinct(), "record_id", "left_semi")
 
-def memo(lineage: DataFrame, log: DataFrame, lineage_hash: str) -> DataFrame:
-    """Records that the same function made of the same inputs before."""
-    return log.join(lineage.where(F.col("lineage_hash") == lineage_hash).select(F.col("output_record_id").alias("record_id")), "record_id", "left_semi")
+
+def best_parents(children: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """(child, param, input, parent): for each input of a child the record whose parameters are the largest part of the child's.
+
+    children: (child, param, input, own as a map of JSON texts, keys), a row per input that a
+    child has; records: (record_id, variable_name, params as such a map, keys). Records are
+    found by an inverted index of (variable, location, name, value): a record is a part of
+    the child if as many of its entries are found among the child's as it has. So only records
+    that share an entry meet a child, not all at its location; those without parameters fit
+    every child there, and only the greatest id of them, which would win, is kept. Ties go to
+    the greatest id. Null keys are values of their own.
+    """
+    place = F.to_json(F.struct(*[F.col(f"`{k}`") for k in keys]))  # nulls are left out, so that they differ from any value
+    parents = records.select(F.col("record_id").alias("parent"), F.col("variable_name").alias("input"), place.alias("place"), "params", F.size("params").alias("n"))
+    wanted = children.select("child", "param", "input", place.alias("place"), "own")
+    index = parents.where("n > 0").select("parent", "input", "place", "n", F.explode("params").alias("name", "value"))
+    asked = wanted.select("child", "param", "input", "place", F.explode("own").alias("name", "value"))
+    met = asked.join(index, ["input", "place", "name", "value"]).groupBy("child", "param", "input", "parent", "n").agg(F.count(F.lit(1)).alias("found")).where("found = n").drop("found")
+    plain = parents.where("n = 0").groupBy("input", "place").agg(F.max("parent").alias("parent"), F.max("n").alias("n"))
+    bare = wanted.join(plain, ["input", "place"]).select("child", "param", "input", "parent", "n")
+    both = met.unionByName(bare)
+    return both.groupBy("child", "param", "input").agg(F.max_by("parent", F.struct("n", "parent")).alias("parent"))
 
 
 def variant_edges(records: DataFrame, inputs: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,10 +219,42 @@ def variant_edges(records: DataFrame, inputs: DataFrame, keys: list[str]) -> Dat
 
     records: (record_id, variable_name, branch_params as JSON, keys); inputs: (output, input) variables.
     """
-    child = records.select(F.col("record_id").alias("child"), F.col("variable_name").alias("output"), jsonmaps.typed(F.col("branch_params")).alias("__own"), *keys)
-    parent = records.select(F.col("record_id").alias("parent"), F.col("variable_name").alias("input"), jsonmaps.typed(F.col("branch_params")).alias("__up"), *[F.col(k).alias(f"__{k}") for k in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    wanted = child.join(inputs.select("output", "input").distinct(), "output")
-    pairs = wanted.join(parent, [wanted["input"] == parent["input"], *same]).where(jsonmaps.is_subset(F.col("__up"), F.col("__own")))
-    best = pairs.groupBy("child", wanted["input"]).agg(F.max_by("parent", F.struct(F.size("__up"), F.col("parent"))).alias("parent"))
-    return best.select("child", "parent")
+    known = records.withColumn("params", jsonmaps.typed(F.col("branch_params")))
+    children = known.select(F.col("record_id").alias("child"), F.col("variable_name").alias("output"), F.col("params").alias("own"), *keys)
+    wanted = children.join(inputs.select("output", "input").distinct(), "output").withColumn("param", F.col("input"))
+    return best_parents(wanted, known, keys).select("child", "parent")
+
+
+def upstream(records: DataFrame, start: DataFrame, keys: list[str], hops: int = 20) -> DataFrame:
+    """(start, record_id, depth, function_name, param, parent): the provenance of records by their version keys and parameters.
+
+    records: log rows, each record once, with version_keys whose __fn and __inputs say how it
+    was made; start: (record_id). Depth 0 is the record asked for; a record is visited once
+    from a start, at its least depth, so cycles end; a row per input found, or one with null
+    param and parent. Each hop joins the newly reached records only.
+    """
+    version = jsonmaps.as_map(F.col("version_keys"))
+    known = checkpointed(
+        records.select(
+            "record_id", "variable_name", jsonmaps.typed(F.col("branch_params")).alias("params"), *keys,
+            F.element_at(version, F.lit("__fn")).alias("function_name"), F.from_json(F.element_at(version, F.lit("__inputs")), "map<string,string>").alias("inputs"),
+        )
+    )
+    front = checkpointed(start.select("record_id").distinct().join(known.select("record_id"), "record_id", "left_semi").select(F.col("record_id").alias("start"), "record_id"))
+    reached, steps = front, []
+    for depth in range(hops + 1):
+        made = front.select(F.col("record_id").alias("child")).distinct().join(known.withColumnRenamed("record_id", "child"), "child")
+        wanted = made.select("child", F.col("params").alias("own"), *keys, F.explode("inputs").alias("param", "input"))
+        found = best_parents(wanted, known, keys)
+        links = made.select("child", "function_name").join(found, "child", "left").select(F.col("child").alias("record_id"), "function_name", "param", "parent")
+        step = checkpointed(front.join(links, "record_id").select("start", "record_id", F.lit(depth).alias("depth"), "function_name", "param", "parent"))
+        steps.append(step)
+        onward = step.where("parent IS NOT NULL").select("start", F.col("parent").alias("record_id")).distinct()
+        front = checkpointed(onward.join(reached, ["start", "record_id"], "left_anti"))
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front)
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    return out

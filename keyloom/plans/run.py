@@ -18,7 +18,7 @@ from ..operators import filters
 from ..sources.paths import PathTemplate
 from ..sources.store import Store, checkpointed, now
 from . import foreach
-from .lineage import LineageFunction
+from .lineage import LineageFunction, outdated
 
 
 class Variable:
@@ -178,11 +178,14 @@ def _plan(store: Store, fn: Callable, inputs: dict, keys, where, options: dict)
     return Plan(names, list(ids), params, tables, constants, texts, extra, combos, sets)
 
 
-def _made(store: Store, outputs: list[str], plan: Plan) -> DataFrame:
-    """Combinations, with the record ids used, at which the newest of all outputs were made in this very way."""
+def _made(store: Store, outputs: list[str], plan: Plan, without: DataFrame | None = None) -> DataFrame:
+    """Combinations, with the record ids used, at which the newest of all outputs were made in this very way; none of them `without`'s nodes."""
     found = None
     for output in outputs:
-        made = store.records(output).withColumn("__v", jsonmaps.as_map(F.col("version_keys")))
+        made = store.records(output)
+        if without is not None:
+            made = made.join(without.select(F.col("node").alias("record_id")), "record_id", "left_anti")
+        made = made.withColumn("__v", jsonmaps.as_map(F.col("version_keys")))
         for k in CONFIGURATION:
             made = made.where(F.element_at("__v", F.lit(k)).eqNullSafe(F.lit(plan.extra.get(k))))
         own = made.select(*plan.names, *[F.element_at("__v", F.lit(r)).alias(r) for r in plan.rids]).distinct()
@@ -194,13 +197,17 @@ def states(store: Store, fn: Callable, inputs: dict[str, object], outputs: str |
     """(keys, record ids used, function, state) of every combination there is or that the function's newest run expected.
 
     up_to_date: all outputs made by this very function from the newest records of all inputs,
-    these constants, filter and options; stale: made otherwise; missing: one isn't made.
+    these constants, filter and options, and none of their ancestors superseded; stale: made
+    otherwise; missing: one isn't made. An input that is itself stale makes its outputs stale,
+    over 50 steps, but `skip_computed` waits until it is made anew: from the same records the
+    function would give the same.
     `state.node_states` sums them up.
     """
     outputs = [outputs] if isinstance(outputs, str) else outputs
     plan = _plan(store, fn, inputs, keys, where, options)
     names, rids, name = plan.names, plan.rids, plan.extra["__fn"]
-    fresh = _made(store, outputs, plan).withColumn("__fresh", F.lit(True))
+    edges = store.edges()
+    fresh = _made(store, outputs, plan, outdated(edges, store.superseded(edges))).withColumn("__fresh", F.lit(True))
     any_ = None
     for output in outputs:
         version = F.element_at(jsonmaps.as_map(F.col("version_keys")), F.lit("__fn"))

@@ -371,14 +371,26 @@ class Store:
 
     def load_all(self, name: str, where: filters.Filter | None = None, **options) -> list[tuple[dict, str, object]]:
         """(keys, record id, value) of every record, newest first; for results that the driver can hold. Else use `scan`."""
-        scan_rows = options.pop("rows", None)
-        log = checkpointed(self.records(name, **options).select(*self.schema.keys, "record_id", "timestamp", "version_keys", "branch_params", "recipe", "batch"))
-        ids = [r[0] for r in log.select("record_id").limit(NAMED_IDS + 1).collect()]
-        found = self._with_data(name, log, where, scan_rows, ids if len(ids) <= NAMED_IDS else None)
-        rows = found.orderBy(F.col("timestamp").desc(), F.col("record_id").desc(), "row_pos").collect()
+        places = options.pop("rows", None)
+        log = self.records(name, **options).select(*self.schema.keys, "record_id", "timestamp", "version_keys", "branch_params", "recipe", "batch")
+        newest = [F.col("timestamp").desc(), F.col("record_id").desc()]
+        records = log.orderBy(*newest).limit(NAMED_IDS + 1).collect() if where is None else []
+        if 0 < len(records) <= NAMED_IDS:
+            held, data = {(r["record_id"], r["batch"]): [] for r in records}, None
+            if any(r["batch"] for r in records):
+                wanted = [r["record_id"] for r in records]
+                data = self.data(name).where(F.col("shard").isin(sorted({i[:1] for i in wanted})) & F.col("record_id").isin(wanted))
+                data = data if places is None else data.where(F.col("row_pos").isin(places))
+                for r in data.orderBy("record_id", "row_pos").collect():
+                    if (r["record_id"], r["batch"]) in held:
+                        held[r["record_id"], r["batch"]].append(r.asDict())
+            rows = [log_row.asDict() | own for log_row in records for own in held[log_row["record_id"], log_row["batch"]] or [{}]]
+        else:
+            found = self._with_data(name, log, where, places)
+            rows = [r.asDict() for r in found.orderBy(*newest, "row_pos").collect()]
         grouped: dict[str, list] = {}
         for r in rows:
-            grouped.setdefault(r["record_id"], []).append(r.asDict())
+            grouped.setdefault(r["record_id"], []).append(r)
         out = []
         for rid, own in grouped.items():
             keys = {k: typed_key_value(own[0][k]) for k in self.schema.keys if own[0][k] is not None}
@@ -498,6 +510,20 @@ class Store:
         members = used.join(sets, F.col("parent") == F.col("set_id")).select("child", F.col("record_id").alias("parent"))
         return used.where(~F.col("parent").startswith("set:")).unionByName(members)
 
+    def superseded(self, edges: DataFrame | None = None) -> DataFrame:
+        """(record_id): records that were used as inputs and aren't the newest of their variant any more, or are excluded."""
+        log = excluded(self.log(), self.table("exclusions")).withColumn("__variant", variant(F.col("version_keys")))
+        newest = latest(log, ["variable_name", *self.schema.keys, "__variant", "branch_params"], "timestamp", "record_id").select("record_id")
+        used = (self.edges() if edges is None else edges).select(F.col("parent").alias("record_id")).distinct()
+        return used.join(newest, "record_id", "left_anti")
+
+    def upstream(self, rid: str, hops: int = 20) -> DataFrame:
+        """How a record came about, by functions, inputs and parameters: see `lineage.upstream`."""
+        from ..plans.lineage import upstream  # which itself needs stores
+
+        log = latest(excluded(self.log(), self.table("exclusions")), ["record_id"], "timestamp", "record_id")
+        return upstream(log, self.spark.createDataFrame([(rid,)], "record_id string"), list(self.schema.keys), hops)
+
     def expected(self, function_name: str) -> DataFrame:
         """The combinations that the function's newest run expected."""
         rows = self.table("expected").where(F.col("function_name") == function_name)

@@ -97,7 +97,7 @@ def test_changes_go_down_a_chain_and_functions_count(store):
     store.save("raw", 11.0, subject=1, trial=1)  # the same content again
     assert chain() == (0, 0)
     store.save("raw", 70.0, subject=1, trial=1)
-    assert state_of(store, two, {"x": Variable("a")}, "b", keys) == ["up_to_date"] * 4  # only its own inputs count
+    assert state_of(store, two, {"x": Variable("a")}, "b", keys) == ["stale"] + ["up_to_date"] * 3  # an ancestor is superseded
     assert chain() == (1, 1) and store.load("b", subject=1, trial=1) == 142.0
 
     def two(x):  # noqa: F811
@@ -107,6 +107,35 @@ def test_changes_go_down_a_chain_and_functions_count(store):
     assert chain() == (0, 4) and store.load("b", subject=1, trial=1) == 213.0
 
 
+def test_states_look_at_all_ancestors_over_chains_and_joins(store):
+    keys = ["subject", "trial"]
+
+    def same(x):
+        return float(x)
+
+    def both(x, y):
+        return float(x) + float(y)
+
+    store.save_many("side", {(s, t): 1.0 for s in (1, 2) for t in (1, 2)})
+    steps = [(same, {"x": RAW}, "a"), (same, {"x": Variable("a")}, "b"), (both, {"x": Variable("b"), "y": Variable("side")}, "c"), (same, {"x": Variable("c")}, "d")]
+    for fn, inputs, output in steps:
+        run(store, fn, inputs, output, keys)
+    assert [state_of(store, *s, keys) for s in steps] == [["up_to_date"] * 4] * 4
+    store.save("side", 5.0, subject=2, trial=2)
+    one = ["stale"] + ["up_to_date"] * 3
+    assert [state_of(store, *s, keys) for s in steps] == [["up_to_date"] * 4] * 2 + [one] * 2
+    store.save("raw", 70.0, subject=1, trial=1)
+    two = ["stale"] * 2 + ["up_to_date"] * 2
+    assert [state_of(store, *s, keys) for s in steps] == [one, one, two, two]
+    for fn, inputs, output in steps:
+        run(store, fn, inputs, output, keys)
+    assert [state_of(store, *s, keys) for s in steps] == [["up_to_date"] * 4] * 4
+    newest = store.find_id("d", subject=1, trial=1)
+    walk = store.upstream(newest).orderBy("depth").collect()
+    assert [(r["depth"], r["function_name"]) for r in walk if r["depth"] < 2] == [(0, "same"), (1, "both"), (1, "both")]
+    assert max(r["depth"] for r in walk) == 4 and {r["record_id"] for r in walk if r["parent"] is None} == {store.find_id("raw", subject=1, trial=1), store.find_id("side", subject=1, trial=1)}
+
+
 def test_several_outputs_are_fresh_together(store):
     @lineage.lineage_function(unpack=True)
     def both(x):

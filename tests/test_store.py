@@ -1,6 +1,9 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.operators.filters import Col, raw_sql, table_condition
 from keyloom.plans.foreach import EachOf, Fixed
@@ -144,3 +147,51 @@ def test_groups_sql_and_csv(spark, store, tmp_path):
         Store(spark, store.root, ["trial"])
     with pytest.raises(TypeError):
         Store(spark, store.root, {"subject", "trial"})
+
+
+def test_version_keys_keep_their_types(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), ["subject"])
+    kinds = [1, "1", 1.0, True, None, {"a": [1, "1"]}, "é\"x\\", "true"]
+    for n, k in enumerate(kinds):
+        store.save("v", float(n), subject=1, k=k)
+    assert [store.load("v", subject=1, versions={"k": k}) for k in kinds] == [float(n) for n in range(len(kinds))]
+    assert [store.load("v", subject=1, branch={"k": k}) for k in kinds] == [float(n) for n in range(len(kinds))]  # version keys come first
+    assert store.records("v").count() == len(kinds)
+    table = spark.createDataFrame([(2, 1, 5.0), (2, 2, 6.0)], "subject long, k long, value double")
+    store.save_table("v", table, ["value"])
+    store.save_table("v", table.withColumn("k", F.col("k").cast("string")).withColumn("value", F.col("value") + 10), ["value"])
+    assert store.load("v", subject=2, versions={"k": 1}) == 5.0 and store.load("v", subject=2, versions={"k": "1"}) == 15.0
+    assert store.list_variants().where("variable_name = 'v'").count() == len(kinds) + 2  # 2 and '2' more; 1 and '1' are there
+    store.save("w", 1.0, {"f.low": 3, "g.high": "3"}, subject=1)
+    assert store.load("w", subject=1, branch={"low": 3}) == 1.0 and store.load("w", subject=1, branch={"high": "3"}) == 1.0
+    with pytest.raises(NotFound):
+        store.load("w", subject=1, branch={"low": "3"})
+
+
+def test_reads_of_records_are_pruned(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), ["subject"])
+    store.save_table("v", spark.range(3000).select(F.col("id").alias("subject"), F.col("id").cast("double").alias("value")), ["value"])
+    files = store.data("v").inputFiles()
+    assert len({f.split("/shard=")[1][0] for f in files}) == 16
+    rid = store.find_id("v", subject=7)
+    plan = store.fetch("v", [rid])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*shard", plan) and re.search(rf"PushedFilters: \[[^\]]*record_id,\[?{rid}", plan)
+    read = store.data("v").where((F.col("shard") == rid[0]) & (F.col("record_id") == rid)).select("_metadata.file_path").distinct().count()
+    assert read == 1 < len(files)
+    # Spark prunes shards at run time when the records come from the log
+    assert "dynamicpruning" in store.scan("v", subject=7)._jdf.queryExecution().executedPlan().toString()
+    assert store.load("v", subject=7) == 7.0 and sorted(v for _, v in store.load("v", subject=[7, 9])) == [7.0, 9.0]
+    assert store.fetch("v", [rid, "no such"]).count() == 1
+
+
+def test_saves_read_no_data_and_what_failed_is_never_read(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), ["subject"])
+    table = spark.range(10).select(F.col("id").alias("subject"), F.col("id").cast("double").alias("value"))
+    store.save_table("v", table, ["value"])
+    torn = store.data("v").where("value < 5").select("record_id", "row_pos", F.lit("torn").alias("batch"), "value")
+    store._add_data("v", torn)  # a writer that ended before its log rows
+    assert store.scan("v").count() == 10 and store.data("v").count() == 15
+    store.save_table("v", table, ["value"])  # the same content again: a log row, no data
+    assert store.data("v").count() == 15 and store.scan("v").count() == 10 and store.log().count() == 20
+    assert store.save("v", 3.0, subject=3) and store.save_batch("v", [(4.0, {"subject": 50}), (4.0, {"subject": 50})])
+    assert store.scan("v", version="all").where("subject = '50'").count() == 1
