@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import jsonmaps
-from .operators import combos
+from .operators import combos, intervals, mergeable
 from .operators.filters import Col
 from .plans import foreach, graph, lineage, run
 from .plans.foreach import ColName, ColumnSelection, EachOf, Fixed, Merge
 from .plans.run import Variable
+from .sources import table_functions
 from .sources.paths import PathTemplate
 from .sources.store import Store, checkpoint_folder
 
@@ -347,6 +348,80 @@ def store_states(spark, sf_dir):
     return run.states(own, total, {"x": Variable("Balance")}, "Total", ["nation"]).select("nation", "state")
 
 
+@query(f"SELECT nation, supplier, CASE WHEN CAST(supplier AS BIGINT) % 3 = 0 THEN 'stale' ELSE 'up_to_date' END AS state FROM ({_S})")
+def store_states_chain(spark, sf_dir):
+    def same(x):
+        return float(x)
+
+    def both(x, base):
+        return float(x) + float(base)
+
+    own = _new_store(spark)
+    for name in ("Balance", "Base"):
+        own.save_table(name, _suppliers(spark, sf_dir), ["value"])
+    run.for_each(own, same, {"x": Variable("Balance")}, ["Same"], KEYS, "value double")
+    run.for_each(own, both, {"x": Variable("Same"), "base": Variable("Base")}, ["Both"], KEYS, "value double")
+    own.save_table("Balance", _suppliers(spark, sf_dir).where("supplier % 3 = 0").withColumn("value", F.col("value") + 1), ["value"])
+    return run.states(own, both, {"x": Variable("Same"), "base": Variable("Base")}, "Both", KEYS).select(*KEYS, "state")
+
+
+@query(f"""SELECT nation, supplier, depth, function_name, param FROM ({_S}), (VALUES (0, 'third', 'x'), (1, 'second', 'x'), (1, 'second', 'y'), (2, 'first', 'x'), (3, NULL, NULL), (2, NULL, NULL)) w(depth, function_name, param)
+    WHERE CAST(supplier AS BIGINT) % 2 = 0""")
+def store_upstream(spark, sf_dir):
+    """Records made with k = 2 of a first step that ran with k = 1 and k = 2: the walk stays on their own variant."""
+
+    def first(x, k):
+        return float(x) * k
+
+    def second(x, y):
+        return float(x) + float(y)
+
+    def third(x):
+        return float(x) + 1
+
+    own = _new_store(spark)
+    for name in ("Balance", "Side"):
+        own.save_table(name, _suppliers(spark, sf_dir), ["value"])
+    for k in (1, 2):
+        run.for_each(own, first, {"x": Variable("Balance"), "k": k}, ["First"], KEYS, "value double")
+    run.for_each(own, second, {"x": Variable("First"), "y": Variable("Side")}, ["Second"], KEYS, "value double")
+    run.for_each(own, third, {"x": Variable("Second")}, ["Third"], KEYS, "value double")
+    log = own.records("Third", branch={"k": 2}).where("CAST(supplier AS BIGINT) % 2 = 0")
+    start = log.select("record_id", *KEYS)
+    everything = own.records("Third").unionByName(own.records("Second")).unionByName(own.records("First")).unionByName(own.records("Balance")).unionByName(own.records("Side"))
+    walk = lineage.upstream(everything, start, KEYS)
+    two = everything.where("variable_name = 'First'").select("record_id", jsonmaps.as_map(F.col("branch_params"))["first.k"].alias("k"))
+    wrong = walk.join(two.where("k <> '2'"), "record_id").select("start").distinct()  # none
+    return walk.join(wrong, "start", "left_anti").join(start.withColumnRenamed("record_id", "start"), "start").select(*KEYS, "depth", "function_name", "param")
+
+
+@query(f"SELECT nation, supplier, k, value FROM (SELECT nation, supplier, '1' AS k, value FROM ({_S}) UNION ALL SELECT nation, supplier, '\"1\"', value + 1 FROM ({_S}))")
+def store_version_types(spark, sf_dir):
+    own = _new_store(spark)
+    own.save_table("Balance", _suppliers(spark, sf_dir).withColumn("k", F.lit(1)), ["value"])
+    own.save_table("Balance", _suppliers(spark, sf_dir).withColumns({"k": F.lit("1"), "value": F.col("value") + 1}), ["value"])
+    found = [own.scan("Balance", versions={"k": k}).withColumn("k", F.lit(t)) for k, t in ((1, "1"), ("1", '"1"'))]
+    return found[0].unionByName(found[1]).select("nation", "supplier", "k", "value")
+
+
+@query(f"SELECT nation, supplier, value FROM ({_S}) WHERE CAST(supplier AS BIGINT) % 7 = 0")
+def store_fetch(spark, sf_dir):
+    own = store(spark, sf_dir)
+    ids = [r[0] for r in own.records("Balance").where("CAST(supplier AS BIGINT) % 7 = 0").select("record_id").collect()]
+    return own.fetch("Balance", ids).select("nation", "supplier", "value")
+
+
+@query(f"SELECT CAST(place AS BIGINT) AS place, nation, supplier, value, round(sum(value) OVER (PARTITION BY nation ORDER BY place), 2) AS so_far FROM (SELECT nation, supplier, value, row_number() OVER (PARTITION BY nation ORDER BY value, supplier) AS place FROM ({_S})) WHERE place <= 5")
+def store_sql_table_function(spark, sf_dir):
+    def smallest(rows, n):
+        rows = rows.head(n)
+        return pd.DataFrame({"place": range(1, len(rows) + 1), "supplier": rows["supplier"], "value": rows["value"], "so_far": rows["value"].cumsum().round(2)})
+
+    table_functions.register(spark, "smallest", smallest, "place long, supplier string, value double, so_far double", ["nation"])
+    text = "SELECT place, nation, supplier, value, so_far FROM smallest(rows => TABLE(SELECT nation, supplier, value FROM Balance) PARTITION BY nation ORDER BY (value, supplier), n => 5)"
+    return store(spark, sf_dir).sql(text)
+
+
 @query(f"SELECT nation, supplier, CAST(2 AS BIGINT) AS depth FROM ({_S}) UNION ALL SELECT DISTINCT nation, supplier, CAST(1 AS BIGINT) FROM ({_S})")
 def store_provenance(spark, sf_dir):
     def same(x):
@@ -363,16 +438,16 @@ def store_provenance(spark, sf_dir):
     return own.provenance().select("record_id", *KEYS).join(walk.select(F.col("node").alias("record_id"), F.col("hops").cast("long").alias("depth")), "record_id").select(*KEYS, "depth")
 
 
-@query(f"SELECT nation, supplier FROM ({_S}) WHERE value > 5000")
+@query(f"SELECT nation, supplier FROM ({_S})")
 def store_memo(spark, sf_dir):
     def same(x):
         return float(x)
 
     own = _new_store(spark)
-    own.save_table("Balance", _suppliers(spark, sf_dir).where("value > 5000"), ["value"])
+    own.save_table("Balance", _suppliers(spark, sf_dir), ["value"])
     run.for_each(own, same, {"x": Variable("Balance")}, ["Same"], KEYS, "value double")
-    hashes, log = own.table("lineage").select("lineage_hash", "output_record_id"), own.records("Same")
-    return log.join(hashes, (log["record_id"] == hashes["output_record_id"]) & (log["lineage_hash"] == hashes["lineage_hash"])).select("nation", "supplier")
+    wanted = own.records("Same").select("lineage_hash")
+    return lineage.memo(own.table("lineage"), own.records("Same"), wanted).select("nation", "supplier")
 
 
 @query(f"""SELECT c.nation, c.kind, c.k FROM {_V} c JOIN {_V} p ON p.nation = c.nation AND p.kind = c.kind AND p.k = c.k""")
@@ -425,6 +500,51 @@ def each_of_filters(spark, sf_dir):
     return out.select("user_id", F.col("where").alias("variant"), "n")
 
 
+_HOT = "(SELECT CASE WHEN event_type = 'view' OR user_id % 3 = 0 THEN -1 ELSE user_id END AS place, value FROM events)"
+
+
+@query(f"SELECT place, CAST(count(*) AS BIGINT) AS n, round(exp(avg(ln(value + 1))), 6) AS geometric, max(value) - min(value) AS spread FROM {_HOT} GROUP BY place")
+def each_mergeable_aggregates(spark, sf_dir):
+    class Geometric(mergeable.Mergeable):
+        def start(self):
+            return 0, 0.0, float("inf"), float("-inf")
+
+        def update(self, state, rows):
+            import numpy as np
+
+            n, total, low, high = state
+            v = rows["value"].to_numpy()
+            return n + len(v), total + float(np.log(v + 1).sum()), min(low, float(v.min())), max(high, float(v.max()))
+
+        def merge(self, one, other):
+            return one[0] + other[0], one[1] + other[1], min(one[2], other[2]), max(one[3], other[3])
+
+        def finish(self, state):
+            import math
+
+            return state[0], round(math.exp(state[1] / state[0]), 6), state[3] - state[2]
+
+    # one place has more than half of all rows
+    place = F.when((F.col("event_type") == "view") | (F.col("user_id") % 3 == 0), -1).otherwise(F.col("user_id")).alias("place")
+    log = _t(spark, sf_dir, "events").select(place, "value")
+    return foreach.for_each(Geometric(), {"x": log}, ["place"], schema="n long, geometric double, spread double")
+
+
+@query("SELECT o_orderkey, CAST(count(l_shipdate) AS BIGINT) AS n, CAST(coalesce(sum(l_linenumber), 0) AS BIGINT) AS total FROM orders LEFT JOIN lineitem ON l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL 36 HOUR GROUP BY o_orderkey")
+def join_points_in_intervals(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderdate") + F.expr("INTERVAL 36 HOURS")).alias("until"))
+    lines = _t(spark, sf_dir, "lineitem").select("l_shipdate", "l_linenumber")
+    found = intervals.points_in_intervals(lines, orders, "l_shipdate", "o_orderdate", "until").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("total"))
+    return orders.select("o_orderkey").join(found, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+
+
+@query("SELECT a.event_id AS error, b.event_id AS purchase FROM events a JOIN events b ON a.event_type = 'error' AND b.event_type = 'purchase' AND a.ts < b.ts + INTERVAL 20 MINUTE AND b.ts < a.ts + INTERVAL 10 MINUTE")
+def join_overlapping_intervals(spark, sf_dir):
+    log = _t(spark, sf_dir, "events")
+    side = lambda kind, long: log.where(F.col("event_type") == kind).select(F.col("event_id").alias(kind), F.col("ts").alias(f"{kind}_from"), (F.col("ts") + F.expr(f"INTERVAL {long} MINUTES")).alias(f"{kind}_to"))
+    return intervals.overlaps(side("error", 10), side("purchase", 20), ("error_from", "error_to"), ("purchase_from", "purchase_to")).select("error", "purchase")
+
+
 @query("SELECT p_brand, round(sum(p_retailprice), 2) AS value, 'p_retailprice' AS name FROM part GROUP BY p_brand")
 def each_selection_and_name(spark, sf_dir):
     part = _t(spark, sf_dir, "part").select("p_brand", "p_retailprice", "p_size")

@@ -28,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..constant import plain_value
 from ..functions.keys import norm_key_value
 from ..operators.filters import Filter, table_condition
+from ..operators.mergeable import Mergeable, aggregate
 from ..operators.tables import merge_positional, merge_shared
 from ..sources.paths import PathTemplate
 
@@ -154,7 +155,7 @@ def _variants(inputs: dict, where) -> list[tuple[dict, dict, object]]:
 
 
 def for_each(
-    fn: Callable | dict[str, Column],
+    fn: Callable | Mergeable | dict[str, Column],
     inputs: dict[str, object],
     keys: list[str],
     combos: DataFrame | None = None,
@@ -172,7 +173,8 @@ def for_each(
 ) -> DataFrame | None:
     """One row, or the rows of a returned table, for every combination of `keys`.
 
-    fn takes the inputs by name; or a dict of aggregates over the only table input. schema:
+    fn takes the inputs by name; or a dict of aggregates over the only table input, or a
+    Mergeable over it, whose states combine before the shuffle. schema:
     the types of what it returns, without keys; by default found by calling it on one
     combination. A tuple is several columns, named by output_names. distribute: the key that
     numbers, from 1, the elements or rows that the output is split into. errors: 'skip' the
@@ -205,6 +207,7 @@ def for_each(
             if len(names) != 1:
                 raise ValueError(f"ColName needs one data column, not {names}")
             constants[n] = names[0]
+    given = combos is not None
     if combos is None:
         keyed = [df for df in found.values() if set(keys) <= set(df.columns)]
         if not keyed:
@@ -213,6 +216,9 @@ def for_each(
     if dry_run:
         combos.orderBy(*keys).show(20, truncate=False)
         return None
+    if isinstance(fn, Mergeable):
+        (df,) = found.values()
+        return aggregate(df.join(combos.select(*keys).distinct(), keys, "left_semi") if given else df, keys, fn, schema)
     if isinstance(fn, dict):
         (df,) = found.values()
         return df.join(combos, keys, "left_semi").groupBy(*keys).agg(*[c.alias(n) for n, c in fn.items()])
