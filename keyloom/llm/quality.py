@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, free_names, held_out, priors, sampled_labels, utf8
+from .common import chunks, cut, free_names, held_out, priors, sampled_labels, utf8
 from .neighbours import Calibration, votes
 
 #: Labelled examples of each class at most; latent axes; neighbours that vote.
@@ -206,7 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class:
 
     The model is bounded by 2 * per_class vectors of `axes` numbers and the axes.
     """
-    sample = sampled_labels(docs, labels, target, per_class)
+    found = sampled_labels(docs, labels, target, per_class)
+    # copies are one example, else each would be its own copy's nearest neighbour when the votes are calibrated
+    sample = cut(found.groupBy("text").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id")))
     number = _vocabulary(sample)
     kept = int(number.max(initial=-1)) + 1
     df, n = _document_frequencies(docs, number)
@@ -257,7 +259,12 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs whose score reaches the threshold, columns unchanged."""
+    """docs whose score reaches the threshold, columns unchanged.
+
+    Null and empty texts are scored like any other; rows with a null, repeated or unlabelled
+    doc_id too, since ids only find labels. Repeated rows stay or go together. Without labels
+    of both classes the share of label 1 decides for all. An empty table gives an empty one.
+    """
     (into,) = free_names(docs, "__quality")
     scored = score(docs, fit(docs.select("doc_id", "text"), labels), into)
     return scored.where(F.col(into) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -330,7 +330,13 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs whose score is under the threshold, columns unchanged."""
+    """docs whose score is under the threshold, columns unchanged.
+
+    Null and empty texts have no evidence and are scored so; rows with a null, repeated or
+    unlabelled doc_id are scored like any other, since ids only find labels. Repeated rows
+    stay or go together. Without labels of both classes all rows get one score. An empty
+    table gives an empty one.
+    """
     (into,) = free_names(docs, "__toxicity")
     scored = score(docs, fit(docs.select("doc_id", "text"), labels), into)
     return scored.where(F.col(into) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keyloom.llm import ann, components, mixing, quality, sharding, simhash, toxicity
+from keyloom.llm import ann, components, mixing, neighbours, quality, sharding, simhash, toxicity
 
 
 def plain_fingerprint(text, shingle=4):
@@ -457,3 +457,30 @@ def test_pipeline_stages_against_plain_versions(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in stages["tokens"](spark, docs, sf).collect():
         assert r["ids"] == tokenizer.encode(rows[r["doc_id"]]["text"] or "", add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+
+
+def test_quality_votes_against_brute_force():
+    random = np.random.default_rng(6)
+    vectors = np.abs(random.standard_normal((300, 20))).astype(np.float32)
+    vectors[50:60] = vectors[40:50]  # equal examples: the first place wins
+    label = random.integers(0, 2, 300)
+    model = quality.Model(np.arange(20, dtype=np.int32), np.ones(20, np.float32), quality._unit(vectors), label, (0.5, 0.5), 8, 15)
+    asked = quality._unit(np.abs(random.standard_normal((40, 20))).astype(np.float32) @ model.axes)
+    for skip in (None, np.arange(40)):
+        want = []
+        for i, v in enumerate(asked):
+            cosines = [round(float(np.float32(v) @ np.float32(e)), 6) for e in model.examples]
+            near = sorted((j for j in range(300) if skip is None or j != skip[i]), key=lambda j: (-cosines[j], j))[:15]
+            weights = [max(cosines[j], 0) ** 16 for j in near]
+            want.append((sum(w * label[j] for w, j in zip(weights, near)) + neighbours.ANCHOR * label.mean()) / (sum(weights) + neighbours.ANCHOR))
+        assert model.vote(asked, skip) == pytest.approx(np.array(want), abs=2e-5)
+
+
+def test_quality_learns_from_a_text_once(spark, words):
+    good, bad = "A sentence, with care; it ends. ", "BUY NOW!! $$$ "
+    rows = [(i, (good if i % 2 else bad) * 3 + " ".join(words[i : i + 5])) for i in range(60)] + [(100 + i, good * 7) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 or i >= 100)) for i, _ in rows], "doc_id long, quality int")
+    learnt = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    model = quality.fit(docs, labels)
+    assert len(model.label) == len({t for i, t in rows if i in learnt})
