@@ -344,16 +344,22 @@ def branch_suffix_match(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT user_id, event_id, event_type, props FROM events WHERE event_type IN ('view', 'click')),
-    m AS (SELECT b.event_id, a.event_id AS parent, CASE WHEN a.props = b.props THEN 2 ELSE 0 END AS fit FROM c b JOIN c a ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click'
-      AND a.props = b.props)
-    SELECT event_id, max(parent) AS parent FROM m GROUP BY event_id"""
+    """WITH c AS (SELECT event_id, user_id, json_extract_string(props, '$.k') AS k, CAST(floor(value) AS BIGINT) % 2 AS side FROM events WHERE event_type = 'click'),
+    v AS (SELECT event_id AS parent, user_id, CASE WHEN event_id % 3 > 0 THEN json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 3 = 2 THEN CAST(floor(value) AS BIGINT) % 2 END AS side FROM events WHERE event_type = 'view')
+    SELECT event_id, parent, CAST(n AS BIGINT) AS n FROM (
+      SELECT c.event_id, v.parent, (v.k IS NOT NULL)::INT + (v.side IS NOT NULL)::INT AS n, row_number() OVER (PARTITION BY c.event_id ORDER BY (v.k IS NOT NULL)::INT + (v.side IS NOT NULL)::INT DESC, v.parent DESC) AS place
+      FROM c JOIN v ON c.user_id = v.user_id AND (v.k IS NULL OR v.k = c.k) AND (v.side IS NULL OR v.side = c.side)) WHERE place = 1"""
 )
 def json_subset_best_match(spark, sf_dir):
+    """Views with no parameter, one or two: each click's is the one with most of its parameters."""
     log = _t(spark, sf_dir, "events")
-    side = lambda kind, name: log.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), jsonmaps.as_map(F.col("props")).alias(f"{name}_map"))
-    pairs = side("click", "event_id").join(side("view", "parent"), "user_id").where(jsonmaps.is_subset(F.col("parent_map"), F.col("event_id_map")))
-    return pairs.groupBy("event_id").agg(F.max_by("parent", F.struct(F.size("parent_map"), F.col("parent"))).alias("parent"))
+    k, side = F.get_json_object("props", "$.k"), F.floor("value").cast("long") % 2
+    two = F.map_from_arrays(F.array(F.lit("f.k"), F.lit("g.side")), F.array(k, side.cast("string")))
+    some = F.map_filter(two, lambda name, _: ((name == "f.k") & (F.col("event_id") % 3 > 0)) | ((name == "g.side") & (F.col("event_id") % 3 == 2)))
+    children = log.where("event_type = 'click'").select(F.col("event_id").alias("child"), F.lit("x").alias("param"), F.lit("View").alias("input"), two.alias("own"), "user_id")
+    views = log.where("event_type = 'view'").select(F.col("event_id").alias("record_id"), F.lit("View").alias("variable_name"), some.alias("params"), "user_id")
+    found = lineage.best_parents(children, views, ["user_id"])
+    return found.join(views.select(F.col("record_id").alias("parent"), F.size("params").cast("long").alias("n")), "parent").select(F.col("child").alias("event_id"), "parent", "n")
 
 
 @query("SELECT DISTINCT event_type AS function_name, 'k' AS input, CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 AS target FROM events")

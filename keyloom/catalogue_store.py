@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import jsonmaps
 from .operators import combos, intervals, mergeable
 from .operators.filters import Col
-from .plans import foreach, graph, lineage, run
+from .plans import drawn, foreach, graph, lineage, run
 from .plans.foreach import ColName, ColumnSelection, EachOf, Fixed, Merge
 from .plans.run import Variable
 from .sources import table_functions
@@ -708,6 +708,50 @@ def graph_pipeline_structure(spark, sf_dir):
     return graph.pipeline_structure(own.log().where("variable_name LIKE 'Graph%'")).select("function_name", "output", F.array_join("input_types", ",").alias("input"))
 
 
+@query("""SELECT 'node' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS shown FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0
+    UNION ALL SELECT 'edge', CAST(o_orderkey AS VARCHAR), CASE WHEN o_custkey % 5 = 0 THEN 'run' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END FROM (SELECT o_orderkey, max(o_custkey) AS o_custkey FROM orders GROUP BY o_orderkey)
+    UNION ALL SELECT DISTINCT 'pending', c_mktsegment, CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_nationkey NOT IN (1, 2)
+    UNION ALL SELECT 'hidden', CAST(n_nationkey AS VARCHAR), NULL FROM nation WHERE n_nationkey % 2 = 1""")
+def graph_drawn(spark, sf_dir):
+    """Customers as nodes, of which some are deleted and some graduate, orders as edges from them."""
+    own = drawn.DrawnGraph(_new_store(spark))
+    customers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("label"), F.lit("variable").alias("type"), "c_custkey", F.col("c_nationkey").cast("string").alias("value"))
+    orders = _t(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").cast("string").alias("id")).agg(F.max("o_custkey").cast("string").alias("source"))
+    own.add_nodes(customers.withColumn("label", F.lit("first")))
+    own.add_nodes(customers)
+    own.add_edges(orders.withColumn("target", F.lit("all")))
+    own.delete_nodes(customers.where("c_custkey % 3 = 0"))
+    own.graduate(customers.where("c_custkey % 5 = 0").select(F.col("id").alias("old"), F.concat(F.lit("run"), "id").alias("new")))
+    own.add_pending(customers.select(F.col("label").alias("constant"), "value"))
+    own.add_pending(customers.where("value IN ('1', '2')").select(F.col("label").alias("constant"), "value"), present=False)
+    nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), "n_nationkey")
+    own.hide(nations)
+    own.hide(nations.where("n_nationkey % 2 = 0"), hidden=False)
+    kind = lambda df, name, id_, shown: df.select(F.lit(name).alias("kind"), F.col(id_).alias("id"), shown.alias("shown"))
+    parts = [kind(own.nodes(), "node", "id", F.col("label")), kind(own.edges(), "edge", "id", F.col("source")), kind(own.pending(), "pending", "constant", F.col("value"))]
+    found = kind(own.hidden(), "hidden", "id", F.lit(None).cast("string"))
+    for p in parts:
+        found = found.unionByName(p)
+    return found
+
+
+@query("""SELECT 'quantity' AS column_name, CAST(count(*) AS BIGINT) AS n, min(l_quantity) AS least, max(l_quantity) AS most, TRUE AS near FROM lineitem
+    UNION ALL SELECT 'price', CAST(count(*) AS BIGINT), min(l_extendedprice), max(l_extendedprice), TRUE FROM lineitem""")
+def store_sketches(spark, sf_dir):
+    """Lines saved in two parts; what the merged sketches say is held against the data: distinct values within 5 %, medians within 5 % in rank."""
+    own = _new_store(spark)
+    line = _t(spark, sf_dir, "lineitem").join(_suppliers(spark, sf_dir).select("nation", F.col("supplier").alias("l_suppkey")), "l_suppkey")
+    line = line.select("nation", F.col("l_suppkey").alias("supplier"), "l_orderkey", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    for part in (0, 1):
+        own.save_table("Lines", line.where(f"supplier % 2 = {part}"), ["l_orderkey", "quantity", "price"], order=["l_orderkey", "quantity", "price"], sketched=("quantity", "price"))
+    exact = line.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in ("quantity", "price")])))
+    found = own.sketch_summary("Lines", (0.5,))
+    told = exact.join(F.broadcast(found.select("column_name", F.col("quantiles")[0].alias("median"))), "column_name")
+    truth = told.groupBy("column_name").agg(F.countDistinct("v").alias("d"), F.avg((F.col("v") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("median")).cast("int")).alias("upto"))
+    near = (F.abs(F.col("distinct_values") - F.col("d")) <= 0.05 * F.col("d")) & (F.col("below") <= 0.55) & (F.col("upto") >= 0.45)
+    return found.join(truth, "column_name").select("column_name", "n", "least", "most", near.alias("near"))
+
+
 # --- SQL over the store's views: functions by category ----------------------------------
 
 

@@ -1,16 +1,18 @@
 """Filters on a variable by its own columns or by another variable's values.
 
-A filter is a tree; it is compiled into semi and anti joins, one lazy plan. Leaves that name
-another variable restrict the target's locations: values of a coarser level hold for all
-finer locations under them.
+A filter is a tree; it is compiled into one lazy plan that reads the target once. Leaves that
+name another variable restrict the target's locations: values of a coarser level hold for all
+finer locations under them. What must hold is a semi join; under "or" and "not" every leaf
+becomes a mark, by a left join, and the tree is evaluated over the marks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DatasetSchema
@@ -69,12 +71,15 @@ class Compare(Filter):
 
 @dataclass(frozen=True, eq=False)
 class RawSql(Filter):
-    """An SQL condition on the target's latest rows; columns in double quotes count as names."""
+    """An SQL condition on the target's latest rows; what double quotes enclose, outside texts, is a name."""
 
     fragment: str
 
     def condition(self) -> Column:
-        return F.expr(self.fragment.replace('"', "`"))
+        # quotes within a text in single quotes are its own
+        parts = re.split(r"('(?:[^']|'')*')", self.fragment)
+        named = [p if i % 2 else re.sub(r'"((?:[^"]|"")*)"', lambda m: "`" + m[1].replace('""', '"').replace("`", "``") + "`", p) for i, p in enumerate(parts)]
+        return F.expr("".join(named))
 
 
 def raw_sql(fragment: str) -> RawSql:
@@ -129,14 +134,17 @@ def resolve(tree: Filter, target: DataFrame, schema: DatasetSchema, values: Call
     keys = level or [k for k in schema.keys if k in target.columns]
     if isinstance(tree, Both):
         return resolve(tree.right, resolve(tree.left, target, schema, values, validate, keys), schema, values, validate, keys)
-    if isinstance(tree, Either):
-        sides = [resolve(t, target, schema, values, validate, keys).select(*keys).distinct() for t in (tree.left, tree.right)]
-        return expand(target, sides[0].union(sides[1]).distinct(), keys)
-    if isinstance(tree, Not):
-        inside = resolve(tree.inner, target, schema, values, validate, keys).select(*keys).distinct()
-        return expand(target, inside, keys, "left_anti")
+    if isinstance(tree, (Either, Not)):
+        marked, passed, _ = _marked(tree, target, schema, values, validate, keys)
+        return marked.where(passed).select(*[F.col(f"`{c}`") for c in target.columns])
     if isinstance(tree, RawSql) or tree.variable is None:
         return target.where(tree.condition())
+    passing, own = _passing(tree, target, schema, values, validate, keys)
+    return expand(target, passing, own)
+
+
+def _passing(tree: Compare, target: DataFrame, schema: DatasetSchema, values, validate: bool, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """The locations at which another variable passes, and its keys."""
     other, own = values(tree.variable)
     if schema.depth(own) > schema.depth(keys):
         raise ValueError(f"{tree.variable} is saved at a finer level than the target: {own} below {keys}")
@@ -144,7 +152,32 @@ def resolve(tree: Filter, target: DataFrame, schema: DatasetSchema, values: Call
         raise ValueError(f"{tree.variable} has no column {tree.column!r}")
     if validate and (lost := uncovered(target, other, own).first()) is not None:
         raise ValueError(f"{tree.variable} has no value at {lost.asDict()}")
-    return expand(target, other.where(tree.condition()).select(*own).distinct(), own)
+    return other.where(tree.condition()).select(*own).distinct(), own
+
+
+def _marked(tree: Filter, target: DataFrame, schema: DatasetSchema, values, validate: bool, keys: list[str]) -> tuple[DataFrame, Column, bool]:
+    """The target with marks, whether the tree holds in a row, and whether that is the same for all rows of a location."""
+    if isinstance(tree, RawSql) or (isinstance(tree, Compare) and tree.variable is None):
+        return target, F.coalesce(tree.condition(), F.lit(False)), False
+    if isinstance(tree, Compare):
+        passing, own = _passing(tree, target, schema, values, validate, keys)
+        mark = f"__mark{len(target.columns)}"
+        side = passing.select(*[F.col(f"`{k}`").alias(f"{mark}_{k}") for k in own], F.lit(True).alias(mark))
+        joined = target.join(side, [target[k].eqNullSafe(side[f"{mark}_{k}"]) for k in own], "left").drop(*[f"{mark}_{k}" for k in own])
+        return joined, F.coalesce(F.col(mark), F.lit(False)), True
+
+    def anywhere(condition: Column, same: bool) -> Column:
+        """Whether it holds in some row of the location."""
+        return condition if same else F.max(condition).over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys]))
+
+    if isinstance(tree, Not):
+        marked, inner, same = _marked(tree.inner, target, schema, values, validate, keys)
+        return marked, ~anywhere(inner, same), True
+    marked, left, left_same = _marked(tree.left, target, schema, values, validate, keys)
+    marked, right, right_same = _marked(tree.right, marked, schema, values, validate, keys)
+    if isinstance(tree, Both):
+        return marked, left & right, left_same and right_same
+    return marked, anywhere(left, left_same) | anywhere(right, right_same), True
 
 
 def uncovered(target: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

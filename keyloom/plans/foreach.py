@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ from ..sources.paths import PathTemplate
 
 #: Bytes, as JSON, up to which a table without keys is broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Rows of an input by which the types of an output are learnt where no schema is given.
+TRIAL_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -170,6 +173,7 @@ def for_each(
     order: Iterable[str] = (),
     keys_as_arguments: bool = False,
     observation: Observation | None = None,
+    progress: Accumulator | None = None,
 ) -> DataFrame | None:
     """One row, or the rows of a returned table, for every combination of `keys`.
 
@@ -184,14 +188,15 @@ def for_each(
     so that fn gets all lower rows of a combination. order: columns that put a combination's
     rows in order, after the lower keys; fn doesn't get them. A path template is an input by
     its path at the combination. keys_as_arguments: fn gets the keys too, by name.
-    observation: gets `rows` and `failed` when the plan runs. Running calls are cancelled with
-    Spark's own job tags.
+    observation: gets `rows` and `failed` when the plan runs. progress: counts combinations as
+    they are done; those of a task that is run again count again. Running calls are cancelled
+    by job tags, see `run.tagged`.
     """
     variants = _variants(inputs, where)
     if len(variants) > 1:
         parts = []
         for labels, picked, condition in variants:
-            df = for_each(fn, picked, keys, combos, schema, condition, as_table, distribute, output_names, errors, dry_run, dataset, order, keys_as_arguments)
+            df = for_each(fn, picked, keys, combos, schema, condition, as_table, distribute, output_names, errors, dry_run, dataset, order, keys_as_arguments, progress=progress)
             parts.append(None if df is None else df.withColumns({n: F.lit(v) for n, v in labels.items()}))
         return None if dry_run else reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     _, inputs, where = variants[0]
@@ -224,13 +229,13 @@ def for_each(
         return df.join(combos, keys, "left_semi").groupBy(*keys).agg(*[c.alias(n) for n, c in fn.items()])
     tabled = set(found) if as_table is True else set(as_table or ())
     selected = {n for n, v in inputs.items() if isinstance(v, ColumnSelection)}
-    call = _Call(fn, constants, keys, every, tabled, selected, output_names, distribute, errors, tuple(order), keys_as_arguments)
+    call = _Call(fn, constants, keys, every, tabled, selected, output_names, distribute, errors, tuple(order), keys_as_arguments, progress)
     combos = combos.select(*keys).distinct()
     kinds = {f.name: f for f in combos.schema.fields}
     if schema is None:
         first = combos.limit(1)
         at = first.toPandas()
-        tables = {n: _joined(first, df, keys).select(*df.columns).toPandas() for n, df in found.items()}  # of one combination
+        tables = {n: _joined(first, df, keys).select(*df.columns).limit(TRIAL_ROWS).toPandas() for n, df in found.items()}  # some rows of one combination
         if at.empty or any(t.empty for n, t in tables.items() if set(keys) & set(found[n].columns)):
             raise ValueError("no combination to learn the output's types from; give a schema")
         got = call.called(at.iloc[0].to_dict(), tables, trial=True).drop(columns=keys, errors="ignore")
@@ -308,9 +313,10 @@ def _leaves(tree):
 
 
 class _Call:
-    def __init__(self, fn, constants, keys, every, tabled, selected, output_names, distribute, errors, order=(), keys_as_arguments=False):
+    def __init__(self, fn, constants, keys, every, tabled, selected, output_names, distribute, errors, order=(), keys_as_arguments=False, progress=None):
         self.fn, self.constants, self.keys, self.every, self.tabled, self.selected = fn, constants, keys, every, tabled, selected
         self.output_names, self.distribute, self.errors, self.order, self.keys_as_arguments = output_names, distribute, errors, order, keys_as_arguments
+        self.progress = progress
 
     def sorted(self, table: pd.DataFrame) -> pd.DataFrame:
         """The rows by the lower keys, numbers as numbers, and then by the order columns, which go."""
@@ -334,6 +340,8 @@ class _Call:
             if self.errors == "raise" or trial:
                 raise
             out = pd.DataFrame([{"error": f"{type(e).__name__}: {e}"}] if self.errors == "column" else [])
+        if self.progress is not None and not trial:
+            self.progress.add(1)
         return out
 
     def _shape(self, result) -> pd.DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constant import plain_value
@@ -146,6 +147,19 @@ def for_each(
     return called.drop(*params)
 
 
+@contextmanager
+def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs that this thread starts within bear the tag; `spark.interruptTag(tag)` from another thread cancels them.
+
+    A run that is cancelled has saved nothing: its log rows, the commit, come last.
+    """
+    spark.addTag(tag)
+    try:
+        yield
+    finally:
+        spark.removeTag(tag)
+
+
 def _effect(function: Callable) -> Callable:
     def call(**arguments):
         function(**arguments)

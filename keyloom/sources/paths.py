@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import json
 import re
 from functools import reduce
 from itertools import product as cartesian
@@ -23,6 +25,26 @@ class PathTemplate:
         made = self.template.format(**keys)
         return f"{self.root}/{made}" if self.root else made
 
+    def key(self) -> str:
+        """The template as text, for version keys; `parse` reads it back."""
+        return json.dumps({"path_template": self.template, "root": self.root}, sort_keys=True)
+
+    @staticmethod
+    def parse(text: str) -> PathTemplate | None:
+        """The template that a text stands for: `key` or the older `PathTemplate('template', 'root')`; None for others."""
+        if text.startswith("{"):
+            try:
+                found = json.loads(text)
+            except json.JSONDecodeError:
+                return None
+            return PathTemplate(found["path_template"], found.get("root") or "") if "path_template" in found else None
+        try:
+            call = ast.parse(text, mode="eval").body
+            arguments = [ast.literal_eval(a) for a in call.args] if isinstance(call, ast.Call) and getattr(call.func, "id", "") == "PathTemplate" else []
+        except (SyntaxError, ValueError):
+            return None
+        return PathTemplate(*arguments) if arguments and all(isinstance(a, str) for a in arguments) else None
+
     def column(self) -> Column:
         """The path as an expression over columns named like the fields."""
         text = f"{self.root}/{self.template}" if self.root else self.template
