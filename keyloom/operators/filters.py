@@ -166,18 +166,24 @@ def _marked(tree: Filter, target: DataFrame, schema: DatasetSchema, values, vali
         joined = target.join(side, [target[k].eqNullSafe(side[f"{mark}_{k}"]) for k in own], "left").drop(*[f"{mark}_{k}" for k in own])
         return joined, F.coalesce(F.col(mark), F.lit(False)), True
 
-    def anywhere(condition: Column, same: bool) -> Column:
+    def anywhere(rows: DataFrame, condition: Column, same: bool) -> tuple[DataFrame, Column]:
         """Whether it holds in some row of the location."""
-        return condition if same else F.max(condition).over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys]))
+        if same:
+            return rows, condition
+        mark = f"__mark{len(rows.columns)}"
+        return rows.withColumn(mark, F.max(condition).over(Window.partitionBy(*[F.col(f"`{k}`") for k in keys]))), F.col(mark)
 
     if isinstance(tree, Not):
         marked, inner, same = _marked(tree.inner, target, schema, values, validate, keys)
-        return marked, ~anywhere(inner, same), True
+        marked, inner = anywhere(marked, inner, same)
+        return marked, ~inner, True
     marked, left, left_same = _marked(tree.left, target, schema, values, validate, keys)
     marked, right, right_same = _marked(tree.right, marked, schema, values, validate, keys)
     if isinstance(tree, Both):
         return marked, left & right, left_same and right_same
-    return marked, anywhere(left, left_same) | anywhere(right, right_same), True
+    marked, left = anywhere(marked, left, left_same)
+    marked, right = anywhere(marked, right, right_same)
+    return marked, left | right, True
 
 
 def uncovered(target: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

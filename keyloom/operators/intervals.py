@@ -32,7 +32,7 @@ class Bins:
     def __init__(self, df: DataFrame, column: str, bins: int = BINS):
         value = _number(F.col(f"`{column}`"), dict(df.dtypes)[column])
         shares = [k / bins for k in range(1, bins)]
-        found = df.select(value.alias("v")).where("v IS NOT NULL AND NOT isnan(v)").agg(F.percentile_approx("v", shares, ACCURACY)).first()[0] or []
+        found = df.select(value.alias("v")).where("v IS NOT NULL AND NOT isnan(v)").agg(F.percentile_approx("v", shares, ACCURACY)).first()[0] or [0.0]
         self.edges = sorted(set(found))  # at most `bins`
         self.parts = [max(1, found.count(e)) for e in self.edges]
         self.kind = dict(df.dtypes)[column]

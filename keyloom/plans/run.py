@@ -149,15 +149,20 @@ def for_each(
 
 @contextmanager
 def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
-    """Jobs that this thread starts within bear the tag; `spark.interruptTag(tag)` from another thread cancels them.
+    """Jobs that this thread starts within bear the tag; `cancel` from another thread ends them.
 
     A run that is cancelled has saved nothing: its log rows, the commit, come last.
     """
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     try:
         yield
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """End the jobs that bear the tag; the call that waits for them fails."""
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def _effect(function: Callable) -> Callable:
