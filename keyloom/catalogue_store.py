@@ -199,12 +199,15 @@ def store_view(spark, sf_dir):
     return spark.table(name).select("nation", "supplier", "value", "excluded")
 
 
-@query("SELECT * FROM (VALUES ('money', 'Balance'), ('places', 'Label'), ('places', 'Region')) v(group_name, variable_name)")
+@query("SELECT r_name AS group_name, n_name AS variable_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0")
 def store_groups(spark, sf_dir):
-    own = store(spark, sf_dir)
-    own.group("money", ["Balance", "Lines"])
-    own.group("money", ["Lines"], present=False)
-    own.group("places", ["Label", "Region"])
+    """Nations as variables, grouped by region; every fourth is taken out again."""
+    own = _new_store(spark)
+    names = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", (F.col("n_nationkey") % 4 == 0).alias("out")).collect()
+    for region in sorted({r["r_name"] for r in names}):
+        own.group(region, [r["n_name"] for r in names if r["r_name"] == region])
+        if gone := [r["n_name"] for r in names if r["r_name"] == region and r["out"]]:
+            own.group(region, gone, present=False)
     return spark.createDataFrame([(g, v) for g in own.groups() for v in own.group_members(g)], "group_name string, variable_name string")
 
 
@@ -215,19 +218,21 @@ def store_export_csv(spark, sf_dir):
     return spark.read.csv(f"{own.root}/export", header=True).select(F.col("_meta_nation").alias("nation"), F.col("_meta_supplier").alias("supplier"), F.col("value").cast("double").cast("string").alias("value"))
 
 
-@query("SELECT * FROM (VALUES (1, 'whole', '3'), (2, 'real', '2.5'), (3, 'text', 'a'), (4, 'flag', 'True'), (5, 'vector', '[1.0, 2.0]'), (6, 'nested', '{\"a\": {\"b\": 1}}')) v(no, name, shown)")
+@query("""SELECT CAST(n_regionkey AS BIGINT) AS nation, string_agg(n_name, ',' ORDER BY n_name) AS names, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_nationkey) AS DOUBLE) / 2 AS half, max(n_nationkey) > 20 AS late
+    FROM nation GROUP BY n_regionkey""")
 def store_value_round_trip(spark, sf_dir):
-    import json
-
+    """Nested values, lists, numbers and arrays of every region, saved and loaded again."""
     import numpy as np
 
-    own, out = _new_store(spark), []
-    values = {"whole": 3, "real": 2.5, "text": "a", "flag": True, "vector": np.array([1.0, 2.0]), "nested": {"a": {"b": 1}}}
-    for no, (name, value) in enumerate(values.items(), 1):
-        own.save(name, value, nation=1)
-        got = own.load(name, nation=1)
-        out.append((no, name, json.dumps(got) if isinstance(got, dict) else str(got.tolist()) if isinstance(got, np.ndarray) else str(got)))
-    return spark.createDataFrame(out, "no int, name string, shown string")
+    own, regions = _new_store(spark), {}
+    for r in _t(spark, sf_dir, "nation").orderBy("n_name").collect():
+        regions.setdefault(r["n_regionkey"], []).append(r)
+    values = {(k,): {"names": [r["n_name"] for r in rows], "inner": {"n": len(rows), "late": max(r["n_nationkey"] for r in rows) > 20}} for k, rows in regions.items()}
+    own.save_many("Nested", values)
+    own.save_many("Vector", {(k,): np.array([r["n_nationkey"] / 2 for r in rows]) for k, rows in regions.items()})
+    half = {k["nation"]: float(np.sum(v)) for k, v in own.load("Vector")}
+    out = [(k["nation"], ",".join(v["names"]), int(v["inner"]["n"]), half[k["nation"]], bool(v["inner"]["late"])) for k, v in own.load("Nested")]
+    return spark.createDataFrame(out, "nation long, names string, n long, half double, late boolean")
 
 
 # --- for_each over the store -----------------------------------------------------------
@@ -461,13 +466,13 @@ def store_variant_edges(spark, sf_dir):
     return found.where(F.col("child") == F.concat(F.lit("c"), "parent")).join(named, "parent").select("nation", "kind", "k")
 
 
-@query(f"SELECT nation, supplier FROM ({_S}) WHERE CAST(supplier AS BIGINT) % 5 <> 0")
+@query(f"SELECT nation, supplier FROM ({_S})")
 def store_generated_files(spark, sf_dir):
     def draw(x, nation, supplier):  # would write a file of the combination
         return None
 
     own = _new_store(spark)
-    own.save_table("Balance", _suppliers(spark, sf_dir).where("supplier % 5 <> 0"), ["value"])
+    own.save_table("Balance", _suppliers(spark, sf_dir), ["value"])
     run.for_each(own, lineage.LineageFunction(draw, generates_file=True), {"x": Variable("Balance")}, ["Plot"], KEYS)
     return own.records("Plot").where("record_id LIKE 'generated:%' AND content_hash IS NULL").select("nation", "supplier")
 
@@ -647,9 +652,12 @@ def graph_constant_values(spark, sf_dir):
     return graph.constant_values(_variants(spark, sf_dir)).withColumn("functions", F.array_join("functions", ","))
 
 
-@query("SELECT 'k' AS constant, 'new' AS value")
+@query("SELECT DISTINCT 'k' AS constant, CAST(CAST(p.k AS INTEGER) + 30 AS VARCHAR) AS value FROM (SELECT json_extract_string(props, '$.k') AS k FROM events) p WHERE CAST(CAST(p.k AS INTEGER) + 30 AS VARCHAR) NOT IN (SELECT json_extract_string(props, '$.k') FROM events)")
 def graph_pending_constants(spark, sf_dir):
-    return graph.pending_constants(spark.createDataFrame([("k", "new"), ("k", "1")], "constant string, value string"), _variants(spark, sf_dir))
+    """Of every value that ran, the one 30 above is pending; those that ran too aren't."""
+    k = F.get_json_object("props", "$.k").cast("int") + 30
+    pending = _t(spark, sf_dir, "events").select(F.lit("k").alias("constant"), k.cast("string").alias("value")).distinct()
+    return graph.pending_constants(pending, _variants(spark, sf_dir))
 
 
 @query(f"SELECT function_name, k, CAST(record_count AS BIGINT) AS record_count FROM {_RUNS} UNION ALL SELECT DISTINCT function_name, 'new', 0 FROM {_RUNS}")
@@ -673,10 +681,10 @@ def graph_filter_variants_without_match(spark, sf_dir):
     return graph.filter_variants(_variants(spark, sf_dir), {"k": "none such"}).select("function_name", "k")
 
 
-@query("SELECT DISTINCT json_extract_string(props, '$.k') AS k, n_name AS place FROM events, nation WHERE n_nationkey < 4")
+@query("SELECT DISTINCT json_extract_string(props, '$.k') AS k, n_name AS place FROM events, nation")
 def graph_inferred_variants(spark, sf_dir):
     k = graph.constant_values(_variants(spark, sf_dir)).select("value")
-    return graph.inferred_variants({"k": k, "place": _t(spark, sf_dir, "nation").where("n_nationkey < 4").select(F.col("n_name").alias("value"))})
+    return graph.inferred_variants({"k": k, "place": _t(spark, sf_dir, "nation").select(F.col("n_name").alias("value"))})
 
 
 @query("SELECT id, kind, manual FROM (SELECT DISTINCT event_type AS id, 'function' AS kind, FALSE AS manual FROM events UNION ALL SELECT 'smooth', 'function', TRUE)")
