@@ -1,12 +1,15 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are runs of N bytes of the folded text, so that parts of words count and unseen
-compounds are met. The vocabulary is all terms of the labelled sample that set its classes
-apart significantly, as many as there are; document frequencies are those of the whole corpus.
-Labelled examples stand in an inverted index: posting lists of (example, weight) by term, cut
-into blocks. Each term knows its greatest weight in a block, so that a bound on a block's
-cosines tells whether its postings must be read. Blocks are read from the highest bound down
-until none can hold a nearer example: the neighbours are exact.
+compounds are met. The vocabulary is all terms of the labelled sample whose classes differ in
+them by a standard error or more, as many as there are; a term's IDF, from the document
+frequencies of the whole corpus, is weighted by how sure that difference is, so that rare
+insults count for something and what is proven counts most. Labelled examples stand in an
+inverted index: posting lists of (example, weight) by term, cut into blocks; lists of terms
+that many examples hold are kept as full rows, which a matrix product reads. Each term knows
+its greatest weight in a block, so that a bound on a block's cosines tells whether its
+postings must be read. Blocks are read from the highest bound down until none can hold a
+nearer example: the neighbours are exact.
 """
 
 from __future__ import annotations
@@ -24,10 +27,14 @@ from .neighbours import Calibration, votes
 
 #: Bytes of a term; labelled examples of each class at most; neighbours that vote.
 N, PER_CLASS, NEIGHBOURS = 5, 2_048, 15
-#: Terms are tested by chi-square at this level, divided by how many terms there are (Bonferroni).
+#: A term weighs half its IDF at the chi-square of this level, divided by how many terms there are (Bonferroni).
 LEVEL = 0.05
+#: Least chi-square of a term: its classes differ by one standard error.
+LEAST = 1.0
+#: The list of a term that more than this share of the examples hold is kept as a full row.
+FULL_SHARE = 16
 #: Examples of a block of the index; texts that are compared with it at once; neighbours given as evidence by the query.
-BLOCK, AT_ONCE, EVIDENCE = 256, 2_048, 3
+BLOCK, AT_ONCE, EVIDENCE = 256, 512, 3
 #: A text is toxic from this score on.
 THRESHOLD = 0.5
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)
@@ -62,12 +69,12 @@ class Lookup:
 
     def __init__(self, vocabulary: np.ndarray):
         self.vocabulary = np.sort(vocabulary.astype(np.uint64))
-        self.bits = np.zeros(1 << 18, dtype=bool)
+        self.size = max(18, len(vocabulary).bit_length() + 4)  # bits of a slot: at most one slot of 16 is taken
+        self.bits = np.zeros(1 << self.size, dtype=bool)
         self.bits[self._slot(self.vocabulary)] = True
 
-    @staticmethod
-    def _slot(terms: np.ndarray) -> np.ndarray:
-        return ((terms * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+    def _slot(self, terms: np.ndarray) -> np.ndarray:
+        return ((terms * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.size)).astype(np.int64)
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, number of the term, how often) of a chunk of texts."""
@@ -104,22 +111,37 @@ class Index:
         example = place[row]
         self.most = np.zeros((size, -(-n // BLOCK)), dtype=np.float32)
         np.maximum.at(self.most, (term, example // BLOCK), weight)
-        # postings of a block: those of a term lie between two bounds
+        # terms of many examples have a row of the block's matrix, the others' postings lie between two bounds
+        often = np.bincount(term, minlength=size) > n / FULL_SHARE
+        self.line = np.where(often, np.cumsum(often) - 1, -1)
         self.blocks = []
         for b in range(self.most.shape[1]):
             own = np.flatnonzero(example // BLOCK == b)
             own = own[np.lexsort((example[own], term[own]))]
-            self.blocks.append((np.searchsorted(term[own], np.arange(size + 1)), example[own] - b * BLOCK, weight[own]))
+            many = often[term[own]]
+            full, own = own[many], own[~many]
+            matrix = np.zeros((int(often.sum()), min(BLOCK, n - b * BLOCK)), dtype=np.float32)
+            matrix[self.line[term[full]], example[full] - b * BLOCK] = weight[full]
+            bounds = np.searchsorted(term[own], np.arange(size + 1)).astype(np.int32)
+            self.blocks.append((bounds, (example[own] - b * BLOCK).astype(np.int16), weight[own], matrix))
         self.entries = example, term, weight
 
-    def cosines(self, b: int, rows: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Cosines of texts, given as entries, with all examples of a block, by its postings."""
-        bounds, example, held = self.blocks[b]
-        size = min(BLOCK, len(self.label) - b * BLOCK)
+    def split(self, rows: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of texts that have a row in the matrices, as a matrix, and which are left to the postings."""
+        line = self.line[term]
+        many = line >= 0
+        full = np.zeros((rows, int((self.line >= 0).sum())))
+        full[row[many], line[many]] = weight[many]
+        return full, ~many
+
+    def cosines(self, b: int, full: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines of texts with all examples of a block: those of the matrix by a product, the other entries by postings."""
+        bounds, example, held, matrix = self.blocks[b]
+        rows, size = len(full), matrix.shape[1]
         many = bounds[term + 1] - bounds[term]
         at = np.arange(many.sum()) + np.repeat(bounds[term] - (np.cumsum(many) - many), many)
         sums = np.bincount(np.repeat(row * np.int64(size), many) + example[at], weights=np.repeat(weight, many) * held[at], minlength=rows * size)
-        return np.round(sums.reshape(rows, size), 6)
+        return np.round(sums.reshape(rows, size) + full @ matrix.astype(np.float64), 6)
 
     def nearest(self, n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(cosine, place in the index) of the k nearest of n texts, ties to the first place; skip: a place to leave out.
@@ -143,13 +165,15 @@ class Index:
         bound[row[heads]] = np.add.reduceat(weight[:, None] * self.most[term], heads, axis=0) + 1e-5  # covers the rounding
         # first each text's most promising block, then the others in the order of their bounds
         first = bound.argmax(axis=1) if len(self.blocks) else np.zeros(n, int)
+        full, rest = self.split(n, row, term, weight)
+        row, term, weight = row[rest], term[rest], weight[rest]
         for turn, b in [(0, b) for b in np.unique(first)] + [(1, b) for b in np.argsort(-bound.sum(axis=0), kind="stable")]:
             live = (bound[:, b] > 2e-5) & ((first == b) if turn == 0 else (first != b)) & (bound[:, b] >= best.min(axis=1))
             rows = np.flatnonzero(live)
             if not len(rows):
                 continue
             mine = live[row]
-            cosine = self.cosines(b, len(rows), (np.cumsum(live) - 1)[row[mine]], term[mine], weight[mine])
+            cosine = self.cosines(b, full[rows], (np.cumsum(live) - 1)[row[mine]], term[mine], weight[mine])
             start = b * BLOCK
             if skip is not None:
                 own = skip[rows] - start
@@ -174,6 +198,7 @@ class Model:
             order = np.argsort(row, kind="stable")
             near, place = index.nearest(len(index.label), row[order], term[order], weight[order], k, skip=np.arange(len(index.label)))
             self.calibration = Calibration(self.vote(near, place), index.label, share)
+            index.entries = None  # the blocks hold them
         else:
             self.calibration = Calibration(np.zeros(0), np.zeros(0), share)
 
@@ -227,17 +252,19 @@ def least_chi_square(level: float) -> float:
     return high
 
 
-def _vocabulary(sample: DataFrame, level: float) -> np.ndarray:
-    """The terms whose chi-square between the sample's classes is significant, all of them."""
+def _vocabulary(sample: DataFrame, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """The terms in which the sample's classes differ by a standard error or more, all of them, and how far each is proven, 0 to 1."""
     total = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n0, n1 = float(total.get(0, 0)), float(total.get(1, 0))
     if not n0 or not n1:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0)
     share = (F.col("n1") + F.col("n0")) / (n0 + n1)
     chi = (F.col("n1") / n1 - F.col("n0") / n0) ** 2 / (share * (1 - share) * (1 / n0 + 1 / n1) + F.lit(1e-9))
-    tested = cut(_class_frequencies(sample))
-    rows = tested.where(chi >= least_chi_square(level / max(1, tested.count()))).select("term").orderBy("term").toArrow()  # terms of many examples of the bounded sample
-    return rows["term"].to_numpy().view(np.uint64)
+    tested = cut(_class_frequencies(sample).select("term", chi.alias("chi")))
+    half = least_chi_square(level / max(1, tested.count()))
+    rows = tested.where(F.col("chi") >= LEAST).orderBy("term").toArrow()  # terms of the bounded sample
+    proven = rows["chi"].to_numpy()
+    return rows["term"].to_numpy().view(np.uint64), proven / (proven + half)
 
 
 def _frequencies(docs: DataFrame, lookup: Lookup) -> tuple[np.ndarray, int]:
@@ -249,10 +276,13 @@ def _frequencies(docs: DataFrame, lookup: Lookup) -> tuple[np.ndarray, int]:
             rows += batch.num_rows
             for _, _, data, offsets in _texts(batch, 0):
                 df += np.bincount(lookup.counts(data, offsets)[1], minlength=len(df))
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(df)), -1]), pa.array([*df.tolist(), rows])], names=["term", "n"])
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(df[held], rows))], names=["term", "n"])
 
-    counted = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return np.array([counted.get(t, 0) for t in range(len(lookup.vocabulary))], dtype=np.float64), counted.get(-1, 0)
+    counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # as many rows as terms
+    df = np.zeros(len(lookup.vocabulary) + 1)
+    df[counted["term"].to_numpy()] = counted["n"].to_numpy()  # -1 is the last: all documents
+    return df[:-1], int(df[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = PER_CLASS, level: float = LEVEL, k: int = NEIGHBOURS) -> Model:
@@ -262,9 +292,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
     all texts get the other's share of the labels.
     """
     sample = cut(sampled_labels(docs, labels, target, per_class).groupBy("text").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id")))  # copies are one example
-    lookup = Lookup(_vocabulary(sample, level))
+    vocabulary, proven = _vocabulary(sample, level)
+    lookup = Lookup(vocabulary)
     df, n = _frequencies(docs, lookup) if len(lookup.vocabulary) else (np.zeros(0), 0)
-    idf = np.log((1 + n) / (1 + df)) + 0.1
+    idf = (np.log((1 + n) / (1 + df)) + 0.1) * proven
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
