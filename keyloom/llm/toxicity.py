@@ -96,35 +96,42 @@ def weighted(rows: int, row: np.ndarray, term: np.ndarray, count: np.ndarray, id
 
 
 class Index:
-    """Block-max inverted index of labelled examples, given as entries (example, term, weight)."""
+    """Block-max inverted index of labelled examples, given as entries (example, term, weight) in the order of examples.
+
+    Entries are taken a block at a time, so that little more than the index is held.
+    """
 
     def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, label: np.ndarray, ids: np.ndarray, size: int):
         n = len(label)
+        starts = np.searchsorted(row, np.arange(n + 1))
         # examples that share their heaviest term stand together, so that bounds are tight
         heaviest, greatest = np.full(n, size), np.zeros(n)
-        by_weight = np.lexsort((-term, weight))
-        heaviest[row[by_weight]], greatest[row[by_weight]] = term[by_weight], weight[by_weight]
+        some = np.flatnonzero(starts[1:] > starts[:-1])
+        if len(some):
+            greatest[some] = np.maximum.reduceat(weight, starts[some])
+            heaviest[some] = np.minimum.reduceat(np.where(weight == greatest.astype(weight.dtype)[row], term, size), starts[some])
         order = np.lexsort((ids, -greatest, heaviest))
-        place = np.empty(n, dtype=np.int64)
-        place[order] = np.arange(n)
+        self.place = np.empty(n, dtype=np.int64)
+        self.place[order] = np.arange(n)
         self.label, self.ids, self.size = label[order].astype(np.float64), ids[order], size
-        example = place[row]
-        self.most = np.zeros((size, -(-n // BLOCK)), dtype=np.float32)
-        np.maximum.at(self.most, (term, example // BLOCK), weight)
         # terms of many examples have a row of the block's matrix, the others' postings lie between two bounds
         often = np.bincount(term, minlength=size) > n / FULL_SHARE
         self.line = np.where(often, np.cumsum(often) - 1, -1)
+        self.most = np.zeros((size, -(-n // BLOCK)), dtype=np.float32)
         self.blocks = []
         for b in range(self.most.shape[1]):
-            own = np.flatnonzero(example // BLOCK == b)
-            own = own[np.lexsort((example[own], term[own]))]
-            many = often[term[own]]
-            full, own = own[many], own[~many]
-            matrix = np.zeros((int(often.sum()), min(BLOCK, n - b * BLOCK)), dtype=np.float32)
-            matrix[self.line[term[full]], example[full] - b * BLOCK] = weight[full]
-            bounds = np.searchsorted(term[own], np.arange(size + 1)).astype(np.int32)
-            self.blocks.append((bounds, (example[own] - b * BLOCK).astype(np.int16), weight[own], matrix))
-        self.entries = example, term, weight
+            members = order[b * BLOCK : (b + 1) * BLOCK]
+            own = np.concatenate([np.arange(starts[m], starts[m + 1]) for m in members])
+            example = np.repeat(np.arange(len(members)), starts[members + 1] - starts[members])
+            by_term = np.argsort(term[own], kind="stable")
+            own, example = own[by_term], example[by_term]
+            held, worth = term[own], weight[own]
+            np.maximum.at(self.most[:, b], held, worth)
+            many = often[held]
+            matrix = np.zeros((int(often.sum()), len(members)), dtype=np.float32)
+            matrix[self.line[held[many]], example[many]] = worth[many]
+            bounds = np.searchsorted(held[~many], np.arange(size + 1)).astype(np.int32)
+            self.blocks.append((bounds, example[~many].astype(np.int16), worth[~many], matrix))
 
     def split(self, rows: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The entries of texts that have a row in the matrices, as a matrix, and which are left to the postings."""
@@ -140,7 +147,7 @@ class Index:
         rows, size = len(full), matrix.shape[1]
         many = bounds[term + 1] - bounds[term]
         at = np.arange(many.sum()) + np.repeat(bounds[term] - (np.cumsum(many) - many), many)
-        sums = np.bincount(np.repeat(row * np.int64(size), many) + example[at], weights=np.repeat(weight, many) * held[at], minlength=rows * size)
+        sums = np.bincount(np.repeat(row.astype(np.int64) * size, many) + example[at], weights=np.repeat(weight, many) * held[at], minlength=rows * size)
         return np.round(sums.reshape(rows, size) + full @ matrix.astype(np.float64), 6)
 
     def nearest(self, n: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -190,15 +197,14 @@ class Index:
 
 
 class Model:
-    def __init__(self, lookup: Lookup, idf: np.ndarray, index: Index, share: tuple[float, float], k: int):
+    """An index, calibrated by the votes on its own examples, given as the entries that it was made of."""
+
+    def __init__(self, lookup: Lookup, idf: np.ndarray, index: Index, entries: tuple[np.ndarray, np.ndarray, np.ndarray], share: tuple[float, float], k: int):
         self.lookup, self.idf, self.index, self.k = lookup, idf, index, k
         self.middle = float(index.label.mean()) if len(index.label) else 0.5
         if len(index.label):
-            row, term, weight = index.entries
-            order = np.argsort(row, kind="stable")
-            near, place = index.nearest(len(index.label), row[order], term[order], weight[order], k, skip=np.arange(len(index.label)))
-            self.calibration = Calibration(self.vote(near, place), index.label, share)
-            index.entries = None  # the blocks hold them
+            near, place = index.nearest(len(index.label), *entries, k, skip=index.place)
+            self.calibration = Calibration(self.vote(near, place), index.label[index.place], share)
         else:
             self.calibration = Calibration(np.zeros(0), np.zeros(0), share)
 
@@ -302,20 +308,21 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
             for a, b, data, offsets in _texts(batch, 0):
                 row, term, count = lookup.counts(data, offsets)
                 bounds = pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32())
-                listed = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int64())) for x in (term, count)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), *listed], names=["y", "doc_id", "term", "count"])
+                weight = weighted(b - a, row, term, count, idf)
+                listed = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(term, pa.int32()), pa.array(weight, pa.float32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), *listed], names=["y", "doc_id", "term", "weight"])
 
     share = priors(labels, target)
     examples = sample.select("text", "y", F.col("doc_id").cast("string").alias("doc_id"))
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
     if not len(idf):
-        return Model(lookup, idf, Index(none, none, np.zeros(0, np.float32), np.zeros(0), np.zeros(0, str), 0), share, k)
-    found = examples.mapInArrow(run, "y int, doc_id string, term array<long>, count array<long>").orderBy("doc_id").toArrow()  # bounded by the sample
+        return Model(lookup, idf, Index(*none, np.zeros(0), np.zeros(0, str), 0), none, share, k)
+    found = examples.mapInArrow(run, "y int, doc_id string, term array<int>, weight array<float>").orderBy("doc_id").toArrow()  # bounded by the sample
     sizes = found["term"].combine_chunks().value_lengths().to_numpy()
-    term, count = (found[c].combine_chunks().flatten().to_numpy() for c in ("term", "count"))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    weight = weighted(len(sizes), row, term, count, idf)
-    return Model(lookup, idf, Index(row, term, weight, found["y"].to_numpy(), np.array(found["doc_id"].to_pylist(), dtype=object), len(idf)), share, k)
+    term, weight = (found[c].combine_chunks().flatten().to_numpy() for c in ("term", "weight"))
+    entries = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), term, weight
+    index = Index(*entries, found["y"].to_numpy(), np.array(found["doc_id"].to_pylist(), dtype=object), len(idf))
+    return Model(lookup, idf, index, entries, share, k)
 
 
 def score(docs: DataFrame, model: Model, into: str = "toxicity", evidence: str | None = None, most: int = NEIGHBOURS) -> DataFrame:
