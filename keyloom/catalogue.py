@@ -8,6 +8,7 @@ keys, ts the time, event_id the record).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,6 +21,8 @@ from .functions.hashing import digest
 from .operators import combos, filters, latest as newest, tables
 from .plans import graph, lineage, state
 from .schema import DatasetSchema
+from .sources.store import checkpoint_folder
+from .streaming import latest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -67,6 +70,16 @@ def latest_per_location(spark, sf_dir):
     return newest.latest(log, ["event_type", "user_id"], "ts", "event_id").select("event_type", "user_id", "event_id", "value")
 
 
+@query(_LATEST.format(cols="event_type, user_id, event_id, value", by="event_type, user_id", where=""))
+def stream_latest_per_location(spark, sf_dir):
+    """The log arrives in files, in no order of time; the state goes from batch to batch."""
+    folder, by = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}", ["event_type", "user_id"]
+    log = _t(spark, sf_dir, "events").select("event_type", "user_id", "ts", "event_id", "value")
+    log.repartition(8, "event_id").write.parquet(f"{folder}/log")
+    stream.publish_latest(spark, f"{folder}/log", log.schema, f"{folder}/out", by, "ts", "event_id", f"{folder}/marks", files=3).awaitTermination()
+    return stream.published(spark, f"{folder}/out", by, "ts", "event_id").select("event_type", "user_id", "event_id", "value")
+
+
 @query(_LATEST.format(cols="event_type, user_id, event_id, value", by="event_type, user_id", where="WHERE event_type <> 'error' AND event_id % 7 <> 0"))
 def latest_excluding(spark, sf_dir):
     log = _t(spark, sf_dir, "events")

@@ -248,3 +248,21 @@ def test_latest_stream(spark, tmp_path):
         keep_latest(spark, log, schema, target, ["k"], "t", "id", marks).awaitTermination()
         got = sorted(r["id"] for r in spark.read.parquet(f"{target}/{n}").collect())
     assert got == [2, 3]
+
+
+def test_published_stream(spark, tmp_path):
+    """Late, tied, null and repeated rows, over batches and a restart; a batch writes only what it changes."""
+    from keyloom.streaming.latest import publish_latest, published
+
+    log, target, marks = (str(tmp_path / n) for n in ("log", "out", "marks"))
+    schema = "k int, t int, id int, m map<string,int>"
+    saves = [[(1, 5, 1, {"a": 1}), (2, 1, 2, None), (None, 1, 3, {})], [(1, 4, 4, None), (2, 1, 5, {"b": 2}), (2, None, 6, None)], [(1, 5, 1, {"a": 1}), (3, None, 7, None)]]
+    for rows in saves:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
+        publish_latest(spark, log, schema, target, ["k"], "t", "id", marks, 1).awaitTermination()
+    got = {r["k"]: (r["t"], r["id"], r["m"]) for r in published(spark, target, ["k"], "t", "id").collect()}
+    assert got == {1: (5, 1, {"a": 1}), 2: (1, 5, {"b": 2}), None: (1, 3, {}), 3: (None, 7, None)}
+    last = spark.read.parquet(f"{target}/batch=2")
+    assert {r["k"] for r in last.collect()} == {1, 3} and last.columns == ["k", "t", "id", "m"]
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")  # the caller's session is left alone
