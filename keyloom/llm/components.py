@@ -30,11 +30,13 @@ def components(edges: DataFrame, nodes: int) -> DataFrame:
     """(u, v): each node that has an edge and isn't the least of its component, with that least node.
 
     edges: (u, v), in any direction, u and v different; nodes: how many there are at most. Edges stay as many as nodes at most
-    after the first round; each round goes to the shared checkpoint folder.
+    after the first round; each star goes to the shared checkpoint folder, since a plan over
+    both reads its input sixty times before Spark finds what is equal, and the driver holds that plan.
     """
     stars, before = cut(packed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), nodes)), None
     while True:
-        stars = cut(packed(_small_star(_large_star(stars, nodes), nodes), nodes))
+        large = cut(packed(_large_star(stars, nodes), nodes))
+        stars = cut(packed(_small_star(large, nodes), nodes))
         row = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         now = (row["n"], row["h"])
         if now == before or not row["n"]:

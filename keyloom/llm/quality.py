@@ -218,13 +218,19 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class:
         for batch in batches:
             for a, b, data, offsets in _texts(batch, 0):
                 found = weighted(counts(data, offsets, number, kept), offsets, idf)
-                listed = pa.array(list(found), pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), listed], names=["y", "doc_id", "vector"])
+                row, term = np.nonzero(found)
+                bounds = pa.array(np.searchsorted(row, np.arange(b - a + 1)), pa.int32())
+                listed = [pa.ListArray.from_arrays(bounds, x) for x in (pa.array(term, pa.int32()), pa.array(found[row, term]))]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), *listed], names=["y", "doc_id", "term", "weight"])
 
     kind = dict(sample.dtypes)["doc_id"]
-    found = sample.select("text", "y", "doc_id").mapInArrow(run, f"y int, doc_id {kind}, vector array<float>").orderBy("doc_id", "y").toArrow()  # bounded by the sample
+    found = sample.select("text", "y", "doc_id").mapInArrow(run, f"y int, doc_id {kind}, term array<int>, weight array<float>").orderBy("doc_id", "y").toArrow()  # bounded by the sample
     label = found["y"].to_numpy() if kept else np.zeros(0)
-    vectors = found["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), -1) if len(label) else np.zeros((0, kept), np.float32)
+    vectors = np.zeros((len(label), kept), np.float32)
+    if len(label):
+        row = np.repeat(np.arange(len(label)), found["term"].combine_chunks().value_lengths().to_numpy())
+        term, weight = (found[c].combine_chunks().flatten().to_numpy() for c in ("term", "weight"))
+        vectors[row, term] = weight
     return Model(number, idf, vectors, label, priors(labels, target), axes, k)
 
 

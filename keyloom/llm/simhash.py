@@ -241,6 +241,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataF
     rows = cut(fingerprints(keyed, shingle, (row,)))
     count = rows.count()
     least = join_hot(rows, _named(rows, count, most), "fingerprint", count).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = least.groupBy("root").agg(F.min(row).alias(row)).select(row)
+    kept = cut(packed(least.groupBy("root").agg(F.min(row).alias(row)).select(row), count))
     joined = keyed.join(kept, row, "left_semi").dropDuplicates([row])
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

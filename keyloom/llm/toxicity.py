@@ -27,7 +27,7 @@ N, PER_CLASS, NEIGHBOURS = 5, 2_048, 15
 #: Terms are tested by chi-square at this level, divided by how many terms there are (Bonferroni).
 LEVEL = 0.05
 #: Examples of a block of the index; texts that are compared with it at once; neighbours given as evidence by the query.
-BLOCK, AT_ONCE, EVIDENCE = 256, 2_048, 3
+BLOCK, AT_ONCE, EVIDENCE = 256, 256, 3
 #: A text is toxic from this score on.
 THRESHOLD = 0.5
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint8)

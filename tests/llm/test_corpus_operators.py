@@ -1,5 +1,6 @@
 """Near-duplicates, neighbours, classifiers, sharding, mixing and the pipeline against plain versions."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -110,6 +111,20 @@ def vectors(n=900, dims=16, seed=6):
     return (centres[random.integers(0, 8, n)] + random.standard_normal((n, dims))).astype(np.float32) * random.uniform(0.5, 2, (n, 1)).astype(np.float32)
 
 
+def test_plans_of_a_round_stay_small(spark, monkeypatch):
+    """The driver holds, prints and logs each plan: one over both stars reads its input some sixty times."""
+    scans, cut = [], components.cut
+
+    def counted(df):
+        scans.append(df._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD"))
+        return cut(df)
+
+    monkeypatch.setattr(components, "cut", counted)
+    edges = spark.createDataFrame([(i + 1, i) for i in range(9)], "u long, v long")
+    assert {r["v"] for r in components.components(edges, 10).collect()} == {0}
+    assert max(scans) <= 12
+
+
 def test_neighbours_reach_their_recall(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF_ROWS", 32)
     monkeypatch.setattr(ann, "BLOCK", 16)
@@ -247,6 +262,22 @@ def test_toxicity_index_is_exact(words, monkeypatch):
     assert read == [2]
 
 
+def test_toxicity_index_takes_texts_in_small_parts():
+    """The driver compares the whole labelled sample with itself; what that holds at once mustn't grow with the sample."""
+    random = np.random.default_rng(3)
+    n, held = 4_096, 60
+    row, term = np.repeat(np.arange(n), held), random.integers(0, 400, n * held)
+    row, term = np.divmod(np.unique(row * 400 + term), 400)
+    weight = np.full(len(row), held**-0.5, np.float32)
+    index = toxicity.Index(row, term, weight, np.zeros(n), np.array([f"{i:04}" for i in range(n)], dtype=object), 400)
+    tracemalloc.start()
+    try:
+        index.nearest(n, row, term, weight, toxicity.NEIGHBOURS, skip=np.arange(n))
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_chi_square_levels():
     assert toxicity.least_chi_square(0.05) == pytest.approx(3.841, abs=1e-3) and toxicity.least_chi_square(1e-7) == pytest.approx(28.374, abs=1e-2)
 
@@ -484,3 +515,26 @@ def test_quality_learns_from_a_text_once(spark, words):
     learnt = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
     model = quality.fit(docs, labels)
     assert len(model.label) == len({t for i, t in rows if i in learnt})
+
+
+def test_quality_gathers_no_zeros(spark, words, monkeypatch):
+    """The examples' vectors come to the driver without their zeros, and as they would with them."""
+    random = np.random.default_rng(8)
+    marks = list(quality._MARKS)
+    rows = [(i, " ".join(w + str(random.choice(marks)) * (i % 3) for w in random.choice(words, 12))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    gathered, given = [], []
+    kind, model = type(docs), quality.Model
+    arrow = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda df: gathered.append(arrow(df)) or gathered[-1])
+    monkeypatch.setattr(quality, "Model", lambda number, idf, vectors, *a: given.append((number, idf, vectors)) or model(number, idf, vectors, *a))
+    quality.fit(docs, labels)
+    ((number, idf, vectors),) = given
+    assert gathered[0].nbytes < vectors.nbytes / 2
+    want = []
+    for _, text in sorted((i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5):
+        data = np.frombuffer(text.encode(), np.uint8)
+        offsets = np.array([0, len(data)])
+        want.append(quality.weighted(quality.counts(data, offsets, number, len(idf)), offsets, idf)[0])
+    assert vectors == pytest.approx(np.array(want), abs=1e-6)
