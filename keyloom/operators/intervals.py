@@ -1,5 +1,8 @@
 """Joins by order: points in intervals and intervals that overlap, as equi-joins on bins.
 
+Where only counts and sums of an interval's points are asked for, no pairs are made: they are
+differences of running totals at its two ends, so that the work goes by rows, not by pairs.
+
 The line is cut into bins at quantiles of one side, so that bins hold about as many rows each
 wherever the data lie. A point is in one bin; an interval goes along with every bin that it
 touches; so a pair meets once, and nothing is compared outside its bins. A value that holds
@@ -9,10 +12,11 @@ hash over as many parts, each of which gets the intervals.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bins that the line is cut into, and the quantiles' relative rank error.
@@ -21,6 +25,9 @@ BINS, ACCURACY = 512, 10_000
 
 def _number(value: Column, kind: str) -> Column:
     """A value as a double that orders as it does, ties allowed; times by their microseconds."""
+    if kind == "timestamp_ntz":  # whatever the session's zone leaves out or has twice
+        since = value.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return since.cast("interval second").cast("decimal(18,6)").cast("double")
     if kind.startswith("timestamp"):
         return F.unix_micros(value.cast("timestamp")).cast("double")
     return F.unix_date(value).cast("double") if kind == "date" else value.cast("double")
@@ -72,6 +79,44 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, point: str, sta
     return binned.join(spans, [*by, at, part]).where(inside).drop(at, part)
 
 
+def sums_in_intervals(
+    points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, sums: dict[str, str] | None = None, by: list[str] = (), closed: bool = False, bins: int = BINS, count: str = "n"
+) -> DataFrame:
+    """Every interval with the number of its points, as `points_in_intervals` pairs them, and sums over them.
+
+    sums: names of the sums, with the columns of `points` that they are of: whole numbers or
+    decimals, since differences of running totals are exact for these only; null counts as 0,
+    and so does having no points. Sums of bigint are decimals, as running totals may be longer.
+    Repeated rows are rows of their own. A value is one row of the running totals, however many
+    points or ends it has; totals run within bins, and those of the bins before are added.
+    """
+    sums, kinds = dict(sums or {}), dict(points.dtypes)
+    if wrong := [c for c in sums.values() if not re.match(r"(tinyint|smallint|int|bigint|decimal.*)$", kinds[c])]:
+        raise TypeError(f"{wrong} are neither whole numbers nor decimals")
+    wide = {n: re.sub(r"^\w+\(\d+", "decimal(38", kinds[c]) if kinds[c].startswith("decimal") else "decimal(38,0)" if kinds[c] == "bigint" else "bigint" for n, c in sums.items()}
+    at, bin_, is_end, own, upto, before = "__at", "__bin", "__is_end", "__own_", "__upto_", "__before_"
+    totals = [count, *sums]
+    full = (F.col(f"`{start}`") <= F.col(f"`{end}`")) if closed else (F.col(f"`{start}`") < F.col(f"`{end}`"))
+    zero = {n: F.lit(0).cast(wide.get(n, "bigint")) for n in totals}
+    rows = points.select(*by, F.col(f"`{point}`").alias(at), F.lit(1).cast("bigint").alias(own + count), *[F.col(f"`{c}`").cast(wide[n]).alias(own + n) for n, c in sums.items()], F.lit(False).alias(is_end))
+    for side in (start, end):
+        rows = rows.union(intervals.where(full).select(*by, F.col(f"`{side}`").alias(at), *[zero[n].alias(own + n) for n in totals], F.lit(True).alias(is_end)))
+    cut = Bins(rows, at, bins)
+    values = rows.groupBy(*by, at).agg(*[F.coalesce(F.sum(own + n).cast(wide.get(n, "bigint")), zero[n]).alias(own + n) for n in totals], F.max(is_end).alias(is_end))
+    values = cut.of(values, F.col(at), bin_).where(F.col(bin_).isNotNull())
+    within, across = Window.partitionBy(*by, bin_).orderBy(at), Window.partitionBy(*by).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    running = values.withColumns({upto + n: F.sum(own + n).over(within) for n in totals}).where(is_end)
+    whole = values.groupBy(*by, bin_).agg(*[F.sum(own + n).alias(own + n) for n in totals])  # at most `bins` rows for each `by`
+    earlier = whole.select(*by, bin_, *[F.coalesce(F.sum(own + n).over(across), zero[n]).alias(before + n) for n in totals])
+    ends = running.join(earlier, [*by, bin_])
+    below = {n: F.col(before + n) + F.col(upto + n) - F.col(own + n) for n in totals}
+    low = ends.select(*by, F.col(at).alias(start), *[below[n].alias(f"__low_{n}") for n in totals])
+    high = ends.select(*by, F.col(at).alias(end), *[(below[n] + F.col(own + n) if closed else below[n]).alias(f"__high_{n}") for n in totals])
+    found = intervals.join(low, [*by, start], "left").join(high, [*by, end], "left")
+    between = {n: F.when(full, F.col(f"__high_{n}") - F.col(f"__low_{n}")).cast(wide.get(n, "bigint")) for n in totals}
+    return found.select(*[F.col(f"`{c}`") for c in intervals.columns], *[F.coalesce(between[n], zero[n]).alias(n) for n in totals])
+
+
 def overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], by: list[str] = (), bins: int = BINS) -> DataFrame:
     """Every pair of half-open intervals that share a point, with equal `by` columns.
 

@@ -31,6 +31,46 @@ def test_points_in_intervals_against_all_pairs(spark):
     assert intervals.points_in_intervals(p.limit(0), s, "v", "a", "b", ["side"]).count() == intervals.points_in_intervals(p, s.limit(0), "v", "a", "b", ["side"]).count() == 0
 
 
+def test_sums_in_intervals_make_no_pairs(spark):
+    random = np.random.default_rng(4)
+    values = [*(random.choice([5.0, 7.0, -0.0], 150).tolist()), *random.uniform(0, 20, 150).tolist(), None, float("nan")]
+    points = [(v, int(i), i % 2 if i % 9 else None) for i, v in enumerate(values)] + [(5.0, None, 0), (5.0, 2**62, 0), (6.0, 2**62, 0), (6.0, 2**62, 0)]
+    odd = [(5.0, 7.0, 0), (5.0, 7.0, 0), (7.0, 5.0, 0), (5.0, 5.0, 0), (None, 5.0, 1), (1.0, float("nan"), 1), (float("nan"), float("nan"), 1), (5.0, 7.0, None), (90.0, 95.0, 1), (0.0, 99.0, 7)]
+    spans = [(float(a), float(a + b), int(k % 2)) for k, (a, b) in enumerate(zip(random.uniform(-5, 20, 60), random.choice([0.0, 0.5, 3.0, 40.0], 60)))] + odd
+    p = spark.createDataFrame(points, "v double, w long, side int").repartition(3)
+    s = spark.createDataFrame([(k, *x) for k, x in enumerate(spans)], "k long, a double, b double, side int")
+    for by in (["side"], []):
+        for closed in (False, True):
+            want = []
+            for k, (a, b, y) in enumerate(spans):
+                held = [w for v, w, x in points if None not in (v, a) and (not by or None not in (x, y) and x == y) and b == b and a <= v and (v <= b if closed else v < b)]
+                want.append((k, len(held), sum(w or 0 for w in held)))
+            found = intervals.sums_in_intervals(p if by else p.drop("side"), s, "v", "a", "b", {"total": "w"}, by, closed, bins=16)
+            assert sorted((r["k"], r["n"], int(r["total"])) for r in found.collect()) == want and found.columns == [*s.columns, "n", "total"]
+    assert intervals.sums_in_intervals(p.limit(0), s, "v", "a", "b").agg(F.sum("n")).first()[0] == 0 and intervals.sums_in_intervals(p, s.limit(0), "v", "a", "b").count() == 0
+    with pytest.raises(TypeError):
+        intervals.sums_in_intervals(p, s, "v", "a", "b", {"total": "v"})
+    # a hundred million pairs
+    many, wide = spark.range(20_000).select("id", F.col("id").alias("w")), spark.range(5_000).select("id", (F.col("id") % 7 - 9).alias("a"), (F.col("id") % 7 + 20_000).alias("b"))
+    found = intervals.sums_in_intervals(many.withColumnRenamed("id", "v"), wide, "v", "a", "b", {"total": "w"})
+    assert found.groupBy("n", "total").count().collect() == [(20_000, sum(range(20_000)), 5_000)]
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_times_without_a_zone_keep_their_order_where_a_zone_skips_an_hour(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        at = lambda minute: f"2021-03-14 {minute // 60:02}:{minute % 60:02}:00"
+        p = spark.createDataFrame([(m, at(m)) for m in range(60, 300, 5)], "m int, t string").select("m", F.col("t").cast("timestamp_ntz").alias("v"))
+        s = spark.createDataFrame([(k, at(a), at(b)) for k, (a, b) in enumerate([(100, 170), (125, 181), (130, 250)])], "k int, a string, b string").select("k", F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+        want = [(0, 14), (1, 12), (2, 24)]
+        assert sorted((r["k"], r["count"]) for r in intervals.points_in_intervals(p, s, "v", "a", "b", bins=16).groupBy("k").count().collect()) == want
+        assert sorted((r["k"], r["n"]) for r in intervals.sums_in_intervals(p, s, "v", "a", "b", bins=16).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_overlaps_against_all_pairs(spark):
     random = np.random.default_rng(3)
     make = lambda n: [(i, int(a), int(a + b)) for i, (a, b) in enumerate(zip(random.integers(0, 40, n), random.integers(0, 6, n)))] + [(n, None, 3), (n + 1, 0, 100)]
