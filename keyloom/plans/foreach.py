@@ -7,14 +7,17 @@ group is split again by tag, so that the function gets one table of each input,
 table without keys is read once and broadcast if its checked size allows, else it goes along
 with the rows. With `native`, aggregates as column expressions replace the function and
 nothing leaves the JVM.
+
+An input whose rows of one combination may be more than a worker holds can be streamed: Spark
+sorts it, on disk where it must, and the function gets an iterator of tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
+from itertools import chain, groupby, product
 
 import numpy as np
 import pandas as pd
@@ -174,6 +177,7 @@ def for_each(
     keys_as_arguments: bool = False,
     observation: Observation | None = None,
     progress: Accumulator | None = None,
+    streamed: str | None = None,
 ) -> DataFrame | None:
     """One row, or the rows of a returned table, for every combination of `keys`.
 
@@ -190,13 +194,15 @@ def for_each(
     its path at the combination. keys_as_arguments: fn gets the keys too, by name.
     observation: gets `rows` and `failed` when the plan runs. progress: counts combinations as
     they are done; those of a task that is run again count again. Running calls are cancelled
-    by job tags, see `run.tagged`.
+    by job tags, see `run.tagged`. streamed: the table input that fn gets as an iterator of
+    tables (of arrays, if it is one selected column), none empty, in the same order, so that
+    memory is bounded whatever a combination's rows; fn needn't read it to the end.
     """
     variants = _variants(inputs, where)
     if len(variants) > 1:
         parts = []
         for labels, picked, condition in variants:
-            df = for_each(fn, picked, keys, combos, schema, condition, as_table, distribute, output_names, errors, dry_run, dataset, order, keys_as_arguments, progress=progress)
+            df = for_each(fn, picked, keys, combos, schema, condition, as_table, distribute, output_names, errors, dry_run, dataset, order, keys_as_arguments, progress=progress, streamed=streamed)
             parts.append(None if df is None else df.withColumns({n: F.lit(v) for n, v in labels.items()}))
         return None if dry_run else reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     _, inputs, where = variants[0]
@@ -212,6 +218,8 @@ def for_each(
             if len(names) != 1:
                 raise ValueError(f"ColName needs one data column, not {names}")
             constants[n] = names[0]
+    if streamed is not None and (streamed not in found or isinstance(fn, (Mergeable, dict))):
+        raise ValueError(f"{streamed!r} can't be streamed: it must be a table input of a function")
     given = combos is not None
     if combos is None:
         keyed = [df for df in found.values() if set(keys) <= set(df.columns)]
@@ -229,7 +237,7 @@ def for_each(
         return df.join(combos, keys, "left_semi").groupBy(*keys).agg(*[c.alias(n) for n, c in fn.items()])
     tabled = set(found) if as_table is True else set(as_table or ())
     selected = {n for n, v in inputs.items() if isinstance(v, ColumnSelection)}
-    call = _Call(fn, constants, keys, every, tabled, selected, output_names, distribute, errors, tuple(order), keys_as_arguments, progress)
+    call = _Call(fn, constants, keys, every, tabled, selected, output_names, distribute, errors, tuple(order), keys_as_arguments, progress, streamed)
     combos = combos.select(*keys).distinct()
     kinds = {f.name: f for f in combos.schema.fields}
     if schema is None:
@@ -238,6 +246,8 @@ def for_each(
         tables = {n: _joined(first, df, keys).select(*df.columns).limit(TRIAL_ROWS).toPandas() for n, df in found.items()}  # some rows of one combination
         if at.empty or any(t.empty for n, t in tables.items() if set(keys) & set(found[n].columns)):
             raise ValueError("no combination to learn the output's types from; give a schema")
+        if streamed is not None:
+            tables[streamed] = iter([call.chunk(streamed, call.sorted(tables[streamed]))])
         got = call.called(at.iloc[0].to_dict(), tables, trial=True).drop(columns=keys, errors="ignore")
         made = combos.sparkSession.createDataFrame(got.drop(columns=[c for c in ("error",) if c in got])).schema
     else:
@@ -270,27 +280,27 @@ def _grouped(found: dict[str, DataFrame], combos: DataFrame, keys: list[str], ca
     free = {n: df for n, df in found.items() if not set(keys) & set(df.columns) and _small(df)}
     shared = spark.sparkContext.broadcast({n: df.toPandas() for n, df in free.items()}) if free else None  # at most BROADCAST_BYTES each
     keyed = {n: df for n, df in found.items() if n not in free}
-    rows, columns = None, {}
+    keyed = dict(sorted(keyed.items(), key=lambda item: item[0] == call.streamed))  # the streamed one is the last
+    rows, columns, places = None, {}, []
     for i, (name, df) in enumerate(keyed.items()):
         data = {c: f"__{i}_{c}" for c in df.columns if c not in keys}
         columns[name] = data
         own = _joined(combos, df.withColumnsRenamed(data), keys).select(*keys, *data.values(), F.lit(i).alias("__tag"))
+        if name == call.streamed:
+            own, places = _placed(own, keys, [data[c] for c in call.lower(df.columns)], [data[c] for c in call.order if c in data])
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     if rows is None:
         rows = combos.withColumn("__tag", F.lit(-1))
     names, arrow, alone = {n: df.columns for n, df in found.items()}, to_arrow_schema(result), list(free)
 
-    def group(key: tuple, table: pa.Table) -> pa.Table:
-        at, tables = {k: v.as_py() for k, v in zip(keys, key)}, {}
-        for i, (name, data) in enumerate(columns.items()):
-            own = table.filter(pc.equal(table["__tag"], i)) if len(columns) > 1 else table
-            if not own.num_rows:
-                return arrow.empty_table()
-            frame = own.select([data.get(c, c) for c in names[name]]).to_pandas(use_threads=False)
-            frame.columns = names[name]
-            tables[name] = frame
+    def framed(name: str, table: pa.Table) -> pd.DataFrame:
+        frame = table.select([columns[name].get(c, c) for c in names[name]]).to_pandas(use_threads=False)
+        frame.columns = names[name]
+        return frame
+
+    def called(at: dict, tables: dict) -> pa.Table:
         for name in alone:
-            tables[name] = shared.value[name].copy()
+            tables[name] = shared.value[name].copy() if name != call.streamed else iter([call.chunk(name, call.sorted(shared.value[name].copy()))])
         out = call.called(at, tables)
         made = []
         for field in arrow:
@@ -302,8 +312,83 @@ def _grouped(found: dict[str, DataFrame], combos: DataFrame, keys: list[str], ca
                 made.append(pa.nulls(len(out), field.type))
         return pa.Table.from_arrays(made, schema=arrow)
 
+    def group(key: tuple, table: pa.Table) -> pa.Table:
+        tables = {}
+        for i, name in enumerate(columns):
+            own = table.filter(pc.equal(table["__tag"], i)) if len(columns) > 1 else table
+            if not own.num_rows:
+                return arrow.empty_table()
+            tables[name] = framed(name, own)
+        return called({k: v.as_py() for k, v in zip(keys, key)}, tables)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in groupby(_runs(batches, keys), lambda run: run[0]):
+            tables, last = {}, []
+            for _, i, piece in pieces:
+                if i == len(columns) - 1:
+                    last = [piece]
+                    break
+                tables.setdefault(list(columns)[i], []).append(piece)
+            if last and len(tables) == len(columns) - 1:  # else the combination lacks an input
+                at = {k: last[0][k][0].as_py() for k in keys}
+                tables = {name: framed(name, pa.concat_tables(parts)) for name, parts in tables.items()}
+                rest = chain(last, (piece for _, _, piece in pieces))
+                tables[call.streamed] = (call.chunk(call.streamed, framed(call.streamed, piece)) for piece in rest)
+                yield from called(at, tables).to_batches()
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).groupBy(*keys).applyInArrow(group, result)
+    together = rows.repartition(parts, *keys)
+    if call.streamed in columns:
+        return together.sortWithinPartitions(*keys, "__tag", *[F.col(p).asc_nulls_last() for p in places]).drop(*places).mapInArrow(stream, result)
+    return together.groupBy(*keys).applyInArrow(group, result)
+
+
+def _placed(rows: DataFrame, keys: list[str], lower: list[str], order: list[str]) -> tuple[DataFrame, list[str]]:
+    """Columns by which Spark sorts a combination's rows as `_Call.sorted` does: texts as numbers where all of the combination are."""
+    if not order:
+        return rows, []
+    texts, out = [c for c in lower if dict(rows.dtypes)[c] == "string"], []
+    decimal = lambda c: F.when(F.trim(c).rlike(r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"), F.trim(c))
+    all_numbers = lambda c: F.coalesce(F.min(decimal(F.col(c)).isNotNull()), F.lit(True)).alias(f"__all{c}")
+    whole = rows.agg(*map(all_numbers, texts)).first().asDict() if texts else {}
+    if mixed := [c for c in texts if not whole[f"__all{c}"]]:  # some combination has texts
+        own = {k: f"__key_{k}" for k in keys}
+        numbers = rows.groupBy(*keys).agg(*map(all_numbers, mixed)).withColumnsRenamed(own)
+        rows = rows.join(numbers, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()]), "left").drop(*own.values())
+    for c in lower:
+        if c not in texts:
+            rows = rows.withColumn(f"__place{c}", F.col(c))
+            out.append(f"__place{c}")
+            continue
+        number = F.when(F.col(f"__all{c}"), decimal(F.col(c))) if c in mixed else decimal(F.col(c))
+        # whole numbers of more digits than a double's by all of theirs
+        rows = rows.withColumns({f"__number{c}": number.cast("double"), f"__whole{c}": number.try_cast("decimal(38,0)")})
+        out += [f"__number{c}", f"__whole{c}"]
+        if c in mixed:
+            rows = rows.withColumn(f"__text{c}", F.when(~F.col(f"__all{c}"), F.coalesce(c, F.lit("None")))).drop(f"__all{c}")
+            out.append(f"__text{c}")
+    rows = rows.withColumns({f"__place{c}": F.col(c) for c in order})
+    return rows, [*out, *[f"__place{c}" for c in order]]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[int, int, pa.Table]]:
+    """(number of the combination, tag, rows) of rows that are sorted by both, no more of them at once than a batch has."""
+    number, before = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table, changed = pa.Table.from_batches([batch]), np.zeros(batch.num_rows, bool)
+        for k in keys:
+            code = pc.fill_null(pc.dictionary_encode(batch[k]).indices, -1).to_numpy(zero_copy_only=False)
+            changed[1:] |= code[1:] != code[:-1]
+        ends = [[batch[k][i].as_py() for k in keys] for i in (0, batch.num_rows - 1)]
+        changed[0] = before is not None and not all(a == b or a != a and b != b for a, b in zip(before, ends[0]))
+        before = ends[1]
+        numbers, tags = number + np.cumsum(changed), batch["__tag"].to_numpy()
+        number = int(numbers[-1])
+        new = np.flatnonzero(np.concatenate(([True], (numbers[1:] != numbers[:-1]) | (tags[1:] != tags[:-1]), [True])))
+        for a, b in zip(new[:-1], new[1:]):
+            yield int(numbers[a]), int(tags[a]), table.slice(a, b - a)
 
 
 def _leaves(tree):
@@ -313,17 +398,28 @@ def _leaves(tree):
 
 
 class _Call:
-    def __init__(self, fn, constants, keys, every, tabled, selected, output_names, distribute, errors, order=(), keys_as_arguments=False, progress=None):
+    def __init__(self, fn, constants, keys, every, tabled, selected, output_names, distribute, errors, order=(), keys_as_arguments=False, progress=None, streamed=None):
         self.fn, self.constants, self.keys, self.every, self.tabled, self.selected = fn, constants, keys, every, tabled, selected
         self.output_names, self.distribute, self.errors, self.order, self.keys_as_arguments = output_names, distribute, errors, order, keys_as_arguments
-        self.progress = progress
+        self.progress, self.streamed = progress, streamed
+
+    def lower(self, columns: Iterable[str]) -> list[str]:
+        return [k for k in self.every if k in columns and k not in self.keys]
+
+    def chunk(self, name: str, rows: pd.DataFrame):
+        """What the function gets of some rows of a streamed input."""
+        rows = rows.drop(columns=[c for c in self.order if c in rows.columns])
+        if name in self.tabled:
+            return rows
+        data = rows.drop(columns=[k for k in self.every if k in rows.columns])
+        return data.iloc[:, 0].to_numpy() if name in self.selected and data.shape[1] == 1 else data
 
     def sorted(self, table: pd.DataFrame) -> pd.DataFrame:
         """The rows by the lower keys, numbers as numbers, and then by the order columns, which go."""
         by = [c for c in self.order if c in table.columns]
         if not by:
             return table
-        lower = [k for k in self.every if k in table.columns and k not in self.keys]
+        lower = self.lower(table.columns)
         ranks = pd.DataFrame({c: table[c] if c in by else _sortable(table[c]) for c in (*lower, *by)})
         return table.iloc[ranks.sort_values([*lower, *by], kind="stable").index if len(ranks) > 1 else slice(None)].drop(columns=by).reset_index(drop=True)
 
@@ -332,7 +428,7 @@ class _Call:
         try:
             arguments = {n: v.path(**at) if isinstance(v, PathTemplate) else v for n, v in self.constants.items()}
             for name, table in tables.items():
-                arguments[name] = data_value(self.sorted(table), self.every, name in self.tabled, name in self.selected)
+                arguments[name] = table if name == self.streamed else data_value(self.sorted(table), self.every, name in self.tabled, name in self.selected)
             if self.keys_as_arguments:
                 arguments |= {k: v for k, v in at.items() if not k.startswith("__")}
             out = self._shape(self.fn(**arguments))

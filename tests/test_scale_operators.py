@@ -235,3 +235,50 @@ def test_a_cancelled_run_leaves_no_record(spark, tmp_path):
     counted = spark.sparkContext.accumulator(0)
     for_each(store, lambda x: float(x) + 1, {"x": Variable("raw")}, ["out"], ["k"], "value double", progress=counted)
     assert counted.value == 40 and store.load("out", k=3) == 4.0
+
+
+def test_streamed_inputs_are_whole_and_in_order(spark):
+    """A table in pieces is the table in one, whatever its keys; other inputs come whole; what lacks one is left out."""
+    random = np.random.default_rng(8)
+    trials = {"a": ["2", "10", "9", "1"], "b": ["2", "10", "x", "1"], "c": ["9007199254740993", "9007199254740992", "-1", "1000"], "d": ["1"], None: ["3", None, "20"]}
+    rows = [(s, t, p, float(p), f"{s}-{t}-{p}") for s, ts in trials.items() for t in ts for p in range(int(random.integers(1, 90)))]
+    rows = [rows[i] for i in random.permutation(len(rows))]
+    x = spark.createDataFrame(rows, "subject string, trial string, row_pos int, v double, w string").repartition(3)
+    y = spark.createDataFrame([(s, i, i * 2) for s in ("a", "b", "c", "e") for i in (2, 1, 0)], "subject string, row_pos int, u int")
+
+    def whole(x, y=None):
+        return x.to_json(), len(x), None if y is None else str(y.tolist())
+
+    def pieces(x, y=None):
+        found = list(x)
+        return pd.concat(found, ignore_index=True).to_json(), max(map(len, found)), None if y is None else str(y.tolist())
+
+    options = dict(schema="rows string, most int, y string", output_names=["rows", "most", "y"], dataset=["subject", "trial"], order=["row_pos"], errors="raise")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for inputs in ({"x": x}, {"x": x, "y": y}, {"y": y, "x": x}):
+            combos = x.select("subject").distinct()
+            want = {r["subject"]: r for r in foreach.for_each(whole, inputs, ["subject"], combos, **options).collect()}
+            got = {r["subject"]: r for r in foreach.for_each(pieces, inputs, ["subject"], combos, streamed="x", **options).collect()}
+            assert got.keys() == want.keys() and len(want) == (4 if "y" not in inputs else 3) + (None in want)
+            assert all((r["rows"], r["y"]) == (want[s]["rows"], want[s]["y"]) and r["most"] <= 16 for s, r in got.items())
+            assert max(r["most"] for r in want.values()) > 100
+        # a function that stops early, one that fails midway, one column
+        first = foreach.for_each(lambda x: next(x)["w"].iloc[0], {"x": x}, ["subject"], schema="value string", streamed="x", dataset=["subject", "trial"], order=["row_pos"])
+        assert {r["subject"]: r["value"] for r in first.where("subject IS NOT NULL").collect()} == {"a": "a-1-0", "b": "b-1-0", "c": "c--1-0", "d": "d-1-0"}
+
+        def fails(x):
+            for piece in x:
+                if piece[0] > 0:
+                    raise ValueError("midway")
+            return 1
+
+        odd = foreach.for_each(fails, {"x": foreach.ColumnSelection(x, "row_pos", "v")}, ["subject"], schema="value int", streamed="x", errors="column", dataset=["subject", "trial"], order=["row_pos"])
+        assert {r["subject"]: r["error"] for r in odd.collect() if r["subject"] in "abc"} == {s: "ValueError: midway" for s in "abc"}
+        learnt = foreach.for_each(lambda x: sum(len(p) for p in x), {"x": x.where("subject IS NOT NULL")}, ["subject"], streamed="x", order=["row_pos"])
+        assert {r["subject"]: r["value"] for r in learnt.collect()}["a"] == sum(s == "a" for s, *_ in rows)
+        with pytest.raises(ValueError):
+            foreach.for_each(fails, {"x": x, "k": 1}, ["subject"], schema="value int", streamed="k")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
