@@ -36,6 +36,10 @@ FLOOR_ROWS = 1_024
 CALIBRATION, RECALL = 256, 0.94
 #: Candidates and queries of a block, and queries that are multiplied at once.
 BLOCK, QUERY_BLOCK, AT_ONCE = 2_048, 8_192, 512
+#: Queries whose lists of leaves are spelt out at once; elsewhere a query has a bit for each leaf.
+SPELT = 64
+#: Pairs found in a block, beyond which only each query's k nearest so far are kept.
+PENDING = 1 << 18
 
 
 class Tree:
@@ -195,7 +199,7 @@ def _block(left: pa.Table, right: pa.Table, dims: int, k: int) -> pa.Table:
     visited, by = listed.flatten().to_numpy(), np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy())
     sorted_ = np.argsort(visited, kind="stable")
     visited, by = visited[sorted_], by[sorted_]
-    parts = []
+    parts, pending = [], 0
     for n in np.unique(leaf):
         a, b = np.searchsorted(leaf, [n, n + 1])
         who = by[slice(*np.searchsorted(visited, [n, n + 1]))]
@@ -203,12 +207,20 @@ def _block(left: pa.Table, right: pa.Table, dims: int, k: int) -> pa.Table:
             some = who[at : at + AT_ONCE]
             row, vec, score = _scanned(ids[a:b], points[a:b], asked[some], queries[some], floor[some], k)
             parts.append((some[row], vec, score))
+            pending += len(row)
+            if pending > PENDING:
+                parts, pending = [_best(parts, k)], 0
+    row, vec, score = _best(parts, k)
+    return pa.table([pa.array(asked[row]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def _best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, id, score) of the k nearest of each query, ties to the smaller id."""
     row, vec, score = map(np.concatenate, zip(*parts)) if parts else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
     order = np.lexsort((vec, -score, row))
     row, vec, score = row[order], vec[order], score[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    best = rank < k
-    return pa.table([pa.array(asked[row[best]]), pa.array(vec[best]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[best], vec[best], score[best]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = RECALL) -> DataFrame:
@@ -255,29 +267,44 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
 
     dealt = cut(every.mapInArrow(deal, f"leaf long, vec_id long, embedding {kind}"))
     held = {r["leaf"]: r["count"] for r in dealt.groupBy("leaf").count().collect()}  # one row per leaf
+    in_order = np.array(tree.in_order())
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, seeds = shared.value
+        bit = np.zeros(len(tree.children), np.int64)
+        bit[in_order] = np.arange(len(in_order))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, SPELT):
+                part = batch.slice(at, SPELT)
                 own = _matrix(part.column(1), dims)
                 away = tree.away(np.hstack([own, np.zeros((len(own), 1))]).astype(np.float32))
-                floors, leaves = [], []
-                for q, query, distances in zip(part.column(0).to_pylist(), own, away):
+                floors, marks = [], np.zeros((len(own), len(in_order)), bool)
+                for i, (q, query, distances) in enumerate(zip(part.column(0).to_pylist(), own, away)):
                     reach, seen = 0, []
                     for node in tree.best_bins(distances.tolist()):
                         if len(seen) >= visits and reach > k:
                             break
                         seen.append(node)
                         reach += held.get(node, 0)
-                    leaves.append(seen)
+                    marks[i, bit[seen]] = True
                     floors.append(seeds.floor(q, query, np.array(seen), k))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floors, pa.float64()), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "query", "floor", "leaves"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floors, pa.float64()), pa.array([m.tobytes() for m in np.packbits(marks, axis=1)], pa.binary())], names=["query_id", "query", "floor", "marks"])
+
+    def visits_of(marks: pa.Array) -> np.ndarray:
+        """Query by leaf in the tree's order: whether it is visited."""
+        bits = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(len(marks), -1)
+        return np.unpackbits(bits, axis=1, count=len(in_order)).view(bool)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(in_order), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SPELT):
+                n += visits_of(batch.column(0).slice(at, SPELT)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(in_order[n > 0]), pa.array(n[n > 0])], names=["leaf", "n"])
 
-    visiting = cut(asked.mapInArrow(visit, f"query_id long, query {kind}, floor double, leaves array<long>"))
-    asking = {r["leaf"]: r["count"] for r in visiting.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}  # one row per leaf
-    where = _blocks(tree.in_order(), held, asking)
+    visiting = cut(asked.mapInArrow(visit, f"query_id long, query {kind}, floor double, marks binary"))
+    asking = {r["leaf"]: r["n"] for r in visiting.select("marks").mapInArrow(tally, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}  # one row per leaf
+    where = _blocks(tree.in_order(), held, asking, visiting.count())
     placed = F.broadcast(spark.createDataFrame([(n, *w) for n, w in where.items()], "leaf long, first long, parts int, queues int"))  # one row per leaf
     candidates = dealt.join(placed, "leaf").select(
         (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("queues") - 1)).alias("queue"), "leaf", "vec_id", "embedding"
@@ -288,21 +315,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         for n, w in where.items():
             first[n], parts[n], queues[n] = w
         for batch in batches:
-            listed = batch.column(3)
-            row, leaf = np.repeat(np.arange(len(listed)), listed.value_lengths().to_numpy()), listed.flatten().to_numpy()
-            row, leaf = row[parts[leaf] > 0], leaf[parts[leaf] > 0]
-            times = parts[leaf]
-            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row, leaf = np.repeat(row, times), np.repeat(leaf, times)
-            block = first[leaf] + nth
-            order = np.lexsort((block, row))
-            row, leaf, block = row[order], leaf[order], block[order]
-            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))) if len(row) else np.zeros(0, int)
-            taken = batch.take(pa.array(row[new]))
-            mixed = (taken.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            queue = (mixed % np.maximum(queues[leaf[new]], 1).astype(np.uint64)).astype(np.int32)
-            together = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), pa.array(leaf))
-            yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(queue), *taken.columns[:3], together], names=["block", "queue", "query_id", "query", "floor", "leaves"])
+            for at in range(0, batch.num_rows, SPELT):
+                yield sent(batch.slice(at, SPELT), first, parts, queues)
+
+    def sent(batch: pa.RecordBatch, first: np.ndarray, parts: np.ndarray, queues: np.ndarray) -> pa.RecordBatch:
+        """Each query once for every block with leaves that it visits, and these leaves."""
+        row, place = np.nonzero(visits_of(batch.column(3)))
+        leaf = in_order[place]
+        row, leaf = row[parts[leaf] > 0], leaf[parts[leaf] > 0]
+        times = parts[leaf]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        row, leaf = np.repeat(row, times), np.repeat(leaf, times)
+        block = first[leaf] + nth
+        order = np.lexsort((block, row))
+        row, leaf, block = row[order], leaf[order], block[order]
+        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))) if len(row) else np.zeros(0, int)
+        taken = batch.take(pa.array(row[new]))
+        mixed = (taken.column(0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        queue = (mixed % np.maximum(queues[leaf[new]], 1).astype(np.uint64)).astype(np.int32)
+        together = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)), pa.int32()), pa.array(leaf))
+        return pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(queue), *taken.columns[:3], together], names=["block", "queue", "query_id", "query", "floor", "leaves"])
 
     questions = visiting.mapInArrow(go, f"block long, queue int, query_id long, query {kind}, floor double, leaves array<long>")
 
@@ -315,13 +347,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _blocks(leaves: list[int], held: dict[int, int], asking: dict[int, int]) -> dict[int, tuple[int, int, int]]:
+def _blocks(leaves: list[int], held: dict[int, int], asking: dict[int, int], queries: int) -> dict[int, tuple[int, int, int]]:
     """(first block, blocks, queues of queries) of each leaf that is visited: small leaves share a block with their neighbours."""
     out, shared, filled, block = {}, [], 0, 0
 
     def close():
         nonlocal shared, filled, block
-        asks = sum(asking[n] for n in shared)
+        asks = min(queries, sum(asking[n] for n in shared))  # a query comes once, however many of the leaves it visits
         for n in shared:
             out[n] = block, 1, -(-asks // QUERY_BLOCK)
         block, shared, filled = block + bool(shared), [], 0

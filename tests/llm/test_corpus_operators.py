@@ -4,6 +4,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -125,6 +126,32 @@ def test_plans_of_a_round_stay_small(spark, monkeypatch):
     assert max(scans) <= 12
 
 
+def test_neighbours_in_bounded_pieces(spark, monkeypatch):
+    """Visits are bits, lists of leaves are spelt out a few queries at a time, a query comes to a block once; the answer is the same."""
+    assert ann._blocks([1, 2, 3], {1: 5, 2: 5, 3: 5}, {1: 8_000, 2: 8_000, 3: 8_000}, 8_000) == {n: (0, 1, 1) for n in (1, 2, 3)}
+    random = np.random.default_rng(6)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 8)
+    vectors = random.normal(size=(1_500, 8)).astype(np.float32)
+    vectors[100:140] = vectors[100]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
+    kept, found, sent = [], [], []
+    cut = ann.cut
+    monkeypatch.setattr(ann, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    for spelt, pending in ((64, 1 << 18), (3, 5)):
+        monkeypatch.setattr(ann, "SPELT", spelt)
+        monkeypatch.setattr(ann, "PENDING", pending)
+        found.append(sorted(map(tuple, ann.search(table, table.where("vec_id % 3 == 0")).collect())))
+        sent.append(kept[-1].agg(F.max(F.octet_length("marks")), F.count(F.lit(1))).first())
+    assert found[0] == found[1] and len(found[0]) == 500 * 20
+    assert all(most <= (1_500 // 8 + 7) // 8 and n == 500 for most, n in sent)
+    # in one block, however few pairs are pending
+    left = pa.table({"leaf": pa.array([0, 0, 1, 1, 1] * 4), "vec_id": pa.array(range(20)), "embedding": pa.array(vectors[90:110].tolist(), pa.list_(pa.float32()))})
+    right = pa.table({"query_id": pa.array([3, 50]), "query": pa.array(vectors[[93, 7]].tolist(), pa.list_(pa.float32())), "floor": pa.array([-np.inf, -np.inf]), "leaves": pa.array([[1, 0], [0]])})
+    some = ann._block(left, right, 8, 4)
+    monkeypatch.setattr(ann, "PENDING", 1 << 18)
+    assert some.equals(ann._block(left, right, 8, 4)) and some.num_rows == 8
+
+
 def test_neighbours_reach_their_recall(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF_ROWS", 32)
     monkeypatch.setattr(ann, "BLOCK", 16)
