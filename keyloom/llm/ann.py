@@ -4,8 +4,8 @@ Vectors get one more component, so that all have the greatest norm and the neare
 Euclidean distance is the one of largest inner product. The tree is fitted on a bounded
 sample; every vector is dealt to a leaf. A query visits leaves best bin first: a priority
 queue holds the nodes by the distance to their centres, and the nearest is opened or, if a
-leaf, visited. The number of visits is widened on the sample until its recall reaches the
-calibrated level. The answer comes from the visited leaves alone; they are scanned exactly,
+leaf, visited. The number of visits is widened on a second sample until its recall reaches the
+calibrated level: the centres lie nearer to the vectors they were fitted on than to others. The answer comes from the visited leaves alone; they are scanned exactly,
 in double precision.
 
 Leaves that lie next to one another in the tree stand in one block of bounded size, and a
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Vectors the tree is fitted on, at most, and their bytes.
+#: Vectors the tree is fitted on, at most, and their bytes; as many, drawn anew, calibrate the visits.
 SAMPLE, SAMPLE_BYTES = 32_768, 32 << 20
 #: Children of a node; rows that a leaf is planned for; the most leaves.
 BRANCH, LEAF_ROWS, MOST_LEAVES = 8, 64, 4_096
@@ -34,8 +34,10 @@ BRANCH, LEAF_ROWS, MOST_LEAVES = 8, 64, 4_096
 FLOOR_ROWS = 1_024
 #: Sampled queries and the recall they must reach for the visits to suffice.
 CALIBRATION, RECALL = 256, 0.94
-#: Candidates and queries of a block, and queries that are multiplied at once.
-BLOCK, QUERY_BLOCK, AT_ONCE = 2_048, 8_192, 512
+#: Candidates of a block, at least and, where there are many blocks, at most; queries of a block; queries that are multiplied at once.
+BLOCK, LARGE_BLOCK, QUERY_BLOCK, AT_ONCE = 2_048, 8_192, 16_384, 512
+#: Blocks from which on they are made larger, so that queries go to fewer of them.
+MANY_BLOCKS = 64
 #: Queries whose lists of leaves are spelt out at once; elsewhere a query has a bit for each leaf.
 SPELT = 64
 #: Pairs found in a block, beyond which only each query's k nearest so far are kept.
@@ -203,8 +205,9 @@ def _block(left: pa.Table, right: pa.Table, dims: int, k: int) -> pa.Table:
     for n in np.unique(leaf):
         a, b = np.searchsorted(leaf, [n, n + 1])
         who = by[slice(*np.searchsorted(visited, [n, n + 1]))]
-        for at in range(0, len(who), AT_ONCE):
-            some = who[at : at + AT_ONCE]
+        at_once = max(1, min(AT_ONCE, AT_ONCE * BLOCK // (b - a)))
+        for at in range(0, len(who), at_once):
+            some = who[at : at + at_once]
             row, vec, score = _scanned(ids[a:b], points[a:b], asked[some], queries[some], floor[some], k)
             parts.append((some[row], vec, score))
             pending += len(row)
@@ -257,7 +260,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     points = _matrix(picked.column(1), dims)
     sample = _lifted(points, most)
     tree = Tree(sample, int(min(MOST_LEAVES, max(1, n // LEAF_ROWS))))
-    visits = visits_needed(tree, sample, k, recall)
+    again = every.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(size).toArrow()  # holds fitted vectors by their share of all
+    visits = visits_needed(tree, _lifted(_matrix(again.column(1), dims), most), k, recall)
     shared = spark.sparkContext.broadcast((tree, Seeds(tree, sample, picked.column(0).to_numpy(), points)))  # at most MOST_LEAVES * 8 / 7 centres, and the sample
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +308,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
 
     visiting = cut(asked.mapInArrow(visit, f"query_id long, query {kind}, floor double, marks binary"))
     asking = {r["leaf"]: r["n"] for r in visiting.select("marks").mapInArrow(tally, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}  # one row per leaf
-    where = _blocks(tree.in_order(), held, asking, visiting.count())
+    where = _blocks(tree.in_order(), held, asking, visiting.count(), max(BLOCK, min(LARGE_BLOCK, n // MANY_BLOCKS)))
     placed = F.broadcast(spark.createDataFrame([(n, *w) for n, w in where.items()], "leaf long, first long, parts int, queues int"))  # one row per leaf
     candidates = dealt.join(placed, "leaf").select(
         (F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("queues") - 1)).alias("queue"), "leaf", "vec_id", "embedding"
@@ -347,7 +351,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _blocks(leaves: list[int], held: dict[int, int], asking: dict[int, int], queries: int) -> dict[int, tuple[int, int, int]]:
+def _blocks(leaves: list[int], held: dict[int, int], asking: dict[int, int], queries: int, most: int) -> dict[int, tuple[int, int, int]]:
     """(first block, blocks, queues of queries) of each leaf that is visited: small leaves share a block with their neighbours."""
     out, shared, filled, block = {}, [], 0, 0
 
@@ -361,13 +365,13 @@ def _blocks(leaves: list[int], held: dict[int, int], asking: dict[int, int], que
     for n in leaves:
         if not held.get(n) or not asking.get(n):
             continue
-        parts = -(-held[n] // BLOCK)
+        parts = -(-held[n] // most)
         if parts > 1:
             close()
             out[n] = block, parts, -(-asking[n] // QUERY_BLOCK)
             block += parts
             continue
-        if filled + held[n] > BLOCK:
+        if filled + held[n] > most:
             close()
         shared.append(n)
         filled += held[n]
