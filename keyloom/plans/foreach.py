@@ -349,24 +349,20 @@ def _placed(rows: DataFrame, keys: list[str], lower: list[str], order: list[str]
         return rows, []
     texts, out = [c for c in lower if dict(rows.dtypes)[c] == "string"], []
     decimal = lambda c: F.when(F.trim(c).rlike(r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"), F.trim(c))
-    all_numbers = lambda c: F.coalesce(F.min(decimal(F.col(c)).isNotNull()), F.lit(True)).alias(f"__all{c}")
-    whole = rows.agg(*map(all_numbers, texts)).first().asDict() if texts else {}
-    if mixed := [c for c in texts if not whole[f"__all{c}"]]:  # some combination has texts
+    all_numbers = lambda c: F.min(decimal(F.col(c)).isNotNull()).alias(f"__all{c}")
+    if texts:
         own = {k: f"__key_{k}" for k in keys}
-        numbers = rows.groupBy(*keys).agg(*map(all_numbers, mixed)).withColumnsRenamed(own)
+        numbers = rows.groupBy(*keys).agg(*map(all_numbers, texts)).withColumnsRenamed(own)
         rows = rows.join(numbers, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()]), "left").drop(*own.values())
     for c in lower:
         if c not in texts:
             rows = rows.withColumn(f"__place{c}", F.col(c))
             out.append(f"__place{c}")
             continue
-        number = F.when(F.col(f"__all{c}"), decimal(F.col(c))) if c in mixed else decimal(F.col(c))
+        number = F.when(F.col(f"__all{c}"), decimal(F.col(c)))
         # whole numbers of more digits than a double's by all of theirs
-        rows = rows.withColumns({f"__number{c}": number.cast("double"), f"__whole{c}": number.try_cast("decimal(38,0)")})
-        out += [f"__number{c}", f"__whole{c}"]
-        if c in mixed:
-            rows = rows.withColumn(f"__text{c}", F.when(~F.col(f"__all{c}"), F.coalesce(c, F.lit("None")))).drop(f"__all{c}")
-            out.append(f"__text{c}")
+        rows = rows.withColumns({f"__number{c}": number.cast("double"), f"__whole{c}": number.try_cast("decimal(38,0)"), f"__text{c}": F.when(~F.col(f"__all{c}"), F.coalesce(c, F.lit("None")))}).drop(f"__all{c}")
+        out += [f"__number{c}", f"__whole{c}", f"__text{c}"]
     rows = rows.withColumns({f"__place{c}": F.col(c) for c in order})
     return rows, [*out, *[f"__place{c}" for c in order]]
 
